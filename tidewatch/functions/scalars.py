@@ -31,8 +31,9 @@ def try_int(c) -> Column:
 
 
 def try_timestamp(c) -> Column:
-    """Text to timestamp; empty or malformed text is NULL."""
-    return blank_to_null(c).try_cast("timestamp")
+    """Text to timestamp; empty or malformed text is NULL, and so is a bare number."""
+    text = blank_to_null(c)
+    return F.when(text.rlike(r"^\s*\d{4}-\d"), text.try_cast("timestamp"))
 
 
 def try_json(c) -> Column:

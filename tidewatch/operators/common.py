@@ -34,36 +34,35 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, nam
     return df.withColumn(name, rank).filter(F.col(name) <= n)
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
-    """Running sum of ``value`` by ``order`` (a timestamp) within ``keys``, hot keys included.
-
-    Two levels: totals per (keys, day) are summed over the days first - at most one row per
-    calendar day - and only then inside each (keys, day), so no task holds a whole hot key.
-    One input row per (keys, order) is expected.
+def bucketed_running(
+    df: DataFrame, keys: list[str], order: str, value: str, bucket: Column, total: str, following: str | None = None
+) -> DataFrame:
+    """Running sum of ``value`` by ``order`` within ``keys`` (and the next order), hot keys included.
+
+    Two levels: totals per (keys, bucket) are accumulated over the buckets first, then rows inside
+    each (keys, bucket); no task holds all rows of a hot key. ``bucket`` must grow with ``order``
+    and one input row per (keys, order) is expected.
     """
-    by_day = [*keys, "_day"]
-    # Not called _day in the input: the day is derived here and dropped again.
-    days = df.withColumn("_day", F.to_date(order))
-    before = (
-        days.groupBy(*by_day).agg(F.sum(value).alias("_total"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_total").over(
-                    Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_total")
-    )
-    within = F.sum(value).over(
-        Window.partitionBy(*by_day).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_b", bucket)
+    per = [*keys, "_b"]
+    over = Window.partitionBy(*keys).orderBy("_b")
+    tops = (
+        rows.groupBy(*per).agg(F.sum(value).alias("_sum"), F.min(order).alias("_first"))
+        .withColumn("_before", F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_after", F.lead("_first").over(over))
+        .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(per)], "_before", "_after")
     )
-    left = days.withColumn("_within", within)
-    cond = [left[c].eqNullSafe(before[c]) for c in by_day]
-    joined = left.join(before, cond, "inner").select(left["*"], before["_before"])
-    return joined.withColumn(name, F.col("_within") + F.col("_before")).drop("_within", "_before", "_day")
+    inside = Window.partitionBy(*per).orderBy(order)
+    rows = rows.withColumn("_in", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    if following:
+        rows = rows.withColumn("_next", F.lead(order).over(inside))
+    on = F.lit(True)
+    for i, c in enumerate(per):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    out = rows.join(tops, on).withColumn(total, F.col("_in") + F.col("_before"))
+    if following:
+        out = out.withColumn(following, F.coalesce("_next", "_after"))
+    return out.select(*df.columns, total, *([following] if following else []))
 
 
 def as_ts(as_of) -> Column:
