@@ -65,6 +65,46 @@ def bucketed_running(
     return out.select(*df.columns, total, *([following] if following else []))
 
 
+def bucketed_lag(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column, name: str) -> DataFrame:
+    """Value of the previous row by ``order`` within ``keys``, hot keys included.
+
+    The previous row is looked up inside (keys, bucket); only the first row of a bucket takes the
+    last value of the bucket before. ``bucket`` must grow with ``order``.
+    """
+    rows = df.withColumn("_b", bucket)
+    per = [*keys, "_b"]
+    over = Window.partitionBy(*keys).orderBy("_b")
+    tops = (
+        rows.groupBy(*per).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+        .withColumn("_prev", F.lag("_last").over(over)["v"])
+        .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(per)], "_prev")
+    )
+    inside = Window.partitionBy(*per).orderBy(*order)
+    on = F.lit(True)
+    for i, c in enumerate(per):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.withColumn("_lag", F.lag(value).over(inside)).withColumn("_n", F.row_number().over(inside))
+    out = rows.join(tops, on).withColumn(name, F.when(F.col("_n") == 1, F.col("_prev")).otherwise(F.col("_lag")))
+    return out.select(*df.columns, name)
+
+
+def exact_quantile(df: DataFrame, value: str, share: float, bucket: Column) -> DataFrame:
+    """One row with the interpolated quantile of a numeric column and the row count.
+
+    Values are counted and the counts accumulated in buckets; nothing is sorted in one task.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("rows"))
+    run = bucketed_running(counts, [], "_v", "_c", bucket, "_cum").crossJoin(F.broadcast(total))
+    pos = (F.col("rows") - 1) * F.lit(share)
+    low, high = F.floor(pos), F.ceil(pos)
+    at = lambda p: F.min(F.when(F.col("_cum") > p, F.col("_v")))
+    g = run.groupBy("rows").agg(at(low).alias("_lo"), at(high).alias("_hi"))
+    part = pos - F.floor(pos)
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part
+    return total.join(g.select("rows", q.alias("quantile")), "rows", "left")
+
+
 def as_ts(as_of) -> Column:
     """Literal or column to timestamp."""
     return as_of if isinstance(as_of, Column) else F.lit(str(as_of)).cast("timestamp")
