@@ -55,7 +55,7 @@ def is_valid_json(c) -> Column:
 def best_effort_timestamp(c) -> Column:
     """First layout that fits wins; anything else is NULL."""
     text = blank_to_null(F.trim(col(c)))
-    tries = [text.try_cast("timestamp")]
+    tries = [try_timestamp(text)]
     tries += [F.try_to_timestamp(text, F.lit(layout)) for layout in TIME_LAYOUTS]
     return F.coalesce(*tries)
 

@@ -115,15 +115,11 @@ def as_date(as_of) -> Column:
 
 
 def with_total(df: DataFrame, keys: list[str], aggs: list[Column], label: str = "total") -> DataFrame:
-    """Aggregate by ``keys`` plus one total row labelled in the first key.
-
-    ROLLUP over all keys with the intermediate levels dropped keeps it one scan and one shuffle.
-    """
+    """Aggregate by ``keys`` plus one total row labelled in the first key: one scan, one shuffle."""
     level = F.grouping_id()
-    full = (1 << len(keys)) - 1
-    out = df.rollup(*keys).agg(level.alias("_level"), *aggs).filter(F.col("_level").isin(0, full))
+    out = df.groupingSets([keys, []], *keys).agg(level.alias("_level"), *aggs)
     first = keys[0]
-    shown = F.when(F.col("_level") == full, F.lit(label)).otherwise(F.col(first).cast("string"))
+    shown = F.when(F.col("_level") > 0, F.lit(label)).otherwise(F.col(first).cast("string"))
     return out.withColumn(first, shown).drop("_level")
 
 

@@ -403,16 +403,23 @@ def clock_seconds(text) -> Column:
 
 def calendar_deadlines(rules: DataFrame, as_of) -> DataFrame:
     """Last and previous deadline of every calendar rule within two years back."""
-    r = calendar_rules(rules).filter(F.col("kind").isin(*WORDS))
-    today = as_date(as_of)
+    r = calendar_rules(rules).filter(F.col("kind").isin(*WORDS)).withColumn("_at", clock_seconds("at"))
+    # Rules share few calendars: each is worked out once, on one row per calendar and day.
+    parts = ["dow", "day", "month", "last", "_at"]
+    today, day = as_date(as_of), F.col("d")
     fits = lambda c, value: F.col(c).isNull() | F.array_contains(c, value)
-    # The days are filtered inside the array: one row per rule all the way.
-    days = F.filter(
-        F.sequence(F.date_sub(today, CALENDAR_DAYS), today),
-        lambda d: fits("dow", F.weekday(d) + 1) & fits("day", F.dayofmonth(d)) & fits("month", F.month(d))
-        & (~F.col("last") | (d == F.last_day(d))) & (plus_seconds(d.cast("timestamp"), clock_seconds("at")) <= as_ts(as_of)))
-    at = lambda i: plus_seconds(F.try_element_at("_days", F.lit(i)).cast("timestamp"), clock_seconds("at"))
-    return r.withColumn("_days", days).filter(F.size("_days") > 0).withColumn("deadline", at(-1)).withColumn("previous", at(-2)).drop("_days")
+    c = r.select(*parts).distinct().withColumn("d", F.explode(F.sequence(F.date_sub(today, CALENDAR_DAYS), today)))
+    c = c.filter(
+        fits("dow", F.weekday("d") + 1) & fits("day", F.dayofmonth("d")) & fits("month", F.month("d")) & (~F.col("last") | (day == F.last_day("d")))
+        & (plus_seconds(day.cast("timestamp"), F.col("_at")) <= as_ts(as_of)))
+    # At most one row per day of the period and calendar.
+    two = c.groupBy(*parts).agg(F.max("d").alias("_d1"), F.reverse(F.array_sort(F.collect_list("d"))).alias("_all"))
+    at = lambda c: plus_seconds(c.cast("timestamp"), F.col("_at"))
+    two = two.select(*[F.col(p).alias(f"_c_{p}") for p in parts], at(F.col("_d1")).alias("deadline"), at(F.try_element_at("_all", F.lit(2))).alias("previous"))
+    on = F.lit(True)
+    for p in parts:
+        on = on & F.col(p).eqNullSafe(F.col(f"_c_{p}"))
+    return r.join(two, on).drop("_at", *[f"_c_{p}" for p in parts])
 
 
 def alert_interval(rules: DataFrame, last: DataFrame, as_of) -> DataFrame:

@@ -124,17 +124,28 @@ def exchange_log_ids(log: DataFrame, loadings: DataFrame, as_of) -> DataFrame:
     return g.join(loadings.select("id", *LOADING_COLUMNS), "id", "left").withColumn("retry", _needs_retry(as_of))
 
 
-def exchange_log_keys(log: DataFrame, loadings: DataFrame, as_of) -> DataFrame:
-    """Newest package per (flow, key) with all package ids and the retry flag."""
+def _packages(log: DataFrame, loadings: DataFrame, as_of) -> DataFrame:
     rows = log.join(loadings.select("id", *LOADING_COLUMNS), "id", "left").withColumn("retry", _needs_retry(as_of))
-    rows = latest_by_key(rows, ["wf_name", "id", "wf_key"], [F.desc("ts"), F.asc("type")])
-    # One row per package and key; the list of one key grows with its resends only.
-    ids = rows.groupBy("wf_name", "wf_key").agg(
-        F.count("*").alias("ids_cnt"), F.sort_array(F.collect_list("id"), asc=False).alias("ids"))
+    return latest_by_key(rows, ["wf_name", "id", "wf_key"], [F.desc("ts"), F.asc("type")])
+
+
+def exchange_log_keys(log: DataFrame, loadings: DataFrame, as_of) -> DataFrame:
+    """Newest package per (flow, key) with the number of packages and the retry flag.
+
+    The packages themselves are in :func:`exchange_key_packages`: a key that is sent again and
+    again has no bound, so they are rows, not a list.
+    """
+    rows = _packages(log, loadings, as_of)
+    n = rows.groupBy("wf_name", "wf_key").agg(F.count("*").alias("ids_cnt"), F.min("id").alias("first_id"))
     newest = latest_by_key(rows.filter("completed or retry is not null"), ["wf_name", "wf_key"], [F.desc("id")])
-    return newest.join(ids, ["wf_name", "wf_key"]).select(
+    return newest.join(n, ["wf_name", "wf_key"]).select(
         "wf_name", "wf_key", "completed", "retry", F.col("ts").alias("last_ts"), F.col("id").alias("last_id"),
-        "ids_cnt", "ids", "cnt", "sum_len", "time", *LOADING_COLUMNS)
+        "ids_cnt", "first_id", "cnt", "sum_len", "time", *LOADING_COLUMNS)
+
+
+def exchange_key_packages(log: DataFrame, loadings: DataFrame, as_of) -> DataFrame:
+    """All packages that carried a key, one row each."""
+    return _packages(log, loadings, as_of).select("wf_name", "wf_key", "id", "completed", "retry")
 
 
 # --- receiving side ---------------------------------------------------------------------------

@@ -73,7 +73,7 @@ def explode_documents(messages: DataFrame) -> DataFrame:
         .withColumn("obj", F.regexp_extract("url", "^/([a-z]+)/?", 1))
         .withColumn("sub", F.regexp_extract("url", "^/[a-z]+/([a-z]+)/?", 1))
         .filter("obj <> 'tmpl'")
-        .withColumn("_mid", F.xxhash64("url", "ts", "msg"))
+        .withColumn("_mid", F.md5(F.concat_ws("|", "url", F.col("ts").cast("string"), "msg")))
     )
     kind = F.schema_of_variant(try_json("msg"))
     listed = base.withColumn(

@@ -101,13 +101,21 @@ def _(t):
     return g.select("wf_name", "id", "completed", "ts", "keys_cnt", "cnt", F.array_join("wf_keys", ",").alias("wf_keys"), F.coalesce("retry", F.lit(False)).alias("retry"))
 
 
-@query("exchange_log_keys", f"""WITH {_LOG_SQL}, r AS (SELECT *, {_RETRY_SQL} AS retry FROM lg QUALIFY row_number() OVER (PARTITION BY wf_name, id, wf_key ORDER BY ts DESC, type) = 1),
-i AS (SELECT wf_name, wf_key, count(*) AS ids_cnt, array_to_string(list(id ORDER BY id DESC), ',') AS ids FROM r GROUP BY ALL)
-SELECT wf_name, wf_key, completed, coalesce(retry, false) AS retry, ts::VARCHAR AS last_ts, id AS last_id, ids_cnt, ids, cnt FROM r JOIN i USING (wf_name, wf_key)
+_PACKAGES_SQL = f"r AS (SELECT *, {_RETRY_SQL} AS retry FROM lg QUALIFY row_number() OVER (PARTITION BY wf_name, id, wf_key ORDER BY ts DESC, type) = 1)"
+
+
+@query("exchange_log_keys", f"""WITH {_LOG_SQL}, {_PACKAGES_SQL}, i AS (SELECT wf_name, wf_key, count(*) AS ids_cnt, min(id) AS first_id FROM r GROUP BY ALL)
+SELECT wf_name, wf_key, completed, coalesce(retry, false) AS retry, ts::VARCHAR AS last_ts, id AS last_id, ids_cnt, first_id, cnt FROM r JOIN i USING (wf_name, wf_key)
 QUALIFY row_number() OVER (PARTITION BY wf_name, wf_key ORDER BY id DESC) = 1""")
 def _(t):
     k = X.exchange_log_keys(X.exchange_log(_journal(t)), _loadings(t), I.ORDERS_AS_OF)
-    return k.select("wf_name", "wf_key", "completed", F.coalesce("retry", F.lit(False)).alias("retry"), "last_ts", "last_id", "ids_cnt", F.array_join("ids", ",").alias("ids"), "cnt")
+    return k.select("wf_name", "wf_key", "completed", F.coalesce("retry", F.lit(False)).alias("retry"), "last_ts", "last_id", "ids_cnt", "first_id", "cnt")
+
+
+@query("exchange_key_packages", f"WITH {_LOG_SQL}, {_PACKAGES_SQL} SELECT wf_name, wf_key, id, completed, coalesce(retry, false) AS retry FROM r")
+def _(t):
+    k = X.exchange_key_packages(X.exchange_log(_journal(t)), _loadings(t), I.ORDERS_AS_OF)
+    return k.withColumn("retry", F.coalesce("retry", F.lit(False)))
 
 
 # --- received envelope: events and parts as JSON documents ----------------------------------------

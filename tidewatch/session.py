@@ -49,7 +49,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     Only a local master without that setting falls back to the temporary folder of the
     machine, because there driver and executors are one process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
