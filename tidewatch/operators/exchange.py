@@ -116,7 +116,10 @@ LOADING_COLUMNS = ["status_dttm", "auto", "alive", "status", "status_log"]
 
 
 def exchange_log_ids(log: DataFrame, loadings: DataFrame, as_of) -> DataFrame:
-    """Per (flow, package): all keys complete, totals, ordered keys and the retry flag."""
+    """Per (flow, package): all keys complete, totals, ordered keys and the retry flag.
+
+    A package holds at most ``key_limit`` day keys of a flow, which bounds its key list.
+    """
     g = log.groupBy("wf_name", "id").agg(
         F.bool_and("completed").alias("completed"), F.max("ts").alias("ts"), F.count("wf_key").alias("keys_cnt"),
         F.sum("cnt").alias("cnt"), F.sum("sum_len").alias("sum_len"), F.max("time").alias("time"),

@@ -66,72 +66,70 @@ def ztest_cases(measurements: DataFrame, config: DataFrame, as_of) -> DataFrame:
     )
 
 
-def _joined_history(history: DataFrame, cases: DataFrame) -> DataFrame:
-    h = history.select("object", *[F.col(c).alias(f"h_{c}") for c in history.columns if c != "object"])
-    keep = ["object", "key_date", "rows_count", "interval_days", "skip", "beg", "dots", "z_except", "z_error",
-            "row_min", "row_max", "z_min", "z_max"]
-    j = h.join(cases.select(*keep), "object")
-    in_error = F.coalesce(F.array_contains("z_error", F.col("h_key_date")), F.lit(False))
-    return j.filter(
-        (F.col("h_key_date") < F.col("key_date")) & ~in_error
-        & (F.col("h_key_date") >= F.coalesce("beg", F.lit(FAR_PAST).cast("date")))
-        & F.col("h_rows_count").between(F.col("row_min"), F.col("row_max"))
-        & (
-            F.col("h_value").isNull()
-            | F.col("h_value").between(
-                F.coalesce("z_min", F.lit(-(2**63 - 1))), F.coalesce("z_max", F.lit(2**63 - 1)))
-        )
-    )
+def _nulls_top(*columns: str) -> Column:
+    """Ordering key in which a NULL beats every value, as descending order has it in the source engine."""
+    return F.struct(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
 
 
+LAST_COLUMNS = ("key_date", "rows_count", "avg", "std", "cnt", "min", "max")
 
 
-def _newest(columns: list[str]) -> list[Column]:
-    # The source engine puts NULL first when descending; spelled out here.
-    return [F.desc_nulls_first(c) for c in columns]
+def ztest_state(history: DataFrame, cases: DataFrame) -> DataFrame:
+    """What the history says about every measurement: the last usable record and the newest values.
 
+    The history is joined and shuffled once. Versions of a key date collapse map-side to one row
+    per (object, key date), so the ranking below runs over at most one row per calendar day.
 
-def ztest_baseline(history: DataFrame, cases: DataFrame) -> DataFrame:
-    """Last usable record per object before its measurement; a record without value counts."""
-    j = _joined_history(history, cases)
-    lag = F.coalesce("interval_days", F.lit(1))
-    usable = j.filter(
-        (F.col("h_key_date") <= F.date_sub("key_date", lag))
-        & (F.col("h_value").isNull() | ~(F.col("skip") & (F.col("h_value") == 0)))
-    )
-    last = latest_by_key(usable, ["object"], _newest(["h_key_date", "h_ztest", "h_ts", "h_log_id"]))
-    return last.select("object", *[F.col(f"h_{c}").alias(f"last_{c}") for c in
-                                   ("key_date", "rows_count", "avg", "std", "cnt", "min", "max")])
+    The baseline may be a record without a value; the statistics may not.
+    """
+    h = history.select("object", *[F.col(c).alias(f"h_{c}") for c in history.columns if c != "object"])
+    keep = ["object", "key_date", "interval_days", "skip", "beg", "dots", "z_except", "z_error", "row_min", "row_max", "z_min", "z_max"]
+    listed = lambda c: F.coalesce(F.array_contains(c, F.col("h_key_date")), F.lit(False))
+    value = F.col("h_value")
+    low, high = F.coalesce("z_min", F.lit(-(2**63 - 1))), F.coalesce("z_max", F.lit(2**63 - 1))
+    j = h.join(cases.select(*keep), "object").filter(
+        (F.col("h_key_date") < F.col("key_date")) & ~listed("z_error")
+        & (F.col("h_key_date") >= F.coalesce("beg", F.lit(FAR_PAST).cast("date")))
+        & F.col("h_rows_count").between(F.col("row_min"), F.col("row_max"))
+        & (value.isNull() | (value.between(low, high) & ~(F.col("skip") & (value == 0)))))
+    is_base = F.col("h_key_date") <= F.date_sub("key_date", F.coalesce("interval_days", F.lit(1)))
+    is_point = value.isNotNull() & (F.coalesce("h_ztest", F.lit(True)) | listed("z_except"))
+    newest = _nulls_top("h_ztest", "h_ts", "h_log_id")
+    record = F.struct(*[F.col(f"h_{c}").alias(c) for c in LAST_COLUMNS])
+    per_date = j.groupBy("object", "h_key_date").agg(
+        F.max_by(F.when(is_base, record), F.when(is_base, newest)).alias("base"),
+        F.max_by(F.when(is_point, value), F.when(is_point, newest)).alias("point"),
+        F.max(F.coalesce("dots", F.lit(CONFIG_DEFAULT_DOTS))).alias("dots"))
+    nth = F.count("point").over(Window.partitionBy("object").orderBy(F.desc("h_key_date")).rowsBetween(Window.unboundedPreceding, 0))
+    per_date = per_date.withColumn("n", nth)
+    # The list holds at most ``dots`` values.
+    return per_date.groupBy("object").agg(
+        F.max_by("base", F.when(F.col("base").isNotNull(), F.col("h_key_date"))).alias("last"),
+        F.collect_list(F.when(F.col("n") <= F.col("dots"), F.col("point"))).alias("points"))
 
 
-def ztest_history_points(history: DataFrame, cases: DataFrame) -> DataFrame:
-    """Up to ``dots`` newest usable growth values per object, one per key date."""
-    j = _joined_history(history, cases)
-    good = F.coalesce("h_ztest", F.lit(True)) | F.coalesce(F.array_contains("z_except", F.col("h_key_date")), F.lit(False))
-    usable = j.filter(F.col("h_value").isNotNull() & ~(F.col("skip") & (F.col("h_value") == 0)) & good)
-    per_date = latest_by_key(usable, ["object", "h_key_date"], _newest(["h_ztest", "h_ts", "h_log_id"]))
-    n = F.row_number().over(Window.partitionBy("object").orderBy(F.desc("h_key_date")))
-    return per_date.withColumn("n", n).filter(F.col("n") <= F.coalesce("dots", F.lit(CONFIG_DEFAULT_DOTS))).select(
-        "object", F.col("h_value").alias("value"), "n")
+def ztest_baseline(history: DataFrame, cases: DataFrame) -> DataFrame:
+    """Last usable record per object before its measurement."""
+    return ztest_state(history, cases).filter("last is not null").select(
+        "object", *[F.col("last")[c].alias(f"last_{c}") for c in LAST_COLUMNS])
 
 
 def ztest_score(history: DataFrame, cases: DataFrame) -> DataFrame:
     """z-score of the newest daily growth of every object against its history plus itself."""
-    c = cases.join(ztest_baseline(history, cases), "object", "left")
-    dif = F.datediff("key_date", "last_key_date")
-    c = c.withColumn("key_diff", dif).withColumn(
-        "value", F.expr("(rows_count - last_rows_count) div nullif(datediff(key_date, last_key_date), 0)"))
-    points = ztest_history_points(history, cases).unionByName(
-        c.filter("last_key_date is not null").select("object", "value", F.lit(0).alias("n")))
-    agg = points.groupBy("object").agg(
-        F.avg("value").alias("avg"), F.stddev_pop("value").alias("std"), F.count("value").alias("cnt"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    s = c.join(agg, "object", "left")
+    c = cases.join(ztest_state(history, cases), "object", "left")
+    c = c.select(*cases.columns, *[F.col("last")[x].alias(f"last_{x}") for x in LAST_COLUMNS], "points")
     have = F.col("last_key_date").isNotNull()
+    c = c.withColumn("key_diff", F.datediff("key_date", "last_key_date")).withColumn(
+        "value", F.expr("(rows_count - last_rows_count) div nullif(key_diff, 0)"))
+    c = c.withColumn("_p", F.when(have, F.transform(F.concat("points", F.array("value")), lambda x: x.cast("double"))))
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+    c = c.withColumn("cnt", F.when(have, F.size("_p").cast("bigint"))).withColumn("avg", total(F.col("_p")) / F.col("cnt"))
+    c = c.withColumn("std", F.sqrt(total(F.transform("_p", lambda x: (x - F.col("avg")) * (x - F.col("avg")))) / F.col("cnt")))
     std = F.coalesce(F.nullif(F.col("std"), F.lit(0.0)), F.lit(1.0))
     return (
-        s.withColumn("zscore", F.when(have, (F.col("value") - F.col("avg")) / std).otherwise(F.lit(0.0)))
-        .withColumn("stability", F.when(have, F.col("std") / F.nullif(F.col("avg"), F.lit(0.0))))
+        c.withColumn("min", F.array_min("_p").cast("bigint")).withColumn("max", F.array_max("_p").cast("bigint"))
+        .withColumn("zscore", F.when(have, (F.col("value") - F.col("avg")) / std).otherwise(F.lit(0.0)))
+        .withColumn("stability", F.when(have, F.col("std") / F.nullif(F.col("avg"), F.lit(0.0)))).drop("_p", "points")
     )
 
 
@@ -299,12 +297,9 @@ def chk_uniq(df: DataFrame, keys: list[str], from_col: str | None = None, to_col
             F.struct(F.col("f").alias("cd"), F.lit(0).alias("shift"), F.lit(1).cast("bigint").alias("d")),
             F.struct(F.col("t").alias("cd"), F.lit(1).alias("shift"), F.lit(-1).cast("bigint").alias("d")),
         )).alias("s"))
-        .groupBy(*keys, "s.cd", "s.shift").agg(F.sum("s.d").alias("d"))
-    )
-    steps = (
-        steps.join(numbered, "cd")
-        .select(*keys, (F.col("pos") + F.col("shift")).alias("pos"), "d")
-        .groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
+        .select(*keys, "s.cd", "s.shift", "s.d")
+        .join(numbered, "cd")
+        .groupBy(*keys, (F.col("pos") + F.col("shift")).alias("pos")).agg(F.sum("d").alias("d"))
     )
     spans = bucketed_running(steps, keys, "pos", "d", F.expr(f"pos div {INDEX_BUCKET}"), "valid", "next_pos")
     bad = (

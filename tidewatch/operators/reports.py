@@ -353,8 +353,8 @@ def ztest_errors(view: DataFrame, as_of) -> DataFrame:
     return latest_by_key(rows, ["object"], [F.desc("ts"), F.desc("key_date")]).filter("not ztest_ok")
 
 
-def engine_errors(errors: DataFrame, as_of, skip_call: str = "pr_log_error") -> DataFrame:
-    """Error call chains of yesterday. ``errors``: dt, last_call, ..."""
+def engine_errors(errors: DataFrame, as_of, skip_call: str) -> DataFrame:
+    """Error call chains of yesterday but those of the logger itself. ``errors``: dt, last_call, ..."""
     return day_range(errors, "dt", as_of, -1, 0).filter(F.coalesce("last_call", F.lit("")) != skip_call)
 
 

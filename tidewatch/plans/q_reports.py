@@ -290,9 +290,9 @@ def _(t):
 
 @query("engine_errors", "SELECT event_id AS log_id, 'f_' || event_type AS last_call FROM events WHERE ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-10' AND event_type <> 'view'")
 def _(t):
-    ctx = F.concat(F.lit("PL/pgSQL function "), F.when(F.col("event_type") == "view", "pr_log_error").otherwise(F.concat(F.lit("f_"), F.col("event_type"))), F.lit("(text) line 7 at EXECUTE"))
+    ctx = F.concat(F.lit("PL/pgSQL function "), F.lit("f_"), F.col("event_type"), F.lit("(text) line 7 at EXECUTE"))
     chains = J.error_call_chain(t.events.select(F.col("event_id").alias("log_id"), F.col("ts").alias("dt"), ctx.alias("context")))
-    return R.engine_errors(chains, AT).select("log_id", "last_call")
+    return R.engine_errors(chains, AT, "f_view").select("log_id", "last_call")
 
 
 @query("freshness_grade", f"""SELECT event_id, CASE WHEN a > 172800 THEN 'salmon' WHEN a > 43200 THEN 'pink' WHEN a > 21600 THEN 'LemonChiffon' END AS grade,
