@@ -44,8 +44,8 @@ def try_json(c) -> Column:
     """
     text = col(c)
     boxed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>")
-    return F.when(boxed.isNotNull() & (F.size(listed) == 1), F.try_variant_get(boxed, "$.v", "variant"))
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.when(alone, F.try_variant_get(boxed, "$.v", "variant"))
 
 
 def is_valid_json(c) -> Column:

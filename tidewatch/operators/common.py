@@ -43,48 +43,44 @@ def bucketed_running(
     each (keys, bucket); no task holds all rows of a hot key. ``bucket`` must grow with ``order``
     and one input row per (keys, order) is expected.
     """
-    rows = df.withColumn("_b", bucket)
-    per = [*keys, "_b"]
-    over = Window.partitionBy(*keys).orderBy("_b")
-    tops = (
-        rows.groupBy(*per).agg(F.sum(value).alias("_sum"), F.min(order).alias("_first"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_after", F.lead("_first").over(over))
-        .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(per)], "_before", "_after")
-    )
-    inside = Window.partitionBy(*per).orderBy(order)
+    rows = df.withColumn("_k", _bucket_key(keys, bucket))
+    over = _over_buckets(keys)
+    tops = rows.groupBy("_k").agg(F.sum(value).alias("_sum"), F.min(order).alias("_first")).select(
+        "_k",
+        F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lead("_first").over(over).alias("_after"))
+    inside = Window.partitionBy("_k").orderBy(order)
     rows = rows.withColumn("_in", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     if following:
         rows = rows.withColumn("_next", F.lead(order).over(inside))
-    on = F.lit(True)
-    for i, c in enumerate(per):
-        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    out = rows.join(tops, on).withColumn(total, F.col("_in") + F.col("_before"))
+    out = rows.join(tops.hint("merge"), "_k").withColumn(total, F.col("_in") + F.col("_before"))
     if following:
         out = out.withColumn(following, F.coalesce("_next", "_after"))
     return out.select(*df.columns, total, *([following] if following else []))
 
 
+def _bucket_key(keys: list[str], bucket: Column) -> Column:
+    """Keys and bucket as one struct: it is never NULL and compares NULL keys as equal, so ranking,
+    totals and the join of both share one partitioning."""
+    return F.struct(*keys, bucket.alias("_b"))
+
+
+def _over_buckets(keys: list[str]):
+    return Window.partitionBy(*[F.col("_k")[k] for k in keys]).orderBy(F.col("_k")["_b"])
+
+
 def bucketed_lag(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column, name: str) -> DataFrame:
     """Value of the previous row by ``order`` within ``keys``, hot keys included.
 
     The previous row is looked up inside (keys, bucket); only the first row of a bucket takes the
     last value of the bucket before. ``bucket`` must grow with ``order``.
     """
-    rows = df.withColumn("_b", bucket)
-    per = [*keys, "_b"]
-    over = Window.partitionBy(*keys).orderBy("_b")
-    tops = (
-        rows.groupBy(*per).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
-        .withColumn("_prev", F.lag("_last").over(over)["v"])
-        .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(per)], "_prev")
-    )
-    inside = Window.partitionBy(*per).orderBy(*order)
-    on = F.lit(True)
-    for i, c in enumerate(per):
-        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    rows = df.withColumn("_k", _bucket_key(keys, bucket))
+    tops = rows.groupBy("_k").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last")).select(
+        "_k", F.lag("_last").over(_over_buckets(keys))["v"].alias("_prev"))
+    inside = Window.partitionBy("_k").orderBy(*order)
     rows = rows.withColumn("_lag", F.lag(value).over(inside)).withColumn("_n", F.row_number().over(inside))
-    out = rows.join(tops, on).withColumn(name, F.when(F.col("_n") == 1, F.col("_prev")).otherwise(F.col("_lag")))
+    out = rows.join(tops.hint("merge"), "_k").withColumn(name, F.when(F.col("_n") == 1, F.col("_prev")).otherwise(F.col("_lag")))
     return out.select(*df.columns, name)
 
 

@@ -75,16 +75,14 @@ def explode_documents(messages: DataFrame) -> DataFrame:
         .filter("obj <> 'tmpl'")
         .withColumn("_mid", F.md5(F.concat_ws("|", "url", F.col("ts").cast("string"), "msg")))
     )
-    kind = F.schema_of_variant(try_json("msg"))
-    listed = base.withColumn(
-        "_list",
-        F.when(kind.startswith("OBJECT"), F.concat(F.lit("["), F.col("msg"), F.lit("]")))
-        .when(kind.startswith("ARRAY"), F.col("msg")),
-    ).filter("_list is not null")
-    items = listed.select(
-        "url", "ts", "obj", "sub", "_mid",
-        F.posexplode(F.from_json("_list", "array<variant>")).alias("_pos", "_item"),
-    ).filter(F.schema_of_variant("_item").startswith("OBJECT"))
+    # Unreadable messages become one empty item, which the check for an object drops.
+    listed = base.withColumn("_v", try_json("msg")).withColumn(
+        "_list", F.coalesce(F.try_variant_get("_v", "$", "array<variant>"), F.array("_v")))
+    members = F.try_variant_get("_item", "$", "map<string,variant>")
+    items = (
+        listed.select("url", "ts", "obj", "sub", "_mid", F.posexplode("_list").alias("_pos", "_item"))
+        .withColumn("_members", members).filter("_members is not null")
+    )
 
     def number(p: str) -> Column:
         return F.try_variant_get("_item", p, "bigint")
@@ -98,22 +96,14 @@ def explode_documents(messages: DataFrame) -> DataFrame:
     rows = items.withColumn("id", doc_id)
     # One message may repeat an id: the last occurrence stands.
     rows = latest_by_key(rows, ["_mid", "id"], [F.desc("_pos")])
-    members = F.from_json(F.to_json("_item"), "map<string,variant>")
     kept = F.filter(
-        F.from_json(
-            F.to_json(F.col("_members")["params"]), "array<struct<param:string,value:string,prior_value:string>>"
-        ),
+        F.try_variant_get(F.col("_members")["params"], "$", "array<struct<param:string,value:string,prior_value:string>>"),
         lambda p: p["param"].startswith("wf") & (p["param"] != "wf_id"),
     )
-    folded = F.transform(
-        kept, lambda p: F.create_map(p["param"], F.coalesce(p["value"], p["prior_value"]))
-    )
-    msg = F.to_json(
-        F.transform_values(
-            "_members", lambda k, v: F.when(k == "params", F.parse_json(F.to_json(folded))).otherwise(v)
-        )
-    )
-    return rows.withColumn("_members", members).select("id", "obj", "url", "ts", msg.alias("msg"))
+    folded = F.transform(kept, lambda p: F.create_map(p["param"], F.coalesce(p["value"], p["prior_value"])))
+    rows = rows.withColumn("_params", F.to_variant_object(folded))
+    msg = F.to_json(F.transform_values("_members", lambda k, v: F.when(k == "params", F.col("_params")).otherwise(v)))
+    return rows.select("id", "obj", "url", "ts", msg.alias("msg"))
 
 
 def pair_start_end(journal: DataFrame) -> DataFrame:

@@ -298,7 +298,8 @@ def chk_uniq(df: DataFrame, keys: list[str], from_col: str | None = None, to_col
             F.struct(F.col("t").alias("cd"), F.lit(1).alias("shift"), F.lit(-1).cast("bigint").alias("d")),
         )).alias("s"))
         .select(*keys, "s.cd", "s.shift", "s.d")
-        .join(numbered, "cd")
+        # Built per partition: a moment shared by many rows is split by the skew handling.
+        .join(numbered.hint("shuffle_hash"), "cd")
         .groupBy(*keys, (F.col("pos") + F.col("shift")).alias("pos")).agg(F.sum("d").alias("d"))
     )
     spans = bucketed_running(steps, keys, "pos", "d", F.expr(f"pos div {INDEX_BUCKET}"), "valid", "next_pos")
