@@ -102,7 +102,7 @@ FRAGMENT_CODES = (
     ("query_canceled or statement_timeout", -2),
     ("uniq check error", -4),
     ("ztest error", -5),
-    ("ошибка качества данных", -5),
+    ("Ошибка качества данных", -5),
     ("pxf server error", -8),
 )
 UNHANDLED_CODE = -7
@@ -114,11 +114,12 @@ def result_code(text, unhandled=None) -> Column:
     raw = F.coalesce(col(text), F.lit(""))
     low = F.lower(raw)
     word = F.substring_index(F.concat(low, F.lit(" ")), " ", 1)
-    code = F.when(F.startswith(F.concat(low, F.lit(" ")), F.lit(" ")), 1)
+    code = F.when(raw == "", 1)
     for name, value in LEADING_WORD_CODES:
         code = code.when(word == name, value)
     for part, value in FRAGMENT_CODES:
-        code = code.when(F.instr(low, part) > 0, value)
+        # Fragments in lower case match any case, the others as they are written.
+        code = code.when(F.instr(low if part == part.lower() else raw, part) > 0, value)
     code = code.otherwise(OTHER_CODE)
     doc = try_json(raw)
     out = F.coalesce(

@@ -242,7 +242,7 @@ def pick_loads(active: DataFrame, profile: str, limit: int) -> DataFrame:
 
 
 # Actions a status text may ask for.
-ACTIONS = ("New", "Skipped", "reStarted", "reRunned", "Completed", "Aborted", "SLA", "notFound")
+ACTIONS = ("reRunned", "Aborted", "Completed", "reStarted", "Stopped", "notFound", "New", "Skipped", "SLA", "Started")
 
 
 def _asked(log: Column) -> Column:
@@ -267,7 +267,7 @@ def _older(as_of, seconds) -> Column:
     return plus_seconds("status_dttm", seconds if isinstance(seconds, Column) else F.lit(seconds)) <= as_ts(as_of)
 
 
-def external_action(as_of, grace_min: int = 60, stale_s: int = 86400, run_max_s: int = 86400) -> Column:
+def external_action(as_of, grace_min: int = 30, stale_s: int = 86400, run_max_s: int = 86400) -> Column:
     """Action on a load someone else executes: running is work, so the limits are long."""
     s = F.col("status")
     limit = F.coalesce("exe_timeout_s", F.lit(run_max_s))
@@ -281,7 +281,7 @@ def external_action(as_of, grace_min: int = 60, stale_s: int = 86400, run_max_s:
 EXE_MARGIN_S = 600
 
 
-def own_action(as_of, wait_grace_min: int = 10, lock_stale_s: int = 3600, run_stale_s: int = 21600, default_timeout_s: int = 15900) -> Column:
+def own_action(as_of, wait_grace_min: int = 15, lock_stale_s: int = 18000, run_stale_s: int = 21600, default_timeout_s: int = 15900) -> Column:
     """Action on a load of our own, from its status, log, age and whether a run exists."""
     s, log = F.col("status"), F.coalesce("log", F.lit(""))
     running = F.coalesce("running", F.lit(False))
@@ -296,7 +296,7 @@ def own_action(as_of, wait_grace_min: int = 10, lock_stale_s: int = 3600, run_st
         .otherwise("notFound"))
 
 
-def monitor_action(loads: DataFrame, as_of, new_grace_s: int = 300) -> DataFrame:
+def monitor_action(loads: DataFrame, as_of, new_grace_s: int = 3600) -> DataFrame:
     """Action per load, with overdue skipped loads turned into SLA breaches.
 
     ``loads``: id, status, status_dttm, log, running, external, abort_on_failure, exe_timeout_s,

@@ -105,8 +105,11 @@ def last_completed(log: DataFrame) -> DataFrame:
 
 
 def _needs_retry(as_of) -> Column:
-    """Finished without success or incomplete; or incomplete for half an hour."""
-    finished = F.col("alive").isin("COMPLETED", "ABORTED")
+    """Finished without success or incomplete; or incomplete for half an hour.
+
+    Unknown (NULL) while the load is active or not known and nothing is overdue.
+    """
+    finished = F.nullif(F.col("alive"), F.lit("ACTIVE")).isin("COMPLETED", "ABORTED")
     bad = (F.col("status") != "SUCCESS") | ~F.col("completed")
     late = ~F.col("completed") & (F.col("ts") < as_ts(as_of) - F.expr("interval 30 minutes"))
     return (finished & bad) | late

@@ -434,10 +434,10 @@ def reconcile_counts(meta: DataFrame, target: DataFrame, how: str = "full", with
                      last_id: bool = False, not_empty: bool = False) -> DataFrame:
     """Announced count per (id, name, key) against the rows that arrived."""
     keys = [k for k, on in (("id", with_id), ("name", True), ("key", with_key)) if on]
-    announced = meta
+    announced = meta.filter("type in ('OUT', 'SUM')")
     if last_id:
         newest = meta.groupBy("name").agg(F.max("id").alias("id"))
-        announced = meta.join(newest, ["name", "id"], "left_semi")
+        announced = announced.join(newest, ["name", "id"], "left_semi")
     # The summary row of a package counts itself.
     cnt = F.col("cnt") + F.when(F.col("type") == "SUM", 1).otherwise(0)
     announced = announced.groupBy(*keys).agg(F.sum(cnt).alias("expected"))

@@ -11,6 +11,7 @@ from tidewatch.operators.common import as_date, as_ts, latest_by_key, with_total
 RESULT_COUNTERS = {1: "cnt_ok", 0: "cnt_no_data", -1: "cnt_empty", -2: "cnt_canceled", -3: "cnt_expired", -4: "cnt_uniq",
                    -5: "cnt_ztest", -7: "cnt_ctl_err", -8: "cnt_pxf_err", -9: "cnt_error"}
 RESULT_LABELS = {1: "Ok", 0: "No new", -1: "Empty", -2: "Canceled", -3: "Expire", -4: "Uniq", -5: "Ztest", -7: "CTL error", -8: "PXF error"}
+PARTITION_NAME = "%_1_prt_%"
 STORAGE_NAMES = {"a": "row", "c": "column", "h": "uncompress"}
 
 
@@ -39,6 +40,7 @@ def growth_stats(sizes: DataFrame, skew: DataFrame, as_of, days: int = 7) -> Dat
 
     ``sizes``: tbl, load_date, size, rows, storage. ``skew``: tbl, ts, skew.
     """
+    skew = skew.filter(~F.col("tbl").like(PARTITION_NAME))
     recent = day_range(sizes, "load_date", as_of, -days, 2)
     rec = F.struct("load_date", "size", "rows", "storage")
     g = recent.groupBy("tbl").agg(F.max(rec).alias("n"), F.min(rec).alias("o"))
@@ -57,7 +59,7 @@ def growth_stats(sizes: DataFrame, skew: DataFrame, as_of, days: int = 7) -> Dat
 def _last_samples(skew: DataFrame, as_of) -> DataFrame:
     # Both ends of the period belong to it.
     day = as_date(as_of)
-    recent = skew.filter(F.col("ts").between(F.date_add(day, -30).cast("timestamp"), F.date_add(day, 1).cast("timestamp")))
+    recent = skew.filter(~F.col("tbl").like(PARTITION_NAME) & F.col("ts").between(F.date_add(day, -30).cast("timestamp"), F.date_add(day, 1).cast("timestamp")))
     ratio = F.col("tbl_size") / F.nullif(F.col("data_size").cast("double"), F.lit(0.0))
     return latest_by_key(recent, ["tbl"], [F.desc("ts"), F.desc("tbl_size")]).withColumn("size_ratio", F.round(ratio, 2)).withColumn("storage", storage_name("storage"))
 
@@ -85,7 +87,7 @@ def uncompressed_report(skew: DataFrame, as_of, top: int = 25) -> DataFrame:
 
 def day_summary(log: DataFrame, as_of, keys: list[str] = ["category"], first: int = -1, last: int = 0) -> DataFrame:  # noqa: B006
     """Loads of a day per category with a counter per result code (empty counters are NULL) and a total."""
-    rows = day_range(log.filter("wf is not null"), "beg_ts", as_of, first, last)
+    rows = day_range(log.filter(F.lower("wf").rlike("[a-z0-9]+_")), "beg_ts", as_of, first, last)
     counters = [F.nullif(F.count_if(F.col("res") == code), F.lit(0)).alias(name) for code, name in RESULT_COUNTERS.items()]
     return with_total(rows, keys, [F.count("*").alias("wf_cnt"), F.round(F.sum("duration"), 3).alias("sum_time"), F.round(F.max("duration"), 3).alias("max_dur"), *counters], "All")
 

@@ -12,7 +12,7 @@ ATTEMPT = ["dag_id", "task_id", "run_id", "map_index", "try_number"]
 STARTS = "running"
 
 # Incident names, and the parts of names that look like incidents.
-INCIDENTS = ("stuck in queued", "heartbeat timeout", "state mismatch")
+INCIDENTS = ("stuck in queued reschedule", "stuck in queued tries exceeded", "heartbeat timeout", "state mismatch")
 SIMILAR = r"(?i)stuck|heartbeat|mismatch|zombie"
 
 
@@ -65,11 +65,11 @@ def delivery_failures(log: DataFrame, as_of, hours: int, events) -> DataFrame:
     return g.withColumn("share_pct", share("tasks", "runs"))
 
 
-def unknown_events(log: DataFrame, as_of, hours: int, known) -> DataFrame:
+def unknown_events(log: DataFrame, as_of, hours: int, incidents=INCIDENTS, others=(STARTS,)) -> DataFrame:
     """Names that look like incidents but are on no list - shown only when no known incident occurred."""
     rows = since(log, "dttm", as_of, hours)
-    found = rows.agg(F.count_if(F.col("event").isin(*known)).alias("_n")).filter("_n = 0")
-    similar = rows.filter(F.col("event").rlike(SIMILAR) & ~F.col("event").isin(*known)).groupBy("event").agg(F.count("*").alias("cnt"))
+    found = rows.agg(F.count_if(F.col("event").isin(*incidents)).alias("_n")).filter("_n = 0")
+    similar = rows.filter(F.col("event").rlike(SIMILAR) & ~F.col("event").isin(*incidents, *others)).groupBy("event").agg(F.count("*").alias("cnt"))
     return similar.crossJoin(F.broadcast(found)).drop("_n")
 
 
@@ -185,18 +185,18 @@ def dag_size(dags: DataFrame, definitions: DataFrame, runs: DataFrame, tasks: Da
     return d.withColumn("class", F.when(F.col("size") == 0, "unknown").otherwise(task_class(F.col("size")))).withColumn("alert", F.col("size") > TASK_CLASSES[-1])
 
 
-PERIOD_DAYS = {"year": 365, "quarter": 91, "month": 30, "week": 7, "day": 1}
+# Periods of the change report.
+PERIODS = {"year": "1 year", "quarter": "3 months", "month": "1 month", "week": "7 days", "day": "1 day", "hour": "1 hour"}
 
 
-def change_activity(serialized: DataFrame, as_of) -> DataFrame:
-    """How many definitions changed within each period, within the hour, and right at the last parse.
+def change_activity(serialized: DataFrame, as_of, parse_window_s: int = 0) -> DataFrame:
+    """How many definitions changed within each period, and right at the last parse or shortly before.
 
     ``serialized``: dag_id, last_updated, last_parsed_time.
     """
-    age = seconds_between(as_ts(as_of), "last_updated")
-    return serialized.agg(
-        F.count("*").alias("dags"), *[F.count_if(age <= d * 86400).alias(n) for n, d in PERIOD_DAYS.items()], F.count_if(age <= 3600).alias("hour"),
-        F.count_if(F.col("last_updated") >= F.col("last_parsed_time")).alias("at_parse"))
+    changed = lambda period: F.count_if(F.col("last_updated") > as_ts(as_of) - F.expr(f"interval {period}"))
+    at_parse = F.col("last_updated") >= F.col("last_parsed_time") - F.make_dt_interval(secs=F.lit(parse_window_s))
+    return serialized.agg(F.count("*").alias("dags"), *[changed(p).alias(n) for n, p in PERIODS.items()], F.count_if(at_parse).alias("at_parse"))
 
 
 # --- sessions ---------------------------------------------------------------------------------------

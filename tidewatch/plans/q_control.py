@@ -167,12 +167,12 @@ _MON_AT = "2024-01-10 00:00:00"
 _MON = f"""m AS (SELECT event_id AS k, user_id % 10 AS s, user_id % 4 = 0 AS ext, event_id % 3 = 0 AS run, event_id % 5 = 0 AS ab, CASE WHEN event_id % 6 = 0 THEN 36000 END AS tmo, event_id % 2 = 0 AS ev,
   epoch(TIMESTAMP '{_MON_AT}') - epoch_us(ts) / 1000000.0::DOUBLE AS age, event_id % 7 <> 0 AS known, event_id % 4 AS lg, CASE WHEN event_id % 9 = 0 THEN 7200 ELSE 86400 END AS itv FROM events),
 a AS (SELECT *, CASE WHEN lg = 2 THEN 'Skipped' ELSE 'Aborted' END AS asked, CASE WHEN ab THEN 'Aborted' ELSE 'Completed' END AS failed FROM m),
-x AS (SELECT *, CASE WHEN age < 300 THEN 'New'
-  WHEN ext THEN CASE s WHEN 2 THEN failed WHEN 3 THEN 'Completed' WHEN 4 THEN asked WHEN 7 THEN CASE WHEN known AND age >= 10800 THEN 'reStarted' ELSE 'Skipped' END WHEN 8 THEN CASE WHEN ev THEN 'reStarted' ELSE 'Skipped' END
+x AS (SELECT *, CASE WHEN age < 3600 THEN 'New'
+  WHEN ext THEN CASE s WHEN 2 THEN failed WHEN 3 THEN 'Completed' WHEN 4 THEN asked WHEN 7 THEN CASE WHEN known AND age >= 9000 THEN 'reStarted' ELSE 'Skipped' END WHEN 8 THEN CASE WHEN ev THEN 'reStarted' ELSE 'Skipped' END
     WHEN 6 THEN CASE WHEN age >= coalesce(tmo, 86400) THEN 'reStarted' ELSE 'Skipped' END ELSE CASE WHEN age >= 86400 THEN 'reStarted' ELSE 'Skipped' END END
-  ELSE CASE s WHEN 0 THEN 'reStarted' WHEN 1 THEN 'reRunned' WHEN 2 THEN failed WHEN 3 THEN 'Completed' WHEN 4 THEN asked WHEN 5 THEN CASE WHEN age >= 3600 THEN 'reStarted' ELSE 'Skipped' END
+  ELSE CASE s WHEN 0 THEN 'reStarted' WHEN 1 THEN 'reRunned' WHEN 2 THEN failed WHEN 3 THEN 'Completed' WHEN 4 THEN asked WHEN 5 THEN CASE WHEN age >= 18000 THEN 'reStarted' ELSE 'Skipped' END
     WHEN 6 THEN CASE WHEN lg = 0 THEN 'Skipped' WHEN lg <> 1 THEN 'reRunned' WHEN age >= greatest(21600, coalesce(tmo, 15900) + 600) THEN 'reRunned' ELSE 'Skipped' END
-    WHEN 7 THEN CASE WHEN NOT run AND known AND age >= 7800 THEN 'reStarted' ELSE 'Skipped' END WHEN 8 THEN CASE WHEN NOT run AND ev THEN 'reStarted' ELSE 'Skipped' END ELSE 'notFound' END END AS act FROM a),
+    WHEN 7 THEN CASE WHEN NOT run AND known AND age >= 8100 THEN 'reStarted' ELSE 'Skipped' END WHEN 8 THEN CASE WHEN NOT run AND ev THEN 'reStarted' ELSE 'Skipped' END ELSE 'notFound' END END AS act FROM a),
 y AS (SELECT k, ext, CASE WHEN act = 'Skipped' AND age >= itv THEN 'SLA' ELSE act END AS action FROM x)"""
 
 

@@ -88,34 +88,33 @@ def _loadings(t):
                     F.lit("2001-08-01 00:00:00").cast("timestamp").alias("status_dttm"), F.lit(True).alias("auto"), F.lit("x").alias("status_log"))
 
 
-_RETRY_SQL = """CASE WHEN id % 4 IN (1, 3) AND (id % 3 = 0 OR NOT completed) THEN true
-  WHEN NOT completed AND ts < TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 30 MINUTE THEN true
-  WHEN id % 4 = 2 AND (completed IS NULL) THEN NULL ELSE false END"""
+_ALIVE = "CASE id % 4 WHEN 2 THEN NULL WHEN 0 THEN 'ACTIVE' ELSE 'COMPLETED' END"
+_STATUS = "CASE WHEN id % 4 = 2 THEN NULL WHEN id % 3 = 0 THEN 'ERROR' ELSE 'SUCCESS' END"
+_RETRY_SQL = f"""(nullif({_ALIVE}, 'ACTIVE') IN ('COMPLETED', 'ABORTED') AND ({_STATUS} <> 'SUCCESS' OR NOT completed)) OR (NOT completed AND ts < TIMESTAMP '2001-08-01 23:30:00')"""
 
 
 @query("exchange_log_ids", f"""WITH {_LOG_SQL}, g AS (SELECT wf_name, id, bool_and(completed) AS completed, max(ts) AS ts, count(*) AS keys_cnt, CAST(sum(cnt) AS BIGINT) AS cnt,
   array_to_string(list(wf_key ORDER BY wf_key DESC), ',') AS wf_keys FROM lg GROUP BY ALL)
-SELECT wf_name, id, completed, ts::VARCHAR AS ts, keys_cnt, cnt, wf_keys, coalesce({_RETRY_SQL}, false) AS retry FROM g""")
+SELECT wf_name, id, completed, ts::VARCHAR AS ts, keys_cnt, cnt, wf_keys, {_RETRY_SQL} AS retry FROM g""")
 def _(t):
     g = X.exchange_log_ids(X.exchange_log(_journal(t)), _loadings(t), I.ORDERS_AS_OF)
-    return g.select("wf_name", "id", "completed", "ts", "keys_cnt", "cnt", F.array_join("wf_keys", ",").alias("wf_keys"), F.coalesce("retry", F.lit(False)).alias("retry"))
+    return g.select("wf_name", "id", "completed", "ts", "keys_cnt", "cnt", F.array_join("wf_keys", ",").alias("wf_keys"), "retry")
 
 
 _PACKAGES_SQL = f"r AS (SELECT *, {_RETRY_SQL} AS retry FROM lg QUALIFY row_number() OVER (PARTITION BY wf_name, id, wf_key ORDER BY ts DESC, type) = 1)"
 
 
 @query("exchange_log_keys", f"""WITH {_LOG_SQL}, {_PACKAGES_SQL}, i AS (SELECT wf_name, wf_key, count(*) AS ids_cnt, min(id) AS first_id FROM r GROUP BY ALL)
-SELECT wf_name, wf_key, completed, coalesce(retry, false) AS retry, ts::VARCHAR AS last_ts, id AS last_id, ids_cnt, first_id, cnt FROM r JOIN i USING (wf_name, wf_key)
+SELECT wf_name, wf_key, completed, retry, ts::VARCHAR AS last_ts, id AS last_id, ids_cnt, first_id, cnt FROM r JOIN i USING (wf_name, wf_key) WHERE completed OR retry IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY wf_name, wf_key ORDER BY id DESC) = 1""")
 def _(t):
     k = X.exchange_log_keys(X.exchange_log(_journal(t)), _loadings(t), I.ORDERS_AS_OF)
-    return k.select("wf_name", "wf_key", "completed", F.coalesce("retry", F.lit(False)).alias("retry"), "last_ts", "last_id", "ids_cnt", "first_id", "cnt")
+    return k.select("wf_name", "wf_key", "completed", "retry", "last_ts", "last_id", "ids_cnt", "first_id", "cnt")
 
 
-@query("exchange_key_packages", f"WITH {_LOG_SQL}, {_PACKAGES_SQL} SELECT wf_name, wf_key, id, completed, coalesce(retry, false) AS retry FROM r")
+@query("exchange_key_packages", f"WITH {_LOG_SQL}, {_PACKAGES_SQL} SELECT wf_name, wf_key, id, completed, retry FROM r")
 def _(t):
-    k = X.exchange_key_packages(X.exchange_log(_journal(t)), _loadings(t), I.ORDERS_AS_OF)
-    return k.withColumn("retry", F.coalesce("retry", F.lit(False)))
+    return X.exchange_key_packages(X.exchange_log(_journal(t)), _loadings(t), I.ORDERS_AS_OF)
 
 
 # --- received envelope: events and parts as JSON documents ----------------------------------------

@@ -215,7 +215,7 @@ CROSS JOIN (SELECT max(o_orderkey) AS top FROM orders)""")
 def _(t):
     df = t.orders.select("o_orderkey", F.col("o_orderdate").alias("date"), F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.array("o_orderstatus").alias("tags"))
     comments = t.orders.agg(F.max("o_orderkey").cast("string").alias("description")).withColumn("column_name", F.explode(F.array(*[F.lit(c) for c in ("o_orderkey", "date_", "price", "tags")])))
-    return W.build_meta(df, comments).select("position", "column_name", "source_type", "length", "precision", "scale", F.col("description").cast("bigint").alias("top"))
+    return W.build_meta(df, comments, frozenset({"date"})).select("position", "column_name", "source_type", "length", "precision", "scale", F.col("description").cast("bigint").alias("top"))
 
 
 @query("source_type_meta", """SELECT p_partkey AS column_name, ['TIMESTAMP', 'BIGINT', 'NUMERIC', 'STRING', 'STRING', 'INT'][p_partkey % 6 + 1] AS source_type, p_partkey % 6 NOT IN (0, 2) AS notnull, CASE p_partkey % 6 WHEN 2 THEN 18 WHEN 3 THEN p_size END::BIGINT AS length,

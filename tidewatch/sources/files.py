@@ -32,7 +32,7 @@ def read_copy_csv(spark: SparkSession, path: str, schema, sep: str = ",", quote:
 
 
 # File name endings and what they hold.
-FORMATS = {"csv": "csv", "txt": "csv", "tsv": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl"}
+FORMATS = {"csv": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl"}
 
 
 def detect_format(name) -> Column:

@@ -124,25 +124,25 @@ def package_summary(tickets: DataFrame, base: str, stamp: str) -> DataFrame:
     return tickets.select(F.lit(f"{base}__{stamp}.tkt".lower()).alias("summary"), F.col("archive").alias("line"))
 
 
-# Target types of exported columns, and words that get an underscore.
+# Target types of exported columns.
 META_TYPES = {"timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "tinyint": "INT", "smallint": "INT", "int": "INT", "bigint": "BIGINT",
               "float": "FLOAT", "double": "DOUBLE", "decimal": "NUMERIC", "string": "STRING", "array": "STRING", "boolean": "STRING"}
 SOURCE_TYPES = {"DateTime": "TIMESTAMP", "DateTime64": "TIMESTAMP", "Date": "DATE", "Int8": "INT", "Int16": "INT", "Int32": "INT", "UInt8": "INT", "UInt16": "INT", "UInt32": "INT",
                 "Int64": "BIGINT", "UInt64": "BIGINT", "Float32": "FLOAT", "Float64": "DOUBLE", "Decimal": "NUMERIC", "UUID": "STRING", "String": "STRING", "Array": "STRING"}
-RESERVED = {"date", "timestamp", "user", "order", "group", "table", "from", "to", "select", "where", "partition", "row", "values", "interval"}
 
 
-def safe_name(name: str) -> str:
-    return name + "_" if name.lower() in RESERVED else name
+def safe_name(name: str, reserved: frozenset[str] = frozenset()) -> str:
+    """Reserved words, a setting of the receiver, get an underscore."""
+    return name + "_" if name.lower() in reserved else name
 
 
-def build_meta(df: DataFrame, comments: DataFrame | None = None) -> DataFrame:
+def build_meta(df: DataFrame, comments: DataFrame | None = None, reserved: frozenset[str] = frozenset()) -> DataFrame:
     """Column metadata of a query result; one row per column, with descriptions joined in."""
     rows = []
     for i, f in enumerate(df.schema.fields):
         base = f.dataType.typeName().replace("integer", "int").replace("long", "bigint").replace("short", "smallint").replace("byte", "tinyint")
         dec = isinstance(f.dataType, T.DecimalType)
-        rows.append((i + 1, safe_name(f.name), META_TYPES.get(base, "STRING"), f.dataType.precision if dec else None, f.dataType.precision if dec else None,
+        rows.append((i + 1, safe_name(f.name, reserved), META_TYPES.get(base, "STRING"), f.dataType.precision if dec else None, f.dataType.precision if dec else None,
                      f.dataType.scale if dec else None, not f.nullable))
     meta = df.sparkSession.createDataFrame(rows, "position int, column_name string, source_type string, length int, precision int, scale int, notnull boolean")
     if comments is None:
