@@ -133,12 +133,12 @@ def _(t):
 
 def entity_journal(t):
     """Nations as entities below regions, two versions each."""
-    n = t.nation.crossJoin(t.region.filter("r_regionkey < 2"))
+    n = t.nation.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
     return n.select(
-        (F.lit(I.ORDERS_AS_OF).cast("timestamp") + F.make_interval(days=F.col("r_regionkey"))).alias("ts"),
+        (F.lit(I.ORDERS_AS_OF).cast("timestamp") + F.make_interval(days=F.col("v"))).alias("ts"),
         F.col("n_nationkey").cast("bigint").alias("id"), F.lit("entity").alias("obj"), F.lit("/entity").alias("url"),
         F.to_json(F.struct(
-            F.concat("n_name", F.lit("_"), F.col("r_regionkey").cast("string")).alias("name"),
+            F.concat("n_name", F.lit("_"), F.col("v").cast("string")).alias("name"),
             F.concat(F.lit("/"), "n_name").alias("path"), F.lit("dfs").alias("storage"), F.col("n_regionkey").alias("parentId"),
         )).alias("msg"),
     )
