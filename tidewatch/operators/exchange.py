@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidewatch.functions.scalars import best_effort_timestamp, col
+from tidewatch.functions.scalars import best_effort_timestamp
 from tidewatch.operators.common import as_ts, latest_by_key
 
 LOG_NAME = "_exchange_log"

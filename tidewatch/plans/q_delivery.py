@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tidewatch.operators import delivery as D
-from tidewatch.plans import inputs as I
 from tidewatch.plans.registry import query
 
 AS_OF = "2001-08-01 12:00:00"
