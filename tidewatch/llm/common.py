@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.session import scratch_dir
 
@@ -43,3 +43,9 @@ def pieces(batches: Iterator, size: int) -> Iterator:
     for batch in batches:
         for start in range(0, batch.num_rows, size):
             yield batch.slice(start, size)
+
+
+def small(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """Mark a narrow side of a join for broadcast if it has at most `most_rows` rows; otherwise leave the join to the planner."""
+    df = stage(df, "side")
+    return F.broadcast(df) if df.count() <= most_rows else df

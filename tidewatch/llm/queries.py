@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.llm.common import table
 
@@ -27,3 +27,49 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatch.llm.ngram_join import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op9_line_dedup", r"""
+WITH l AS (
+  SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key0
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+k AS (SELECT *, translate(key0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.doc_id, k.i, k.line, r.key IS NOT NULL AND r.keeper <> k.doc_id AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatch.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewatch.llm.packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatch.llm.quality_model import quality
+
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels").where("quality = 1").select("doc_id")).drop("text_hash")
+
+
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatch.llm.language_id import fit, identify
+
+    docs = table(spark, folder, "documents")
+    found = identify(docs, fit(docs.where(~held_out()).select("doc_id", "text", "lang")))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
