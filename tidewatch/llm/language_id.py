@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewatch.llm.common import pieces
 
@@ -140,25 +140,26 @@ def fit(labelled: DataFrame, rows_per_language: int = 4000, most_languages: int
     return model
 
 
-def identify(docs: DataFrame, model: Decoder | None, least_lead: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, lang_pred, score, ambiguous) of every row, from the whole text and nothing else.
+def identify(docs: DataFrame, model: Decoder | None, least_lead: float = 0.2, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, ambiguous, then the columns in `carry`) of every row, from the whole text and nothing else.
 
     `ambiguous`: the score leads that of the next language by less than `least_lead`. Texts without a letter, null texts and
     an empty model give `und` with score 0. The model has a fixed size a language and goes to every task. Repeated rows
-    come back each; `text_hash` tells rows with one id apart. Extra columns are ignored.
+    come back each. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    kept = [docs.schema[c] for c in carry]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), *carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = shared.value
         for b in pieces(batches, 200):
-            counts = features(b.column("text").to_pylist())
+            counts = features(b.column("_text").to_pylist())
             some = counts.sum(1) > 0
             names, scores, unsure = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
             if decoder is not None and some.any():
                 best, score, second = decoder.decode(counts[some])
                 names[some], scores[some], unsure[some] = np.array(decoder.names, object)[best], score, score - second < least_lead
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(names, pa.string()), pa.array(scores), pa.array(unsure)], names=["doc_id", "text_hash", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(unsure), *(b.column(c) for c in carry)], names=["doc_id", "lang_pred", "score", "ambiguous", *carry])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(run, T.StructType([*T.StructType.fromDDL("doc_id long, lang_pred string, score double, ambiguous boolean").fields, *kept]))

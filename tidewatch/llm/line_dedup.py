@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +146,12 @@ def _without(text: str | None, drop: np.ndarray, lines: list[str]) -> tuple[str,
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)
 
 
+def _out(b: pa.RecordBatch, rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    carried = [c for c in b.schema.names if c.startswith("carry_")]
+    text, lines, dropped = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), *(b.column(c) for c in carried)], names=["doc_id", "text", "n_lines", "n_dropped", *carried])
+
+
 def _probe_all(parts, shards: int, min_chars: int):
     """Documents against the whole index, held by every task."""
 
@@ -166,7 +171,7 @@ def _probe_all(parts, shards: int, min_chars: int):
                     drop[mine] = (count > 0) & (keeper != owner[mine])
             ends = np.cumsum([0, *(len(x[1]) for x in found)])
             rows = [_without(text, at[drop[ends[i] : ends[i + 1]]] if docs[i] is not None else at[:0], lines) for i, ((lines, at, _), text) in enumerate(zip(found, b.column("text").to_pylist(), strict=True))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
+            yield _out(b, rows)
 
     return run
 
@@ -204,11 +209,11 @@ def _probe_shard(wanted: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 def _drop_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, 1000):
         rows = [_without(text, np.array(sorted({i for part in gone or () for i in part}), np.int64), (text or "").split("\n")) for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
+        yield _out(b, rows)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, share_mb: float = 32, docs_per_probe: int = 20_000) -> DataFrame:
-    """Drop lines repeated across documents: (doc_id, text, n_lines, n_dropped), a row per input row.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, share_mb: float = 32, docs_per_probe: int = 20_000, carry: list[str] = ()) -> DataFrame:
+    """Drop lines repeated across documents: (doc_id, text, n_lines, n_dropped, then the columns in `carry`), a row per input row.
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. A key of at least `min_chars` code points
     found in at least `min_docs` rows stays only in the largest id holding it. Documents never join lines: they probe
@@ -217,19 +222,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     to one task, and only the numbers of dropped lines come back. Both give the same rows.
 
     Null or empty text is one empty line. Each row counts as a document, so rows repeating an id keep that id's
-    lines. Rows with a null id count nowhere and keep all lines. Extra columns are ignored.
+    lines. Rows with a null id count nowhere and keep all lines. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    index, shards = line_index(docs, min_chars, min_docs)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    own = "".join(f", carry_{i} {docs.schema[f'carry_{i}'].dataType.simpleString()}" for i in range(len(carry)))
+    schema, back = f"doc_id long, text string, n_lines long, n_dropped long{own}", {f"carry_{i}": c for i, c in enumerate(carry)}
+    index, shards = line_index(docs.select("doc_id", "text"), min_chars, min_docs)
     size = sum((F.length(c) for c in ("sizes", "bits", "prints", "counts", "keepers")), F.lit(0))
     if (index.agg(F.sum(size)).first()[0] or 0) <= share_mb * 1e6:
         parts = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in index.collect()])
-        return docs.mapInArrow(_probe_all(parts, shards, min_chars), "doc_id long, text string, n_lines long, n_dropped long")
+        return docs.mapInArrow(_probe_all(parts, shards, min_chars), schema).withColumnsRenamed(back)
     versions = docs.withColumn("version", F.xxhash64("text"))
     salts = max(1, -(-docs.count() // docs_per_probe))
-    wanted = versions.mapInArrow(_requests(shards, min_chars), "shard long, doc_id long, version long, keys binary, at binary").withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), F.lit(salts)))
+    wanted = versions.select("doc_id", "text", "version").mapInArrow(_requests(shards, min_chars), "shard long, doc_id long, version long, keys binary, at binary").withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), F.lit(salts)))
     spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     gone = wanted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(_probe_shard, "doc_id long, version long, gone array<long>")
     gone = gone.groupBy("doc_id", "version").agg(F.collect_list("gone").alias("gone"))
-    joined = versions.join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_drop_listed, "doc_id long, text string, n_lines long, n_dropped long")
+    joined = versions.join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "gone", *back)
+    return joined.mapInArrow(_drop_listed, schema).withColumnsRenamed(back)

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import WORD_ODD, ascii_words, mix, stage
+from tidewatch.llm.common import WORD_ODD, ascii_words, mix, pieces, small, stage
 from tidewatch.llm.graph import components
 
 SHINGLE = 5
@@ -37,6 +38,22 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes:
+    """A parity sketch of two to four bits per token; sketches of neighbouring bands are compared by folding the longer one."""
+    bits = max(64, 1 << (len(tokens).bit_length() + 1))
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def most_different(n: int, partner: int) -> int:
     """Largest symmetric difference of sets of these sizes with Jaccard of at least 3/4: (n + partner) / 7."""
     return (n + partner) // 7
@@ -78,19 +95,20 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), *((f"s{i}", pa.int64()) for i in range(SKETCH_WORDS))])
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), *((f"s{i}", pa.int64()) for i in range(SKETCH_WORDS)), ("wide", pa.binary())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = np.zeros((b.num_rows, 3 + SKETCH_WORDS), np.int64)
+        rows, wide = np.zeros((b.num_rows, 3 + SKETCH_WORDS), np.int64), []
         for i, text in enumerate(b.column("text").to_pylist()):
             t = shingle_hashes(text)
             rows[i, 0] = len(t)
             rows[i, 1] = np.add.reduce(mix(t, 4)).view(np.int64)
             rows[i, 2] = np.bitwise_xor.reduce(mix(t, 5)).view(np.int64) if len(t) else 0
             rows[i, 3:] = parity_sketch(t)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(rows[:, j]) for j in range(rows.shape[1]))], schema=_DIGEST)
+            wide.append(wide_sketch(t))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(rows[:, j]) for j in range(rows.shape[1])), pa.array(wide, pa.binary())], schema=_DIGEST)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,17 +149,36 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(first[keep]), pa.array(doc[keep])], names=["sig", "a", "b"])
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose wide sketches allow a Jaccard of 3/4."""
+    for b in batches:
+        rows = zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True)
+        keep = [sketch_distance(x, y) <= most_different(m, n) for m, n, x, y in rows]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=1)
+    for b in pieces(batches, 1000):
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple = (None, None)
-    for b in batches:
+    unpack = zstandard.ZstdDecompressor()
+
+    def tokens(packed: bytes) -> np.ndarray:
+        return shingle_hashes(unpack.decompress(packed).decode("utf-8", "surrogatepass"))
+
+    for b in pieces(batches, 1000):
         left, right, keep = b.column("a").to_pylist(), b.column("b").to_pylist(), []
         for a, x, y in zip(left, b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
             if last[0] != a:
-                last = (a, shingle_hashes(x))
-            s, t = last[1], shingle_hashes(y)
+                last = (a, tokens(x))
+            s, t = last[1], tokens(y)
             both = len(np.intersect1d(s, t, assume_unique=True))
             keep.append(100 * both >= 75 * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _close(a: str, b: str):
@@ -167,13 +204,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")).union(docs.where("doc_id is null"))
         docs = stage(docs, "shingle-documents")
-    digest = stage(docs.mapInArrow(_digests, ", ".join(f"{f.name} long" for f in _DIGEST)), "shingle-digests")
+    digest = stage(docs.mapInArrow(_digests, ", ".join(f"{f.name} {'binary' if f.name == 'wide' else 'long'}" for f in _DIGEST)), "shingle-digests")
     known = digest.where("n > 0 and doc_id is not null")
     classes = stage(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "shingle-classes")
     shared = classes.where("last <> rep")
     member = known.join(shared, ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep")
     member = stage(member, "shingle-copies")
-    sketches = known.join(member, "doc_id", "left_anti").drop("h1", "h2")
+    known = known.drop("h1", "h2").join(member, "doc_id", "left_anti")
+    sketches = known.drop("wide")
 
     keyed = docs.mapInArrow(_keys, "sig long, doc_id long").repartition("sig").sortWithinPartitions("sig", "doc_id")
     runs = stage(keyed.mapInArrow(_runs, "sig long, a long, b long"), "shingle-runs")
@@ -188,10 +226,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distance = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
     candidates = stage(bounded.select("a", "b", distance.alias("distance")), "shingle-candidates")
 
+    wide = known.select("doc_id", "n", "wide")
+
     def verified(wanted: DataFrame) -> DataFrame:
-        ids = wanted.select(F.col("a").alias("doc_id")).union(wanted.select(F.col("b").alias("doc_id"))).distinct()
-        texts = docs.join(ids, "doc_id", "left_semi")
-        both = wanted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        """Pairs (a, b) that link: by wide sketch first, then by the whole texts, which travel compressed and only for documents still in a pair."""
+        left, right = wide.toDF("a", "na", "wa"), wide.toDF("b", "nb", "wb")
+        near = wanted.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_near, "a long, b long")
+        near = stage(near, "shingle-near")
+        ids = small(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct())
+        texts = stage(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_compressed, "doc_id long, packed binary"), "shingle-texts")
+        both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
     def labelled(df: DataFrame, column: str, label: str, comp: DataFrame) -> DataFrame:

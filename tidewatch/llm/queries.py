@@ -73,3 +73,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = identify(docs, fit(docs.where(~held_out()).select("doc_id", "text", "lang")))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op10_bpe_round_trip")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewatch.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = decode(encode(table(spark, folder, "documents"), path), path)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
