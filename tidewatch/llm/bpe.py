@@ -20,7 +20,7 @@ from tidewatch.llm.tokens import byte_alphabet
 
 END = ""  # stands for the end-of-word suffix inside the matcher
 LAST = 1 << 60
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 
 
 class Merges:

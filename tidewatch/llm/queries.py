@@ -85,3 +85,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     out = decode(encode(table(spark, folder, "documents"), path), path)
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_epsilon_grid_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatch.llm.vector_join import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
