@@ -92,3 +92,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatch.llm.vector_join import near_vectors
 
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op8_learned_partitions")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatch.llm.ann import search
+
+    return search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
