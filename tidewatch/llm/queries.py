@@ -99,3 +99,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatch.llm.ann import search
 
     return search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op6_site_template_removal")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatch.llm.html_text import main_text
+
+    return main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
