@@ -106,3 +106,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatch.llm.html_text import main_text
 
     return main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op4_chat_role_repair")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatch.llm.chat import repair_roles
+
+    return repair_roles(table(spark, folder, "conversations")).withColumn("inserted", F.array_join("inserted", ","))
