@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,6 +40,7 @@ class Page:
         self.recurring, self.hashes, self.events = recurring, set(), []
         self.spans: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
         self.stack: list[list] = []  # tag, names, first event, parts of the hash, whether it is left out, whether it has text
+        self.open: Counter[str] = Counter()
         self.inside = 0  # open article and main elements
         self._read(html or "")
 
@@ -95,10 +97,11 @@ class Page:
                 out |= name == "hidden" or value.lower() == "true"
         out |= tag == "header" and not self.inside
         self.inside += tag in self.spans
+        self.open[tag] += 1
         self.stack.append([tag, names, len(self.events), [], out, False])
 
     def _end(self, tag: str) -> None:
-        if any(e[0] == tag for e in reversed(self.stack)):
+        if self.open[tag]:
             while self._close() != tag:
                 pass
 
@@ -114,6 +117,7 @@ class Page:
     def _close(self) -> str:
         tag, names, first, parts, out, has_text = self.stack.pop()
         self.inside -= tag in self.spans
+        self.open[tag] -= 1
         h = xxhash.xxh3_64_intdigest("\x00".join((tag, names, *parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
         if self.stack:
             self.stack[-1][3].append(f"\x01{h}")
