@@ -27,6 +27,8 @@ def test_sets_of_three_quarters_share_a_key(n, seed):
     both = len(np.intersect1d(a, b))
     if len(b) and 4 * both >= 3 * (len(a) + len(b) - both):
         assert set(ngram_join.signatures(a)) & set(ngram_join.signatures(b))
+        common = np.unique(np.concatenate((a[:: 1 + seed % 3], b[: n // 2])))
+        assert set(ngram_join.signatures(a, common)) & set(ngram_join.signatures(b, common))
         differ = len(a) + len(b) - 2 * both
         assert ngram_join.sketch_distance(ngram_join.wide_sketch(a), ngram_join.wide_sketch(b)) <= differ <= ngram_join.most_different(len(a), len(b))
         assert np.bitwise_count((ngram_join.parity_sketch(a) ^ ngram_join.parity_sketch(b)).view(np.uint64)).sum() <= differ

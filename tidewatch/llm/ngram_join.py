@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from tidewatch.llm.graph import components
 SHINGLE = 5
 SKETCH_WORDS = 8  # 512 bits
 TOKENS_PER_PART = 2.2
+STRETCH = 2000  # texts
+COMMON_SHARE = 0.0005  # a token in this share of all texts counts as common; so there are at most (mean set size / share) of them
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -59,14 +61,19 @@ def most_different(n: int, partner: int) -> int:
     return (n + partner) // 7
 
 
-def signatures(tokens: np.ndarray) -> np.ndarray:
+def _least(keys: np.ndarray, n: int) -> np.ndarray:
+    return np.partition(keys, n - 1)[:n] if len(keys) > n else keys
+
+
+def signatures(tokens: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
     """Pigeonhole keys of one set.
 
     Sizes fall into bands [2^k, 2^(k+1)). A band cuts the parity sketch into parts; a part is kept as the XOR of the
     64-bit hashes of its tokens, so parts are equal exactly where the token parities are (but for chance, which
-    verification removes). Sets that differ in d tokens differ in at most d parts: with all parts in one global order
-    (filled parts by hash, then empty ones), the first d + 1 of two such sets share one. A set that may have a partner
-    in the next band is keyed there too.
+    verification removes). Sets that differ in d tokens differ in at most d parts: with all parts in one global order,
+    the first d + 1 of two such sets share one. The order is by hash, but parts made of `common` tokens only (sorted
+    hashes; any set of them is right) come after the others and empty parts last, so that passages shared by many
+    texts rarely make a key. A set that may have a partner in the next band is keyed there too.
     """
     n = len(tokens)
     if n == 0:
@@ -76,6 +83,9 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
     plans = [(band, most_different(n, min(largest, 2 ** (band + 1) - 1)))]
     if largest >= 2 ** (band + 1):
         plans.append((band + 1, most_different(n, largest)))
+    known = np.zeros(n, bool)
+    if common is not None and len(common):
+        known = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
     out = []
     for k, d in plans:
         parts = max(1, round(2 ** (k + 1) / TOKENS_PER_PART))
@@ -86,9 +96,9 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
         words = np.bitwise_xor.reduceat(mix(tokens[order], 1), first)
         place = own[first] * np.uint64(64) + np.uint64(k)
         keys = mix(words ^ mix(place, 2))
-        if len(keys) > d + 1:
-            keys = np.partition(keys, d)[: d + 1]
-        elif len(keys) < d + 1:
+        late = np.logical_and.reduceat(known[order], first)
+        keys = np.concatenate((_least(keys[~late], d + 1), _least(keys[late], d + 1)))[: d + 1]
+        if len(keys) < d + 1:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), own[first])[: d + 1 - len(keys)]
             keys = np.concatenate((keys, mix(empty * np.uint64(64) + np.uint64(k), 3)))
         out.append(keys)
@@ -99,8 +109,9 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64(
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows, wide = np.zeros((b.num_rows, 3 + SKETCH_WORDS), np.int64), []
+    """A row per text; and for each token found in many texts of a stretch, a row with n = -1, the token and that number."""
+    for b in pieces(batches, STRETCH):
+        rows, wide, tokens = np.zeros((b.num_rows, 3 + SKETCH_WORDS), np.int64), [], []
         for i, text in enumerate(b.column("text").to_pylist()):
             t = shingle_hashes(text)
             rows[i, 0] = len(t)
@@ -108,10 +119,23 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows[i, 2] = np.bitwise_xor.reduce(mix(t, 5)).view(np.int64) if len(t) else 0
             rows[i, 3:] = parity_sketch(t)
             wide.append(wide_sketch(t))
+            tokens.append(t)
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(rows[:, j]) for j in range(rows.shape[1])), pa.array(wide, pa.binary())], schema=_DIGEST)
+        token, count = np.unique(np.concatenate(tokens), return_counts=True) if tokens else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        often = count >= max(4, b.num_rows * COMMON_SHARE * 4)
+        found, n = token[often].view(np.int64), int(often.sum())
+        zero, less = pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, -1, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), less, pa.array(found), pa.array(count[often].astype(np.int64)), *([zero] * SKETCH_WORDS), pa.nulls(n, pa.binary())], schema=_DIGEST)
+
+
+def _keys(common) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _keyed(batches, np.sort(np.array(common.value, np.int64).view(np.uint64)))
+
+    return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(sig, doc_id); equal sets inside a task are keyed once, since exact copies are classed by their digest."""
     schema, seen = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())]), set()
     for b in batches:
@@ -123,7 +147,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = xxhash.xxh3_128_digest(t.tobytes())
             if len(t) and key not in seen:
                 seen.add(key)
-                sigs.append(signatures(t))
+                sigs.append(signatures(t, common))
                 ids.append(doc)
                 lengths.append(len(sigs[-1]))
             if len(ids) >= 500:
@@ -192,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Groups of texts linked by 5-word-shingle Jaccard >= 0.75: (doc_id, n_shingles, component_id), a row per input row.
 
     Exact copies of a set are one class, represented by the smallest id. Keys of the classes meet in runs; each run
-    first proposes (first member, other member) only. Of a member's proposals the closest by sketch is verified, then
+    first proposes (first member, other member) only. Tokens in many texts are counted first, so that keys avoid them. Of a member's proposals the closest by sketch is verified, then
     those that would join two components, then - for runs that still hold several components - the remaining
     pairs that pass the size and sketch bounds. So no link that could change a component is left untested, while pairs inside
     a component are never listed. Verification compares the whole shingle sets.
@@ -205,15 +229,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")).union(docs.where("doc_id is null"))
         docs = stage(docs, "shingle-documents")
     digest = stage(docs.mapInArrow(_digests, ", ".join(f"{f.name} {'binary' if f.name == 'wide' else 'long'}" for f in _DIGEST)), "shingle-digests")
+    counted = digest.where("n = -1").groupBy("h1").agg(F.sum("h2").alias("texts"))
+    digest = digest.where("n >= 0")
+    common = counted.where(F.col("texts") >= max(8, COMMON_SHARE * digest.count())).select("h1")
+    shared = docs.sparkSession.sparkContext.broadcast(common.toPandas()["h1"].to_numpy(np.int64))
     known = digest.where("n > 0 and doc_id is not null")
     classes = stage(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "shingle-classes")
-    shared = classes.where("last <> rep")
-    member = known.join(shared, ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep")
+    member = known.join(classes.where("last <> rep"), ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep")
     member = stage(member, "shingle-copies")
     known = known.drop("h1", "h2").join(member, "doc_id", "left_anti")
     sketches = known.drop("wide")
 
-    keyed = docs.mapInArrow(_keys, "sig long, doc_id long").repartition("sig").sortWithinPartitions("sig", "doc_id")
+    keyed = docs.mapInArrow(_keys(shared), "sig long, doc_id long").repartition("sig").sortWithinPartitions("sig", "doc_id")
     runs = stage(keyed.mapInArrow(_runs, "sig long, a long, b long"), "shingle-runs")
 
     def representative(df: DataFrame, column: str) -> DataFrame:
