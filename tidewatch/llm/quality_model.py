@@ -91,19 +91,31 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g)], names=["block", "g"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block as compressed Arrow streams of some hundred rows, to keep the shuffle small."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    for b in pieces(batches, 250):
+        blocks = b.column("block").to_numpy()
+        names, packed = [], []
+        for block in np.unique(blocks):
+            own, sink = b.filter(pa.array(blocks == block)).drop_columns(["block"]), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                out.write_batch(own)
+            names.append(block)
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], names=["block", "packed"])
+
+
 def _score(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     known = known.sort_values("g")
     g, logp = known["g"].to_numpy(np.int64), known["logp"].to_numpy()
     out = []
-    for text in docs["text"]:
-        if text:
-            own = gram_codes(text).view(np.int64)
-            at = np.searchsorted(g, own)
-            out.append((float(np.exp(-logp[at].mean())), len(own)))
-        else:
-            out.append((None, 0))
-    scored = pd.DataFrame(out, columns=["perplexity", "n"])
-    return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "lang": docs["lang"].to_numpy(), "perplexity": scored["perplexity"].to_numpy(float), "text_hash": docs["text_hash"].to_numpy()})
+    for packed in docs["packed"]:
+        rows = pa.ipc.open_stream(packed).read_all()
+        for doc, lang, text, text_hash in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "lang", "text", "text_hash")), strict=True):
+            perplexity = float(np.exp(-logp[np.searchsorted(g, gram_codes(text).view(np.int64))].mean())) if text else None
+            out.append((doc, lang, perplexity, text_hash))
+    return pd.DataFrame(out, columns=["doc_id", "lang", "perplexity", "text_hash"]).astype({"doc_id": "Int64", "perplexity": "Float64"})
 
 
 def with_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -129,7 +141,7 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
     wanted = stage(docs.select("block", "text").mapInArrow(_wanted, "block long, g long").distinct(), "quality-grams")
     known = stage(log_probabilities(wanted.select("g").distinct(), model), "quality-logp")
     answers = wanted.join(known, "g").select("block", "g", "logp")
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, "doc_id long, lang string, perplexity double, text_hash long")
+    return docs.mapInArrow(_packed, "block long, packed binary").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, "doc_id long, lang string, perplexity double, text_hash long")
 
 
 def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, margin: float = 1.02, least: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
