@@ -245,6 +245,37 @@ def test_fingerprint_sees_nulls_and_ignores_order(spark):
     assert len({fp([("1", None)]), fp([("1", "")]), fp([("1", "-")]), fp([("1", None), ("1", None)]), fp([("1|1:", "x")]), fp([("1", "|1:x")])}) == 6
 
 
+def test_json_diff_by_kind(spark):
+    pairs = [
+        ('{"a":{"b":[1,{"c":2}]}}', '{"a":{"b":[1,{"c":3,"d":null}]}}'), ('[1,2]', '[1,2,3]'), ('{"a":1}', '{"a":1.0}'), ('{"a.b":1}', '{"a":{"b":1}}'),
+        (None, "{}"), ("{", "{}"), (None, None), ("1.50", "1.5"), ('"x]"', '"y["'), ("{}", "{}"), ('{"a":[{"k":1}]}', '{"a":{"k":1}}'), ("null", "0"), ('{"t":true}', '{"t":false}')]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "id int, before string, after string")
+    got = sorted((r.id, r.path, r.kind, r.was, r.now) for r in quality.json_diff(df, "id").collect())
+    got = sorted(got, key=str)
+    want = [(0, ".a.b[1].c", "value", "2", "3"), (0, ".a.b[1].d", "key", None, "null"), (1, "[]", "length", "2", "3"),
+            (3, ".a", "key", None, '{"b":1}'), (3, ".a.b", "key", "1", None), (4, ".", "unreadable", None, "{}"), (5, ".", "unreadable", "{", "{}"),
+            (8, ".", "value", '"x]"', '"y["'), (10, ".a", "type", '[{"k":1}]', '{"k":1}'), (11, ".", "type", "null", "0"), (12, ".t", "value", "true", "false")]
+    assert got == sorted(want, key=str)
+
+
+def test_subtree_with_two_ways_cycles_and_depth(spark):
+    edges = [("a", None), ("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("a", "d"), ("s", "s")] + [(f"n{i}", f"n{i - 1}" if i else "a") for i in range(45)]
+    df = spark.createDataFrame(edges, "id string, parent string")
+    got = {r.id: r.level for r in control.subtree(df, "a").collect()}
+    assert got == {"a": 0, "b": 1, "c": 1, "d": 2} | {f"n{i}": i + 1 for i in range(45)}
+    assert [tuple(r) for r in control.subtree(df, "s").collect()] == [("s", 0)]
+    assert control.subtree(df, "none").count() == 0
+
+
+def test_reconcile_newest_package_on_both_sides(spark):
+    meta = spark.createDataFrame([(1, "f", "k", "OUT", 2), (2, "f", "k", "OUT", 3)], "id long, name string, key string, type string, cnt long")
+    target = spark.createDataFrame([(1, "f", "k")] * 2 + [(2, "f", "k")] * 3, "id long, name string, key string")
+    run = lambda **o: sorted((r.expected, r.actual, r.is_ok) for r in quality.reconcile_counts(meta, target, with_id=False, **o).collect())
+    assert run(last_source_id=True, last_target_id=True) == [(3, 3, True)]
+    assert run(last_source_id=True) == [(3, 5, False)]
+    assert run(only_errors=True) == []
+
+
 def test_json_diff(spark):
     df = spark.createDataFrame([(1, '{"a": [1, 2], "b": "1", "c": 1}', '{"a": [1], "b": 1, "d": 1}')], "id int, before string, after string")
     assert sorted((r.path, r.kind) for r in quality.json_diff(df, "id").collect()) == [(".a[]", "length"), (".b", "type"), (".c", "key"), (".d", "key")]
@@ -281,10 +312,12 @@ def test_exchange_log_needs_two_equal_entries_of_one_type(spark):
     assert {(r.wf_key, r.type): r.completed for r in exchange.exchange_log(df).collect()} == {("k1", "OUT"): True, ("k2", "OUT"): False, ("k2", "IN"): False, ("k3", "OUT"): False, ("k4", "OUT"): False}
 
 
-def test_increment_takes_first_days_only(spark):
-    src = spark.range(10).selectExpr("id", "timestamp'2024-01-01' + make_dt_interval(cast(id as int)) as ts")
-    inc = exchange.exchange_increment(src, "f", "ts", "2024-01-02", key_limit=3)
-    assert sorted(r.wf_key for r in inc.collect()) == ["2024-01-03", "2024-01-04", "2024-01-05"]
+def test_increment_deals_all_due_days_to_packages(spark):
+    src = spark.range(250).selectExpr("id", "timestamp'2024-01-01' + make_dt_interval(cast(id as int)) as ts")
+    assert exchange.exchange_increment(src, "f", "ts", "2024-01-02").count() == 248
+    inc = exchange.exchange_increment(src, "f", "ts", "2024-01-02", days_per_package=100)
+    assert sorted((r.package_no, r["n"]) for r in inc.groupBy("package_no").agg(F.count("*").alias("n")).collect()) == [(0, 100), (1, 100), (2, 48)]
+    assert exchange.exchange_increment(src, "f", "ts", "2030-01-01").count() == 0
 
 
 def test_next_window_edges(spark):
@@ -306,12 +339,32 @@ def test_unknown_config_field_is_refused(spark):
 
 
 def test_receipts(spark):
-    ok = '<R:TransferFileCephRs xmlns:R="u"><R:RqUID>1</R:RqUID><R:RqTm>2024-01-01T00:00:00Z</R:RqTm><R:File><R:FileInfo><R:Name>a</R:Name></R:FileInfo><R:Status><R:StatusCode>{}</R:StatusCode></R:Status></R:File></R:TransferFileCephRs>'
+    ok = '<R:Receipt xmlns:R="u"><R:RqUID>1</R:RqUID><R:RqTm>2024-01-01T00:00:00Z</R:RqTm><R:File><R:FileInfo><R:Name>a</R:Name></R:FileInfo><R:Status><R:StatusCode>{}</R:StatusCode></R:Status></R:File></R:Receipt>'
     df = spark.createDataFrame([(1, ok.format(0)), (2, ok.format("x")), (3, ok.format(5) + "\n" + ok.format(6)), (4, "<a><b></a>"), (5, "")], "n int, raw_xml string")
-    got = sorted((r.n, r.rq_uid, r.file_name, r.status_code) for r in delivery.parse_receipt(df).collect())
+    got = sorted((r.n, r.rq_uid, r.file_name, r.status_code) for r in delivery.parse_receipt(df, "Receipt").collect())
     assert got == [(1, "1", "a", 0), (2, "1", "a", -1), (3, "1", "a", 5), (3, "1", "a", 6), (4, "", "", -1), (5, "", "", -1)]
 
 
+def test_receipts_are_read_as_xml(spark):
+    doc = "<Receipt><RqUID>1</RqUID>{}</Receipt>"
+    file = "<File><Name>{}</Name><Status><StatusCode>0</StatusCode></Status></File>"
+    texts = [
+        doc.format(file.format("a") + "<Bad>"), doc.format(file.format("<![CDATA[a<&>b]]>")), doc.format(file.format("a&#51;&lt;")),
+        doc.format("<!-- " + file.format("no") + " -->" + file.format("yes")), doc.format(file.format("a")) + "<!-- end -->",
+        doc.format(file.format("a")) + doc.format(file.format("b") + "<Bad>"), doc.format(file.format("a")) + " tail", None,
+        "<Other><RqUID>1</RqUID><Status><StatusCode>4</StatusCode></Status></Other>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, raw_xml string")
+    got = sorted((r.n, r.file_name, r.status_code) for r in delivery.parse_receipt(df, "Receipt").collect())
+    assert got == [(0, "", -1), (1, "a<&>b", 0), (2, "a3<", 0), (3, "yes", 0), (4, "a", 0), (5, "", -1), (5, "a", 0), (6, "a", 0), (7, "", -1), (8, "", 4)]
+
+
+def test_queue_order_keeps_rows_without_package(spark):
+    at = ts("2024-01-01 00:00:00")
+    q = [(None, None, "a.zip", at, "1", "s"), ("r", None, "b.zip", at, "2", "s"), (None, at, "c.zip", at, "3", "s"), ("r", at, "d.zip", at, "4", "s")]
+    df = spark.createDataFrame(q, "replica string, package_ts timestamp, file_name string, created_at timestamp, rq_uid string, scenario_id string")
+    assert sorted(r.rq_uid for r in delivery.order_queue(df).collect()) == ["1", "2", "3", "4"]
+
+
 def test_ticket_goes_last(spark):
     at = ts("2024-01-01 00:00:00")
     q = [("r", at, "p.tkt", at, "1"), ("r", at, "b.zip", at + dt.timedelta(seconds=5), "2"), ("r", at, "a.zip", at + dt.timedelta(seconds=2), "3"), ("q", at - dt.timedelta(days=1), "z.zip", at + dt.timedelta(days=9), "4")]
@@ -347,7 +400,8 @@ def test_midnight_deadline_counts_to_the_day_before(spark):
 def test_calendar_month_end(spark):
     r = spark.createDataFrame([(1, "quarterly", None, None, None, None, "10:00"), (2, "monthly", None, [31], None, None, None), (3, "monthly", None, [30], [2], None, None), (4, "", None, None, None, True, "")],
                               "rule_id int, kind string, dow array<int>, day array<int>, month array<int>, last boolean, at string")
-    got = {x.rule_id: (str(x.deadline), str(x.previous)) for x in control.calendar_deadlines(r, "2024-03-31 09:00:00").collect()}
+    got = {x.rule_id: (str(x.deadline), str(x.previous)) for x in control.calendar_deadlines(r, "2024-03-31 09:00:00", 800).collect()}
+    assert got.pop(3) == ("None", "None")
     assert got == {1: ("2023-12-31 10:00:00", "2023-09-30 10:00:00"), 2: ("2024-01-31 23:59:59", "2023-12-31 23:59:59"), 4: ("2024-02-29 23:59:59", "2024-01-31 23:59:59")}
 
 
@@ -498,12 +552,12 @@ def test_replayed_and_shuffled_stream_equals_batch(spark, tmp_path):
 
 
 def test_receipt_stream_resumes_from_its_checkpoint(spark, tmp_path):
-    x = "<TransferFileCephRs><RqUID>{0}</RqUID><File><Name>f</Name><Status><StatusCode>{1}</StatusCode></Status></File></TransferFileCephRs>"
+    x = "<Receipt><RqUID>{0}</RqUID><File><Name>f</Name><Status><StatusCode>{1}</StatusCode></Status></File></Receipt>"
     schema = "raw_xml string, received_at timestamp"
     src, out, chk = (str(tmp_path / n) for n in ("src", "out", "chk"))
     write_batches(spark, src, [[(x.format(1, 5), ts("2024-01-01 00:00:00"))], [(x.format(2, 0), ts("2024-01-01 00:00:00"))]], schema)
     shape = spark.read.parquet(src).schema
-    go = lambda: streams.drain(streams.stream_receipts(streams.parquet_stream(spark, src, shape, 1)), "r", target=out, checkpoint=chk)
+    go = lambda: streams.drain(streams.stream_receipts(streams.parquet_stream(spark, src, shape, 1), "Receipt"), "r", target=out, checkpoint=chk)
     assert go().count() == 2
     write_batches(spark, src, [[(x.format(1, 0), ts("2024-01-01 01:00:00"))]], schema)
     assert go().count() == 3

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.scalars import best_effort_timestamp, col, is_valid_json, try_int
 from tidewatch.operators.common import as_date, as_ts
+from tidewatch.session import truncate_lineage
 
 STAT_KEY = ["profile", "entity_id", "stat_id"]
 FRESH_MINUTES = 30
@@ -158,13 +159,16 @@ def retry_config(loads: DataFrame) -> DataFrame:
 def retry_schedule(results: DataFrame, as_of) -> DataFrame:
     """Counters and next state after a result ``res``; ``retry`` as from :func:`retry_config`.
 
-    A retry waits for the delay plus (try - 1) times the addition.
+    A retry waits for the delay plus (try - 1) times the addition. A delay that can't be read leaves no time to wait
+    for: the load ends as an error, and ``problem`` names the text.
     """
     r = F.col("retry")
     kind = F.when(F.col("res") > 0, "ok").when(F.col("res") == 0, "no").otherwise("error")
     on = F.coalesce(r["on"], F.array(F.lit("error")))
     again = (F.coalesce(r["left"], F.lit(0)) > 0) & (F.array_contains(on, F.col("kind")) | F.array_contains(on, F.col("res").cast("string")))
     out = results.withColumn("res", F.coalesce("res", F.lit(-99))).withColumn("kind", kind).withColumn("again", F.coalesce(again, F.lit(False)))
+    added = F.when(F.coalesce(r["try"], F.lit(1)) > 1, unreadable_shift(r["add"]))
+    out = out.withColumn("problem", F.when(F.col("again"), F.coalesce(unreadable_shift(r["delay"]), added))).withColumn("again", F.col("again") & F.col("problem").isNull())
     ok = F.coalesce("ok", F.lit(0)) + (F.col("kind") == "ok").cast("int")
     no = F.coalesce("no", F.lit(0)) + (F.col("kind") == "no").cast("int")
     out = out.withColumn("ok", ok).withColumn("no", no).withColumn("err", F.coalesce("err", F.lit(0)) + (F.col("kind") == "error").cast("int"))
@@ -173,7 +177,7 @@ def retry_schedule(results: DataFrame, as_of) -> DataFrame:
     extra = F.sequence(F.lit(1), F.coalesce(r["try"], F.lit(1)))
     at = F.aggregate(F.slice(extra, 2, F.size(extra)), first, lambda acc, _: shift_time(acc, r["add"]))
     return (
-        out.withColumn("status", F.when(F.col("again"), "TIME-WAIT").when(success, "SUCCESS").otherwise("ERROR"))
+        out.withColumn("status", F.when(F.col("again"), "TIME-WAIT").when(success & F.col("problem").isNull(), "SUCCESS").otherwise("ERROR"))
         .withColumn("action", F.when(F.col("again"), "retry").when(success | ~F.coalesce("abort_on_failure", F.lit(False)), "Completed").otherwise("Aborted"))
         .withColumn("next_at", F.when(F.col("again"), at)).drop("again")
     )
@@ -221,6 +225,12 @@ def shift_time(ts, delta) -> Column:
     return F.when(col(delta).isNull(), col(ts)).otherwise(F.aggregate(pieces, col(ts), step))
 
 
+def unreadable_shift(delta) -> Column:
+    """The shift text if :func:`shift_time` can't read a piece of it, else NULL."""
+    moved = shift_time(F.lit("2000-01-03 00:00:00").cast("timestamp"), delta)
+    return F.when(moved.isNull(), col(delta))
+
+
 # --- choosing and monitoring loads ----------------------------------------------------------------
 
 
@@ -311,6 +321,7 @@ def sla_breach(monitored: DataFrame) -> DataFrame:
     return monitored.filter("action = 'SLA'")
 
 
+# States of a task that is still alive.
 LIVE_TASKS = ("running", "queued", "scheduled", "restarting", "up_for_retry", "up_for_reschedule", "deferred")
 
 
@@ -347,20 +358,24 @@ def new_events(events: DataFrame, last_stat: DataFrame, sent: DataFrame) -> Data
     return a.select(*e.columns).unionByName(b.select(*e.columns))
 
 
-def subtree(edges: DataFrame, root: str, max_levels: int = 100) -> DataFrame:
-    """All nodes below and including ``root`` with their level. ``edges``: id, parent."""
+def subtree(edges: DataFrame, root: str) -> DataFrame:
+    """All nodes below and including ``root`` with their level, the shortest way counting. ``edges``: id, parent.
+
+    Level by level until no new node is found; nodes seen before are left out, so several ways to a node and cycles
+    do no harm. Each level is written to the shared folder.
+    """
     spark = edges.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_levels))
-    return spark.sql(
-        """
-        WITH RECURSIVE below(id, level) AS (
-          SELECT id, 0 FROM {edges} WHERE id = {root}
-          UNION ALL
-          SELECT e.id, b.level + 1 FROM below b JOIN {edges} e ON e.parent = b.id
-        ) SELECT id, level FROM below
-        """,
-        edges=edges, root=root)
+    edges = edges.select("id", "parent")
+    seen = level = truncate_lineage(edges.filter(F.col("id") == root).select("id").distinct().withColumn("level", F.lit(0)), "subtree")
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        below = edges.join(level.select(F.col("id").alias("parent")), "parent").select("id").distinct()
+        level = truncate_lineage(below.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(depth)), "subtree")
+        seen = seen.unionByName(level)
+        if depth % 20 == 0:
+            seen = truncate_lineage(seen, "subtree")
+    return seen if depth else spark.createDataFrame([], "id string, level int")
 
 
 def next_run(first, interval_s, last, end=None) -> Column:
@@ -374,7 +389,7 @@ def next_run(first, interval_s, last, end=None) -> Column:
 
 # --- alerts ----------------------------------------------------------------------------------------
 
-CALENDAR_DAYS = 800
+# Calendar words.
 WORDS = ("daily", "workdays", "weekly", "monthly", "quarterly", "yearly")
 
 
@@ -401,14 +416,19 @@ def clock_seconds(text) -> Column:
     return p(1) * 3600 + p(2) * 60 + p(3)
 
 
-def calendar_deadlines(rules: DataFrame, as_of) -> DataFrame:
-    """Last and previous deadline of every calendar rule within two years back."""
-    r = calendar_rules(rules).filter(F.col("kind").isin(*WORDS)).withColumn("_at", clock_seconds("at"))
+def calendar_deadlines(rules: DataFrame, as_of, days: int) -> DataFrame:
+    """Last and previous deadline of every calendar rule within ``days`` back; every rule comes back.
+
+    ``problem`` says where there is none: a word nobody knows, or no day of the period that fits.
+    """
+    known = F.col("kind").isin(*WORDS)
+    all_rules = calendar_rules(rules).withColumn("_at", clock_seconds("at"))
+    r = all_rules.filter(known)
     # Rules share few calendars: each is worked out once, on one row per calendar and day.
     parts = ["dow", "day", "month", "last", "_at"]
     today, day = as_date(as_of), F.col("d")
     fits = lambda c, value: F.col(c).isNull() | F.array_contains(c, value)
-    c = r.select(*parts).distinct().withColumn("d", F.explode(F.sequence(F.date_sub(today, CALENDAR_DAYS), today)))
+    c = r.select(*parts).distinct().withColumn("d", F.explode(F.sequence(F.date_sub(today, days), today)))
     c = c.filter(
         fits("dow", F.weekday("d") + 1) & fits("day", F.dayofmonth("d")) & fits("month", F.month("d")) & (~F.col("last") | (day == F.last_day("d")))
         & (plus_seconds(day.cast("timestamp"), F.col("_at")) <= as_ts(as_of)))
@@ -419,7 +439,8 @@ def calendar_deadlines(rules: DataFrame, as_of) -> DataFrame:
     on = F.lit(True)
     for p in parts:
         on = on & F.col(p).eqNullSafe(F.col(f"_c_{p}"))
-    return r.join(two, on).drop("_at", *[f"_c_{p}" for p in parts])
+    problem = F.when(~known, "unknown word").when(F.col("deadline").isNull(), "no deadline")
+    return all_rules.join(two, on & known, "left").withColumn("problem", problem).drop("_at", *[f"_c_{p}" for p in parts])
 
 
 def alert_interval(rules: DataFrame, last: DataFrame, as_of) -> DataFrame:
@@ -438,7 +459,7 @@ def alert_interval(rules: DataFrame, last: DataFrame, as_of) -> DataFrame:
 
 def alert_event(deadlines: DataFrame, last: DataFrame) -> DataFrame:
     """Calendar rules whose last success lies before the deadline day (midnight counts to the day before)."""
-    d = deadlines.join(last, "wf_id", "left")
+    d = deadlines.filter("deadline is not null").join(last, "wf_id", "left")
     need = F.to_date(plus_seconds("deadline", F.lit(-1)))
     return d.filter(F.col("last_at").isNull() | (F.to_date("last_at") < need))
 
@@ -449,7 +470,7 @@ def alert_data(deadlines: DataFrame, stats: DataFrame) -> DataFrame:
     ``deadlines``: ..., obj, lag_s, deadline. ``stats``: obj, data_max.
     """
     newest = stats.groupBy("obj").agg(F.max("data_max").alias("last_at"))
-    d = deadlines.join(newest, "obj", "left").withColumn("need", F.to_date(plus_seconds("deadline", -F.coalesce("lag_s", F.lit(0)))))
+    d = deadlines.filter("deadline is not null").join(newest, "obj", "left").withColumn("need", F.to_date(plus_seconds("deadline", -F.coalesce("lag_s", F.lit(0)))))
     return d.filter(F.col("last_at").isNull() | (F.to_date("last_at") < F.col("need")))
 
 

@@ -17,12 +17,12 @@ def package_key(package_id) -> Column:
 
 def exchange_increment(
     src: DataFrame, flow: str, ts_col: str, last_key=None, tail_from=None, retry: DataFrame | None = None,
-    key_limit: int = 100, where: str | None = None,
+    where: str | None = None, days_per_package: int | None = None,
 ) -> DataFrame:
-    """Rows of the day keys that are due, as (wf_name, wf_key, wf_data).
+    """Rows of all day keys that are due, as (wf_name, wf_key, wf_data).
 
     Due are days after the last completed key, days with rows newer than ``tail_from`` and days
-    asked for again. One package takes the first ``key_limit`` days; the others follow later.
+    asked for again. With ``days_per_package`` a column ``package_no`` (from 0) deals the days, oldest first, to packages.
     """
     if where:
         src = src.filter(where)
@@ -30,15 +30,23 @@ def exchange_increment(
     fresh = day > F.coalesce(F.lit(last_key).cast("date"), F.lit("1900-01-01").cast("date"))
     if tail_from is not None:
         fresh = fresh | (F.col(ts_col) > as_ts(tail_from))
-    days = src.filter(fresh).select(day.alias("_day")).distinct()
+    due = src.filter(fresh).select(day.alias("_day")).distinct()
     if retry is not None:
-        days = days.union(retry.filter(F.col("wf_name") == flow).select(F.col("wf_key").cast("date"))).distinct()
-    # Bounded by key_limit rows, so sending it to every task is safe.
-    due = F.broadcast(days.orderBy("_day").limit(key_limit))
-    rows = src.withColumn("_day", day).join(due, "_day", "left_semi")
+        due = due.union(retry.filter(F.col("wf_name") == flow).select(F.col("wf_key").cast("date"))).distinct()
+    due = due.filter("_day is not null")
+    low, high = due.agg(F.min("_day"), F.max("_day")).first()
+    if low is not None:  # plain bounds reach the scan
+        src = src.filter((F.col(ts_col) >= F.lit(low).cast("timestamp")) & (F.col(ts_col) < F.date_add(F.lit(high), 1).cast("timestamp")))
+    extra = []
+    if days_per_package is not None:
+        # One row per calendar day.
+        nth = F.row_number().over(Window.orderBy("_day")) - 1
+        due = due.withColumn("package_no", F.floor(nth / days_per_package).cast("bigint"))
+        extra = ["package_no"]
+    rows = src.withColumn("_day", day).join(due, "_day")
     return rows.select(
         F.lit(flow).alias("wf_name"), F.col("_day").cast("string").alias("wf_key"),
-        F.to_json(F.struct(*src.columns)).alias("wf_data"),
+        F.to_json(F.struct(*src.columns)).alias("wf_data"), *extra,
     ).distinct()
 
 
@@ -199,8 +207,8 @@ def last_loaded(log: DataFrame) -> DataFrame:
         F.max(F.coalesce(F.col("wf_key").try_cast("bigint"), F.lit(0))).alias("last_id"))
 
 
-def route_flows(envelope: DataFrame, log: DataFrame, known: list[str]) -> DataFrame:
-    """Flows with rows newer than their last load, and where each goes."""
+def route_flows(envelope: DataFrame, log: DataFrame, known: list[str], sample_ids: int) -> DataFrame:
+    """Flows with rows newer than their last load, and where each goes; ``ids`` shows the first ``sample_ids`` packages."""
     fresh = envelope.join(last_loaded(log), "_gp_name", "left").filter(F.col("_gp_id") > F.coalesce("last_id", F.lit(0)))
     # Distinct ids and keys per flow first: the flow itself may hold most rows.
     per_id = fresh.groupBy("_gp_name", "_gp_id").agg(F.count("*").alias("n"))
@@ -209,7 +217,7 @@ def route_flows(envelope: DataFrame, log: DataFrame, known: list[str]) -> DataFr
         F.sum("n").alias("row_cnt"), F.min("_gp_id").alias("min_id"), F.max("_gp_id").alias("max_id"), F.count("*").alias("cnt_id"))
     keys = per_key.groupBy("_gp_name").agg(F.min("_gp_key").alias("min_key"), F.max("_gp_key").alias("max_key"), F.count("*").alias("cnt_key"))
     rank = F.row_number().over(Window.partitionBy("_gp_name").orderBy("_gp_id"))
-    sample = per_id.withColumn("_r", rank).filter("_r <= 10").groupBy("_gp_name").agg(F.array_sort(F.collect_list("_gp_id")).alias("ids"))
+    sample = per_id.withColumn("_r", rank).filter(F.col("_r") <= sample_ids).groupBy("_gp_name").agg(F.array_sort(F.collect_list("_gp_id")).alias("ids"))
     name = F.col("_gp_name")
     route = F.when(name.startswith("_"), "_ignored").when(name.isin(*known), F.concat(F.lit("process_"), name)).otherwise("_other")
     return ids.join(keys, "_gp_name").join(sample, "_gp_name").withColumn("route", route)

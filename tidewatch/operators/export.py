@@ -99,7 +99,8 @@ def state_conflicts(rows: DataFrame) -> DataFrame:
 
 def layered_params(registry: DataFrame, name: str, own: list[str], shared: list[str], default: str = "default") -> DataFrame:
     """Settings of every extract: own columns as they are, shared ones fall back to the default row."""
-    base = registry.filter(F.col(name) == default).select(*[F.col(c).alias(f"_d_{c}") for c in shared]).limit(1)
+    # Several default rows: the smallest value of each column counts, whatever their order.
+    base = registry.filter(F.col(name) == default).agg(*[F.min(c).alias(f"_d_{c}") for c in shared])
     real = lambda c: F.when(F.lower(c) != default, c)
     rows = registry.filter(F.col(name) != default).join(F.broadcast(base), F.lit(True), "left")
     return rows.select(name, *own, *[F.coalesce(real(F.col(c)), real(F.col(f"_d_{c}"))).alias(c) for c in shared])

@@ -94,10 +94,12 @@ def explode_documents(messages: DataFrame) -> DataFrame:
         .otherwise(number("$.id"))
     )
     rows = items.withColumn("id", doc_id)
-    # One message may repeat an id: the last occurrence stands.
-    rows = latest_by_key(rows, ["_mid", "id"], [F.desc("_pos")])
+    # One message may repeat an id: its occurrences merge, the last value of a key stands.
+    entries = F.transform(F.map_entries("_members"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    keyed = rows.withColumn("_e", F.explode(entries)).groupBy("_mid", "id", "url", "ts", "obj", "_e.key").agg(F.max_by("_e.value", "_pos").alias("value"))
+    rows = keyed.groupBy("_mid", "id", "url", "ts", "obj").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_members"))
     kept = F.filter(
-        F.try_variant_get(F.col("_members")["params"], "$", "array<struct<param:string,value:string,prior_value:string>>"),
+        F.try_variant_get(F.try_element_at("_members", F.lit("params")), "$", "array<struct<param:string,value:string,prior_value:string>>"),
         lambda p: p["param"].startswith("wf") & (p["param"] != "wf_id"),
     )
     folded = F.transform(kept, lambda p: F.create_map(p["param"], F.coalesce(p["value"], p["prior_value"])))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -75,10 +73,10 @@ LAST_COLUMNS = ("key_date", "rows_count", "avg", "std", "cnt", "min", "max")
 
 
 def ztest_state(history: DataFrame, cases: DataFrame) -> DataFrame:
-    """What the history says about every measurement: the last usable record and the newest values.
+    """What the history says about every measurement (object, log_id): the last usable record and the newest values.
 
     The history is joined and shuffled once. Versions of a key date collapse map-side to one row
-    per (object, key date), so the ranking below runs over at most one row per calendar day.
+    per (measurement, key date), so the ranking below runs over at most one row per calendar day.
 
     The baseline may be a record without a value; the statistics may not.
     """
@@ -87,7 +85,7 @@ def ztest_state(history: DataFrame, cases: DataFrame) -> DataFrame:
     listed = lambda c: F.coalesce(F.array_contains(c, F.col("h_key_date")), F.lit(False))
     value = F.col("h_value")
     low, high = F.coalesce("z_min", F.lit(-(2**63 - 1))), F.coalesce("z_max", F.lit(2**63 - 1))
-    j = h.join(cases.select(*keep), "object").filter(
+    j = h.join(cases.select("log_id", *keep), "object").filter(
         (F.col("h_key_date") < F.col("key_date")) & ~listed("z_error")
         & (F.col("h_key_date") >= F.coalesce("beg", F.lit(FAR_PAST).cast("date")))
         & F.col("h_rows_count").between(F.col("row_min"), F.col("row_max"))
@@ -96,27 +94,27 @@ def ztest_state(history: DataFrame, cases: DataFrame) -> DataFrame:
     is_point = value.isNotNull() & (F.coalesce("h_ztest", F.lit(True)) | listed("z_except"))
     newest = _nulls_top("h_ztest", "h_ts", "h_log_id")
     record = F.struct(*[F.col(f"h_{c}").alias(c) for c in LAST_COLUMNS])
-    per_date = j.groupBy("object", "h_key_date").agg(
+    per_date = j.groupBy("object", "log_id", "h_key_date").agg(
         F.max_by(F.when(is_base, record), F.when(is_base, newest)).alias("base"),
         F.max_by(F.when(is_point, value), F.when(is_point, newest)).alias("point"),
         F.max(F.coalesce("dots", F.lit(CONFIG_DEFAULT_DOTS))).alias("dots"))
-    nth = F.count("point").over(Window.partitionBy("object").orderBy(F.desc("h_key_date")).rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.count("point").over(Window.partitionBy("object", "log_id").orderBy(F.desc("h_key_date")).rowsBetween(Window.unboundedPreceding, 0))
     per_date = per_date.withColumn("n", nth)
     # The list holds at most ``dots`` values.
-    return per_date.groupBy("object").agg(
+    return per_date.groupBy("object", "log_id").agg(
         F.max_by("base", F.when(F.col("base").isNotNull(), F.col("h_key_date"))).alias("last"),
         F.collect_list(F.when(F.col("n") <= F.col("dots"), F.col("point"))).alias("points"))
 
 
 def ztest_baseline(history: DataFrame, cases: DataFrame) -> DataFrame:
-    """Last usable record per object before its measurement."""
+    """Last usable record of an object before each of its measurements."""
     return ztest_state(history, cases).filter("last is not null").select(
-        "object", *[F.col("last")[c].alias(f"last_{c}") for c in LAST_COLUMNS])
+        "object", "log_id", *[F.col("last")[c].alias(f"last_{c}") for c in LAST_COLUMNS])
 
 
 def ztest_score(history: DataFrame, cases: DataFrame) -> DataFrame:
     """z-score of the newest daily growth of every object against its history plus itself."""
-    c = cases.join(ztest_state(history, cases), "object", "left")
+    c = cases.join(ztest_state(history, cases), ["object", "log_id"], "left")
     c = c.select(*cases.columns, *[F.col("last")[x].alias(f"last_{x}") for x in LAST_COLUMNS], "points")
     have = F.col("last_key_date").isNotNull()
     c = c.withColumn("key_diff", F.datediff("key_date", "last_key_date")).withColumn(
@@ -431,13 +429,22 @@ def business_date_status(checked: DataFrame, last_min: DataFrame) -> DataFrame:
 
 
 def reconcile_counts(meta: DataFrame, target: DataFrame, how: str = "full", with_key: bool = True, with_id: bool = True,
-                     last_id: bool = False, not_empty: bool = False) -> DataFrame:
-    """Announced count per (id, name, key) against the rows that arrived."""
+                     last_source_id: bool = False, last_target_id: bool = False, not_empty: bool = False, only_errors: bool = False,
+                     now=None) -> DataFrame:
+    """Announced count per (id, name, key) against the rows that arrived.
+
+    ``last_source_id`` and ``last_target_id`` keep the newest package of each flow on either side; ``now`` (a day) keeps
+    the keys of that day. ``not_empty`` turns missing and empty results into errors.
+    """
     keys = [k for k, on in (("id", with_id), ("name", True), ("key", with_key)) if on]
     announced = meta.filter("type in ('OUT', 'SUM')")
-    if last_id:
-        newest = meta.groupBy("name").agg(F.max("id").alias("id"))
-        announced = announced.join(newest, ["name", "id"], "left_semi")
+    if now is not None:
+        announced, target = (d.filter(F.col("key").try_cast("date") == as_date(now)) for d in (announced, target))
+    newest = lambda d: d.join(d.groupBy("name").agg(F.max("id").alias("id")), ["name", "id"], "left_semi")
+    if last_source_id:
+        announced = newest(announced)
+    if last_target_id:
+        target = newest(target)
     # The summary row of a package counts itself.
     cnt = F.col("cnt") + F.when(F.col("type") == "SUM", 1).otherwise(0)
     announced = announced.groupBy(*keys).agg(F.sum(cnt).alias("expected"))
@@ -446,7 +453,8 @@ def reconcile_counts(meta: DataFrame, target: DataFrame, how: str = "full", with
     ok = F.col("expected").eqNullSafe(F.col("actual"))
     if not_empty:
         ok = ok & (F.coalesce("actual", F.lit(0)) > 0)
-    return out.withColumn("is_ok", ok)
+    out = out.withColumn("is_ok", ok)
+    return out.filter("not is_ok") if only_errors else out
 
 
 def unique_check(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
@@ -498,7 +506,7 @@ def repeat_runs(units: DataFrame, as_of, only_long: bool) -> DataFrame:
         "object", "value", "days", F.round(F.col("days") / F.nullif(F.col("_avg"), F.lit(0.0)), 1).alias("ratio"),
         "last", F.array_min("kept").alias("key_from"), "cnt", "cnt_uniq", (F.col("cnt") - F.col("cnt_uniq")).alias("not_uniq"),
         F.round("_avg", 1).alias("avg_uniq"), "max_days",
-        F.slice(F.sort_array("kept", asc=False), 1, 10).alias("key_dates"))
+        F.sort_array("kept", asc=False).alias("key_dates"))
 
 
 def repeat_business_date(log: DataFrame, as_of, days: int = 100) -> DataFrame:
@@ -580,39 +588,76 @@ def fields_match(expected: DataFrame, actual: DataFrame, descriptions: DataFrame
     return out
 
 
+def _kind(v) -> Column:
+    """Kind of a JSON value: object, array, text, whole, number, flag or null."""
+    t = F.schema_of_variant(v)
+    return (
+        F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "text").when(t == "BOOLEAN", "flag")
+        .when(t == "VOID", "null").when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | t.rlike(r"^DECIMAL\(\d+,0\)"), "whole").otherwise("number"))
+
+
+def json_nodes(docs: DataFrame, key: str, depth: int) -> DataFrame:
+    """Every value inside a document ``v`` (variant): (key, steps, path, in_list, kind, v), one row per value.
+
+    ``steps`` are the keys and positions on the way, ``path`` the same as text. One explode per level of nesting.
+    """
+    level = docs.select(F.col(key).alias("key"), F.expr("cast(array() as array<string>)").alias("steps"), F.lit("").alias("path"), F.lit(False).alias("in_list"), "v").filter("v is not null")
+    level = level.withColumn("kind", _kind("v"))
+    out = level
+    for _ in range(depth):
+        below = docs.sparkSession.sql(
+            "SELECT d.key, d.steps, d.path, d.kind AS above, e.pos, e.key AS name, e.value AS v FROM {d} d, LATERAL variant_explode(d.v) e", d=level.filter("kind in ('object', 'array')"))
+        listed = F.col("above") == "array"
+        step = F.when(listed, F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("name")))
+        level = below.select("key", F.concat("steps", F.array(step)).alias("steps"), F.concat("path", step).alias("path"), listed.alias("in_list"), "v").withColumn("kind", _kind("v"))
+        out = out.unionByName(level)
+    return out
+
+
+def json_depth(text) -> Column:
+    """Most open brackets at a time, strings left out."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    turn = lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda a, c: F.struct((a["now"] + turn(c)).alias("now"), F.greatest(a["most"], a["now"] + turn(c)).alias("most"))
+    return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), start, step)["most"]
+
+
 def json_diff(df: DataFrame, key: str, before: str = "before", after: str = "after") -> DataFrame:
-    """Path-wise differences of two JSON documents per row.
+    """Path-wise differences of two JSON documents per row, as (key, path, kind, was, now); keys are unique.
 
-    Documents nest to any depth, so a small function walks one pair at a time inside Arrow batches.
+    Both documents become rows of values, which are joined by path. Kinds: ``type``, ``value``, ``length`` of lists,
+    ``key`` for members of one object only, and ``unreadable`` where one of the documents is missing or no JSON.
+    Values below a difference of kind or a lone member are not listed. 1 and 1.0 are the same number.
     """
-    def walk(x, y, path, out):
-        if type(x) is not type(y):
-            out.append((path or ".", "type", json.dumps(x), json.dumps(y)))
-        elif isinstance(x, dict):
-            for k in x.keys() | y.keys():
-                if k not in x or k not in y:
-                    out.append((f"{path}.{k}", "key", json.dumps(x.get(k)) if k in x else None, json.dumps(y.get(k)) if k in y else None))
-                else:
-                    walk(x[k], y[k], f"{path}.{k}", out)
-        elif isinstance(x, list):
-            if len(x) != len(y):
-                out.append((path + "[]", "length", str(len(x)), str(len(y))))
-            for i, (p, q) in enumerate(zip(x, y)):
-                walk(p, q, f"{path}[{i}]", out)
-        elif x != y:
-            out.append((path or ".", "value", json.dumps(x), json.dumps(y)))
-
-    def diff(batches):
-        for pdf in batches:
-            rows = []
-            for k, x, y in zip(pdf[key], pdf[before], pdf[after]):
-                found = []
-                walk(json.loads(x), json.loads(y), "", found)
-                rows += [(k, *f) for f in found]
-            yield pd.DataFrame(rows, columns=[key, "path", "kind", "was", "now"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, before, after).mapInPandas(diff, f"{key} {kind}, path string, kind string, was string, now string")
+    parsed = df.select(F.col(key).alias("_key"), F.col(before).alias("_x"), F.col(after).alias("_y"), F.try_parse_json(before).alias("_a"), F.try_parse_json(after).alias("_b"))
+    unread = parsed.filter((F.col("_a").isNull() | F.col("_b").isNull()) & ~F.col("_x").eqNullSafe(F.col("_y"))).select(
+        F.col("_key").alias(key), F.lit(".").alias("path"), F.lit("unreadable").alias("kind"), F.col("_x").alias("was"), F.col("_y").alias("now"))
+    good = parsed.filter("_a is not null and _b is not null")
+    depth = good.agg(F.max(F.greatest(json_depth("_x"), json_depth("_y")))).first()[0] or 0
+    a = json_nodes(good.select("_key", F.col("_a").alias("v")), "_key", depth)
+    b = json_nodes(good.select("_key", F.col("_b").alias("v")), "_key", depth)
+    text = lambda d: F.to_json(F.col(f"{d}.v"))
+    size = lambda d: F.size(F.try_variant_get(F.col(f"{d}.v"), "$", "array<variant>"))
+    number = lambda d: F.try_variant_get(F.col(f"{d}.v"), "$", "double")
+    both = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.steps") == F.col("b.steps")), "full")
+    same = F.col("a.kind") == F.col("b.kind")
+    changed = F.when(F.col("a.kind") == "number", ~number("a").eqNullSafe(number("b"))).otherwise(text("a") != text("b"))
+    lone = F.col("a.kind").isNull() | F.col("b.kind").isNull()
+    kind = (
+        F.when(lone, "key").when(~same, "type").when((F.col("a.kind") == "array") & (size("a") != size("b")), "length")
+        .when(~F.col("a.kind").isin("array", "object") & changed, "value"))
+    side = lambda d: F.when(F.col("issue") == "length", size(d).cast("string")).otherwise(text(d))
+    found = both.withColumn("issue", kind).filter("issue is not null").select(
+        F.coalesce("a.key", "b.key").alias("key"), F.coalesce("a.steps", "b.steps").alias("steps"), F.coalesce("a.path", "b.path").alias("path"),
+        F.coalesce("a.in_list", "b.in_list").alias("in_list"), F.col("issue").alias("kind"), side("a").alias("was"), side("b").alias("now"))
+    # A lone member counts where the value that holds it is an object on both sides.
+    held = lambda d: d.filter("kind = 'object'").select("key", F.col("steps").alias("above"))
+    lone_rows = found.filter("kind = 'key' and not in_list").withColumn("above", F.slice("steps", F.lit(1), F.size("steps") - 1))
+    lone_rows = lone_rows.join(held(a), ["key", "above"], "left_semi").join(held(b), ["key", "above"], "left_semi")
+    shown = F.when(F.col("kind") == "length", F.concat("path", F.lit("[]"))).otherwise(F.when(F.col("path") == "", ".").otherwise(F.col("path")))
+    out = found.filter("kind <> 'key'").unionByName(lone_rows.drop("above")).select(F.col("key").alias(key), shown.alias("path"), "kind", "was", "now")
+    return out.unionByName(unread)
 
 
 # --- group results and catalog checks -------------------------------------------------------------

@@ -160,29 +160,24 @@ def frozen_runs(runs: DataFrame, dags: DataFrame, errors: DataFrame, as_of, top:
     last = errors.groupBy(F.col("filename").alias("fileloc")).agg(F.max_by("stacktrace", "id").alias("stacktrace"))
     frozen = seconds_between(as_ts(as_of), F.coalesce("last_scheduling_decision", "start_date", "queued_at", "execution_date")).cast("bigint")
     r = r.withColumn("frozen_sec", frozen).orderBy(F.desc("frozen_sec"), "dag_id", "run_id").limit(top)
-    return r.join(last, "fileloc", "left").withColumn("error", F.right(F.trim("stacktrace"), F.lit(300))).drop("stacktrace")
+    return r.join(last, "fileloc", "left").withColumn("error", F.trim("stacktrace")).drop("stacktrace")
 
 
-# Size classes of definitions by number of tasks.
-TASK_CLASSES = (1, 3, 10, 30, 100, 300)
+def size_class(n: Column, edges: list[int]) -> Column:
+    """Name of the interval of whole numbers that holds ``n``; ``edges`` are the upper ends, ascending."""
+    starts = [1, *(e + 1 for e in edges)]
+    names = [str(b) if a == b else f"{a}–{b}" for a, b in zip(starts, edges)] + [f">{edges[-1]}"]
+    passed = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < n))
+    return F.element_at(F.array(*map(F.lit, names)), passed + 1)
 
 
-def task_class(n: Column) -> Column:
-    low, out = 1, None
-    for high in TASK_CLASSES:
-        name = str(high) if low == high else f"{low}–{high}"
-        out = F.when(n <= high, name) if out is None else out.when(n <= high, name)
-        low = high + 1
-    return out.otherwise(f">{TASK_CLASSES[-1]}")
-
-
-def dag_size(dags: DataFrame, definitions: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame:
+def dag_size(dags: DataFrame, definitions: DataFrame, runs: DataFrame, tasks: DataFrame, edges: list[int]) -> DataFrame:
     """Tasks in the definition and in the last run of every active definition, with class and alert."""
     last = runs.groupBy("dag_id").agg(F.max_by("run_id", F.struct("execution_date", "run_id")).alias("run_id"))
     done = tasks.join(last, ["dag_id", "run_id"]).groupBy("dag_id").agg(F.count("*").alias("max_ti"))
     d = dags.filter("is_active").select("dag_id", "is_paused").join(definitions, "dag_id", "left").join(done, "dag_id", "left")
     d = d.withColumn("max_ti", F.coalesce("max_ti", F.lit(0))).withColumn("size", F.greatest(F.coalesce("tasks", F.lit(0)), F.col("max_ti")))
-    return d.withColumn("class", F.when(F.col("size") == 0, "unknown").otherwise(task_class(F.col("size")))).withColumn("alert", F.col("size") > TASK_CLASSES[-1])
+    return d.withColumn("class", F.when(F.col("size") == 0, "unknown").otherwise(size_class(F.col("size"), edges))).withColumn("alert", F.col("size") > edges[-1])
 
 
 # Periods of the change report.

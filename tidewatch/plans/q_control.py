@@ -265,12 +265,13 @@ dl AS (SELECT id, s, g, d::TIMESTAMP + to_seconds(ats) AS dl FROM ru CROSS JOIN
   WHEN 0 THEN true WHEN 1 THEN isodow(d) <= 5 WHEN 2 THEN isodow(d) = 1 WHEN 3 THEN CASE s % 3 WHEN 0 THEN day(d) = 1 WHEN 1 THEN day(d) = s % 31 + 1 ELSE d = last_day(d) END
   WHEN 4 THEN month(d) % 3 = 0 AND d = last_day(d) WHEN 5 THEN day(d) = 1 AND month(d) = CASE WHEN s % 2 = 1 THEN s % 12 + 1 ELSE 1 END ELSE s % 3 <> 0 OR isodow(d) = s % 7 + 1 END),
 de AS (SELECT id, s, g, max(dl) AS deadline, max(dl) FILTER (WHERE rn = 2) AS previous FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dl DESC) AS rn FROM dl) GROUP BY ALL)"""
-_KIND = "CASE g WHEN 0 THEN 'daily' WHEN 1 THEN 'workdays' WHEN 2 THEN 'weekly' WHEN 3 THEN 'monthly' WHEN 4 THEN 'quarterly' WHEN 5 THEN 'yearly' ELSE CASE WHEN s % 3 = 0 THEN 'weekly' ELSE 'daily' END END"
+_KIND = "CASE g WHEN 0 THEN 'daily' WHEN 1 THEN 'workdays' WHEN 2 THEN 'weekly' WHEN 3 THEN 'monthly' WHEN 4 THEN 'quarterly' WHEN 5 THEN 'yearly' WHEN 7 THEN 'fortnight' ELSE CASE WHEN s % 3 = 0 THEN 'weekly' ELSE 'daily' END END"
 
 
-@query("calendar_deadlines", f"WITH {_CAL} SELECT id AS rule_id, {_KIND} AS kind, deadline::VARCHAR AS deadline, previous::VARCHAR AS previous FROM de")
+@query("calendar_deadlines", f"""WITH {_CAL} SELECT p_partkey AS rule_id, kind, deadline::VARCHAR AS deadline, previous::VARCHAR AS previous, CASE WHEN kind = 'fortnight' THEN 'unknown word' WHEN deadline IS NULL THEN 'no deadline' END AS problem
+FROM (SELECT p_partkey, {_KIND} AS kind FROM (SELECT p_partkey, p_size % 8 AS g, p_size AS s FROM part)) LEFT JOIN de ON id = p_partkey""")
 def _(t):
-    return C.calendar_deadlines(calendar(t), _CAL_AT).select("rule_id", "kind", "deadline", "previous")
+    return C.calendar_deadlines(calendar(t), _CAL_AT, 800).select("rule_id", "kind", "deadline", "previous", "problem")
 
 
 def last_at(t):
@@ -290,14 +291,14 @@ def _(t):
 
 @query("alert_event", f"WITH {_CAL}, {_LAST} SELECT id AS rule_id, deadline::VARCHAR AS deadline FROM de LEFT JOIN la ON wf_id = id WHERE last_at IS NULL OR last_at::DATE < (deadline - INTERVAL 1 SECOND)::DATE")
 def _(t):
-    return C.alert_event(C.calendar_deadlines(calendar(t), _CAL_AT), last_at(t)).select("rule_id", "deadline")
+    return C.alert_event(C.calendar_deadlines(calendar(t), _CAL_AT, 800), last_at(t)).select("rule_id", "deadline")
 
 
 @query("alert_data", f"""WITH {_CAL}, st AS (SELECT o_orderpriority AS obj, max(o_orderdate) AS m FROM orders WHERE o_custkey % 5 <> 0 AND o_orderdate < TIMESTAMP '2001-07-20' GROUP BY 1)
 SELECT id AS rule_id, (deadline - to_days(CAST(s % 10 AS INT)))::DATE::VARCHAR AS need FROM de LEFT JOIN st ON left(obj, 1) = (s % 7)::VARCHAR WHERE m IS NULL OR m::DATE < (deadline - to_days(CAST(s % 10 AS INT)))::DATE""")
 def _(t):
     size = t.part.select(F.col("p_partkey").alias("rule_id"), (F.col("p_size") % 7).cast("string").alias("obj"), (F.col("p_size") % 10 * 86400).alias("lag_s"))
-    d = C.calendar_deadlines(calendar(t), _CAL_AT).join(size, "rule_id")
+    d = C.calendar_deadlines(calendar(t), _CAL_AT, 800).join(size, "rule_id")
     st = t.orders.filter((F.col("o_custkey") % 5 != 0) & (F.col("o_orderdate") < F.lit("2001-07-20").cast("timestamp"))).select(F.substring("o_orderpriority", 1, 1).alias("obj"), F.col("o_orderdate").alias("data_max"))
     return C.alert_data(d, st).select("rule_id", "need")
 

@@ -6,6 +6,7 @@ from tidewatch.operators import delivery as D
 from tidewatch.plans.registry import query
 
 AS_OF = "2001-08-01 12:00:00"
+RECEIPT = "Receipt"
 
 
 def sent(t):
@@ -14,14 +15,14 @@ def sent(t):
     at = F.expr("o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)")
     base = t.orders.select(
         F.concat(F.lit("u"), k.cast("string")).alias("rq_uid"), F.concat(F.lit("f"), k.cast("string"), F.when(k % 50 == 0, ".TKT").otherwise(".zip")).alias("file_name"),
-        F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string")).alias("replica"), F.substring("o_orderpriority", 1, 1).alias("scenario_id"),
-        F.date_trunc("month", "o_orderdate").alias("package_ts"), at.alias("created_at"), F.lit(None).cast("timestamp").alias("notified_at"), at.alias("updated_at"), "o_orderkey")
+        F.when(F.col("o_custkey") % 11 != 0, F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string"))).alias("replica"), F.substring("o_orderpriority", 1, 1).alias("scenario_id"),
+        F.when(k % 13 != 0, F.date_trunc("month", "o_orderdate")).alias("package_ts"), at.alias("created_at"), F.lit(None).cast("timestamp").alias("notified_at"), at.alias("updated_at"), "o_orderkey")
     done = base.filter("o_orderkey % 3 <> 0").withColumn("notified_at", F.expr("created_at + interval 5 minutes")).withColumn("updated_at", F.expr("created_at + interval 5 minutes"))
     return base.unionByName(done).drop("o_orderkey")
 
 
-_SENT = """s AS (SELECT 'u' || o_orderkey AS rq_uid, 'f' || o_orderkey || CASE WHEN o_orderkey % 50 = 0 THEN '.TKT' ELSE '.zip' END AS file_name, 'r' || (o_custkey % 5) AS replica, substr(o_orderpriority, 1, 1) AS scenario_id,
-  date_trunc('month', o_orderdate)::TIMESTAMP AS package_ts, o_orderdate + to_seconds(o_orderkey % 86400) AS created_at,
+_SENT = """s AS (SELECT 'u' || o_orderkey AS rq_uid, 'f' || o_orderkey || CASE WHEN o_orderkey % 50 = 0 THEN '.TKT' ELSE '.zip' END AS file_name, CASE WHEN o_custkey % 11 <> 0 THEN 'r' || (o_custkey % 5) END AS replica, substr(o_orderpriority, 1, 1) AS scenario_id,
+  CASE WHEN o_orderkey % 13 <> 0 THEN date_trunc('month', o_orderdate)::TIMESTAMP END AS package_ts, o_orderdate + to_seconds(o_orderkey % 86400) AS created_at,
   CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + to_seconds(o_orderkey % 86400) + INTERVAL 5 MINUTE END AS notified_at, o_orderkey, o_custkey FROM orders),
 p AS (SELECT * FROM s WHERE notified_at IS NULL)"""
 
@@ -75,9 +76,10 @@ def _(t):
     return D.pause_alerts(rules(t), D.pause_summary(_split(t)), AS_OF).drop("scope")
 
 
-@query("order_queue", f"WITH {_SENT} SELECT rq_uid, replica, file_name LIKE '%.TKT' AS is_ticket, (min(created_at) OVER (PARTITION BY replica, package_ts))::VARCHAR AS package_start FROM p")
+@query("order_queue", f"""WITH {_SENT}, o AS (SELECT rq_uid, replica, package_ts, created_at, file_name LIKE '%.TKT' AS is_ticket, min(created_at) OVER (PARTITION BY replica, package_ts) AS package_start FROM p)
+SELECT rq_uid, replica, is_ticket, package_start::VARCHAR AS package_start, row_number() OVER (PARTITION BY replica, package_ts ORDER BY is_ticket, created_at, rq_uid) AS position FROM o""")
 def _(t):
-    return D.order_queue(D.queue_pending(sent(t))).select("rq_uid", "replica", "is_ticket", "package_start")
+    return D.order_queue(D.queue_pending(sent(t))).select("rq_uid", "replica", "is_ticket", "package_start", "position")
 
 
 _COUNT_AT = "2001-07-20 23:00:00"
@@ -105,7 +107,7 @@ def _(t):
 
 
 @query("plan_batch", f"""WITH {_SENT}, {_COUNTS}, {_BUDGET}, o AS (SELECT *, min(created_at) OVER (PARTITION BY replica, package_ts) AS package_start FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY package_ts, package_start, replica, file_name LIKE '%.TKT', created_at, rq_uid) AS position FROM o)
+r AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY package_ts NULLS FIRST, package_start NULLS FIRST, replica NULLS FIRST, file_name LIKE '%.TKT', created_at, rq_uid) AS position FROM o)
 SELECT scenario_id, rq_uid, position FROM r LEFT JOIN b USING (scenario_id) WHERE position <= CASE WHEN free IS NULL THEN 3 ELSE greatest(free, 0) END""")
 def _(t):
     return D.plan_batch(D.queue_pending(sent(t)), _counts(t), _LIMITS).select("scenario_id", "rq_uid", "position")
@@ -130,17 +132,18 @@ def messages(t):
     """XML receipts from order lines: plain, with prefixes, two documents in one, without files, broken."""
     li = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_shipdate").alias("at"))
     s = lambda c: F.col(c).cast("string")
-    name = F.concat(F.lit("a&amp;"), s("l_linenumber"))
+    name = F.when(F.col("p") % 15 == 0, F.concat(F.lit("<![CDATA[a&"), s("l_linenumber"), F.lit("]]>"))).otherwise(F.concat(F.lit("a&amp;"), s("l_linenumber")))
     doc = lambda files, p: F.concat(
-        F.lit(f"<{p}TransferFileCephRs xmlns{':' + p[:-1] if p else ''}=\"urn:x\"><{p}RqUID>u"), s("l_orderkey"), F.lit(f"</{p}RqUID><{p}RqTm>"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"),
-        F.lit(f".123456789+03:00</{p}RqTm><{p}ScenarioInfo><{p}ScenarioId>s1</{p}ScenarioId></{p}ScenarioInfo>"), files, F.lit(f"</{p}TransferFileCephRs>"))
+        F.lit(f"<{p}{RECEIPT} xmlns{':' + p[:-1] if p else ''}=\"urn:x\"><{p}RqUID>u"), s("l_orderkey"), F.lit(f"</{p}RqUID><{p}RqTm>"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"),
+        F.lit(f".123456789+03:00</{p}RqTm><{p}ScenarioInfo><{p}ScenarioId>s1</{p}ScenarioId></{p}ScenarioInfo>"), files, F.lit(f"</{p}{RECEIPT}>"))
     file = lambda p, n: F.concat(
         F.lit(f"<{p}File><{p}FileInfo><{p}Name>"), n, F.lit(f"</{p}Name></{p}FileInfo><{p}Status><{p}StatusCode>"), F.when(F.col("p") % 50 == 0, "7").otherwise("0"),
         F.lit(f"</{p}StatusCode><{p}StatusDesc>d</{p}StatusDesc></{p}Status></{p}File>"))
     two = F.concat(file("", name), file("", F.concat(name, F.lit("b"))))
     kind = F.col("p") % 5
     xml = (F.when(kind == 0, F.concat(F.lit("<?xml version=\"1.0\"?>"), doc(two, ""))).when(kind == 1, doc(file("n:", name), "n:"))
-           .when(kind == 2, F.concat(doc(file("", name), ""), F.lit("\n"), doc(file("", F.concat(name, F.lit("c"))), ""))).when(kind == 3, doc(F.lit(""), "")).otherwise(F.lit("<broken")))
+           .when(kind == 2, F.concat(doc(file("", name), ""), F.lit("\n"), doc(file("", F.concat(name, F.lit("c"))), ""))).when(kind == 3, doc(F.lit("<!-- <File><Name>no</Name></File> -->"), ""))
+           .when(F.col("p") % 2 == 0, doc(F.concat(file("", name), F.lit("<Bad>")), "")).otherwise(F.lit("<broken")))
     return li.select(F.col("l_orderkey").alias("msg_id"), F.col("l_linenumber").alias("part_no"), F.col("at").alias("received_at"), xml.alias("raw_xml"))
 
 
@@ -152,7 +155,7 @@ rc AS (SELECT l_orderkey AS msg_id, l_linenumber::BIGINT AS part_no, rcv, CASE W
 
 @query("parse_receipt", f"WITH {_MSG} SELECT msg_id, part_no, rq_uid, file_name, CAST(status_code AS BIGINT) AS status_code, status_desc, rq_tm::VARCHAR AS rq_tm FROM rc")
 def _(t):
-    return D.parse_receipt(messages(t)).select("msg_id", "part_no", "rq_uid", "file_name", "status_code", "status_desc", "rq_tm")
+    return D.parse_receipt(messages(t), RECEIPT).select("msg_id", "part_no", "rq_uid", "file_name", "status_code", "status_desc", "rq_tm")
 
 
 _LATEST = "rl AS (SELECT * FROM rc QUALIFY row_number() OVER (PARTITION BY rq_uid, file_name ORDER BY rcv DESC, status_code DESC) = 1)"
@@ -160,7 +163,7 @@ _LATEST = "rl AS (SELECT * FROM rc QUALIFY row_number() OVER (PARTITION BY rq_ui
 
 @query("receipts_upsert", f"WITH {_MSG}, {_LATEST} SELECT rq_uid, file_name, CAST(status_code AS BIGINT) AS status_code, rcv::VARCHAR AS received_at FROM rl")
 def _(t):
-    return D.receipts_latest(D.parse_receipt(messages(t))).select("rq_uid", "file_name", "status_code", "received_at")
+    return D.receipts_latest(D.parse_receipt(messages(t), RECEIPT)).select("rq_uid", "file_name", "status_code", "received_at")
 
 
 @query("package_confirm", f"""WITH {_SENT}, {_MSG}, {_LATEST}, b AS (SELECT rq_uid, bool_or(status_code <> 0) AS bad FROM rl GROUP BY 1),
@@ -170,13 +173,13 @@ SELECT replica, package_ts::VARCHAR AS package_ts, files, bad, answered, not_sen
 def _(t):
     s = sent(t)
     files = s.select("replica", "package_ts", "rq_uid").distinct()
-    return D.package_confirm(files, s, D.parse_receipt(messages(t)), ["replica", "package_ts"])
+    return D.package_confirm(files, s, D.parse_receipt(messages(t), RECEIPT), ["replica", "package_ts"])
 
 
 @query("stale_sent", f"""WITH {_SENT}, {_MSG} SELECT rq_uid, file_name, CAST(floor(epoch(TIMESTAMP '{AS_OF}' - notified_at) / 60) AS BIGINT) AS waiting_min FROM s
 WHERE notified_at < TIMESTAMP '{AS_OF}' - INTERVAL 60 MINUTE AND rq_uid NOT IN (SELECT rq_uid FROM rc)""")
 def _(t):
-    return D.stale_sent(sent(t), D.parse_receipt(messages(t)), AS_OF, 60).select("rq_uid", "file_name", "waiting_min")
+    return D.stale_sent(sent(t), D.parse_receipt(messages(t), RECEIPT), AS_OF, 60).select("rq_uid", "file_name", "waiting_min")
 
 
 @query("missing_objects", f"WITH {_SENT} SELECT scenario_id, file_name FROM s WHERE (scenario_id, o_orderkey) NOT IN (SELECT (substr(o_orderpriority, 1, 1), o_orderkey) FROM orders WHERE o_custkey % 2 = 0)")
@@ -190,4 +193,4 @@ def _(t):
 
 @query("multi_file_receipts", f"WITH {_MSG} SELECT rq_uid, count(DISTINCT file_name) AS files FROM rc GROUP BY 1 HAVING count(DISTINCT file_name) > 1")
 def _(t):
-    return D.multi_file_receipts(D.parse_receipt(messages(t)))
+    return D.multi_file_receipts(D.parse_receipt(messages(t), RECEIPT))

@@ -14,7 +14,7 @@ def _src(t):
 
 
 _DUE_SQL = """due AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE o_orderdate::DATE > DATE '2000-01-01' OR o_orderdate > TIMESTAMP '2001-07-30'
-  UNION SELECT o_orderdate::DATE FROM orders WHERE o_custkey % 100 = 1 ORDER BY 1 LIMIT 100)"""
+  UNION SELECT o_orderdate::DATE FROM orders WHERE o_custkey % 100 = 1)"""
 _BODY_SQL = "body AS (SELECT DISTINCT 'orders' AS wf_name, o_orderdate::DATE::VARCHAR AS wf_key, '{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\",\"o_orderpriority\":\"' || o_orderpriority || '\"}' AS wf_data FROM orders WHERE o_orderdate::DATE IN (SELECT d FROM due))"
 
 
@@ -180,13 +180,13 @@ SELECT _gp_name, count(*) AS row_cnt, min(_gp_id) AS min_id, max(_gp_id) AS max_
   count(DISTINCT _gp_key) AS cnt_key, any_value(ids) AS ids, CASE WHEN _gp_name LIKE '\\_%' ESCAPE '\\' THEN '_ignored' WHEN _gp_name IN ('ev_click', 'parts') THEN 'process_' || _gp_name ELSE '_other' END AS route
 FROM fr JOIN sm USING (_gp_name) GROUP BY _gp_name""")
 def _(t):
-    r = X.route_flows(envelope(t), _load_entries(t), ["ev_click", "parts"])
+    r = X.route_flows(envelope(t), _load_entries(t), ["ev_click", "parts"], 10)
     return r.withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 
 @query("route_branches", "SELECT * FROM (SELECT DISTINCT CASE WHEN event_type = 'click' THEN 'process_ev_click' ELSE '_other' END AS route FROM events WHERE event_id // 100 > 5) UNION SELECT 'process_parts' FROM part")
 def _(t):
-    return X.route_branches(X.route_flows(envelope(t), _load_entries(t), ["ev_click", "parts"]))
+    return X.route_branches(X.route_flows(envelope(t), _load_entries(t), ["ev_click", "parts"], 10))
 
 
 _EV_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("even", T.BooleanType()), T.StructField("list", T.ArrayType(T.LongType()))])

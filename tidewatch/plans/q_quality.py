@@ -271,12 +271,11 @@ def _(t):
 
 
 @query("reconcile_last", _RECON + """, l AS (SELECT * FROM m WHERE (name, id) IN (SELECT (name, max(id)) FROM m GROUP BY name)),
-x AS (SELECT name, key, sum(expected) + 0 AS expected FROM l GROUP BY ALL), y AS (SELECT name, key, sum(actual) AS actual FROM a WHERE (name, id) IN (SELECT (name, max(id)) FROM m GROUP BY name) GROUP BY ALL)
+x AS (SELECT name, key, sum(expected) + 0 AS expected FROM l GROUP BY ALL), y AS (SELECT name, key, sum(actual) AS actual FROM a WHERE (name, id) IN (SELECT (name, max(id)) FROM a GROUP BY name) GROUP BY ALL)
 SELECT name, key, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual, expected IS NOT DISTINCT FROM actual AND coalesce(actual, 0) > 0 AS is_ok FROM x LEFT JOIN y USING (name, key)""")
 def _(t):
     meta, target = _recon(t)
-    newest = meta.groupBy("name").agg(F.max("id").alias("id"))
-    return Q.reconcile_counts(meta, target.join(newest, ["name", "id"], "left_semi"), how="left", with_id=False, last_id=True, not_empty=True)
+    return Q.reconcile_counts(meta, target, how="left", with_id=False, last_source_id=True, last_target_id=True, not_empty=True)
 
 
 @query("unique_check", "SELECT user_id, event_type, props, count(*) AS cnt FROM events GROUP BY ALL HAVING count(*) > 1")

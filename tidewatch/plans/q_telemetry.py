@@ -162,7 +162,7 @@ x AS (SELECT dg.dag_id, is_paused, CASE WHEN dag_id % 3 <> 0 THEN dag_id % 400 E
 SELECT dag_id, tasks, max_ti, size, CASE WHEN size = 0 THEN 'unknown' WHEN size <= 1 THEN '1' WHEN size <= 3 THEN '2–3' WHEN size <= 10 THEN '4–10' WHEN size <= 30 THEN '11–30' WHEN size <= 100 THEN '31–100' WHEN size <= 300 THEN '101–300' ELSE '>300' END AS class, size > 300 AS alert FROM y""")
 def _(t):
     d = t.customer.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("dag_id"), (F.col("c_custkey") % 400).alias("tasks"))
-    return T.dag_size(dags(t), d, runs(t), tasks(t)).drop("is_paused")
+    return T.dag_size(dags(t), d, runs(t), tasks(t), [1, 3, 10, 30, 100, 300]).drop("is_paused")
 
 
 @query("change_activity", f"""WITH u AS (SELECT o_custkey AS k, max(o_orderdate) AS lu, min(o_orderdate) + INTERVAL 1200 DAY AS lp FROM orders GROUP BY 1), a AS (SELECT *, TIMESTAMP '{AS_OF}' AS n FROM u)
