@@ -55,19 +55,20 @@ def _(t):
 # One measurement per object: its last day, with a jump for one of the objects.
 _CASES_SQL = f"""
 h AS {I.GROWTH_SQL}, c AS {I.GROWTH_CONFIG_SQL},
-m AS (SELECT object, max(key_date) AS md, arg_max(rows_count, key_date) + CASE WHEN object LIKE '3%' THEN 5000 ELSE 0 END AS mr FROM h GROUP BY object),
+m0 AS (SELECT object, max(key_date) AS md, arg_max(rows_count, key_date) + CASE WHEN object LIKE '3%' THEN 5000 ELSE 0 END AS mr FROM h GROUP BY object),
+m AS (SELECT object, 7 AS lid, md, mr FROM m0 UNION ALL SELECT object, 6, md - 10, mr - 300 FROM m0),
 j AS (SELECT * FROM h JOIN m USING (object) JOIN c USING (object) WHERE key_date < md AND NOT list_contains(z_error, key_date)
   AND key_date >= coalesce(beg, DATE '1900-01-01') AND (hist IS NULL OR (mr <= hist AND rows_count BETWEEN 0 AND hist) OR (mr > hist AND rows_count > hist))
   AND (value IS NULL OR value BETWEEN coalesce(zmin, -9000000000) AND coalesce(zmax, 9000000000))),
 base AS (SELECT * FROM j WHERE key_date <= md - coalesce(interval_days, 1) AND (value IS NULL OR NOT (coalesce(skip, true) AND value = 0))
-  QUALIFY row_number() OVER (PARTITION BY object ORDER BY key_date DESC) = 1),
-sc AS (SELECT m.object, m.md, m.mr, m.md - b.key_date AS gap, (m.mr - b.rows_count) // (m.md - b.key_date) AS val, b.key_date AS last_date, b.rows_count AS last_rows,
-  b.avg AS lavg, b.std AS lstd, b.cnt AS lcnt, b.min AS lmin, b.max AS lmax FROM m LEFT JOIN base b USING (object)),
-pts AS (SELECT object, value FROM (SELECT object, value, dots, row_number() OVER (PARTITION BY object ORDER BY key_date DESC) AS n FROM j
+  QUALIFY row_number() OVER (PARTITION BY object, lid ORDER BY key_date DESC) = 1),
+sc AS (SELECT m.object, m.lid, m.md, m.mr, m.md - b.key_date AS gap, (m.mr - b.rows_count) // (m.md - b.key_date) AS val, b.key_date AS last_date, b.rows_count AS last_rows,
+  b.avg AS lavg, b.std AS lstd, b.cnt AS lcnt, b.min AS lmin, b.max AS lmax FROM m LEFT JOIN base b USING (object, lid)),
+pts AS (SELECT object, lid, value FROM (SELECT object, lid, value, dots, row_number() OVER (PARTITION BY object, lid ORDER BY key_date DESC) AS n FROM j
     WHERE value IS NOT NULL AND NOT (coalesce(skip, true) AND value = 0) AND (ztest OR list_contains(z_except, key_date)))
-  WHERE n <= coalesce(dots, 90) UNION ALL SELECT object, val FROM sc WHERE last_date IS NOT NULL),
-ag AS (SELECT object, avg(value) AS av, stddev_pop(value) AS sd, count(value) AS cn, min(value) AS mn, max(value) AS mx FROM pts GROUP BY object),
-z AS (SELECT *, (val - av) / coalesce(nullif(sd, 0), 1) AS zs, sd / nullif(av, 0) AS stab FROM sc LEFT JOIN ag USING (object) JOIN c USING (object)),
+  WHERE n <= coalesce(dots, 90) UNION ALL SELECT object, lid, val FROM sc WHERE last_date IS NOT NULL),
+ag AS (SELECT object, lid, avg(value) AS av, stddev_pop(value) AS sd, count(value) AS cn, min(value) AS mn, max(value) AS mx FROM pts GROUP BY object, lid),
+z AS (SELECT *, (val - av) / coalesce(nullif(sd, 0), 1) AS zs, sd / nullif(av, 0) AS stab FROM sc LEFT JOIN ag USING (object, lid) JOIN c USING (object)),
 v AS (SELECT *, CASE WHEN list_contains(z_except, md) THEN true WHEN list_contains(z_error, md) THEN false WHEN md < beg THEN NULL
   WHEN last_date IS NULL THEN true WHEN val < zmin OR val > zmax THEN false
   WHEN abs(stab) < 0.01 AND zs BETWEEN coalesce(zfr, -10) AND 10 THEN true WHEN zs BETWEEN coalesce(zfr, -5) AND 5 THEN true ELSE false END AS ok FROM z)"""
@@ -79,7 +80,9 @@ def _case_inputs(t):
         F.max("key_date").alias("key_date"),
         (F.max_by("rows_count", "key_date") + F.when(F.col("object").startswith("3"), 5000).otherwise(0)).alias("rows_count"),
     ).select("*", F.lit(AS_OF).cast("timestamp").alias("ts"), F.lit(7).cast("bigint").alias("log_id"))
-    return h, I.growth_config(t), m
+    # Every object is measured twice in the batch.
+    earlier = m.select("object", F.date_sub("key_date", 10).alias("key_date"), (F.col("rows_count") - 300).alias("rows_count"), "ts", F.lit(6).cast("bigint").alias("log_id"))
+    return h, I.growth_config(t), m.unionByName(earlier)
 
 
 @query("ztest_baseline", f"WITH {_CASES_SQL} SELECT object, last_date::VARCHAR AS last_key_date, last_rows AS last_rows_count, lavg AS last_avg, lcnt AS last_cnt FROM sc")
@@ -103,7 +106,7 @@ def _(t):
 def _(t):
     h, c, m = _case_inputs(t)
     v = Q.ztest_verdict(Q.ztest_score(h, Q.ztest_cases(m, c, AS_OF)))
-    return v.select("object", "ztest", "verdict", F.regexp_extract("msg", r"( value .*rows [\d,]+)", 1).alias("tail"))
+    return v.select("object", "ztest", "verdict", F.regexp_extract("msg", r"( value .*rows [-\d,]+)", 1).alias("tail"))
 
 
 @query("ztest_run", f"""WITH {_CASES_SQL} SELECT object, md::VARCHAR AS key_date, mr AS rows_count, CAST(gap AS BIGINT) AS key_diff, CAST(val AS BIGINT) AS value,
