@@ -114,8 +114,8 @@ def _score(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         rows = pa.ipc.open_stream(packed).read_all()
         for doc, lang, text, text_hash in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "lang", "text", "text_hash")), strict=True):
             perplexity = float(np.exp(-logp[np.searchsorted(g, gram_codes(text).view(np.int64))].mean())) if text else None
-            out.append((doc, lang, perplexity, text_hash))
-    return pd.DataFrame(out, columns=["doc_id", "lang", "perplexity", "text_hash"]).astype({"doc_id": "Int64", "perplexity": "Float64"})
+            out.append((doc, lang, perplexity, len(text or ""), text_hash))
+    return pd.DataFrame(out, columns=["doc_id", "lang", "perplexity", "chars", "text_hash"]).astype({"doc_id": "Int64", "perplexity": "Float64"})
 
 
 def with_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -133,7 +133,7 @@ def with_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
 
 
 def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(doc_id, lang, perplexity, text_hash) of every row of `with_blocks`.
+    """(doc_id, lang, perplexity, chars, text_hash) of every row of `with_blocks`.
 
     A block asks for its distinct grams only, all blocks' grams meet the sharded counts in joins, and the answers
     return to the block: so the shuffle holds the texts once, and grams by block instead of by document.
@@ -141,15 +141,16 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
     wanted = stage(docs.select("block", "text").mapInArrow(_wanted, "block long, g long").distinct(), "quality-grams")
     known = stage(log_probabilities(wanted.select("g").distinct(), model), "quality-logp")
     answers = wanted.join(known, "g").select("block", "g", "logp")
-    return docs.mapInArrow(_packed, "block long, packed binary").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, "doc_id long, lang string, perplexity double, text_hash long")
+    return docs.mapInArrow(_packed, "block long, packed binary").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, "doc_id long, lang string, perplexity double, chars long, text_hash long")
 
 
-def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, margin: float = 1.02, least: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Perplexity of every document under a model of the trusted ones: (doc_id, lang, text_hash, perplexity, threshold, kept).
+def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, margin: float = 1.05, least: int = 20, steady: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Perplexity of every document under a model of the trusted ones: (doc_id, lang, text_hash, perplexity, level, threshold, kept).
 
-    `trusted` holds ids. Four fifths of the trusted documents train the model (all of them, no sample); the others, unseen by it, give
-    for each language the `quantile` of their perplexity. A document is kept up to `margin` times that of its
-    language. Languages with fewer than `least` such documents, and null, use the quantile over all of them.
+    `trusted` holds ids. Four fifths of the trusted documents train the model (all of them, no sample); the others, unseen by
+    it, set a threshold for each language: `margin` times the `quantile` of their level. The level is the perplexity with
+    `steady` characters of the language's typical one added, so that a few characters by chance don't condemn a short
+    text. Languages with fewer than `least` such documents, and null, use the figures over all of them.
 
     Null or empty text has no perplexity and isn't kept. Without trusted text there is no threshold and everything with
     text is kept. Repeated rows come back each; `text_hash` tells rows with one id apart. Extra columns are ignored.
@@ -160,8 +161,19 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, margin
     model = train(docs.where(~held_out).join(ids, "doc_id", "left_semi"))
     scored = stage(perplexities(docs, model), "perplexities")
     ruler = scored.where(held_out).join(ids, "doc_id", "left_semi").where("perplexity is not null")
-    overall = ruler.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
-    by_lang = ruler.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("size")).where((F.col("size") >= least) & F.col("lang").isNotNull())
-    out = scored.join(by_lang.select("lang", "own"), "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")) * margin)
-    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return out.select("doc_id", "lang", "text_hash", "perplexity", "threshold", kept.alias("kept"))
+
+    def by_language(rows: DataFrame, figure, name: str) -> tuple[DataFrame, float | None]:
+        """A figure by language, and over all."""
+        own = rows.groupBy("lang").agg(figure.alias(name), F.count("*").alias("rows")).where((F.col("rows") >= least) & F.col("lang").isNotNull())
+        return own.drop("rows"), rows.agg(figure).first()[0]
+
+    def with_figure(rows: DataFrame, figures: tuple[DataFrame, float | None], name: str) -> DataFrame:
+        return rows.join(figures[0], "lang", "left").withColumn(name, F.coalesce(name, F.lit(figures[1]).cast("double")))
+
+    typical = by_language(ruler, F.avg(F.log("perplexity")), "typical")
+    level = F.exp((F.col("chars") * F.log("perplexity") + steady * F.col("typical")) / (F.col("chars") + steady))
+    level = F.coalesce(level, F.col("perplexity"))
+    limits = by_language(with_figure(ruler, typical, "typical").withColumn("level", level), F.percentile_approx("level", quantile, 10_000), "threshold")
+    out = with_figure(with_figure(scored, typical, "typical").withColumn("level", level), limits, "threshold").withColumn("threshold", F.col("threshold") * margin)
+    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("level") <= F.col("threshold"), F.lit(True))
+    return out.select("doc_id", "lang", "text_hash", "perplexity", "level", "threshold", kept.alias("kept"))
