@@ -37,11 +37,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near copies."""
+    """Keep the smallest id of each group of near copies; of rows repeating an id, the one with the greatest text."""
     from tidewatch.llm.ngram_join import near_duplicates
 
     copies = near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
-    return _without(docs, copies)
+    kept = _without(docs, copies)
+    named = kept.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    one = named.groupBy("doc_id").agg(F.max(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return one.unionByName(kept.where("doc_id is null")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
