@@ -271,6 +271,7 @@ def ztest_view(history: DataFrame, config: DataFrame) -> DataFrame:
 # --- uniqueness, counts, fingerprints ---------------------------------------------------------
 
 INDEX_BUCKET = 4096
+MOMENT_BUCKETS = 128
 
 
 def chk_uniq(df: DataFrame, keys: list[str], from_col: str | None = None, to_col: str | None = None,
@@ -287,8 +288,10 @@ def chk_uniq(df: DataFrame, keys: list[str], from_col: str | None = None, to_col
 
     rows = df.select(*keys, F.col(from_col).cast("timestamp").alias("f"), F.col(to_col).cast("timestamp").alias("t"))
     moments = rows.select(F.explode(F.array("f", "t")).alias("cd")).filter("cd is not null").distinct()
-    numbered = bucketed_running(
-        moments.withColumn("_one", F.lit(1).cast("bigint")), [], "cd", "_one", F.to_date("cd"), "pos").select("cd", "pos")
+    # Buckets of nearly equal size whatever the dates: each moment's place among quantiles of all moments.
+    cuts = moments.agg(F.percentile_approx(F.unix_micros("cd"), [i / MOMENT_BUCKETS for i in range(1, MOMENT_BUCKETS)], 10_000).alias("_cuts"))
+    placed = moments.crossJoin(F.broadcast(cuts)).withColumn("_place", F.size(F.filter("_cuts", lambda c: c <= F.unix_micros("cd")))).drop("_cuts")
+    numbered = bucketed_running(placed.withColumn("_one", F.lit(1).cast("bigint")), [], "cd", "_one", F.col("_place"), "pos").select("cd", "pos")
     steps = (
         rows.filter("f <= t")
         .select(*keys, F.explode(F.array(
@@ -297,7 +300,7 @@ def chk_uniq(df: DataFrame, keys: list[str], from_col: str | None = None, to_col
         )).alias("s"))
         .select(*keys, "s.cd", "s.shift", "s.d")
         # Built per partition: a moment shared by many rows is split by the skew handling.
-        .join(numbered.hint("shuffle_hash"), "cd")
+        .join(numbered, "cd")
         .groupBy(*keys, (F.col("pos") + F.col("shift")).alias("pos")).agg(F.sum("d").alias("d"))
     )
     spans = bucketed_running(steps, keys, "pos", "d", F.expr(f"pos div {INDEX_BUCKET}"), "valid", "next_pos")

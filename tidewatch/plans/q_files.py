@@ -44,17 +44,18 @@ def _(t):
 
 def _jsonl(t, bad: bool = False):
     path = scratch_dir(t.spark, "jsonl")
-    line = F.to_json(F.struct(*DOC))
+    line = F.to_json(F.struct(*DOC, "text"))
     if bad:
         line = F.when(F.col("doc_id") % 10 == 3, F.lit('{"doc_id": 1')).otherwise(line)
     t.documents.repartition(4, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
     return path
 
 
-@query("read_jsonl", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("read_jsonl", "SELECT doc_id, lang, source, n_chars, md5(text) AS h FROM documents")
 def _(t):
     items = R.read_jsonl(t.spark, _jsonl(t))
-    return items.select(F.from_json("item", "struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>").alias("d")).select("d.*")
+    d = items.select(F.from_json("item", "struct<doc_id:bigint,lang:string,source:string,n_chars:bigint,text:string>").alias("d")).select("d.*")
+    return d.withColumn("h", F.md5("text")).drop("text")
 
 
 @query("bad_lines", "SELECT count(*) AS bad, true AS numbered FROM documents WHERE doc_id % 10 = 3")
