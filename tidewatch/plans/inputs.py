@@ -158,7 +158,7 @@ def growth_config(t) -> DataFrame:
     o = t.orders.groupBy(F.col("o_orderpriority").alias("object")).agg(F.count("*").alias("n"))
     digit = F.substring("object", 1, 1).cast("int")
     return o.select(
-        "object", (digit != 9).alias("active"), (digit == 1).alias("rollback"),
+        "object", (digit != 9).alias("active"), digit.isin(1, 3, 4).alias("rollback"),
         F.lit(None).cast("int").alias("key"),
         F.when(digit == 2, (F.col("n") / 2).cast("bigint")).alias("hist"),
         F.when(digit == 4, F.lit(0)).cast("bigint").alias("min"),
@@ -174,7 +174,7 @@ def growth_config(t) -> DataFrame:
     )
 
 
-GROWTH_CONFIG_SQL = """(SELECT object, d <> 9 AS active, d = 1 AS rollback, CASE WHEN d = 2 THEN n // 2 END AS hist,
+GROWTH_CONFIG_SQL = """(SELECT object, d <> 9 AS active, d IN (1, 3, 4) AS rollback, CASE WHEN d = 2 THEN n // 2 END AS hist,
   CASE WHEN d = 4 THEN 0 END AS zmin, CASE WHEN d = 4 THEN 100000 END AS zmax,
   CASE WHEN d = 3 THEN 2 END AS interval_days, CASE WHEN d = 5 THEN false END AS skip,
   CASE WHEN d = 3 THEN DATE '1999-01-01' END AS beg, CASE WHEN d = 1 THEN 30 END AS dots,

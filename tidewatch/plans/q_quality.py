@@ -56,7 +56,7 @@ def _(t):
 _CASES_SQL = f"""
 h AS {I.GROWTH_SQL}, c AS {I.GROWTH_CONFIG_SQL},
 m0 AS (SELECT object, max(key_date) AS md, arg_max(rows_count, key_date) + CASE WHEN object LIKE '3%' THEN 5000 ELSE 0 END AS mr FROM h GROUP BY object),
-m AS (SELECT object, 7 AS lid, md, mr FROM m0 UNION ALL SELECT object, 6, md - 10, mr - 300 FROM m0),
+m AS (SELECT object, 7 AS lid, md, mr FROM m0 UNION ALL SELECT object, 6, md - 10, mr + 300 FROM m0),
 j AS (SELECT * FROM h JOIN m USING (object) JOIN c USING (object) WHERE key_date < md AND NOT list_contains(z_error, key_date)
   AND key_date >= coalesce(beg, DATE '1900-01-01') AND (hist IS NULL OR (mr <= hist AND rows_count BETWEEN 0 AND hist) OR (mr > hist AND rows_count > hist))
   AND (value IS NULL OR value BETWEEN coalesce(zmin, -9000000000) AND coalesce(zmax, 9000000000))),
@@ -81,7 +81,7 @@ def _case_inputs(t):
         (F.max_by("rows_count", "key_date") + F.when(F.col("object").startswith("3"), 5000).otherwise(0)).alias("rows_count"),
     ).select("*", F.lit(AS_OF).cast("timestamp").alias("ts"), F.lit(7).cast("bigint").alias("log_id"))
     # Every object is measured twice in the batch.
-    earlier = m.select("object", F.date_sub("key_date", 10).alias("key_date"), (F.col("rows_count") - 300).alias("rows_count"), "ts", F.lit(6).cast("bigint").alias("log_id"))
+    earlier = m.select("object", F.date_sub("key_date", 10).alias("key_date"), (F.col("rows_count") + 300).alias("rows_count"), "ts", F.lit(6).cast("bigint").alias("log_id"))
     return h, I.growth_config(t), m.unionByName(earlier)
 
 
