@@ -20,7 +20,7 @@ from tidewatch.llm.tokens import byte_alphabet
 
 END = ""  # stands for the end-of-word suffix inside the matcher
 LAST = 1 << 60
-CACHED_WORDS = 500_000
+CACHED_WORDS = 350_000
 
 
 class Merges:
@@ -128,7 +128,7 @@ class Tokenizer:
             raise ValueError("only lower-casing vocabularies that drop blanks between words")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.whole = LibraryTokenizer.from_file(path)
+        self.path = path
         self.plain_chars: set[str] = set()
         self.known_words: dict[str, list[int]] = {}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in self.special) + ")")
@@ -160,7 +160,8 @@ class Tokenizer:
                 parts.append((self.special[part],))
             elif part and not part.isascii() and self.strange(part):
                 # Unassigned here: classes and case follow the library's own character tables, merges stay ours.
-                words = self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(part))
+                library = whole(self.path)
+                words = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))
                 parts.append(chain.from_iterable(self.merges.encode(w + END) for w, _ in words))
             elif part:
                 plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
@@ -201,6 +202,12 @@ class _Chunks(dict):
         return ids
 
 
+@cache
+def whole(path: str) -> LibraryTokenizer:
+    """The library's own tokenizer, read only where a text needs its character tables."""
+    return LibraryTokenizer.from_file(path)
+
+
 @cache
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
