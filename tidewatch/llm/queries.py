@@ -22,7 +22,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op2_ngram_jaccard_join")
+_COMPONENTS = """e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS component FROM r GROUP BY node)"""
+
+
+@query("op2_ngram_jaccard_join", rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh FROM w),
+u AS MATERIALIZED (SELECT doc_id, unnest(sh) AS t FROM s), n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+{_COMPONENTS}
+SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id FROM n LEFT JOIN c ON node = doc_id""")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatch.llm.ngram_join import near_duplicates
 
@@ -87,7 +99,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op3_epsilon_grid_join")
+@query("op3_epsilon_grid_join", f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda i: i IS NULL OR NOT isfinite(i))) = 0 AND len(list_filter(x, lambda i: i <> 0)) > 0),
+l AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM g p JOIN g q ON p.vec_id < q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.9),
+{_COMPONENTS}, d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept FROM v LEFT JOIN d ON d.a = vec_id LEFT JOIN c ON node = vec_id""")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatch.llm.vector_join import near_vectors
 
