@@ -522,23 +522,25 @@ def alert_rules(catalog: DataFrame, group: str | None, as_of, backup_until: str
 # --- dependencies and publications ------------------------------------------------------------------
 
 
-def dependency_edges(workflows: DataFrame, mode: str, archive: str) -> DataFrame:
+def dependency_edges(workflows: DataFrame, mode: str, archive: str, own: str, engine: str, inbound: str, file_root: str, event_root: str) -> DataFrame:
     """Who owns the schedule of a workflow, its kind, and one row per active dependency.
 
     ``workflows``: wf_id, category, scheduled, events array<struct<profile, entity_id, active>>, sched,
-    has_condition, tfs_path. ``mode``: ctl, mixed or af.
+    has_condition, inbound_path. ``mode``: own, mixed or engine. Tags are ``own`` or ``engine`` with the kind, ``inbound``
+    for workflows fed by files, or ARCHIVE; dependencies are paths below ``file_root`` or ``event_root``, or a schedule.
     """
-    owns = F.lit(mode == "af") | (F.lit(mode == "mixed") & ~F.coalesce("scheduled", F.lit(False)))
+    owns = F.lit(mode == "own") | (F.lit(mode == "mixed") & ~F.coalesce("scheduled", F.lit(False)))
     some = F.coalesce(F.size("events"), F.lit(0)) > 0
+    fed = F.col("inbound_path").isNotNull()
     kind = F.when(some, "event").when(F.col("sched").isNotNull(), "time").when(F.coalesce("has_condition", F.lit(False)), "condition").otherwise("manual")
-    tag = F.when(F.col("category") == archive, "ARCHIVE").when(F.col("tfs_path").isNotNull(), "AF_tfs-in").otherwise(F.concat(F.when(owns, "AF_").otherwise("CTL_"), kind))
+    tag = F.when(F.col("category") == archive, "ARCHIVE").when(fed, inbound).otherwise(F.concat_ws("_", F.when(owns, own).otherwise(engine), kind))
     w = workflows.withColumn("owns", owns).withColumn("tag", tag)
-    path = F.concat(F.lit("TFS/"), F.regexp_replace("tfs_path", "^/+", ""))
-    active = F.transform(F.filter("events", lambda e: F.coalesce(e["active"], F.lit(True))), lambda e: F.concat_ws("/", F.lit("CTL"), e["profile"], e["entity_id"].cast("string")))
+    path = F.concat_ws("/", F.lit(file_root), F.regexp_replace("inbound_path", "^/+", ""))
+    active = F.transform(F.filter("events", lambda e: F.coalesce(e["active"], F.lit(True))), lambda e: F.concat_ws("/", F.lit(event_root), e["profile"], e["entity_id"].cast("string")))
+    none = F.array().cast("array<string>")
     deps = (
-        F.when(F.col("tag") == "ARCHIVE", F.array().cast("array<string>")).when(F.col("tfs_path").isNotNull(), F.array(path))
-        .when(F.col("owns") & some, active).when(F.col("owns") & F.col("sched").isNotNull(), F.array(F.concat(F.lit("cron "), F.col("sched"))))
-        .otherwise(F.array().cast("array<string>")))
+        F.when(F.col("tag") == "ARCHIVE", none).when(fed, F.array(path)).when(F.col("owns") & some, active)
+        .when(F.col("owns") & F.col("sched").isNotNull(), F.array(F.concat(F.lit("cron "), F.col("sched")))).otherwise(none))
     return w.select("wf_id", "owns", "tag", F.explode_outer(deps).alias("dependency"))
 
 

@@ -348,18 +348,18 @@ def _(t):
 
 
 @query("dependency_edges", """WITH w AS (SELECT p_partkey AS k, p_size AS s, p_brand AS b, p_size % 2 = 0 AS sc FROM part),
-x AS (SELECT *, NOT sc AS owns, s % 3 = 0 AS ev, s % 5 = 0 AS ti, s % 13 = 0 AS tfs, CASE WHEN s % 3 = 0 THEN 'event' WHEN s % 5 = 0 THEN 'time' WHEN s % 7 = 0 THEN 'condition' ELSE 'manual' END AS kind FROM w),
-y AS (SELECT *, CASE WHEN b = 'Brand#1' THEN 'ARCHIVE' WHEN tfs THEN 'AF_tfs-in' ELSE CASE WHEN owns THEN 'AF_' ELSE 'CTL_' END || kind END AS tag FROM x)
-SELECT k AS wf_id, tag, CASE WHEN tag = 'ARCHIVE' THEN NULL WHEN tfs THEN 'TFS/a/' || s WHEN owns AND ev THEN 'CTL/p/' || d WHEN owns AND ti THEN 'cron 0 1 * * *' END AS dependency
-FROM y LEFT JOIN (VALUES (1), (2), (3)) v(d) ON tag <> 'ARCHIVE' AND NOT tfs AND owns AND ev AND (d <> 2 OR s % 4 = 1)""")
+x AS (SELECT *, NOT sc AS owns, s % 3 = 0 AS ev, s % 5 = 0 AS ti, s % 13 = 0 AS fed, CASE WHEN s % 3 = 0 THEN 'event' WHEN s % 5 = 0 THEN 'time' WHEN s % 7 = 0 THEN 'condition' ELSE 'manual' END AS kind FROM w),
+y AS (SELECT *, CASE WHEN b = 'Brand#1' THEN 'ARCHIVE' WHEN fed THEN 'inbound' ELSE CASE WHEN owns THEN 'own_' ELSE 'engine_' END || kind END AS tag FROM x)
+SELECT k AS wf_id, tag, CASE WHEN tag = 'ARCHIVE' THEN NULL WHEN fed THEN 'files/a/' || s WHEN owns AND ev THEN 'events/p/' || d WHEN owns AND ti THEN 'cron 0 1 * * *' END AS dependency
+FROM y LEFT JOIN (VALUES (1), (2), (3)) v(d) ON tag <> 'ARCHIVE' AND NOT fed AND owns AND ev AND (d <> 2 OR s % 4 = 1)""")
 def _(t):
     s = F.col("p_size")
     e = lambda i, a: F.struct(F.lit("p").alias("profile"), F.lit(i).alias("entity_id"), a.alias("active"))
     none = F.lit(None).cast("boolean")
     w = t.part.select(
         F.col("p_partkey").alias("wf_id"), F.col("p_brand").alias("category"), (s % 2 == 0).alias("scheduled"), F.when(s % 3 == 0, F.array(e(1, none), e(2, s % 4 == 1), e(3, F.lit(True)))).alias("events"),
-        F.when(s % 5 == 0, "0 1 * * *").alias("sched"), (s % 7 == 0).alias("has_condition"), F.when(s % 13 == 0, F.concat(F.lit("//a/"), s.cast("string"))).alias("tfs_path"))
-    return C.dependency_edges(w, "mixed", "Brand#1").select("wf_id", "tag", "dependency")
+        F.when(s % 5 == 0, "0 1 * * *").alias("sched"), (s % 7 == 0).alias("has_condition"), F.when(s % 13 == 0, F.concat(F.lit("//a/"), s.cast("string"))).alias("inbound_path"))
+    return C.dependency_edges(w, "mixed", "Brand#1", "own", "engine", "inbound", "files", "events").select("wf_id", "tag", "dependency")
 
 
 @query("publish_stats", """WITH r AS (SELECT o_orderkey AS k, o_custkey AS e, o_orderkey % 4 - 1 AS res FROM orders)
