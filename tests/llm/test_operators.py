@@ -63,6 +63,13 @@ def test_near_duplicates(spark):
             for _ in range(copy * len(own) // 60):
                 own[rng.randrange(len(own))] = rng.choice(words)
             rows.append((100 + base * 10 + copy, " ".join(own + ["tail"] * (copy % 2))))
+    star = [rng.choice(words) for _ in range(120)]  # copies of a text that has a large id itself: the first copies are unlike each other
+    for copy in range(25):
+        own = star[:]
+        for at in rng.sample(range(0, 120, 6), 2):
+            own[at] = rng.choice(words)
+        rows.append((300 + copy, " ".join(own)))
+    rows.append((399, " ".join(star)))
     rows += [(500 + i, "same text for a large group of equal copies") for i in range(40)] + [(600, "w " * 30000)]
     texts = dict(rows)
     ids = [i for i, _ in rows]

@@ -17,6 +17,7 @@ SHINGLE = 5
 SKETCH_WORDS = 8  # 512 bits
 TOKENS_PER_PART = 2.2
 STRETCH = 2000  # texts
+PROPOSERS = 16
 COMMON_SHARE = 0.0005  # a token in this share of all texts counts as common; so there are at most (mean set size / share) of them
 
 
@@ -217,8 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Exact copies of a set are one class, represented by the smallest id. Keys of the classes meet in runs; each run
     first proposes (first member, other member) only. Tokens in many texts are counted first, so that keys avoid them. Of a member's proposals the closest by sketch is verified, then
-    those that would join two components, then - for runs that still hold several components - the remaining
-    pairs that pass the size and sketch bounds. So no link that could change a component is left untested, while pairs inside
+    those that would join two components, then - for runs that still hold several components - pairs with other
+    members and at last all remaining pairs that pass the size and sketch bounds. So no link that could change a component is left untested, while pairs inside
     a component are never listed. Verification compares the whole shingle sets.
 
     Null, empty or blank text: no shingles, alone. Rows with a null id come back with a null component. Of rows repeating
@@ -280,13 +281,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(more)
         comp = stage(components(links, "shingle-components"), "shingle-labels")
 
-    # Runs of three and more that still hold several components: pairs of their other members.
-    inside = labelled(representative(runs, "b").where("a <> b").select("sig", "b").distinct(), "b", "cb", comp)
-    mixed = inside.groupBy("sig").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("lo <> hi").select("sig")
-    inside = stage(inside.join(mixed, "sig").join(sketches.withColumnRenamed("doc_id", "b"), "b"), "shingle-mixed")
+    # Runs of three and more that still hold several components: other members propose pairs, one member a run and
+    # round (one of PROPOSERS orders, so that runs of one group take different ones), which merges what is left of dense groups ...
+    inside = representative(runs, "b").where("a <> b").select("sig", "b").distinct()
+
+    def mixed_runs() -> DataFrame:
+        own = labelled(inside, "b", "cb", comp)
+        mixed = own.groupBy("sig").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("lo <> hi").select("sig")
+        return stage(own.join(mixed, "sig").join(sketches.withColumnRenamed("doc_id", "b"), "b"), "shingle-mixed")
+
+    tested = candidates.select("a", "b")
+    for turn in range(2):
+        inside = mixed_runs()
+        chosen = inside.groupBy("sig").agg(F.min_by(F.struct(*inside.columns), F.xxhash64("b", F.pmod("sig", F.lit(PROPOSERS)), F.lit(turn))).alias("q")).select("q.*")
+        p, q = inside.alias("p"), chosen.alias("q")
+        meet = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.cb") != F.col("q.cb")) & _close("p", "q")
+        late = p.join(q, meet).select(F.least("p.b", "q.b").alias("a"), F.greatest("p.b", "q.b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        late = stage(late, "shingle-late")
+        more = stage(verified(late), "shingle-links")
+        tested, inside = tested.union(late), inside.select("sig", "b")
+        if not more.isEmpty():
+            links = links.union(more)
+            comp = stage(components(links, "shingle-components"), "shingle-labels")
+
+    # ... and then all pairs of members of different components that the bounds allow are verified.
+    inside = mixed_runs()
     p, q = inside.alias("p"), inside.alias("q")
     meet = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.b") < F.col("q.b")) & (F.col("p.cb") != F.col("q.cb")) & _close("p", "q")
-    late = p.join(q, meet).select(F.col("p.b").alias("a"), F.col("q.b").alias("b")).distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    late = p.join(q, meet).select(F.col("p.b").alias("a"), F.col("q.b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more = stage(verified(late), "shingle-links")
     if not more.isEmpty():
         comp = stage(components(links.union(more), "shingle-components"), "shingle-labels")
