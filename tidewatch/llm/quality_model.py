@@ -165,7 +165,7 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, margin
     def by_language(rows: DataFrame, figure, name: str) -> tuple[DataFrame, float | None]:
         """A figure by language, and over all."""
         own = rows.groupBy("lang").agg(figure.alias(name), F.count("*").alias("rows")).where((F.col("rows") >= least) & F.col("lang").isNotNull())
-        return own.drop("rows"), rows.agg(figure).first()[0]
+        return small(own.drop("rows")), rows.agg(figure).first()[0]
 
     def with_figure(rows: DataFrame, figures: tuple[DataFrame, float | None], name: str) -> DataFrame:
         return rows.join(figures[0], "lang", "left").withColumn(name, F.coalesce(name, F.lit(figures[1]).cast("double")))
