@@ -135,6 +135,17 @@ def test_html(html, text):
     assert html_text.Page(html).text() == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<div class="content has-sidebar"><article><p>a</article></div>', "a"), ('<div class="post no-comments"><p>a</div>', "a"), ('<article class="post no-comments"><p>a</article>', "a"),
+    ('<article><h2 id="side-effects">a</h2><section id="related-work"><p>b</section><section id="notice-period">c</section><h3 id="comments">d</h3></article>', "a\nb\nc\nd"),
+    ('<div class="sidebar"><main><p>a</main></div>', "a"), ('<div class="widget"><article>a</article></div><div class="widget">b</div>', "a"),
+    ('<main><p>a<div class="comments"><article>me too</article></div></main>', "a"), ('<div id="comments"><article>a</article></div><div class="sidebar_box nav">b</div>', "a"),
+    ('<article>a<div class="x share_buttons">b</div><ul id="related-posts"><li>c</ul><article class="comment" id="comment-7">d</article></article>', "a"),
+])
+def test_html_parts_by_name(html, text):
+    assert html_text.Page(html).text() == text
+
+
 def test_code_words_differ():
     for n in (1, 2, 3, 4, 5, 12):
         code = language_id.codewords(n)

@@ -22,8 +22,10 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody th
 NEVER = frozenset("head script style textarea title noscript iframe template xmp noembed noframes nav aside footer form button select option dialog menu svg object canvas audio video map label input fieldset".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table div section article aside main body html td th blockquote select form nav header footer".split())
-# Names that pages give to parts beside the article.
-BESIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|masthead|site-?header|page-?header|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|comments?|comment-\w+|disqus|repl(?:y|ies)|respond|share\w*|social\w*|related|recommend\w*|widget|toolbar|pagination|pager|skip-?link)(?=$|[\s_-])", re.I)
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Names that pages give to parts beside the article: a whole class or id, so has-sidebar, no-comments or related-work name none.
+BESIDE = re.compile(r"(?:(?:site|page|main|primary|secondary|global)-)?(?:(?:ad|ads|adbox|advert|adverts|advertisements?|advertising|sponsor|sponsors|sponsored|promos?|promotions?|banners?|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebars?|footer|masthead|topbar|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|login|comments?|disqus|share|sharing|socials?|recommended|recommendations|widgets?|toolbar|pagination|pager)(?:-(?:bar|box|area|block|list|links?|buttons?|icons?|container|wrap|wrapper|banner|popup|modal|form|thread|widget|\d+))*|related(?:-(?:posts?|articles?|links?|stories|news))?|(?:site|page)-?header|skip-?link)", re.I)
+COMMENTS = re.compile(r"(?:div-)?comments?(?:-(?:area|block|box|list|container|wrap|wrapper|thread|body|item|form|reply|respond|\d+))*", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
@@ -39,7 +41,8 @@ class Page:
     def __init__(self, html: str | None, recurring: frozenset[int] = frozenset()):
         self.recurring, self.hashes, self.events = recurring, set(), []
         self.spans: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
-        self.stack: list[list] = []  # tag, names, first event, parts of the hash, whether it is left out, whether it has text
+        self.comments: list[tuple[int, int]] = []  # elements named so that hold articles
+        self.stack: list[list] = []  # tag, names, first event, parts of the hash, whether it is left out, whether it has text, what its name says
         self.open: Counter[str] = Counter()
         self.inside = 0  # open article and main elements
         self._read(html or "")
@@ -84,13 +87,12 @@ class Page:
             self.events.append(None)
         if tag in VOID:
             return
-        names, out = "", tag in NEVER
+        names, out, named = "", tag in NEVER, ""
         for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
             name, value = name.lower(), next(filter(None, values), "")
             if name in ("class", "id"):
                 names += f" {value}"
-                out |= tag not in ("html", "body", "main", "article") and BESIDE.search(value) is not None
-                out |= tag == "article" and re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", value, re.I) is not None
+                named = named or self._named(tag, name, value)
             elif name == "role":
                 out |= value.lower() in ROLES
             else:
@@ -98,7 +100,19 @@ class Page:
         out |= tag == "header" and not self.inside
         self.inside += tag in self.spans
         self.open[tag] += 1
-        self.stack.append([tag, names, len(self.events), [], out, False])
+        self.stack.append([tag, names, len(self.events), [], out, False, named])
+
+    def _named(self, tag: str, name: str, value: str) -> str:
+        """"comments" or "beside" where a class or an id names a part beside the article, else nothing.
+
+        Ids of headings and sections are targets of links, and so are those of text inside an article or main element.
+        """
+        if tag in ("html", "body", "main") or tag in HEADING or tag == "section" and (self.inside or name == "id") or name == "id" and self.inside and (tag in PROSE or tag not in BLOCK):
+            return ""
+        tokens = [re.sub("[_-]+", "-", x) for x in value.split()]
+        if any(COMMENTS.fullmatch(x) for x in tokens):
+            return "comments"
+        return "beside" if tag != "article" and any(BESIDE.fullmatch(x) for x in tokens) else ""
 
     def _end(self, tag: str) -> None:
         if self.open[tag]:
@@ -115,7 +129,7 @@ class Page:
                 return
 
     def _close(self) -> str:
-        tag, names, first, parts, out, has_text = self.stack.pop()
+        tag, names, first, parts, out, has_text, named = self.stack.pop()
         self.inside -= tag in self.spans
         self.open[tag] -= 1
         h = xxhash.xxh3_64_intdigest("\x00".join((tag, names, *parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -125,24 +139,39 @@ class Page:
         if tag in BLOCK and has_text and tag not in ("html", "body", "main", "article") and not (self.inside and tag in PROSE):
             self.hashes.add(h)
             out |= h in self.recurring
+        holds = {kind for kind, spans in self.spans.items() if spans and spans[-1][0] >= first}
+        out |= named != "" and not holds
         if out:
             del self.events[first:]
-            for spans in self.spans.values():
+            for spans in (*self.spans.values(), self.comments):
                 while spans and spans[-1][0] >= first:
                     spans.pop()
-        elif tag in self.spans:
-            self.spans[tag].append((first, len(self.events)))
+        else:
+            if tag in self.spans:
+                self.spans[tag].append((first, len(self.events)))
+            if named == "comments" and holds == {"article"}:
+                self.comments.append((first, len(self.events)))
         if tag in BLOCK:
             self.events.append(None)
         return tag
 
     def text(self) -> str:
-        """Blocks of the article elements, or else of the main element, or else of the page, one a line."""
-        spans = next((s for s in (self.spans["article"], self.spans["main"]) if any(self._some(a, b) for a, b in s)), [(0, len(self.events))])
-        top = [s for s in sorted(spans) if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)] if len(spans) < 200 else [(min(a for a, _ in spans), max(b for _, b in spans))]
+        """Blocks of the article elements, or else of the main element, or else of the page, one a line.
+
+        Articles inside elements named as comments count for nothing, unless there is no other article or main text: then the page is taken.
+        """
+        events = list(self.events)
+        for a, b in self._top(self.comments):
+            events[a:b] = [None] * (b - a)
+        for spans in (self.spans["article"], self.spans["main"]):
+            top = self._top(spans)
+            if any(x is not None and x.strip() for a, b in top for x in events[a:b]):
+                break
+        else:
+            top, events = [(0, len(self.events))], self.events
         blocks, block = [], []
         for a, b in top:
-            for x in (*self.events[a:b], None):
+            for x in (*events[a:b], None):
                 if x is None:
                     if line := " ".join("".join(block).split()):
                         blocks.append(line)
@@ -151,9 +180,9 @@ class Page:
                     block.append(x)
         return "\n".join(blocks)
 
-    def _some(self, a: int, b: int) -> bool:
-        return any(x is not None and x.strip() for x in self.events[a:b])
-
+    @staticmethod
+    def _top(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return [s for s in sorted(spans) if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)] if len(spans) < 200 else [(min(a for a, _ in spans), max(b for _, b in spans))]
 
 def host_of(url):
     """Host of a URL column, lower-cased, without user and port; null where there is none."""
@@ -202,7 +231,8 @@ def main_text(pages: DataFrame, share: float = 0.1, least: int = 5, broadcast_ha
     Element subtrees are hashed bottom-up (tag, class, id, texts and children), counted per host, and those recurring across
     the host's pages are deleted. Within an article or main element only containers are deleted so, never the paragraphs, headings, list items and
     table cells themselves. Elements that are never text (scripts, forms, navigation and the like) or are
-    named as beside the text go too. Of the rest, article elements are taken, else the main element, else the page. Character references are decoded,
+    named as beside the text go too, by a whole class or id, unless they hold an article or main element or are headings or sections
+    inside one. Of the rest, article elements are taken, else the main element, else the page. Character references are decoded,
     white space in a block becomes one blank.
 
     Null html is empty text. Pages without a host share no template. Repeated rows come back each; extra columns are
