@@ -146,6 +146,15 @@ def test_html_parts_by_name(html, text):
     assert html_text.Page(html).text() == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<p title="the hidden river">a</p>', "a"), ('<p><a title="a hidden gem" href=x>a</a>', "a"), ('<div data-note="x hidden y">a</div>', "a"), ("<div data-note=' class=ad hidden '>a</div>", "a"),
+    ('<p title="x hidden>a', "a"), ("<div data-hidden title=hidden>a</div>", "a"),
+    ("<p hidden>a</p>b", "b"), ('<p title="x"hidden>a</p>b', "b"), ("<div ARIA-HIDDEN = 'true'>a</div>b", "b"), ('<div aria-hidden="false">a</div>', "a"), ('<p title="a>b" class=ad hidden="">a</p>b', "b"),
+])
+def test_html_attributes(html, text):
+    assert html_text.Page(html).text() == text
+
+
 def test_code_words_differ():
     for n in (1, 2, 3, 4, 5, 12):
         code = language_id.codewords(n)

@@ -29,7 +29,8 @@ COMMENTS = re.compile(r"(?:div-)?comments?(?:-(?:area|block|box|list|container|w
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""", re.I)
+# One attribute: names and values are read in turn, so no name is found inside a value.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 
 
 class Page:
@@ -96,7 +97,7 @@ class Page:
             elif name == "role":
                 out |= value.lower() in ROLES
             else:
-                out |= name == "hidden" or value.lower() == "true"
+                out |= name == "hidden" or name == "aria-hidden" and value.lower() == "true"
         out |= tag == "header" and not self.inside
         self.inside += tag in self.spans
         self.open[tag] += 1
