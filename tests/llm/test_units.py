@@ -155,6 +155,12 @@ def test_html_attributes(html, text):
     assert html_text.Page(html).text() == text
 
 
+@pytest.mark.parametrize("n", [2, 199, 200, 1000])
+def test_html_text_between_articles(n):
+    html = "".join(f"<article><p>a{i}<article>b{i}</article></article><p>between" for i in range(n))
+    assert html_text.Page(html).text() == "\n".join(f"a{i}\nb{i}" for i in range(n))
+
+
 def test_code_words_differ():
     for n in (1, 2, 3, 4, 5, 12):
         code = language_id.codewords(n)

@@ -183,7 +183,12 @@ class Page:
 
     @staticmethod
     def _top(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        return [s for s in sorted(spans) if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)] if len(spans) < 200 else [(min(a for a, _ in spans), max(b for _, b in spans))]
+        """The outermost of nested spans."""
+        top: list[tuple[int, int]] = []
+        for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if not top or a >= top[-1][1]:
+                top.append((a, b))
+        return top
 
 def host_of(url):
     """Host of a URL column, lower-cased, without user and port; null where there is none."""
