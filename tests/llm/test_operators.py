@@ -298,6 +298,20 @@ def test_html_templates(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_hashes", [2_000_000, 0])
+def test_html_templates_of_large_hosts(spark, broadcast_hashes):
+    def page(i):
+        menu = "<div><p>Menu of a section</p></div>" if i < 60 else "<div><p>Box of few pages</p></div>" if i < 100 else ""
+        return f"<article>{menu}<p>Own {i}</p><p>Notice on all</p>{'<p>On most</p>' if i % 3 else ''}</article>"
+
+    rows = [(i, f"http://large.example.com/{i}", page(i)) for i in range(700)] + [(i, f"http://small.example.com/{i}", page(i)) for i in range(700, 704)] + [(i, None, page(1)) for i in range(800, 810)] + [(900, "http://large.example.com/", None)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(frame(spark, rows, "page_id long, url string, html string"), broadcast_hashes=broadcast_hashes).collect()}
+    most = lambda i: "\nOn most" if i % 3 else ""
+    want = {i: ("Box of few pages\n" if 60 <= i < 100 else "") + f"Own {i}" + most(i) for i in range(700)}
+    want |= {i: f"Own {i}\nNotice on all" + most(i) for i in range(700, 704)} | {i: "Menu of a section\nOwn 1\nNotice on all\nOn most" for i in range(800, 810)} | {900: ""}
+    assert got == want
+
+
 def test_chat(spark):
     rng = random.Random(11)
     turns = [(c, t, rng.choice(("user", "assistant", "system", "Human", "gpt", "tool", None)), f"t{c}-{t}") for c in range(30) for t in range(rng.randrange(1, 9))]

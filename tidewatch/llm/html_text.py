@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
 from html import unescape
 
 import numpy as np
@@ -36,10 +38,11 @@ ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)(?:"|\Z)|'(
 class Page:
     """Elements of a page as they close: subtree hashes, and text blocks outside the elements left out.
 
-    A single pass with a stack, so neither depth nor length of a page matters.
+    A single pass with a stack, so neither depth nor length of a page matters. Hashes of paragraphs, headings, list items and
+    table cells inside an article or main element are odd, all others even.
     """
 
-    def __init__(self, html: str | None, recurring: frozenset[int] = frozenset()):
+    def __init__(self, html: str | None, recurring: Container[int] = frozenset()):
         self.recurring, self.hashes, self.events = recurring, set(), []
         self.spans: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
         self.comments: list[tuple[int, int]] = []  # elements named so that hold articles
@@ -137,9 +140,10 @@ class Page:
         if self.stack:
             self.stack[-1][3].append(f"\x01{h}")
             self.stack[-1][5] |= has_text
-        if tag in BLOCK and has_text and tag not in ("html", "body", "main", "article") and not (self.inside and tag in PROSE):
-            self.hashes.add(h)
-            out |= h in self.recurring
+        if tag in BLOCK and has_text and tag not in ("html", "body", "main", "article"):
+            key = h & ~1 | (self.inside > 0 and tag in PROSE)
+            self.hashes.add(key)
+            out |= key in self.recurring
         holds = {kind for kind, spans in self.spans.items() if spans and spans[-1][0] >= first}
         out |= named != "" and not holds
         if out:
@@ -196,58 +200,91 @@ def host_of(url):
     return F.when(host != "", host)
 
 
+class Keys:
+    """Hashes of a site's subtrees among the sorted hashes of all sites."""
+
+    def __init__(self, keys: array, site: int):
+        self.keys, self.site = keys, site
+
+    def __contains__(self, h: int) -> bool:
+        h ^= self.site
+        i = bisect_left(self.keys, h)
+        return i < len(self.keys) and self.keys[i] == h
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, 200):
-        hosts, hashes, owners = [], [], []
-        for host, html, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("page").to_pylist(), strict=True):
+        sites, hashes, owners = [], [], []
+        for site, html, page in zip(b.column("site").to_pylist(), b.column("html").to_pylist(), b.column("page").to_pylist(), strict=True):
             own = Page(html).hashes
-            hosts += [host] * len(own)
+            sites += [site] * len(own)
             owners += [page] * len(own)
-            hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(hashes, np.int64)), pa.array(np.array(owners, np.int64))], names=["host", "h", "page"])
+            hashes += [h ^ site for h in own]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (sites, hashes, owners)], names=["site", "h", "page"])
+
+
+def site_subtrees(pages: DataFrame) -> DataFrame:
+    """(site, h, page): block subtrees of the different pages of each site; h is mixed with the site, so it names both."""
+    return pages.where("site is not null and html is not null").select("site", "html", "page").mapInArrow(_subtrees, "site long, h long, page long").distinct()
 
 
-def site_templates(pages: DataFrame, share: float, least: int) -> DataFrame:
-    """(host, recurring): hashes of block subtrees found in at least `least` pages and `share` of the pages of a host.
+def site_templates(pages: DataFrame, share: float, least: int, many: int, nearly: float) -> DataFrame:
+    """(h): subtrees found in at least `least` pages of a site, and in `many` of them or a `share` of the site's pages.
 
-    Equal pages of a host count once. A host has at most (subtrees of a page) / share such hashes, however many pages
-    it has. Counts are taken per task before they are shuffled, so a host with most of the pages is spread over them.
+    Prose inside an article or main element must be in the share `nearly` of the site's pages instead. Equal pages of a
+    site count once. Counts are taken per task before they are shuffled, so a site with most of the pages is spread over them.
     """
-    known = pages.where("host is not null and html is not null").select("host", "html", F.xxhash64("html").alias("page"))
-    sizes = known.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    found = known.mapInArrow(_subtrees, "host string, h long, page long").distinct()
-    often = found.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
-    return often.groupBy("host").agg(F.collect_list("h").alias("recurring"))
+    sizes = pages.where("site is not null and html is not null").select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages"))
+    often = site_subtrees(pages).groupBy("site", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(sizes, "site")
+    enough = F.when(F.col("h").bitwiseAND(1) == 1, F.col("pages") * nearly).otherwise(F.least(F.col("pages") * share, F.lit(float(many))))
+    return often.where(F.col("n") >= enough).select("h")
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple = (None, frozenset())
-    for b in pieces(batches, 200):
-        texts = []
-        for host, html, recurring in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("recurring"), strict=True):
-            if last[0] != host or host is None:
-                last = (host, frozenset(recurring.as_py() or ()))
-            texts.append(Page(html, last[1]).text())
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+def _extract(recurring_of: Callable[[pa.RecordBatch], Iterator[Container[int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 200):
+            texts = [Page(html, recurring).text() for html, recurring in zip(b.column("html").to_pylist(), recurring_of(b), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
 
+def _listed(b: pa.RecordBatch) -> Iterator[Container[int]]:
+    for site, own in zip(b.column("site").to_pylist(), b.column("recurring").to_pylist(), strict=True):
+        yield frozenset(h ^ site for h in own or ())
 
-def main_text(pages: DataFrame, share: float = 0.1, least: int = 5, broadcast_hashes: int = 2_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+
+def main_text(pages: DataFrame, share: float = 0.1, least: int = 5, broadcast_hashes: int = 2_000_000, many: int = 50, nearly: float = 0.9, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): blocks of the main text in page order, one a line.
 
     Element subtrees are hashed bottom-up (tag, class, id, texts and children), counted per host, and those recurring across
-    the host's pages are deleted. Within an article or main element only containers are deleted so, never the paragraphs, headings, list items and
-    table cells themselves. Elements that are never text (scripts, forms, navigation and the like) or are
+    the host's pages are deleted: from `least` pages on where that is a `share` of the host's pages, and from `many` pages on
+    however large the host is. Within an article or main element only containers are deleted so; paragraphs, headings, list items
+    and table cells themselves go where the share `nearly` of the host's pages has them. Elements that are never text (scripts, forms, navigation and the like) or are
     named as beside the text go too, by a whole class or id, unless they hold an article or main element or are headings or sections
     inside one. Of the rest, article elements are taken, else the main element, else the page. Character references are decoded,
     white space in a block becomes one blank.
 
+    Up to `broadcast_hashes` recurring subtrees go to every task as one sorted array; beyond that they are rows joined to the
+    subtrees of the pages, and a page gets the list of its own.
+
     Null html is empty text. Pages without a host share no template. Repeated rows come back each; extra columns are
     ignored. Broken markup is read leniently; unclosed elements end with their parent or the page.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    recurring = stage(site_templates(pages, share, least), "site-templates")
-    if (recurring.agg(F.sum(F.size("recurring"))).first()[0] or 0) <= broadcast_hashes:
-        recurring = F.broadcast(recurring)
-    kind = pages.schema["page_id"].dataType.simpleString()
-    joined = pages.join(recurring, "host", "left").select("page_id", "url", "host", "html", "recurring")
-    return joined.mapInArrow(_extract, f"page_id {kind}, url string, text string")
+    # Sites are even: the last bit of a hash tells prose.
+    site = F.when(F.col("host").isNotNull(), F.xxhash64("host").bitwiseAND(-2))
+    pages = pages.withColumns({"site": site, "page": F.xxhash64("host", "html")}).drop("host")
+    recurring = stage(site_templates(pages, share, least, many, nearly), "site-templates")
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
+    if recurring.count() <= broadcast_hashes:
+        keys = array("q", np.sort(recurring.toArrow()["h"].to_numpy()).tobytes())
+        known = pages.sparkSession.sparkContext.broadcast(keys)
+
+        def in_array(b: pa.RecordBatch) -> Iterator[Container[int]]:
+            return (frozenset() if site is None else Keys(known.value, site) for site in b.column("site").to_pylist())
+
+        return pages.select("page_id", "url", "html", "site").mapInArrow(_extract(in_array), schema)
+    own = site_subtrees(pages).join(recurring, "h").groupBy("page").agg(F.collect_list("h").alias("recurring"))
+    joined = pages.join(own, "page", "left").select("page_id", "url", "html", "site", "recurring")
+    return joined.mapInArrow(_extract(_listed), schema)
