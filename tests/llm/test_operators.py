@@ -1,6 +1,7 @@
 """Operators on small frames: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; against brute force."""
 
 import functools
+import itertools
 import math
 import random
 import re
@@ -83,6 +84,30 @@ def test_near_duplicates(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicate_links(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, None), (1, ""), (3, "one"), (4, "ONE "), (5, "one two")]
+    for base in range(6):
+        text = [rng.choice(words) for _ in range(rng.choice((30, 90, 200)))]
+        for copy in range(8):
+            own = text[:]
+            for _ in range(copy * len(own) // 400):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows += [(100 + base * 20 + copy, " ".join(own))] + [(110 + base * 20 + copy, " ".join(own).upper())] * (copy % 3 == 0)
+    texts = dict(rows)
+    want = {}
+    first = {i: min(j for j in texts if sets(texts[j]) == sets(texts[i])) for i in texts if sets(texts[i])}
+    for a, b in itertools.combinations(sorted(first), 2):
+        s, t = sets(texts[a]), sets(texts[b])
+        if 100 * len(s & t) >= 75 * len(s | t):
+            key = tuple(sorted((first[a], first[b])))
+            want[key] = want.get(key, 0) + 1
+    got = ngram_join.near_duplicates(frame(spark, rows + [(None, "one")], CLASH), links_only=True).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["n_links"] for r in got} == want
+    assert max(want.values()) > 1 and sum(a < b for a, b in want) > 60
+
+
 def lines_by_hand(rows):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\v\f\r"))
     holders = {}

@@ -213,7 +213,7 @@ def _close(a: str, b: str):
     return (na * 4 >= nb * 3) & (nb * 4 >= na * 3) & (differ * 7 <= na + nb)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links_only: bool = False) -> DataFrame:
     """Groups of texts linked by 5-word-shingle Jaccard >= 0.75: (doc_id, n_shingles, component_id), a row per input row.
 
     Exact copies of a set are one class, represented by the smallest id. Keys of the classes meet in runs; each run
@@ -222,6 +222,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members and at last all remaining pairs that pass the size and sketch bounds. So no link that could change a component is left untested, while pairs inside
     a component are never listed. Verification compares the whole shingle sets.
 
+    With `links_only`, the links themselves: (a, b, n_links), a row per linked pair of classes a < b, with the number of linked
+    pairs of documents (product of the class sizes), and a row a = b per class of copies with the pairs inside it. All pairs of a run
+    that pass the bounds are verified then, so the work grows with the square of a dense group, as its links do.
+
     Null, empty or blank text: no shingles, alone. Rows with a null id come back with a null component. Of rows repeating
     an id the one with the greatest text counts, and the id comes back once. Extra columns are ignored.
     """
@@ -270,6 +274,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         names = comp.select(F.col("node").alias(column), F.col("component").alias(label))
         return df.join(names, column, "left").withColumn(label, F.coalesce(label, column))
 
+    if links_only:
+        inside = representative(runs, "b").where("a <> b").select("sig", "b").distinct().join(sketches.withColumnRenamed("doc_id", "b"), "b")
+        p, q = inside.alias("p"), inside.alias("q")
+        others = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.b") < F.col("q.b")) & _close("p", "q")).select(F.col("p.b").alias("a"), F.col("q.b").alias("b"))
+        every = stage(verified(stage(candidates.select("a", "b").union(others).distinct(), "shingle-late")), "shingle-links")
+        copies = member.groupBy("rep").agg((F.count("*") + 1).alias("size"))
+        size_a, size_b = (copies.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}")) for c in ("a", "b"))
+        between = every.join(size_a, "a", "left").join(size_b, "b", "left").select("a", "b", (F.coalesce("size_a", F.lit(1)) * F.coalesce("size_b", F.lit(1))).cast("long").alias("n_links"))
+        return between.union(copies.select("rep", "rep", F.expr("size * (size - 1) div 2")))
+
     closest = candidates.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a"))
     links = stage(verified(closest.select("a", "b")), "shingle-links")
     comp = stage(components(links, "shingle-components"), "shingle-labels")
