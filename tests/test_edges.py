@@ -571,3 +571,17 @@ def test_changed_documents_over_batches(spark, tmp_path):
     write_batches(spark, src, [[("/u", 1, at(0), '{"a":1,"b":2}'), ("/u", 1, at(1), '{"b": 2, "a": 1}')], [("/u", 1, at(2), '{"a":1,"b":2}'), ("/u", 2, at(2), "{}")], [("/u", 1, at(3), '{"a":2}')]], schema)
     got = streams.drain(streams.stream_changed(streams.parquet_stream(spark, src, spark.read.parquet(src).schema, 1)), "c")
     assert sorted((r.id, r.ts) for r in got.collect()) == [(1, at(0)), (1, at(3)), (2, at(2))]
+
+
+def test_part_tickets_are_numbered_by_several_tasks(spark):
+    parts = spark.createDataFrame([(f"f{i * 7919 % 1000:04d}", i) for i in range(1000)], "file_name string, rows long")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sinks.part_tickets(parts, "B", "s", "1", "t").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert {r.file_name: (r.part, r.total) for r in got} == {f"f{i:04d}": (i + 1, 1000) for i in range(1000)}
+    assert all(r.archive == f"b__s__1__t__{r.part}_1000_{r.rows}.zip" and r.ticket == f"{r.file_name};{r.rows}" for r in got)
+    assert len({r.task for r in got}) > 1
+    assert sinks.part_tickets(parts.limit(0), "B", "s", "1", "t").count() == 0

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidewatch.functions.scalars import array_text, sanitize, sanitize_array
+from tidewatch.session import truncate_lineage
 
 
 class SwitchedTable:
@@ -110,12 +111,17 @@ def export_parts(spark: SparkSession, path: str, sep: str = ";", quote: str = '"
 def part_tickets(parts: DataFrame, base: str, stamp: str, group: str, table: str) -> DataFrame:
     """Archive name and ticket line of every part: number, total and rows are part of the name.
 
-    There is one row per file, numbered in the order of file names.
+    There is one row per file, numbered in the order of file names: inside ranges of names, and on from the files of
+    the ranges before.
     """
-    n = F.row_number().over(Window.orderBy("file_name"))
-    total = F.count("*").over(Window.partitionBy())
+    columns = parts.columns
+    parts = truncate_lineage(parts.repartitionByRange("file_name").withColumn("_range", F.spark_partition_id()), "parts")
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = parts.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    n = (F.row_number().over(Window.partitionBy("_range").orderBy("file_name")) + F.col("_before")).cast("int")
     name = F.lower(F.concat(F.lit(f"{base}__{stamp}__{group}__{table}__"), F.col("part").cast("string"), F.lit("_"), F.col("total").cast("string"), F.lit("_"), F.col("rows").cast("string"), F.lit(".zip")))
-    return parts.withColumn("part", n).withColumn("total", total).withColumn("archive", name).withColumn(
+    numbered = parts.join(F.broadcast(ranges), "_range").withColumn("part", n).select(*columns, "part", "total")
+    return numbered.withColumn("archive", name).withColumn(
         "ticket", F.concat(F.col("file_name"), F.lit(";"), F.col("rows").cast("string")))
 
 
