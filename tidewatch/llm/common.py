@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.session import scratch_dir
@@ -38,11 +40,28 @@ def ascii_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def pieces(batches: Iterator, size: int) -> Iterator:
-    """Arrow batches cut to at most `size` rows each."""
+def row_bytes(batch) -> np.ndarray:
+    """Bytes of each row of an Arrow batch: exact for texts and binaries, an average for other columns."""
+    size = np.full(batch.num_rows, 8, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        elif batch.num_rows:
+            size += column.nbytes // batch.num_rows
+    return size
+
+
+def pieces(batches: Iterator, rows: int, most_bytes: int = 4 << 20) -> Iterator:
+    """Arrow batches cut to at most `rows` rows and `most_bytes` each; a single longer row is a piece of its own."""
     for batch in batches:
-        for start in range(0, batch.num_rows, size):
-            yield batch.slice(start, size)
+        ends = np.cumsum(row_bytes(batch))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, before + most_bytes, "right"))
+            stop = min(max(stop, start + 1), start + rows, batch.num_rows)
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def small(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
