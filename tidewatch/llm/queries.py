@@ -130,3 +130,24 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatch.llm.chat import repair_roles
 
     return repair_roles(table(spark, folder, "conversations")).withColumn("inserted", F.array_join("inserted", ","))
+
+
+@query("op13_longest_previous_factors", r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(n - 99)) AS p, h FROM d WHERE n >= 100),
+k AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM w),
+f AS (SELECT s, min((doc_id, p)) AS first FROM k GROUP BY s HAVING count(*) > 1),
+m AS (SELECT k.doc_id, p FROM k JOIN f USING (s) WHERE (k.doc_id, p) <> first),
+g AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100 IS NOT FALSE AS opens FROM m),
+i AS (SELECT doc_id, p, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+r AS (SELECT doc_id, run, min(p) AS low, max(p) + 100 AS high FROM i GROUP BY ALL),
+c AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM r),
+t AS (SELECT doc_id, sum(high - low) AS removed, count(*) AS spans, max(high) AS last, list((before, low) ORDER BY low) AS gaps FROM c GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE array_to_string(list_transform(gaps, lambda x: substr(h, 2 * x[1] + 1, 2 * (x[2] - x[1]))), '') || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatch.llm.repeat_spans import cut_repeats
+
+    kept = cut_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
