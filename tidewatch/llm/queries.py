@@ -151,3 +151,59 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 
     kept = cut_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_rank_index_fim", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || doc_id) AS h FROM documents),
+d AS (SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS b, ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS s FROM t),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(w[1:least(a, b)], '') AS pre, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(w[greatest(a, b) + 1:n], '') AS suf FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM f""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatch.llm.fill_middle import fill_in_middle, restore
+
+    out = fill_in_middle(table(spark, folder, "documents"))
+    restored = restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("op12_rank_convergent_viterbi", rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+n AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM n WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i, rtrim(text, {_BLANKS}) AS bare FROM d),
+f AS MATERIALIZED (SELECT *, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair,
+  CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+c AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+  count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+r(conv_id, i, p, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'l': '', 't': ''}}, {{'c': 1000000::BIGINT, 'l': '', 't': ''}}, {{'c': 1000000::BIGINT, 'l': '', 't': ''}}, {{'c': 1000000::BIGINT, 'l': '', 't': ''}} FROM c
+  UNION ALL
+  SELECT conv_id, i,
+    {{'c': p.c + 2, 'l': p.l || 'D', 't': p.t}},
+    list_min([{{'c': s.c + 2, 'l': s.l || 'D', 't': s.t}}, {{'c': p.c + CASE WHEN x = 's' THEN keep ELSE 1000000 END, 'l': p.l || 'K', 't': p.t || kept}}]),
+    list_min([{{'c': v.c + 2, 'l': v.l || 'D', 't': v.t}}] || list_transform([p, s, b], lambda z: {{'c': z.c + CASE WHEN x = 'u' THEN keep ELSE 1000000 END, 'l': z.l || 'K', 't': z.t || kept}})
+      || list_transform([p, s, b], lambda z: {{'c': z.c + keep + 1, 'l': z.l || 'R', 't': z.t || chr(10) || 'user:' || text}})),
+    list_min([{{'c': b.c + 2, 'l': b.l || 'D', 't': b.t}}, {{'c': v.c + CASE WHEN x = 'a' THEN keep ELSE 1000000 END, 'l': v.l || 'K', 't': v.t || kept}},
+      {{'c': v.c + keep + 1, 'l': v.l || 'R', 't': v.t || chr(10) || 'assistant:' || text}}])
+  FROM (SELECT *, list_min([a, {{'c': v.c + 5, 'l': v.l || 'I', 't': v.t || chr(10) || 'assistant:'}}]) AS b FROM (
+    SELECT r.conv_id, f.i, f.x, f.text, chr(10) || f.role || ':' || f.text AS kept, CASE f.fault WHEN '' THEN 0 WHEN 't' THEN 5 ELSE 1000000 END AS keep, p, s, a,
+      list_min([u] || list_transform([p, s, a], lambda z: {{'c': z.c + 5, 'l': z.l || 'I', 't': z.t || chr(10) || 'user:'}})) AS v
+    FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1))),
+e AS (SELECT c.*, list_min([p, a, {{'c': u.c + 5, 'l': u.l || 'I', 't': u.t || chr(10) || 'assistant:'}}, {{'c': s.c + 10, 'l': s.l || 'II', 't': s.t || chr(10) || 'user:' || chr(10) || 'assistant:'}}]) AS best
+  FROM r JOIN c ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = c.n)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.l, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM g.conv_id""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatch.llm.turn_viterbi import damage, repair_turns
+
+    damaged, dropped = damage(table(spark, folder, "conversations"))
+    return repair_turns(damaged, absent=dropped)
