@@ -436,22 +436,22 @@ def reconcile_counts(meta: DataFrame, target: DataFrame, how: str = "full", with
                      now=None) -> DataFrame:
     """Announced count per (id, name, key) against the rows that arrived.
 
-    ``last_source_id`` and ``last_target_id`` keep the newest package of each flow on either side; ``now`` (a day) keeps
-    the keys of that day. ``not_empty`` turns missing and empty results into errors.
+    ``last_source_id`` and ``last_target_id`` keep the newest package of the whole source and of the whole target; ``now``
+    keeps rows of that load time (column ``ts`` of both sides). ``not_empty`` turns missing and empty results into errors.
     """
     keys = [k for k, on in (("id", with_id), ("name", True), ("key", with_key)) if on]
-    announced = meta.filter("type in ('OUT', 'SUM')")
-    if now is not None:
-        announced, target = (d.filter(F.col("key").try_cast("date") == as_date(now)) for d in (announced, target))
-    newest = lambda d: d.join(d.groupBy("name").agg(F.max("id").alias("id")), ["name", "id"], "left_semi")
+    announced, arrived = meta.filter("type in ('OUT', 'SUM')"), target
+    newest = lambda d, of: d.join(F.broadcast(of.agg(F.max("id").alias("id"))), "id", "left_semi")
     if last_source_id:
-        announced = newest(announced)
+        announced = newest(announced, meta)
     if last_target_id:
-        target = newest(target)
+        arrived = newest(arrived, target)
+    if now is not None:
+        announced, arrived = (d.filter(F.col("ts") == as_ts(now)) for d in (announced, arrived))
     # The summary row of a package counts itself.
     cnt = F.col("cnt") + F.when(F.col("type") == "SUM", 1).otherwise(0)
     announced = announced.groupBy(*keys).agg(F.sum(cnt).alias("expected"))
-    actual = target.groupBy(*keys).agg(F.count("*").alias("actual"))
+    actual = arrived.groupBy(*keys).agg(F.count("*").alias("actual"))
     out = announced.join(actual, keys, how)
     ok = F.col("expected").eqNullSafe(F.col("actual"))
     if not_empty:

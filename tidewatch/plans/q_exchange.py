@@ -5,7 +5,9 @@ from pyspark.sql import functions as F, types as T
 from tidewatch.operators import exchange as X
 from tidewatch.plans import inputs as I
 from tidewatch.plans.registry import query
-
+from tidewatch.session import scratch_dir
+from tidewatch.sources import flows as L
+from tidewatch.operators.common import CheckFailed
 
 
 def _src(t):
@@ -212,6 +214,106 @@ def _(t):
     return X.apply_load(old, X.process_flow(env, "ev_view", _EV_SCHEMA, old), "delete").select("event_id", "_gp_key", "_gp_id")
 
 
+# --- whole loads: a table with the first five packages, then a second run ----------------------------
+
+FIRST, SECOND = "2001-08-01 00:00:00", I.ORDERS_AS_OF
+_VIEWS_SQL = """v AS (SELECT event_id, ts::DATE::VARCHAR AS k, event_id // 100 AS p FROM events WHERE event_type = 'view'),
+old AS (SELECT * FROM v WHERE p < 5), env AS (SELECT * FROM v WHERE p >= 3)"""
+
+
+def _views(t, run_ts):
+    return envelope(t).filter("_gp_name = 'ev_view'").withColumn("_gp_ts", F.lit(run_ts).cast("timestamp")).withColumn("_gp_hash", F.md5("_gp_data"))
+
+
+def _announced(env, run_ts):
+    """What the sender says about the rows of each package and key."""
+    return env.groupBy(F.col("_gp_id").alias("id"), F.col("_gp_name").alias("name"), F.col("_gp_key").alias("key")).agg(F.count("*").alias("cnt")).withColumn(
+        "type", F.lit("OUT")).withColumn("ts", F.lit(run_ts).cast("timestamp"))
+
+
+def _loaded(t, clear=None, second=None, announced=None, schema="*"):
+    """The table after both runs; the second one gets packages from 3 on unless told otherwise."""
+    table = L.FlowTable(t.spark, scratch_dir(t.spark, "flow"))
+    L.load_flow(_views(t, FIRST).filter("_gp_id < 5"), "ev_view", table, FIRST, _EV_SCHEMA)
+    env = second if second is not None else _views(t, SECOND).filter("_gp_id >= 3")
+    L.load_flow(env, "ev_view", table, SECOND, schema, clear, announced=announced, unique=["event_id"])
+    return table
+
+
+def _view_columns(df):
+    return df.select("event_id", "ts", F.col("list")[0].alias("first"), "_gp_key", "_gp_id", "_gp_ts")
+
+
+def _views_out(inner):
+    return f"""SELECT o.event_id, date_trunc('second', e.ts)::VARCHAR AS ts, e.user_id AS first, k AS _gp_key, p AS _gp_id, run AS _gp_ts FROM ({inner}) o JOIN events e ON e.event_id = o.event_id"""
+
+
+_GONE_SQL = f"""WITH {_VIEWS_SQL}, kept AS (SELECT * FROM old WHERE k NOT IN (SELECT k FROM env)) """ + _views_out(f"""SELECT *, '{FIRST}' AS run FROM kept
+  UNION ALL SELECT *, '{SECOND}' FROM env WHERE p > coalesce((SELECT max(p) FROM kept), 0)""")
+
+
+@query("load_flow_append", f"WITH {_VIEWS_SQL} " + _views_out(f"SELECT *, '{FIRST}' AS run FROM old UNION ALL SELECT *, '{SECOND}' FROM env WHERE p > (SELECT max(p) FROM old)"))
+def _(t):
+    env = _views(t, SECOND).filter("_gp_id >= 3")
+    return _view_columns(_loaded(t, announced=_announced(env, SECOND)).read())
+
+
+@query("load_flow_drop", _GONE_SQL)
+def _(t):
+    return _view_columns(_loaded(t, "drop").read())
+
+
+@query("load_flow_delete", _GONE_SQL)
+def _(t):
+    return _view_columns(_loaded(t, "delete").read())
+
+
+@query("load_flow_truncate", f"WITH {_VIEWS_SQL} " + _views_out(f"SELECT *, '{SECOND}' AS run FROM env WHERE p > 0"))
+def _(t):
+    return _view_columns(_loaded(t, "truncate").read())
+
+
+@query("load_flow_final", f"WITH {_VIEWS_SQL} " + _views_out(f"""SELECT event_id, k, CASE WHEN p < 5 AND event_id % 2 = 0 THEN p + 100000 ELSE p END AS p,
+  CASE WHEN p < 5 AND event_id % 2 = 1 THEN '{FIRST}' ELSE '{SECOND}' END AS run FROM v WHERE p <> 5"""))
+def _(t):
+    env = _views(t, SECOND)
+    again = env.filter("_gp_id < 5").filter(F.get_json_object("_gp_data", "$.event_id").cast("bigint") % 2 == 0).withColumn("_gp_id", F.col("_gp_id") + 100000)
+    return _view_columns(_loaded(t, "final", env.filter("_gp_id > 5").unionByName(again)).read())
+
+
+@query("load_flow_refused", f"WITH {_VIEWS_SQL} " + _views_out(f"SELECT *, '{FIRST}' AS run FROM old"))
+def _(t):
+    """Counts and keys that a gate refuses leave the table as it was."""
+    table = _loaded(t, second=_views(t, SECOND).filter("_gp_id < 3"))
+    env = _views(t, SECOND).filter("_gp_id >= 3")
+    for change in ({"announced": _announced(env, SECOND).withColumn("cnt", F.col("cnt") + 1)}, {"announced": _announced(env, FIRST)}, {"unique": ["even"]}):
+        try:
+            L.load_flow(env, "ev_view", table, SECOND, "*", "drop", **change)
+        except CheckFailed:
+            continue
+        raise AssertionError("a gate let a wrong load pass")
+    return _view_columns(table.read())
+
+
+@query("load_flow_inferred", """SELECT p_partkey, p_name, p_size AS "bad name", p_brand AS _gp_key, CAST(p_size % 9 AS BIGINT) AS _gp_id FROM part""")
+def _(t):
+    table = L.FlowTable(t.spark, scratch_dir(t.spark, "flow"))
+    env = envelope(t).withColumn("_gp_ts", F.lit(SECOND).cast("timestamp")).withColumn("_gp_hash", F.md5("_gp_data"))
+    L.load_flow(env, "parts", table, SECOND)
+    return table.read().drop("_gp_ts", "_gp_hash")
+
+
+@query("load_flow_log", f"""WITH {_VIEWS_SQL}, n AS (SELECT * FROM env WHERE p > (SELECT max(p) FROM old)), al AS (SELECT * FROM old UNION ALL SELECT * FROM n)
+SELECT 'ev_view' AS wf_name, 'IN_log' AS wf_type, p AS _gp_id, k AS _gp_key, count(*) AS cnt FROM n GROUP BY ALL
+UNION ALL SELECT 'all', NULL, max(p), min(p)::VARCHAR, count(*) FROM al UNION ALL SELECT 'now', NULL, max(p), min(p)::VARCHAR, count(*) FROM n""")
+def _(t):
+    table = L.FlowTable(t.spark, scratch_dir(t.spark, "flow"))
+    L.load_flow(_views(t, FIRST).filter("_gp_id < 5"), "ev_view", table, FIRST, _EV_SCHEMA)
+    done = L.load_flow(_views(t, SECOND), "ev_view", table, SECOND)
+    totals = done.totals.select(F.col("type").alias("wf_name"), F.lit(None).cast("string").alias("wf_type"), F.col("max_id").alias("_gp_id"), F.col("min_id").cast("string").alias("_gp_key"), F.col("row_cnt").alias("cnt"))
+    return done.log.unionByName(totals)
+
+
 @query("load_log", """SELECT 'ev_view' AS wf_name, 'IN_log' AS wf_type, event_id // 100 AS _gp_id, ts::DATE::VARCHAR AS _gp_key, count(*) AS cnt FROM events WHERE event_type = 'view' AND event_id // 100 >= 5 GROUP BY ALL""")
 def _(t):
     env, old = _target(t)
