@@ -276,6 +276,17 @@ def test_reconcile_newest_package_on_both_sides(spark):
     assert run(only_errors=True) == []
 
 
+def test_reconcile_by_load_time_and_newest_package_of_all(spark):
+    when, columns = "2024-01-02 00:00:00", "id long, name string, key string, type string, cnt long, ts string"
+    meta = spark.createDataFrame([(1, "f", "k", "OUT", 2, "2024-01-01"), (2, "f", "k", "OUT", 3, when), (2, "s", "", "SUM", 1, when), (3, "x", "", "config", 9, when), (1, "g", "k", "OUT", 7, when)], columns).withColumn("ts", F.col("ts").cast("timestamp"))
+    target = spark.createDataFrame([(1, "f", "k", "2024-01-01")] * 2 + [(2, "f", "k", when)] * 3 + [(2, "s", "", when)] * 2, "id long, name string, key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    run = lambda **o: sorted(((r.id, r.name, r.expected, r.actual, r.is_ok) for r in quality.reconcile_counts(meta, target, **o).collect()), key=str)
+    assert run(now=when) == [(1, "g", 7, None, False), (2, "f", 3, 3, True), (2, "s", 2, 2, True)]
+    assert run(now=when, how="right") == [(2, "f", 3, 3, True), (2, "s", 2, 2, True)]
+    assert run(last_source_id=True) == [(1, "f", None, 2, False), (2, "f", None, 3, False), (2, "s", None, 2, False)]
+    assert run(last_target_id=True, how="right") == [(2, "f", 3, 3, True), (2, "s", 2, 2, True)]
+
+
 def test_json_diff(spark):
     df = spark.createDataFrame([(1, '{"a": [1, 2], "b": "1", "c": 1}', '{"a": [1], "b": 1, "d": 1}')], "id int, before string, after string")
     assert sorted((r.path, r.kind) for r in quality.json_diff(df, "id").collect()) == [(".a[]", "length"), (".b", "type"), (".c", "key"), (".d", "key")]
@@ -490,6 +501,69 @@ def test_populate_refuses_colliding_keys(spark):
         ingest.populate_record(spark.createDataFrame([('{"z": 1}',)], "item string"), schema)
 
 
+def test_items_are_read_once_and_counted(spark, tmp_path):
+    """One scan of the source in all; good and rejected rows, types, unmapped and defaulted columns from the mapped copy."""
+    from pyspark.sql import types as T
+
+    source = str(tmp_path / "source")
+    spark.createDataFrame([("f1", '{"A": 1, "x": true}'), ("f1", '{"a": "no", "X": null}'), ("f2", '{"a": 2.0, "b": {"c": 1}}'), ("f2", None)], "file_name string, item string").write.parquet(source)
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType()), T.StructField("c", T.StringType())])
+    staged = ingest.stage_then_load(spark.read.parquet(source), schema, str(tmp_path / "target"), defaults={"c": F.lit("d")}, carry=["file_name"])
+    assert sorted(rows(spark.read.parquet(str(tmp_path / "target"))), key=str) == sorted([("f1", 1, None, "d"), ("f2", 2, '{"c":1}', "d"), ("f2", None, None, "d")], key=str)
+    assert rows(staged.rejected()) == [("f1", '{"a": "no", "X": null}', ["a"])]
+    n = staged.counters(10).first()
+    assert (n.rows_source, n.rows_loaded, n.rows_rejected, n.files, n.target, n.defaulted, n.source_truncated) == (4, 3, 1, 2, "a int,b string,c string", "c", False)
+    assert (n.source, n.unmapped) == ("A number,X null,a string|number,b object,x boolean", "X,x")
+    assert staged.counters(2).first().source_truncated
+    assert source not in staged.counters(10)._jdf.queryExecution().toString() and source not in staged.good()._jdf.queryExecution().toString()
+
+
+def test_json_array_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"data": [\n{"x": "a\\nb"},\n 2 ]}')
+    (tmp_path / "b.json").write_text('{"data": []}')
+    assert sorted(rows(files.read_json_array(spark, str(tmp_path), "data"))) == [("a.json", 1, '{"x":"a\\nb"}'), ("a.json", 2, "2")]
+    (tmp_path / "c.json").write_text('{"data": [1, 2')
+    with pytest.raises(Exception, match="no JSON array in c.json"):
+        files.read_json_array(spark, str(tmp_path), "data").collect()
+
+
+def test_load_flow_refuses_and_keeps_the_table(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tidewatch.sources import flows
+
+    def env(*packages, run):
+        data = [(p, "f", k, f'{{"a": {p}, "b": "{k}"}}', run) for p, k in packages]
+        return spark.createDataFrame(data, "_gp_id long, _gp_name string, _gp_key string, _gp_data string, _gp_ts string").withColumn("_gp_ts", F.col("_gp_ts").cast("timestamp")).withColumn("_gp_hash", F.md5("_gp_data"))
+
+    table, see = flows.FlowTable(spark, str(tmp_path / "t")), lambda: sorted(rows(table.read().select("a", "b", "_gp_key", "_gp_id")), key=str)
+    one, two = "2024-01-01 00:00:00", "2024-01-02 00:00:00"
+    with pytest.raises(common.CheckFailed, match="no fields"):
+        flows.load_flow(env((1, "x"), run=one), "other", table, one)
+    flows.load_flow(env((1, "x"), (2, None), (2, ""), run=one), "f", table, one)
+    first = see()
+    assert first == sorted([(1, "x", "x", 1), (2, "None", None, 2), (2, "", "", 2)], key=str)
+    with pytest.raises(common.CheckFailed, match="rows repeat"):
+        flows.load_flow(env((3, "x"), (3, "x"), run=two), "f", table, two, clear="drop", unique=["a"])
+    assert see() == first
+    said = spark.createDataFrame([(3, "f", "y", "OUT", 2, two)], "id long, name string, key string, type string, cnt long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for wrong in (said, said.withColumn("cnt", F.lit(1)).withColumn("name", F.lit("g"))):
+        with pytest.raises(common.CheckFailed, match="counts differ"):
+            flows.load_flow(env((3, "y"), run=two), "f", table, two, announced=wrong)
+    with pytest.raises(common.CheckFailed, match="nothing arrived"):
+        flows.load_flow(env((1, "y"), run=two), "f", table, two, announced=said)
+    with pytest.raises(ValueError):
+        flows.load_flow(env((1, "y"), run=two), "f", table, two, clear="burn")
+    assert see() == first
+    done = flows.load_flow(env((3, "x"), run=two), "f", table, two, clear="drop", announced=said.withColumn("cnt", F.lit(1)).withColumn("key", F.lit("x")))
+    assert see() == sorted([(3, "x", "x", 3), (2, "None", None, 2), (2, "", "", 2)], key=str)
+    assert rows(done.log) == [("f", "IN_log", 3, "x", 1)]
+    flows.load_flow(env(run=two), "f", table, two, clear="truncate")
+    assert see() == [] and table.schema().fieldNames()[:3] == ["_gp_ts", "a", "b"]
+    flows.load_flow(env((1, "x"), run=two), "f", table, two, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())]))
+    assert see() == [(1, "x", "x", 1)]
+
+
 def test_profile_cap(spark):
     df = spark.createDataFrame([('{"a": 1, "b": "x", "c": []}',), ('{"a": "s", "b": null}',)], "item string")
     assert sorted(rows(ingest.source_profile(df).select("key", "kinds"))) == [("a", "string|number"), ("b", "string|null"), ("c", "array")]

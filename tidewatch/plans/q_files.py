@@ -33,11 +33,22 @@ def _(t):
 
 @query("read_json_array", "SELECT conv_id, turn, md5(text) AS h FROM conversations")
 def _(t):
-    # One document per conversation; its turns are few.
-    item = F.struct("conv_id", "turn", "text")
-    texts = t.conversations.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("a")).select(
-        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".json")).alias("file_name"), F.concat(F.lit('{"data": '), F.col("a"), F.lit("}")).alias("text"))
-    items = R.json_array_items(texts, "data")
+    """One file per group of conversations, each an array under a key, over several lines."""
+    path = scratch_dir(t.spark, "arrays")
+    item = F.to_json(F.struct("conv_id", "turn", "text"))
+    rows = t.conversations.repartition(8, "conv_id").sortWithinPartitions("conv_id", "turn").select(item.alias("item"))
+
+    def document(batches):
+        first = True
+        yield pd.DataFrame({"value": ['{"data": [']})
+        for pdf in batches:
+            lines = pdf["item"].tolist()
+            yield pd.DataFrame({"value": [("" if first and i == 0 else ", ") + x for i, x in enumerate(lines)]})
+            first = first and not lines
+        yield pd.DataFrame({"value": ["]}"]})
+
+    rows.mapInPandas(document, "value string").write.text(path)
+    items = R.read_json_array(t.spark, path, "data")
     d = F.from_json("item", "struct<conv_id:bigint,turn:bigint,text:string>")
     return items.select(d.alias("d")).select("d.conv_id", "d.turn", F.md5("d.text").alias("h"))
 
@@ -97,11 +108,12 @@ def _items(t):
     item = F.concat(
         F.lit('{"Doc_ID": '), k.cast("string"), F.when(k % 2 == 0, F.concat(F.lit(', "LANG": "'), F.col("lang"), F.lit('"'))).otherwise(F.lit("")),
         F.lit(', "n_chars": '), F.when(k % 7 == 0, '"many"').when(k % 7 == 1, "null").otherwise(F.col("n_chars").cast("string")),
-        F.lit(', "tags": ["a", "b"], "extra": {"x": '), k.cast("string"), F.lit("}"), F.when(k % 11 == 0, ', "rare": true').otherwise(F.lit("")), F.lit("}"))
+        F.lit(', "tags": ["a", "b"], "extra": {"x": '), k.cast("string"), F.lit("}"), F.when(k % 11 == 0, ', "rare": true').otherwise(F.lit("")),
+        F.lit(","), F.expr("substring(to_json(struct(text AS Text)), 2)"))
     return t.documents.select(F.concat(F.lit("f"), (k % 3).cast("string")).alias("file_name"), "doc_id", item.alias("item"))
 
 
-TARGET = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("tags", T.StringType()), T.StructField("loaded", T.StringType())])
+TARGET = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("tags", T.StringType()), T.StructField("loaded", T.StringType()), T.StructField("text", T.StringType())])
 
 
 @query("pick_item", "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN doc_id END AS x FROM documents")
@@ -111,9 +123,9 @@ def _(t):
     return G.pick_item(src, "a.b").select("doc_id", S.field("item", "x").cast("bigint").alias("x"))
 
 
-@query("populate_record", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 7 > 1 THEN n_chars END AS n_chars, '["a","b"]' AS tags, 'now' AS loaded FROM documents""")
+@query("populate_record", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 7 > 1 THEN n_chars END AS n_chars, '["a","b"]' AS tags, 'now' AS loaded, md5(text) AS h FROM documents""")
 def _(t):
-    return G.populate_record(_items(t), TARGET, {"loaded": F.lit("now")})
+    return G.populate_record(_items(t), TARGET, {"loaded": F.lit("now")}).withColumn("h", F.md5("text")).drop("text")
 
 
 @query("cast_failures", "SELECT doc_id, 'n_chars' AS \"column\" FROM documents WHERE doc_id % 7 = 0")
@@ -127,21 +139,30 @@ def _(t):
 
 
 @query("source_profile", """SELECT 'Doc_ID' AS key, 'number' AS kinds, count(*) AS rows, false AS truncated FROM documents UNION ALL SELECT 'LANG', 'string', count(*), false FROM documents WHERE doc_id % 2 = 0
-UNION ALL SELECT 'n_chars', 'string|number|null', count(*), false FROM documents UNION ALL SELECT 'tags', 'array', count(*), false FROM documents UNION ALL SELECT 'extra', 'object', count(*), false FROM documents UNION ALL SELECT 'rare', 'boolean', count(*), false FROM documents WHERE doc_id % 11 = 0""")
+UNION ALL SELECT 'n_chars', 'string|number|null', count(*), false FROM documents UNION ALL SELECT 'tags', 'array', count(*), false FROM documents UNION ALL SELECT 'extra', 'object', count(*), false FROM documents UNION ALL SELECT 'rare', 'boolean', count(*), false FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT 'Text', 'string', count(*), false FROM documents""")
 def _(t):
     return G.source_profile(_items(t))
 
 
-@query("load_counters", "SELECT count(*) AS rows_source, 3::BIGINT AS files, count(*) FILTER (WHERE doc_id % 7 <> 0) AS rows_loaded, count(*) FILTER (WHERE doc_id % 7 = 0) AS rows_rejected FROM documents")
+@query("load_counters", """SELECT count(*) AS rows_source, 3::BIGINT AS files, count(*) FILTER (WHERE doc_id % 7 <> 0) AS rows_loaded, count(*) FILTER (WHERE doc_id % 7 = 0) AS rows_rejected,
+  'doc_id bigint,lang string,n_chars bigint,tags string,loaded string,text string' AS target, 'Doc_ID number,LANG string,Text string,extra object,n_chars string|number|null' AS source,
+  'extra' AS unmapped, 'loaded' AS defaulted, true AS source_truncated FROM documents""")
+def _(t):
+    return G.StagedItems(_items(t), TARGET, carry=["file_name"]).counters(key_cap=5)
+
+
+@query("rejected_items", "SELECT 'f' || doc_id % 3 AS file_name, doc_id, 'n_chars' AS columns, md5(text) AS h FROM documents WHERE doc_id % 7 = 0")
 def _(t):
-    items = _items(t)
-    bad = G.cast_failures(items, TARGET).select("doc_id").distinct()
-    return G.load_counters(items, items.join(bad, "doc_id", "left_anti"))
+    bad = G.StagedItems(_items(t), TARGET, carry=["file_name"]).rejected()
+    doc = F.from_json("item", "struct<Doc_ID:bigint,Text:string>")
+    return bad.select("file_name", doc["Doc_ID"].alias("doc_id"), F.array_join("columns", ",").alias("columns"), F.md5(doc["Text"]).alias("h"))
 
 
-@query("stage_then_load", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 7 > 1 THEN n_chars END AS n_chars FROM documents")
+@query("stage_then_load", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 7 > 1 THEN n_chars END AS n_chars, 'now' AS loaded, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0")
 def _(t):
-    return G.stage_then_load(_items(t), TARGET, scratch_dir(t.spark, "target")).select("doc_id", "lang", "n_chars")
+    target = scratch_dir(t.spark, "target")
+    G.stage_then_load(_items(t), TARGET, target, defaults={"loaded": F.lit("now")})
+    return t.spark.read.schema(TARGET).parquet(target).select("doc_id", "lang", "n_chars", "loaded", F.md5("text").alias("h"))
 
 
 @query("file_name_column", "SELECT count(*) AS rows, count(*) AS named FROM documents")

@@ -51,7 +51,7 @@ def no_bom(text) -> Column:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per file; files are read in parallel, each by one task."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file_name"), no_bom("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), no_bom("value").alias("text"))
 
 
 def json_array_items(texts: DataFrame, root: str | None = None) -> DataFrame:
