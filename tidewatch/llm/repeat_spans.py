@@ -377,7 +377,7 @@ def _table(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100, hot: int = 4096, block_bytes: int = 4 << 20, shard_bytes: int = 32 << 20) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100, hot: int = 4096, block_bytes: int = 4 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
     """Remove every byte covered by a string of `min_bytes` bytes that also starts earlier in the corpus.
 
     A row per input row: (id, n_bytes, n_removed, n_spans, kept binary, span_starts, span_lengths); spans are the maximal removed
