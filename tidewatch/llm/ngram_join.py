@@ -111,7 +111,7 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64(
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text; and for each token found in many texts of a stretch, a row with n = -1, the token and that number."""
-    for b in pieces(batches, STRETCH):
+    for b in pieces(batches, STRETCH, 16 << 20):
         rows, wide, tokens = np.zeros((b.num_rows, 3 + SKETCH_WORDS), np.int64), [], []
         for i, text in enumerate(b.column("text").to_pylist()):
             t = shingle_hashes(text)
@@ -137,9 +137,11 @@ def _keys(common) -> Callable:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(sig, doc_id); equal sets inside a task are keyed once, since exact copies are classed by their digest."""
+    """(sig, doc_id); equal sets near each other in a task are keyed once, since exact copies are classed by their digest."""
     schema, seen = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())]), set()
-    for b in batches:
+    for b in pieces(batches, 2000):
+        if len(seen) > 100_000:
+            seen = set()
         ids, sigs, lengths = [], [], []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             if doc is None:

@@ -15,13 +15,14 @@ from tidewatch.llm.common import pieces, small, stage
 ORDER = 4  # characters; four 16-bit codes make one long
 START = 1
 BLOCK_ROWS = 2000
+STRETCH = 1 << 19  # characters worked on at a time
 
 
-def gram_codes(text: str) -> np.ndarray:
+def gram_codes(text: str, before: str = "") -> np.ndarray:
     """One long per character: the codes of the ORDER - 1 characters before it, then its own. Codes beyond 16 bits are folded to the private area."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    c = np.frombuffer((before + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     c = np.where(c > 0xFFFF, 0xE000 + (c & np.uint64(0xFFF)), c).astype(np.uint64)
-    c = np.concatenate((np.full(ORDER - 1, START, np.uint64), c))
+    c = np.concatenate((np.full(ORDER - 1 - len(before), START, np.uint64), c))
     n = len(c) - ORDER + 1
     g = np.zeros(n, np.uint64)
     for i in range(ORDER):
@@ -29,11 +30,24 @@ def gram_codes(text: str) -> np.ndarray:
     return g
 
 
+def gram_stretches(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The codes of all characters of some texts, some STRETCH of them at a time: long texts in parts, short ones together."""
+    held, size = [], 0
+    for text in texts:
+        for start in range(0, len(text or ""), STRETCH):
+            held.append(gram_codes(text[start : start + STRETCH], text[max(0, start - ORDER + 1) : start]))
+            size += len(held[-1])
+            if size >= STRETCH:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, 1000):
-        texts = [t for t in b.column("text").to_pylist() if t]
-        if texts:
-            g, n = np.unique(np.concatenate([gram_codes(t) for t in texts]), return_counts=True)
+        for codes in gram_stretches(b.column("text").to_pylist()):
+            g, n = np.unique(codes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
 
 
@@ -81,14 +95,14 @@ def log_probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct grams by block; the rows of a block follow each other."""
-    for b in batches:
+    for b in pieces(batches, BLOCK_ROWS, 16 << 20):
         blocks = b.column("block").to_numpy()
-        texts = b.column("text").to_pylist()
         for block in np.unique(blocks):
-            own = [gram_codes(texts[i]) for i in np.flatnonzero(blocks == block) if texts[i]]
-            if own:
-                g = np.unique(np.concatenate(own)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g)], names=["block", "g"])
+            g = np.empty(0, np.uint64)
+            for codes in gram_stretches(b.column("text").filter(pa.array(blocks == block)).to_pylist()):
+                g = np.union1d(g, codes)
+            if len(g):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g.view(np.int64))], names=["block", "g"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +127,8 @@ def _score(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     for packed in docs["packed"]:
         rows = pa.ipc.open_stream(packed).read_all()
         for doc, lang, text, text_hash in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "lang", "text", "text_hash")), strict=True):
-            perplexity = float(np.exp(-logp[np.searchsorted(g, gram_codes(text).view(np.int64))].mean())) if text else None
+            total = sum(float(logp[np.searchsorted(g, codes.view(np.int64))].sum()) for codes in gram_stretches([text]))
+            perplexity = float(np.exp(-total / len(text))) if text else None
             out.append((doc, lang, perplexity, len(text or ""), text_hash))
     return pd.DataFrame(out, columns=["doc_id", "lang", "perplexity", "chars", "text_hash"]).astype({"doc_id": "Int64", "perplexity": "Float64"})
 
