@@ -369,6 +369,22 @@ def test_receipts_are_read_as_xml(spark):
     assert got == [(0, "", -1), (1, "a<&>b", 0), (2, "a3<", 0), (3, "yes", 0), (4, "a", 0), (5, "", -1), (5, "a", 0), (6, "a", 0), (7, "", -1), (8, "", 4)]
 
 
+def test_receipts_hold_files_at_any_depth_and_closing_tags_in_comments(spark):
+    status = "<Status><StatusCode>{}</StatusCode>{}</Status>"
+    extra = "<AdditionalStatus><StatusCode>601</StatusCode><StatusDesc> no room </StatusDesc></AdditionalStatus>"
+    file = lambda n, s: f"<File><Name>{n}</Name>{s}</File>"
+    doc = lambda body: f'<x:Receipt xmlns:x="u" a="&gt;>"><RqUID>1</RqUID>{body}</x:Receipt>'
+    texts = [
+        doc("<!-- </x:Receipt> -->" + file("a", status.format(0, ""))), doc(f"<Files><Part>{file('a', status.format(0, extra))}</Part>{file('b', status.format(2, ''))}</Files>"),
+        "junk " + doc("<![CDATA[</Receipt>]]>" + file("a", status.format(3, "<StatusDesc>d</StatusDesc>" + extra))) + " junk <Receipt>", doc("<Unfinished>") + doc(file("b", status.format(0, ""))),
+        "<Receipt><RqUID>9" + doc(file("c", status.format(0, ""))), "<Receipt/>", "<Receipts>" + "</Receipts>" * 2, doc(file("a", status.format("99999999999", "")))]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, raw_xml string")
+    got = sorted((r.n, r.rq_uid, r.file_name, r.status_code, r.status_desc) for r in delivery.parse_receipt(df, "Receipt").collect())
+    assert got == [
+        (0, "1", "a", 0, ""), (1, "1", "a", 0, "[601] no room"), (1, "1", "b", 2, ""), (2, "1", "a", 3, "d | [601] no room"), (3, "", "", -1, ""), (3, "1", "b", 0, ""),
+        (4, "", "", -1, ""), (4, "1", "c", 0, ""), (5, "", "", -1, ""), (6, "", "", -1, ""), (7, "1", "a", -1, "")]
+
+
 def test_queue_order_keeps_rows_without_package(spark):
     at = ts("2024-01-01 00:00:00")
     q = [(None, None, "a.zip", at, "1", "s"), ("r", None, "b.zip", at, "2", "s"), (None, at, "c.zip", at, "3", "s"), ("r", at, "d.zip", at, "4", "s")]

@@ -129,16 +129,19 @@ def _(t):
 # --- receipts: line items as files of an order ----------------------------------------------------
 
 def messages(t):
-    """XML receipts from order lines: plain, with prefixes, two documents in one, without files, broken."""
+    """XML receipts from order lines: plain, with prefixes, two documents in one, without files, broken; files at several depths, closing tags in comments and CDATA, additional statuses."""
     li = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_shipdate").alias("at"))
     s = lambda c: F.col(c).cast("string")
     name = F.when(F.col("p") % 15 == 0, F.concat(F.lit("<![CDATA[a&"), s("l_linenumber"), F.lit("]]>"))).otherwise(F.concat(F.lit("a&amp;"), s("l_linenumber")))
+    aside = F.when(F.col("p") % 3 == 0, f"<!-- </{RECEIPT}> <{RECEIPT}> -->").when(F.col("p") % 3 == 1, f"<Note><![CDATA[</{RECEIPT}>]]></Note>").otherwise("")
     doc = lambda files, p: F.concat(
         F.lit(f"<{p}{RECEIPT} xmlns{':' + p[:-1] if p else ''}=\"urn:x\"><{p}RqUID>u"), s("l_orderkey"), F.lit(f"</{p}RqUID><{p}RqTm>"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"),
-        F.lit(f".123456789+03:00</{p}RqTm><{p}ScenarioInfo><{p}ScenarioId>s1</{p}ScenarioId></{p}ScenarioInfo>"), files, F.lit(f"</{p}{RECEIPT}>"))
-    file = lambda p, n: F.concat(
+        F.lit(f".123456789+03:00</{p}RqTm><{p}ScenarioInfo><{p}ScenarioId>s1</{p}ScenarioId></{p}ScenarioInfo>"), aside, files, F.lit(f"</{p}{RECEIPT}>"))
+    more = lambda p: F.when(F.col("p") % 4 == 0, f"<{p}AdditionalStatus><{p}StatusCode>601</{p}StatusCode><{p}StatusDesc>e</{p}StatusDesc></{p}AdditionalStatus>").otherwise("")
+    deep = lambda p, f: F.when(F.col("p") % 6 == 0, F.concat(F.lit(f"<{p}Files><{p}Part>"), f, F.lit(f"</{p}Part></{p}Files>"))).otherwise(f)
+    file = lambda p, n: deep(p, F.concat(
         F.lit(f"<{p}File><{p}FileInfo><{p}Name>"), n, F.lit(f"</{p}Name></{p}FileInfo><{p}Status><{p}StatusCode>"), F.when(F.col("p") % 50 == 0, "7").otherwise("0"),
-        F.lit(f"</{p}StatusCode><{p}StatusDesc>d</{p}StatusDesc></{p}Status></{p}File>"))
+        F.lit(f"</{p}StatusCode><{p}StatusDesc>d</{p}StatusDesc>"), more(p), F.lit(f"</{p}Status></{p}File>")))
     two = F.concat(file("", name), file("", F.concat(name, F.lit("b"))))
     kind = F.col("p") % 5
     xml = (F.when(kind == 0, F.concat(F.lit("<?xml version=\"1.0\"?>"), doc(two, ""))).when(kind == 1, doc(file("n:", name), "n:"))
@@ -149,7 +152,7 @@ def messages(t):
 
 _MSG = """g AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, max(l_shipdate) AS rcv FROM lineitem GROUP BY ALL),
 rc AS (SELECT l_orderkey AS msg_id, l_linenumber::BIGINT AS part_no, rcv, CASE WHEN p % 5 = 4 THEN '' ELSE 'u' || l_orderkey END AS rq_uid, CASE WHEN p % 5 < 3 THEN 'a&' || l_linenumber || sfx ELSE '' END AS file_name,
-  CASE WHEN p % 5 > 2 THEN -1 WHEN p % 50 = 0 THEN 7 ELSE 0 END AS status_code, CASE WHEN p % 5 < 3 THEN 'd' ELSE '' END AS status_desc, CASE WHEN p % 5 < 4 THEN rcv - INTERVAL 3 HOUR + INTERVAL 123456 MICROSECOND END AS rq_tm
+  CASE WHEN p % 5 > 2 THEN -1 WHEN p % 50 = 0 THEN 7 ELSE 0 END AS status_code, CASE WHEN p % 5 < 3 THEN CASE WHEN p % 4 = 0 THEN 'd | [601] e' ELSE 'd' END ELSE '' END AS status_desc, CASE WHEN p % 5 < 4 THEN rcv - INTERVAL 3 HOUR + INTERVAL 123456 MICROSECOND END AS rq_tm
   FROM (SELECT *, unnest(CASE p % 5 WHEN 0 THEN ['', 'b'] WHEN 2 THEN ['', 'c'] ELSE [''] END) AS sfx FROM g))"""
 
 
