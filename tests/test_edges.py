@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import json
 import random
 import zipfile
 
@@ -292,6 +293,45 @@ def test_json_diff(spark):
     assert sorted((r.path, r.kind) for r in quality.json_diff(df, "id").collect()) == [(".a[]", "length"), (".b", "type"), (".c", "key"), (".d", "key")]
 
 
+def plain_json_diff(x, y, path=""):
+    kind = lambda v: "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "flag" if isinstance(v, bool) else type(v).__name__
+    if kind(x) != kind(y):
+        return [(path or ".", "type")]
+    if isinstance(x, dict):
+        both = [plain_json_diff(x[k], y[k], f"{path}.{k}") if k in x and k in y else [(f"{path}.{k}", "key")] for k in dict.fromkeys([*x, *y])]
+        return [d for part in both for d in part]
+    if isinstance(x, list):
+        out = [(path + "[]", "length")] if len(x) != len(y) else []
+        return out + [d for i, (p, q) in enumerate(zip(x, y)) for d in plain_json_diff(p, q, f"{path}[{i}]")]
+    return [(path or ".", "value")] if x != y else []
+
+
+def test_json_diff_at_any_depth(spark):
+    rng = random.Random(6)
+
+    def value(deep):
+        kind = rng.randrange(8 if deep else 5)
+        if kind < 5:
+            return rng.choice([None, True, 1, "a", 'say "hi"', "]]]]]]\\\"", "{[", "é\\", 7])
+        return [value(deep - 1) for _ in range(rng.randrange(4))] if kind < 6 else {rng.choice(["k", "a.b", 'q"', "[0]", "é", ""]): value(deep - 1) for _ in range(rng.randrange(4))}
+
+    def shaken(v):
+        if isinstance(v, dict):
+            return {k: shaken(x) for k, x in v.items() if rng.random() > 0.1} | ({"new": 1} if rng.random() < 0.1 else {})
+        if isinstance(v, list):
+            return [shaken(x) for x in v][: None if rng.random() > 0.1 else 1]
+        return value(0) if rng.random() < 0.2 else v
+
+    pairs = [(x := {"r": value(4), "s": value(3)}, shaken(x)) for _ in range(120)] + [({"k": "]]]]]]\"", "a": {"b": {"c": 1}}}, {"k": "]]]]]]\"", "a": {"b": {"c": 2}}})]
+    deep = lambda v, n=60: v if not n else ([deep(v, n - 1)] if n % 2 else {"d": deep(v, n - 1)})
+    pairs.append((deep(1), deep(2)))
+    df = spark.createDataFrame([(i, json.dumps(x), json.dumps(y)) for i, (x, y) in enumerate(pairs)], "id int, before string, after string")
+    out = quality.json_diff(df, "id")
+    got = sorted((r.id, r.path, r.kind) for r in out.collect())
+    assert got == sorted((i, *d) for i, (x, y) in enumerate(pairs) for d in plain_json_diff(x, y))
+    assert out._jdf.queryExecution().toString().count("\n") < 80
+
+
 def test_expression_rules_refuse_statements(spark):
     with pytest.raises(ValueError):
         quality.safe_expr("max(x); drop table t")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewatch.functions.scalars import col, grouped, try_timestamp
 from tidewatch.operators.common import as_date, as_ts, bucketed_running, latest_by_key
+from tidewatch.session import scratch_dir
 
 # --- statistics of a load --------------------------------------------------------------------
 
@@ -599,68 +600,66 @@ def _kind(v) -> Column:
         .when(t == "VOID", "null").when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | t.rlike(r"^DECIMAL\(\d+,0\)"), "whole").otherwise("number"))
 
 
-def json_nodes(docs: DataFrame, key: str, depth: int) -> DataFrame:
-    """Every value inside a document ``v`` (variant): (key, steps, path, in_list, kind, v), one row per value.
-
-    ``steps`` are the keys and positions on the way, ``path`` the same as text. One explode per level of nesting.
-    """
-    level = docs.select(F.col(key).alias("key"), F.expr("cast(array() as array<string>)").alias("steps"), F.lit("").alias("path"), F.lit(False).alias("in_list"), "v").filter("v is not null")
-    level = level.withColumn("kind", _kind("v"))
-    out = level
-    for _ in range(depth):
-        below = docs.sparkSession.sql(
-            "SELECT d.key, d.steps, d.path, d.kind AS above, e.pos, e.key AS name, e.value AS v FROM {d} d, LATERAL variant_explode(d.v) e", d=level.filter("kind in ('object', 'array')"))
-        listed = F.col("above") == "array"
-        step = F.when(listed, F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("name")))
-        level = below.select("key", F.concat("steps", F.array(step)).alias("steps"), F.concat("path", step).alias("path"), listed.alias("in_list"), "v").withColumn("kind", _kind("v"))
-        out = out.unionByName(level)
-    return out
+_DIFFERENCE = "path string, kind string, was string, now string, x variant, y variant"
 
 
-def json_depth(text) -> Column:
-    """Most open brackets at a time, strings left out."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
-    turn = lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1)
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    step = lambda a, c: F.struct((a["now"] + turn(c)).alias("now"), F.greatest(a["most"], a["now"] + turn(c)).alias("most"))
-    return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), start, step)["most"]
+def _compared(pairs: DataFrame) -> DataFrame:
+    """One level: pairs of values (key, path, x, y) to differences, and to the pairs below that aren't the same text."""
+    entry = lambda path, kind, was, now, x=None, y=None: F.struct(
+        path.alias("path"), F.lit(kind).cast("string").alias("kind") if kind is None or isinstance(kind, str) else kind.alias("kind"),
+        was.alias("was"), now.alias("now"), (x if x is not None else F.lit(None).cast("variant")).alias("x"), (y if y is not None else F.lit(None).cast("variant")).alias("y"))
+    none = F.lit(None).cast("string")
+    p = pairs.withColumn("_j", _kind("x")).withColumn("_k", _kind("y"))
+    for v, side in (("x", "a"), ("y", "b")):
+        p = p.withColumn(f"_list_{side}", F.when(F.col("_j") == "array", F.try_variant_get(v, "$", "array<variant>")))
+        p = p.withColumn(f"_map_{side}", F.when(F.col("_j") == "object", F.try_variant_get(v, "$", "map<string,variant>")))
+    text, number = lambda c: F.to_json(F.col(c)), lambda c: F.try_variant_get(F.col(c), "$", "double")
+    shown = F.when(F.col("path") == "", ".").otherwise(F.col("path"))
+    changed = F.when(F.col("_j") == "number", ~number("x").eqNullSafe(number("y"))).otherwise(text("x") != text("y"))
+    here = lambda kind: F.array(entry(shown, kind, text("x"), text("y")))
+    size = lambda c: F.size(c).cast("string")
+    length = F.when(F.size("_list_a") != F.size("_list_b"), F.array(entry(F.concat("path", F.lit("[]")), "length", size("_list_a"), size("_list_b")))).otherwise(
+        F.expr(f"cast(array() as array<struct<{_DIFFERENCE.replace(' ', ':').replace(',:', ',')}>>)"))
+    held = lambda v: F.coalesce(v, F.parse_json(F.lit("null")))
+    places = F.slice(F.sequence(F.lit(0), F.greatest(F.size("_list_a"), F.size("_list_b"))), F.lit(1), F.least(F.size("_list_a"), F.size("_list_b")))
+    items = F.transform(places, lambda i: entry(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")), None, none, none, held(F.get("_list_a", i)), held(F.get("_list_b", i))))
+    lone = lambda k: F.when(~F.map_contains_key("_map_a", k) | ~F.map_contains_key("_map_b", k), "key")
+    value = lambda side, k: F.when(F.map_contains_key(f"_map_{side}", k), held(F.element_at(f"_map_{side}", k)))
+    members = F.transform(F.array_union(F.map_keys("_map_a"), F.map_keys("_map_b")), lambda k: entry(
+        F.concat("path", F.lit("."), k), lone(k), F.when(lone(k).isNotNull(), F.to_json(value("a", k))), F.when(lone(k).isNotNull(), F.to_json(value("b", k))),
+        F.when(lone(k).isNull(), value("a", k)), F.when(lone(k).isNull(), value("b", k))))
+    found = (
+        F.when(F.col("_j") != F.col("_k"), here("type")).when(F.col("_j") == "array", F.concat(length, items)).when(F.col("_j") == "object", members)
+        .when(changed, here("value")))
+    out = p.select("key", F.explode(found).alias("e")).select("key", "e.*")
+    return out.filter("kind is not null or to_json(x) <> to_json(y)")
 
 
 def json_diff(df: DataFrame, key: str, before: str = "before", after: str = "after") -> DataFrame:
     """Path-wise differences of two JSON documents per row, as (key, path, kind, was, now); keys are unique.
 
-    Both documents become rows of values, which are joined by path. Kinds: ``type``, ``value``, ``length`` of lists,
-    ``key`` for members of one object only, and ``unreadable`` where one of the documents is missing or no JSON.
-    Values below a difference of kind or a lone member are not listed. 1 and 1.0 are the same number.
+    Kinds: ``type``, ``value``, ``length`` of lists, ``key`` for members of one object only, and ``unreadable`` where one of
+    the documents is missing or no JSON. Values below a difference of kind or a lone member are not listed. 1 and 1.0 are
+    the same number.
+
+    Both documents are walked together, a level a pass; only pairs that still differ go on, and what a pass finds is
+    written to the shared folder. So the number of passes is the depth of the deepest difference, and no plan grows with it.
     """
-    parsed = df.select(F.col(key).alias("_key"), F.col(before).alias("_x"), F.col(after).alias("_y"), F.try_parse_json(before).alias("_a"), F.try_parse_json(after).alias("_b"))
-    unread = parsed.filter((F.col("_a").isNull() | F.col("_b").isNull()) & ~F.col("_x").eqNullSafe(F.col("_y"))).select(
-        F.col("_key").alias(key), F.lit(".").alias("path"), F.lit("unreadable").alias("kind"), F.col("_x").alias("was"), F.col("_y").alias("now"))
-    good = parsed.filter("_a is not null and _b is not null")
-    depth = good.agg(F.max(F.greatest(json_depth("_x"), json_depth("_y")))).first()[0] or 0
-    a = json_nodes(good.select("_key", F.col("_a").alias("v")), "_key", depth)
-    b = json_nodes(good.select("_key", F.col("_b").alias("v")), "_key", depth)
-    text = lambda d: F.to_json(F.col(f"{d}.v"))
-    size = lambda d: F.size(F.try_variant_get(F.col(f"{d}.v"), "$", "array<variant>"))
-    number = lambda d: F.try_variant_get(F.col(f"{d}.v"), "$", "double")
-    both = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.steps") == F.col("b.steps")), "full")
-    same = F.col("a.kind") == F.col("b.kind")
-    changed = F.when(F.col("a.kind") == "number", ~number("a").eqNullSafe(number("b"))).otherwise(text("a") != text("b"))
-    lone = F.col("a.kind").isNull() | F.col("b.kind").isNull()
-    kind = (
-        F.when(lone, "key").when(~same, "type").when((F.col("a.kind") == "array") & (size("a") != size("b")), "length")
-        .when(~F.col("a.kind").isin("array", "object") & changed, "value"))
-    side = lambda d: F.when(F.col("issue") == "length", size(d).cast("string")).otherwise(text(d))
-    found = both.withColumn("issue", kind).filter("issue is not null").select(
-        F.coalesce("a.key", "b.key").alias("key"), F.coalesce("a.steps", "b.steps").alias("steps"), F.coalesce("a.path", "b.path").alias("path"),
-        F.coalesce("a.in_list", "b.in_list").alias("in_list"), F.col("issue").alias("kind"), side("a").alias("was"), side("b").alias("now"))
-    # A lone member counts where the value that holds it is an object on both sides.
-    held = lambda d: d.filter("kind = 'object'").select("key", F.col("steps").alias("above"))
-    lone_rows = found.filter("kind = 'key' and not in_list").withColumn("above", F.slice("steps", F.lit(1), F.size("steps") - 1))
-    lone_rows = lone_rows.join(held(a), ["key", "above"], "left_semi").join(held(b), ["key", "above"], "left_semi")
-    shown = F.when(F.col("kind") == "length", F.concat("path", F.lit("[]"))).otherwise(F.when(F.col("path") == "", ".").otherwise(F.col("path")))
-    out = found.filter("kind <> 'key'").unionByName(lone_rows.drop("above")).select(F.col("key").alias(key), shown.alias("path"), "kind", "was", "now")
-    return out.unionByName(unread)
+    spark = df.sparkSession
+    parsed = df.select(F.col(key).alias("key"), F.col(before).alias("_x"), F.col(after).alias("_y"), F.try_parse_json(before).alias("x"), F.try_parse_json(after).alias("y"))
+    unread = parsed.filter((F.col("x").isNull() | F.col("y").isNull()) & ~F.col("_x").eqNullSafe(F.col("_y"))).select(
+        F.col("key").alias(key), F.lit(".").alias("path"), F.lit("unreadable").alias("kind"), F.col("_x").alias("was"), F.col("_y").alias("now"))
+    pairs = parsed.filter("x is not null and y is not null").select("key", F.lit("").alias("path"), "x", "y")
+    root, level = scratch_dir(spark, "json-diff"), 0
+    shape = f"key {pairs.schema['key'].dataType.simpleString()}, {_DIFFERENCE}"
+    while True:
+        _compared(pairs).write.parquet(f"{root}/level={level}")
+        pairs = spark.read.schema(shape).parquet(f"{root}/level={level}").filter("kind is null").select("key", "path", "x", "y")
+        if pairs.isEmpty():
+            break
+        level += 1
+    found = spark.read.schema(shape).parquet(f"{root}/level=*").filter("kind is not null")
+    return found.select(F.col("key").alias(key), "path", "kind", "was", "now").unionByName(unread)
 
 
 # --- group results and catalog checks -------------------------------------------------------------
