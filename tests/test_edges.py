@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scalars as S
 from tidewatch.operators import common, control, delivery, exchange, export, journal, quality, reports
 from tidewatch.sources import files, ingest, sinks
-from tidewatch.streaming import streams
+from tidewatch.streaming import latest, streams
 
 
 def rows(df):
@@ -699,10 +699,51 @@ def test_changed_documents_over_batches(spark, tmp_path):
     at = lambda m: ts("2024-01-01 00:00:00") + dt.timedelta(minutes=m)
     src = str(tmp_path / "docs")
     write_batches(spark, src, [[("/u", 1, at(0), '{"a":1,"b":2}'), ("/u", 1, at(1), '{"b": 2, "a": 1}')], [("/u", 1, at(2), '{"a":1,"b":2}'), ("/u", 2, at(2), "{}")], [("/u", 1, at(3), '{"a":2}')]], schema)
-    got = streams.drain(streams.stream_changed(streams.parquet_stream(spark, src, spark.read.parquet(src).schema, 1)), "c")
+    table = latest.documents_table(spark, str(tmp_path / "table"), fold_every=2)
+    got = latest.drain_changed(streams.parquet_stream(spark, src, spark.read.parquet(src).schema, 1), table, str(tmp_path / "out"), F.to_date("ts"))
     assert sorted((r.id, r.ts) for r in got.collect()) == [(1, at(0)), (1, at(3)), (2, at(2))]
 
 
+def test_changed_documents_of_a_repeated_batch_and_a_hot_key(spark, tmp_path):
+    schema, rng = "url string, id bigint, ts timestamp, msg string", random.Random(3)
+    at = lambda m: ts("2024-01-01 00:00:00") + dt.timedelta(minutes=m)
+    docs = [("/hot", None if i % 2 else 1, at(7 * i), rng.choice(['{"a": 1}', '{"a": 2}', None])) for i in range(900)]
+    table = latest.documents_table(spark, str(tmp_path / "table"), fold_every=2)
+    got = []
+    for batch in range(5):
+        df = spark.createDataFrame(docs[batch * 180 : batch * 180 + 180], schema)
+        first = rows(latest.changed(df, table.read(batch), F.to_date("ts")))
+        table.merge(df.withColumn("h", F.coalesce(F.md5(F.replace("msg", F.lit(" "))), F.lit(""))), batch)
+        assert sorted(rows(latest.changed(df, table.read(batch), F.to_date("ts"))), key=str) == sorted(first, key=str)  # the batch is repeated after its merge
+        got += first
+    want = [d for i, d in enumerate(docs) if i < 2 or docs[i - 2][3] != d[3]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(rows(latest.changed(spark.createDataFrame([("/hot", 1, at(0), "{}")], schema), table.read(), F.to_date("ts")))) == []
+
+
+def test_latest_table_equals_batch_and_forgets_old_keys(spark, tmp_path):
+    rnd = random.Random(5)
+    data = [(rnd.choice([None, *range(6)]), i, ts("2024-01-01 00:00:00") + dt.timedelta(minutes=rnd.randrange(500))) for i in range(300)]
+    data += [(100 + i, i, ts("2023-12-01 00:00:00")) for i in range(4)]
+    schema = "k int, n int, at timestamp"
+    shuffled = data + data[:100]
+    rnd.shuffle(shuffled)
+    write_batches(spark, str(tmp_path / "s"), [shuffled[i::7] for i in range(7)], schema)
+    shape = spark.createDataFrame(data, schema).schema
+    want = sorted(rows(common.latest_by_key(spark.createDataFrame(data, schema), ["k"], [F.desc("at"), F.desc("n")])), key=str)
+    for name, keep in (("whole", None), ("short", "10 days")):
+        table = latest.LatestTable(spark, str(tmp_path / name), shape, ["k"], ["at", "n"], fold_every=3, keep=keep)
+        latest.drain_latest(streams.parquet_stream(spark, str(tmp_path / "s"), shape, 1), table, str(tmp_path / f"{name}-checkpoint"))
+        table.fold(7)
+        kept = [r for r in want if keep is None or r[0] is None or r[0] < 100]
+        assert sorted(rows(table.read()), key=str) == kept
+        assert sorted(rows(table.folded.read().filter("not _mark").select("k", "n", "at")), key=str) == kept  # what is stored, not only what is shown
+        table.merge(spark.createDataFrame([(1, 999, ts("2025-01-01 00:00:00"))], schema), 7)
+        assert (1, 999, ts("2025-01-01 00:00:00")) in rows(table.read()) and (1, 999, ts("2025-01-01 00:00:00")) not in rows(table.read(7))
+        with pytest.raises(ValueError):
+            table.read(6)
+
+
 def test_part_tickets_are_numbered_by_several_tasks(spark):
     parts = spark.createDataFrame([(f"f{i * 7919 % 1000:04d}", i) for i in range(1000)], "file_name string, rows long")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")

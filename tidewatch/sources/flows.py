@@ -75,7 +75,7 @@ def flow_schema(envelope: DataFrame, flow: str, most: int) -> T.StructType:
     found = infer_flow_schema(envelope.filter(F.col("_gp_name") == flow)).orderBy("position", "field").limit(most + 1).collect()
     if not found or len(found) > most:
         raise CheckFailed(f"{flow}: {'no fields found' if not found else f'more than {most} fields'}")
-    return T._parse_datatype_string(", ".join(f"`{r.field.replace('`', '``')}` {SPARK_TYPES[r.type]}" for r in found))
+    return T.StructType.fromDDL(", ".join(f"`{r.field.replace('`', '``')}` {SPARK_TYPES[r.type]}" for r in found))
 
 
 @dataclass(frozen=True)
