@@ -1,5 +1,6 @@
 """Operators on small frames: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; against brute force."""
 
+import collections
 import functools
 import itertools
 import math
@@ -337,6 +338,34 @@ def test_html_templates_of_large_hosts(spark, broadcast_hashes):
     assert got == want
 
 
+def test_html_of_hosts_without_articles(spark):
+    """Headings, cells and items that many pages share are text; menus and boxes of the site are not."""
+    def page(i):
+        usual = "<h2>Overview</h2><table><tr><td>Yes<td>v{0}</table><h2>References</h2><ul><li>None<li>r{0}</ul>".format(i) if i < 60 else ""
+        items = "".join(f"<li{' class=on' if k == i % 5 else ''}><a href={k}>Part {k}</a>" for k in range(5))
+        return f"<div><div><ul>{items}</ul></div><div><p>Site notice</div><div class=c><h1>Title {i}</h1><p>Own words {i}</p>{usual}</div></div>"
+
+    rows = [(i, f"http://h.example.com/{i}", page(i)) for i in range(700)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nOwn words {i}" + (f"\nOverview\nYes\nv{i}\nReferences\nNone\nr{i}" if i < 60 else "") for i in range(700)}
+
+
+def test_html_against_plain_counts(spark):
+    """Every page of the given table, long and repeated rows and rows without a host, with subtrees counted by plain Python."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    rows += rows[:3] + [(None, None, rows[0][2]), (9001, "", rows[1][2]), (9002, rows[2][1], "<p>" + "long words " * 100_000), (9003, rows[2][1], None)]
+    host = lambda u: (re.match(r"\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", u or "") or [None, ""])[1].lower() or None
+    different = {(host(u), h) for _, u, h in rows if host(u) and h is not None}
+    size, seen = collections.Counter(s for s, _ in different), collections.Counter((s, k) for s, h in different for k in html_text.Page(h).hashes)
+    gone = collections.defaultdict(set)
+    for (s, k), n in seen.items():
+        if n >= 5 and n >= (size[s] * 0.9 if k & 1 else min(size[s] * 0.1, 50)):
+            gone[s].add(k)
+    want = sorted((str(i), html_text.Page(h, gone[host(u)] if host(u) else set()).text()) for i, u, h in rows)
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    assert sorted((str(r["page_id"]), r["text"]) for r in got.collect()) == want
+
+
 def test_chat(spark):
     rng = random.Random(11)
     turns = [(c, t, rng.choice(("user", "assistant", "system", "Human", "gpt", "tool", None)), f"t{c}-{t}") for c in range(30) for t in range(rng.randrange(1, 9))]

@@ -155,6 +155,19 @@ def test_html_attributes(html, text):
     assert html_text.Page(html).text() == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<form id="aspnetForm"><nav>n</nav><article><p>a<input><button>go</button></article><aside><article>teaser</article></aside></form>', "a"),
+    ("<div hidden><main><p>a</main></div>", "a"), ("<div hidden><article>old copy</article></div><article>a</article>", "a"), ('<div role="dialog"><article>a</article></div>', "a"),
+    ("<aside><article>teaser</article></aside><main><p>a</main>", "a"), ("<footer><article>a</article></footer>", "a"), ("<fieldset><main>a</main></fieldset>b", "a"),
+    ("<article>teaser</article><main><p>whole text</main>", "whole text"), ("<main><article>long enough text</article><p>more</main>", "long enough text"),
+    ("<main><article>a</article><p>the text beside it</main>", "a\nthe text beside it"), ("<main><p>x</main><article>the whole article</article>", "the whole article"),
+    ('<article><ul><li class="social">a</ul><div class="share"><p>b</div><p class="comment">c<div class="promotion">d</div></article>', "a\nb\nc\nd"),
+    ('<article>a<div class="share"><a href=x>b</a></div><ul class="comments"><li>c</ul><div class="advert"><p>d</div></article>', "a"), ('<div class="share"><p>b</div><p>a', "a"),
+])
+def test_html_what_holds_the_text_stays(html, text):
+    assert html_text.Page(html).text() == text
+
+
 @pytest.mark.parametrize("n", [2, 199, 200, 1000])
 def test_html_text_between_articles(n):
     html = "".join(f"<article><p>a{i}<article>b{i}</article></article><p>between" for i in range(n))

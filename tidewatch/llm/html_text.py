@@ -27,6 +27,9 @@ SCOPE = frozenset("ul ol dl table div section article aside main body html td th
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Names that pages give to parts beside the article: a whole class or id, so has-sidebar, no-comments or related-work name none.
 BESIDE = re.compile(r"(?:(?:site|page|main|primary|secondary|global)-)?(?:(?:ad|ads|adbox|advert|adverts|advertisements?|advertising|sponsor|sponsors|sponsored|promos?|promotions?|banners?|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebars?|footer|masthead|topbar|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|login|comments?|disqus|share|sharing|socials?|recommended|recommendations|widgets?|toolbar|pagination|pager)(?:-(?:bar|box|area|block|list|links?|buttons?|icons?|container|wrap|wrapper|banner|popup|modal|form|thread|widget|\d+))*|related(?:-(?:posts?|articles?|links?|stories|news))?|(?:site|page)-?header|skip-?link)", re.I)
+# Names that also belong to articles: inside one they count only for elements without text of their own beside links.
+LOOSE = re.compile(r"(?:share|sharing|socials?|promos?|promotions?|recommended|recommendations|widgets?|toolbar|login|signup|banners?|menu|popup)", re.I)
+WRAPPERS = frozenset("form fieldset label button".split())  # may be put around a whole page
 COMMENTS = re.compile(r"(?:div-)?comments?(?:-(?:area|block|box|list|container|wrap|wrapper|thread|body|item|form|reply|respond|\d+))*", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 
@@ -39,14 +42,17 @@ class Page:
     """Elements of a page as they close: subtree hashes, and text blocks outside the elements left out.
 
     A single pass with a stack, so neither depth nor length of a page matters. Hashes of paragraphs, headings, list items and
-    table cells inside an article or main element are odd, all others even.
+    table cells are odd, unless they stand outside an article and hold links only; all others are even and name the
+    place of the element, too: the tags around it.
     """
 
     def __init__(self, html: str | None, recurring: Container[int] = frozenset()):
         self.recurring, self.hashes, self.events = recurring, set(), []
         self.spans: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
         self.comments: list[tuple[int, int]] = []  # elements named so that hold articles
-        self.stack: list[list] = []  # tag, names, first event, parts of the hash, whether it is left out, whether it has text, what its name says
+        self.beside: list[tuple[int, int]] = []  # sidebars and the like that hold an article or main
+        self.hidden: list[tuple[int, int]] = []  # hidden elements and elements of such roles that hold one
+        self.stack: list[list] = []  # tag, names, first event, parts of the hash, why it is left out, whether it has text, what its name says, whether text beside links, place
         self.open: Counter[str] = Counter()
         self.inside = 0  # open article and main elements
         self._read(html or "")
@@ -77,6 +83,7 @@ class Page:
             if self.stack:
                 self.stack[-1][3].append(" ".join(text.split()))
                 self.stack[-1][5] = True
+                self.stack[-1][7] |= not self.open["a"]
         if text:
             self.events.append(text)
 
@@ -91,23 +98,25 @@ class Page:
             self.events.append(None)
         if tag in VOID:
             return
-        names, out, named = "", tag in NEVER, ""
+        names, out, named = "", "beside" if tag in NEVER else "", ""
         for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
             name, value = name.lower(), next(filter(None, values), "")
             if name in ("class", "id"):
                 names += f" {value}"
                 named = named or self._named(tag, name, value)
             elif name == "role":
-                out |= value.lower() in ROLES
-            else:
-                out |= name == "hidden" or name == "aria-hidden" and value.lower() == "true"
-        out |= tag == "header" and not self.inside
+                out = out or ("hidden" if value.lower() in ROLES else "")
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                out = out or "hidden"
+        if tag == "header" and not self.inside:
+            out = "beside"
         self.inside += tag in self.spans
         self.open[tag] += 1
-        self.stack.append([tag, names, len(self.events), [], out, False, named])
+        place = xxhash.xxh3_64_intdigest(tag, self.stack[-1][8] if self.stack else 0)
+        self.stack.append([tag, names, len(self.events), [], out, False, named, False, place])
 
     def _named(self, tag: str, name: str, value: str) -> str:
-        """"comments" or "beside" where a class or an id names a part beside the article, else nothing.
+        """"comments", "beside" or "loose" where a class or an id names a part beside the article, else nothing.
 
         Ids of headings and sections are targets of links, and so are those of text inside an article or main element.
         """
@@ -116,7 +125,8 @@ class Page:
         tokens = [re.sub("[_-]+", "-", x) for x in value.split()]
         if any(COMMENTS.fullmatch(x) for x in tokens):
             return "comments"
-        return "beside" if tag != "article" and any(BESIDE.fullmatch(x) for x in tokens) else ""
+        found = [] if tag == "article" else [x for x in tokens if BESIDE.fullmatch(x)]
+        return "" if not found else "loose" if all(LOOSE.fullmatch(x) for x in found) else "beside"
 
     def _end(self, tag: str) -> None:
         if self.open[tag]:
@@ -133,47 +143,69 @@ class Page:
                 return
 
     def _close(self) -> str:
-        tag, names, first, parts, out, has_text, named = self.stack.pop()
+        tag, names, first, parts, why, has_text, named, plain, place = self.stack.pop()
         self.inside -= tag in self.spans
         self.open[tag] -= 1
         h = xxhash.xxh3_64_intdigest("\x00".join((tag, names, *parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
         if self.stack:
             self.stack[-1][3].append(f"\x01{h}")
             self.stack[-1][5] |= has_text
+            self.stack[-1][7] |= plain
+        holds = {kind for kind, spans in self.spans.items() if spans and spans[-1][0] >= first}
+        out = why != "" and not holds
         if tag in BLOCK and has_text and tag not in ("html", "body", "main", "article"):
-            key = h & ~1 | (self.inside > 0 and tag in PROSE)
+            prose = tag in PROSE and (plain or self.inside > 0)
+            key = h | 1 if prose else (h ^ place) & ~1
+            key = (key + (1 << 63)) % (1 << 64) - (1 << 63)
             self.hashes.add(key)
-            out |= key in self.recurring
-        holds = {kind for kind, spans in self.spans.items() if spans and spans[-1][0] >= first}
-        out |= named != "" and not holds
+            out |= key in self.recurring and not holds
+        if not holds and named:
+            out |= not plain or not self.inside or named == "beside" or named == "comments" and tag not in PROSE
         if out:
             del self.events[first:]
-            for spans in (*self.spans.values(), self.comments):
+            for spans in (*self.spans.values(), self.comments, self.beside, self.hidden):
                 while spans and spans[-1][0] >= first:
                     spans.pop()
         else:
+            span = (first, len(self.events))
+            if holds and tag not in WRAPPERS and why:
+                (self.beside if why == "beside" else self.hidden).append(span)
             if tag in self.spans:
-                self.spans[tag].append((first, len(self.events)))
+                self.spans[tag].append(span)
             if named == "comments" and holds == {"article"}:
-                self.comments.append((first, len(self.events)))
+                self.comments.append(span)
         if tag in BLOCK:
             self.events.append(None)
         return tag
 
     def text(self) -> str:
-        """Blocks of the article elements, or else of the main element, or else of the page, one a line.
+        """Blocks of the article and main elements, or else of the page, one a line.
 
-        Articles inside elements named as comments count for nothing, unless there is no other article or main text: then the page is taken.
+        Articles in elements named as comments count for nothing, those in sidebars and hidden elements only if there is no
+        other article or main text; and if there is none at all, the page is taken.
         """
-        events = list(self.events)
-        for a, b in self._top(self.comments):
-            events[a:b] = [None] * (b - a)
-        for spans in (self.spans["article"], self.spans["main"]):
-            top = self._top(spans)
-            if any(x is not None and x.strip() for a, b in top for x in events[a:b]):
-                break
-        else:
-            top, events = [(0, len(self.events))], self.events
+        for without in ((self.comments, self.beside, self.hidden), (self.comments, self.beside), (self.comments,)):
+            events = list(self.events)
+            for spans in without:
+                for a, b in self._top(spans):
+                    events[a:b] = [None] * (b - a)
+            top = self._chosen(events)
+            if top:
+                return self._lines(events, top)
+        return self._lines(self.events, [(0, len(self.events))])
+
+    def _chosen(self, events: list[str | None]) -> list[tuple[int, int]]:
+        """The articles inside the main element if they make up half of it, else the main element; or all articles, where they have more text."""
+        size = lambda spans: sum(len("".join(x.split())) for a, b in spans for x in events[a:b] if x)
+        articles, mains = self._top(self.spans["article"]), self._top(self.spans["main"])
+        within = [s for s in articles if any(a <= s[0] and s[1] <= b for a, b in mains)] if len(mains) == 1 else articles
+        best = within if 2 * size(within) >= size(mains) else mains
+        if size(articles) > size(best):
+            best = articles
+        return best if size(best) else []
+
+    @staticmethod
+    def _lines(events: list[str | None], top: list[tuple[int, int]]) -> str:
         blocks, block = [], []
         for a, b in top:
             for x in (*events[a:b], None):
@@ -231,7 +263,7 @@ def site_subtrees(pages: DataFrame) -> DataFrame:
 def site_templates(pages: DataFrame, share: float, least: int, many: int, nearly: float) -> DataFrame:
     """(h): subtrees found in at least `least` pages of a site, and in `many` of them or a `share` of the site's pages.
 
-    Prose inside an article or main element must be in the share `nearly` of the site's pages instead. Equal pages of a
+    Prose (odd hashes) must be in the share `nearly` of the site's pages instead. Equal pages of a
     site count once. Counts are taken per task before they are shuffled, so a site with most of the pages is spread over them.
     """
     sizes = pages.where("site is not null and html is not null").select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages"))
@@ -259,11 +291,12 @@ def main_text(pages: DataFrame, share: float = 0.1, least: int = 5, broadcast_ha
 
     Element subtrees are hashed bottom-up (tag, class, id, texts and children), counted per host, and those recurring across
     the host's pages are deleted: from `least` pages on where that is a `share` of the host's pages, and from `many` pages on
-    however large the host is. Within an article or main element only containers are deleted so; paragraphs, headings, list items
-    and table cells themselves go where the share `nearly` of the host's pages has them. Elements that are never text (scripts, forms, navigation and the like) or are
-    named as beside the text go too, by a whole class or id, unless they hold an article or main element or are headings or sections
-    inside one. Of the rest, article elements are taken, else the main element, else the page. Character references are decoded,
-    white space in a block becomes one blank.
+    however large the host is. Only containers are deleted so, at the same place (the tags around them); paragraphs, headings, list items
+    and table cells themselves go where the share `nearly` of the host's pages has them, or outside articles if they are links only.
+    Elements that are never text (scripts, forms, navigation and the like) or are named as beside the text go too, by a whole class
+    or id. Nothing that holds an article or main element goes; inside one, names that articles use themselves count only for
+    elements without text of their own. Of the rest, the articles or the main element are taken, whichever is the text (`Page._chosen`),
+    else the page. Character references are decoded, white space in a block becomes one blank.
 
     Up to `broadcast_hashes` recurring subtrees go to every task as one sorted array; beyond that they are rows joined to the
     subtrees of the pages, and a page gets the list of its own.
