@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.scalars import best_effort_timestamp, col, is_valid_json, try_int
 from tidewatch.operators.common import as_date, as_ts
+from tidewatch.operators.rules import Rule, rule_values
 from tidewatch.session import truncate_lineage
 
 STAT_KEY = ["profile", "entity_id", "stat_id"]
@@ -474,6 +475,39 @@ def alert_data(deadlines: DataFrame, stats: DataFrame) -> DataFrame:
     return d.filter(F.col("last_at").isNull() | (F.to_date("last_at") < F.col("need")))
 
 
+# How an object is named in a rule.
+OBJECT_NAME = r"^[a-z_][a-z0-9_]*(\.[a-z_][a-z0-9_]*)?$"
+
+
+def data_alerts(deadlines: DataFrame, stats: DataFrame, tables: dict[str, DataFrame], most_expressions: int) -> DataFrame:
+    """Calendar rules with data, by a statistic or by an expression over the object itself.
+
+    ``deadlines``: ..., obj, lag_s, deadline, expr, field. A rule with ``expr`` compares that aggregate of the table ``obj``, others the
+    newest value of the column ``field`` (``data_max`` if empty) in ``stats`` (obj, time columns). Rules that fire come back with
+    ``need`` and ``last_at``, unreadable ones with the reason in ``problem``. Different expressions are settings: more
+    than ``most_expressions`` are an error. Each table is read once, whatever the number of rules on it.
+    """
+    d = deadlines.filter("deadline is not null").withColumn("expr", F.nullif("expr", F.lit(""))).withColumn("field", F.coalesce(F.nullif("field", F.lit("")), F.lit("data_max")))
+    named = F.coalesce(F.col("obj").rlike(OBJECT_NAME), F.lit(False))
+    asked = d.filter(named & F.col("expr").isNotNull()).select("obj", "expr").distinct().limit(most_expressions + 1).collect()
+    if len(asked) > most_expressions:
+        raise ValueError(f"more than {most_expressions} expressions")
+    rules = {(r.obj, r.expr): str(i) for i, r in enumerate(asked)}
+    values = rule_values(deadlines.sparkSession, tables, [Rule(i, obj, expr) for (obj, expr), i in rules.items()], "timestamp")
+    known = deadlines.sparkSession.createDataFrame([(i, obj, expr) for (obj, expr), i in rules.items()], "rule string, obj string, expr string")
+    values = values.join(F.broadcast(known), "rule").select("obj", "expr", F.col("value").alias("_value"), F.col("problem").alias("_reason"))
+    fields = [c for c in stats.columns if c != "obj"]
+    newest = stats.groupBy("obj").agg(F.map_from_arrays(F.array(*[F.lit(c) for c in fields]), F.array(*[F.max(c).cast("timestamp") for c in fields])).alias("_stats"))
+    j = d.join(F.broadcast(values), ["obj", "expr"], "left").join(newest, "obj", "left")
+    problem = (
+        F.when(~named, "bad name of an object").when(F.col("expr").isNotNull(), F.col("_reason"))
+        .when(~F.col("field").isin(*fields), F.concat(F.lit("unknown field "), "field")))
+    last = F.when(F.col("expr").isNotNull(), F.col("_value")).otherwise(F.element_at("_stats", F.col("field")))
+    out = j.withColumn("problem", problem).withColumn("last_at", F.when(F.col("problem").isNull(), last)).withColumn("need", F.to_date(plus_seconds("deadline", -F.coalesce("lag_s", F.lit(0)))))
+    fires = F.col("last_at").isNull() | (F.to_date("last_at") < F.col("need"))
+    return out.filter(F.col("problem").isNotNull() | fires).drop("_value", "_reason", "_stats")
+
+
 def last_success(loads: DataFrame, publications: DataFrame | None = None, stat_id: int | None = None) -> DataFrame:
     """Last successful end per workflow, or the last publication of one statistic.
 

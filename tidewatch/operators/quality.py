@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewatch.functions.scalars import col, grouped, try_timestamp
 from tidewatch.operators.common import as_date, as_ts, bucketed_running, latest_by_key
-from tidewatch.session import scratch_dir
+from tidewatch.operators.rules import Rule, rule_values, safe_expr
+from tidewatch.session import scratch_dir, truncate_lineage
 
 # --- statistics of a load --------------------------------------------------------------------
 
@@ -197,48 +202,104 @@ REPLAY_SCHEMA = ("object string, key_date date, rows_count bigint, key_diff int,
                  "std double, cnt bigint, zscore double, ztest boolean")
 
 
-def ztest_replay(measurements: DataFrame, dots: int = CONFIG_DEFAULT_DOTS) -> DataFrame:
-    """Replay a whole series in key order: a failed point leaves the baseline of later ones.
-
-    Verdicts depend on earlier verdicts, so an object is replayed by one task. What reaches it is
-    the newest measurement per (object, key date): at most one row per calendar day.
+class _Series:
+    """What later days need of one object's replay: usable records and the newest values, apart for small and large loads if `hist` splits them."""
+
+    def __init__(self, setting: dict, state: str | None, dots: int):
+        unset = lambda x: x is None or x is pd.NaT or (isinstance(x, float) and x != x)
+        self.cfg = {k: v for k, v in setting.items() if k in ("z_except", "z_error") or not unset(v)}
+        self.dots, self.gap = int(self.cfg.get("dots", dots)), int(self.cfg.get("interval_days", 1))
+        self.excepted, self.wrong = ({str(d)[:10] for d in self.cfg.get(k)} if self.cfg.get(k) is not None else set() for k in ("z_except", "z_error"))
+        held = json.loads(state) if state else {}
+        self.records, self.points = held.get("records", {}), held.get("points", {})
+
+    def state(self) -> str:
+        return json.dumps({"records": self.records, "points": self.points})
+
+    def add(self, day, rows: int) -> dict:
+        """The result of the next day; it is remembered as far as later days may use it."""
+        cfg, text = self.cfg, str(day)[:10]
+        part = "all" if "hist" not in cfg else "small" if rows <= cfg["hist"] else "large"
+        number, records, points = day.toordinal(), self.records.setdefault(part, []), self.points.setdefault(part, [])
+        before = [r for r in records if r[0] <= number - self.gap]
+        last = before[-1] if before else None
+        out = dict(key_date=day, rows_count=rows, zscore=0.0)
+        value = stable = None
+        if last is not None:
+            gap, grown = number - last[0], int(rows - last[1])
+            value = grown // gap if grown >= 0 else -(-grown // gap)
+            pts = np.array([*points, value], dtype=float)
+            avg, std = float(pts.mean()), float(pts.std())
+            stable = bool(avg) and abs(std / avg) < 0.01
+            out.update(key_diff=gap, value=value, avg=avg, std=std, cnt=len(pts), zscore=(value - avg) / (std or 1.0))
+        ok = self._verdict(day, text, value, stable, out["zscore"])
+        if ok is False and last is not None:
+            out.update(avg=last[2], std=last[3], cnt=last[4])
+        low, high = cfg.get("min", -(2**63)), cfg.get("max", 2**63)
+        usable = text not in self.wrong and not ("beg" in cfg and text < str(cfg["beg"])[:10]) and (value is None or low <= value <= high and not (cfg.get("skip", True) and value == 0))
+        if usable:
+            records.append([number, int(rows), out.get("avg"), out.get("std"), out.get("cnt")])
+            del records[: max(0, len([r for r in records if r[0] <= number + 1 - self.gap]) - 1)]
+            if value is not None and (ok is not False or text in self.excepted):
+                points.append(value)
+                del points[: -self.dots]
+        return out | {"ztest": ok}
+
+    def _verdict(self, day, text: str, value: int | None, stable: bool | None, z: float) -> bool | None:
+        cfg = self.cfg
+        if text in self.excepted or text in self.wrong:
+            return text in self.excepted
+        if "end" in cfg and text > str(cfg["end"])[:10] or "beg" in cfg and text < str(cfg["beg"])[:10]:
+            return None
+        if value is None:
+            return True
+        if value < cfg.get("min", value) or value > cfg.get("max", value):
+            return False
+        within = lambda band: cfg.get("zfr", -band) <= z <= cfg.get("zto", band)
+        return bool(stable and within(WIDE_BAND) or within(BAND))
+
+
+SETTINGS = ["hist", "min", "max", "interval_days", "skip", "beg", "end", "dots", "zfr", "zto", "z_except", "z_error"]
+
+
+def ztest_replay_run(measurements: DataFrame, config: DataFrame | None = None, state: DataFrame | None = None, dots: int = CONFIG_DEFAULT_DOTS) -> tuple[DataFrame, DataFrame]:
+    """Replay whole series in key order with all settings: the results, and the state (object, state) to go on from.
+
+    Verdicts depend on earlier verdicts: a failed point leaves the baseline of later ones. An object is replayed by one task, over the
+    newest measurement per key date, at most one row per calendar day. Given the ``state`` of an earlier run, only
+    later days are worked out, with the same results as in one run; it holds ``dots`` values and the records of one
+    interval per object, however long the series. Objects that are not ``active`` are left out.
     """
     daily = latest_by_key(measurements.select("object", "key_date", "rows_count", "ts"), ["object", "key_date"],
-                          [F.desc("ts"), F.desc("rows_count")]).drop("ts")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("key_date")
-        good: list[int] = []
-        last = None
-        out = []
-        for day, rows in zip(pdf.key_date, pdf.rows_count):
-            row = dict(key_date=day, rows_count=rows, zscore=0.0, ztest=True)
-            if last is not None:
-                gap = (day - last[0]).days
-                grown = int(rows - last[1])
-                value = grown // gap if grown >= 0 else -(-grown // gap)
-                pts = np.array(good[-dots:] + [value], dtype=float)
-                avg, std = pts.mean(), pts.std()
-                z = (value - avg) / (std or 1.0)
-                band = WIDE_BAND if avg and abs(std / avg) < 0.01 else BAND
-                row.update(key_diff=gap, value=value, avg=avg, std=std, cnt=len(pts), zscore=z, ztest=bool(-band <= z <= band))
-                # Zero growth is skipped as a baseline and in the statistics.
-                if value != 0:
-                    last = (day, rows)
-                    if row["ztest"]:
-                        good.append(value)
-            else:
-                last = (day, rows)
-            out.append(row)
-        res = pd.DataFrame(out, columns=["key_date", "rows_count", "key_diff", "value", "avg", "std", "cnt", "zscore", "ztest"])
-        res.insert(0, "object", pdf.object.iloc[0])
-        for c in ("key_diff", "value", "cnt"):
+                          [F.desc("ts"), F.desc("rows_count")]).drop("ts").filter("key_date is not null and rows_count is not null")
+    empty = measurements.sparkSession.createDataFrame([], "object string, state string")
+    held = state if state is not None else empty
+    columns = [F.lit(None).alias(c) for c in SETTINGS] if config is None else [F.col(c) for c in SETTINGS]
+    rules = (empty.select("object", F.lit(True).alias("active"), *columns) if config is None else config.select("object", F.coalesce("active", F.lit(True)).alias("active"), *columns))
+    known = held.join(rules, "object", "full").filter("coalesce(active, true)").select("object", "state", *SETTINGS)
+    off = rules.filter("not active").select("object")
+    daily = daily.join(off, "object", "left_anti")
+
+    def replay(rows: pd.DataFrame, settings: pd.DataFrame) -> pd.DataFrame:
+        own = settings.iloc[0].to_dict() if len(settings) else {}
+        series = _Series({k: own.get(k) for k in SETTINGS}, own.get("state"), dots)
+        name = (rows if len(rows) else settings)["object"].iloc[0]
+        days = rows.sort_values("key_date")
+        out = [series.add(d, n) for d, n in zip(days.key_date, days.rows_count, strict=True)]
+        out.append({"state": series.state()})
+        res = pd.DataFrame(out, columns=["key_date", "rows_count", "key_diff", "value", "avg", "std", "cnt", "zscore", "ztest", "state"])
+        res.insert(0, "object", name)
+        for c in ("rows_count", "key_diff", "value", "cnt"):
             res[c] = res[c].astype("Int64")
         return res
 
-    return daily.groupBy("object").applyInPandas(replay, REPLAY_SCHEMA)
+    both = truncate_lineage(daily.groupBy("object").cogroup(known.groupBy("object")).applyInPandas(replay, REPLAY_SCHEMA + ", state string"), "replay")
+    return both.filter("state is null").drop("state"), both.filter("state is not null").select("object", "state")
+
+
+def ztest_replay(measurements: DataFrame, dots: int = CONFIG_DEFAULT_DOTS) -> DataFrame:
+    """Results of :func:`ztest_replay_run` with the usual settings."""
+    return ztest_replay_run(measurements, dots=dots)[0]
 
 
 def ztest_config_set(old: DataFrame, patch: DataFrame) -> DataFrame:
@@ -392,38 +453,35 @@ def detect_date_columns(schema: T.StructType, roles: dict[str, str] = DATE_ROLES
     return {role: name for role, name in roles.items() if name in typed}
 
 
-def safe_expr(text: str) -> Column:
-    """A user expression; statements are refused."""
-    if ";" in text:
-        raise ValueError(f"expression must not hold a statement separator: {text!r}")
-    return F.expr(text)
-
-
 COMPARISONS = {"=", "<", ">", "<=", ">=", "<>", "!="}
 
 
 def business_date_check(tables: dict[str, DataFrame], rules: list[dict]) -> DataFrame:
-    """One row per rule: does the aggregate business date satisfy its condition; worst first."""
-    parts = []
-    for r in rules:
-        if r["operation"] not in COMPARISONS:
-            raise ValueError(f"unknown comparison {r['operation']!r}")
-        df = tables[r["tbl"]]
-        if r.get("whr"):
-            df = df.filter(safe_expr(r["whr"]))
-        value = df.agg(safe_expr(r["bdate"]).cast("date").alias("bdate"))
-        cond = safe_expr(r["condition"]).cast("date")
-        parts.append(value.withColumn("condition", cond).select(
-            F.lit(r["tbl"]).alias("tbl"), "bdate", F.lit(r["operation"]).alias("operation"), "condition",
-            F.expr(f"bdate {r['operation']} condition").alias("res")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """One row per rule: does the aggregate business date satisfy its condition; each table is read once.
+
+    A rule that can't be worked out has no result and the reason in ``problem``.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    values = rule_values(spark, tables, [Rule(str(i), r["tbl"], r["bdate"], r.get("whr")) for i, r in enumerate(rules)], "date")
+    shown, conditions = [], []
+    for i, r in enumerate(rules):
+        bad = None if r["operation"] in COMPARISONS else f"unknown comparison {r['operation']}"
+        try:
+            spark.range(1).select(condition := safe_expr(r["condition"]).cast("date"))
+        except (ValueError, ParseException, AnalysisException) as e:
+            bad, condition = bad or str(e).split("\n")[0], F.lit(None).cast("date")
+        conditions.append(F.struct(F.lit(str(i)).alias("rule"), F.lit(r["tbl"]).alias("tbl"), F.lit(r["operation"]).alias("operation"), condition.alias("condition"), F.lit(bad).cast("string").alias("bad")))
+        if not bad:
+            shown.append(F.when(F.col("rule") == str(i), F.expr(f"value {r['operation']} condition")))
+    listed = spark.range(1).select(F.explode(F.array(*conditions)).alias("c")).select("c.*")
+    res = F.coalesce(*shown, F.lit(None).cast("boolean")) if shown else F.lit(None).cast("boolean")
+    joined = values.join(F.broadcast(listed), "rule").withColumn("problem", F.coalesce("problem", "bad"))
+    return joined.select("tbl", F.col("value").alias("bdate"), "operation", "condition", F.when(F.col("problem").isNull(), res).alias("res"), "problem")
 
 
 def business_date_status(checked: DataFrame, last_min: DataFrame) -> DataFrame:
     """-3 when any rule fails, 0 when the minimum date did not move, else 1."""
+    checked = checked.filter("problem is null") if "problem" in checked.columns else checked
     worst = checked.orderBy(F.asc_nulls_last("res"), F.asc_nulls_last("bdate"), "operation", "condition").limit(1)
     same = F.coalesce(F.col("bdate") == F.col("last_bdate"), F.lit(False))
     return worst.crossJoin(F.broadcast(last_min.select(F.max("bdate").alias("last_bdate")))).select(

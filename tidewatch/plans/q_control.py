@@ -303,6 +303,25 @@ def _(t):
     return C.alert_data(d, st).select("rule_id", "need")
 
 
+@query("data_alerts", f"""WITH {_CAL}, st AS (SELECT left(o_orderpriority, 1) AS obj, max(o_orderdate) AS m FROM orders WHERE o_custkey % 5 <> 0 AND o_orderdate < TIMESTAMP '2001-07-20' GROUP BY 1),
+v AS (SELECT de.id AS rule_id, s % 6 AS k, (deadline - to_days(CAST(s % 10 AS INT)))::DATE AS need, CASE s % 6 WHEN 0 THEN (SELECT max(o_orderdate) FROM orders) WHEN 1 THEN (SELECT max(l_shipdate) - INTERVAL 30 DAY FROM lineitem)
+  WHEN 2 THEN m - INTERVAL 2 DAY END AS last_at FROM de LEFT JOIN st ON obj = '2')
+SELECT rule_id, need::VARCHAR AS need, date_trunc('second', last_at)::VARCHAR AS last_at, CASE k WHEN 3 THEN 'bad' WHEN 4 THEN 'unresolved' WHEN 5 THEN 'unknown' END AS problem FROM v WHERE k > 2 OR last_at IS NULL OR last_at::DATE < need""")
+def _(t):
+    """Rules by two expressions, by a field, with a statement in the name, with an unknown column and with an unknown field."""
+    k = F.col("p_size") % 6
+    at = lambda *texts: F.element_at(F.array(*[F.lit(x) for x in texts]), k.cast("int") + 1)
+    rules = t.part.select(F.col("p_partkey").alias("rule_id"), at("orders", "lineitem", "2", "orders; drop", "orders", "2").alias("name"), (F.col("p_size") % 10 * 86400).alias("lag_s"),
+                          at("max(o_orderdate)", "max(l_shipdate) - interval 30 days", "", "", "max(no_such_column)", "").alias("expr"), at("", "", "seen_max", "", "", "no_such_field").alias("field"))
+    rules = rules.withColumn("obj", F.when(F.col("name") == "2", "p_2").otherwise(F.col("name")))
+    d = C.calendar_deadlines(calendar(t), _CAL_AT, 800).join(rules, "rule_id")
+    st = t.orders.filter((F.col("o_custkey") % 5 != 0) & (F.col("o_orderdate") < F.lit("2001-07-20").cast("timestamp"))).select(
+        F.concat(F.lit("p_"), F.substring("o_orderpriority", 1, 1)).alias("obj"), F.col("o_orderdate").alias("data_max"), (F.col("o_orderdate") - F.expr("interval 2 days")).alias("seen_max"))
+    out = C.data_alerts(d, st, {"orders": t.orders, "lineitem": t.lineitem}, 10)
+    problem = F.when(F.col("problem").startswith("bad name"), "bad").when(F.col("problem").startswith("[UNRESOLVED_COLUMN"), "unresolved").when(F.col("problem").startswith("unknown field"), "unknown")
+    return out.select("rule_id", "need", F.date_trunc("second", "last_at").alias("last_at"), problem.alias("problem"))
+
+
 @query("last_success", f"SELECT wf_id, date_trunc('second', max(ts + INTERVAL 1 MINUTE))::VARCHAR AS last_at FROM {I.LAST_LOADS_SQL} WHERE alive = 'COMPLETED' AND status = 'SUCCESS' GROUP BY 1")
 def _(t):
     return C.last_success(J.loading_state(I.load_journal(t)))

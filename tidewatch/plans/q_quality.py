@@ -125,11 +125,50 @@ def _(t):
     return Q.ztest_blocking(Q.ztest_run(h, c, m, AS_OF)).select("object")
 
 
-@query("ztest_replay")
-def _(t):
+# Settings by priority: 1 bounds and exceptions, 2 a split by size and zero growth kept, 3 a period, 4 few points and narrow bands, 5 none.
+_REPLAY_SQL = """WITH RECURSIVE m AS (SELECT o_orderpriority AS object, o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY ALL),
+c AS (SELECT object, d, CAST(sum(n) OVER (PARTITION BY object ORDER BY d) AS BIGINT) AS r, row_number() OVER (PARTITION BY object ORDER BY d) AS i, left(object, 1) AS k FROM m),
+q AS (SELECT *, CASE WHEN k = '2' AND r > 300 THEN 'large' ELSE 'small' END AS part, CASE WHEN k = '1' THEN 3 ELSE 1 END AS gap, CASE WHEN k = '4' THEN 7 ELSE 90 END AS dots,
+  k = '1' AND day(d) = 5 AS exc, k = '1' AND day(d) = 9 AS err, k = '3' AND d < DATE '1999-01-01' AS early, k = '3' AND d > DATE '2001-01-01' AS late,
+  CASE WHEN k = '4' THEN 1.5 ELSE 5 END AS band, CASE WHEN k = '4' THEN 1.5 ELSE 10 END AS wide FROM c),
+s(object, i, rs, rl, ps, pl, value, gapped, cnt, z, ok) AS (
+  SELECT object, 0::BIGINT, [{'d': NULL::DATE, 'r': NULL::BIGINT}][1:0], [{'d': NULL::DATE, 'r': NULL::BIGINT}][1:0], [0::BIGINT][1:0], [0::BIGINT][1:0], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 0.0::DOUBLE, true FROM (SELECT DISTINCT object FROM m)
+  UNION ALL
+  SELECT object, i, CASE WHEN part = 'small' AND usable THEN list_append(rs, {'d': d, 'r': r})[-6:] ELSE rs END, CASE WHEN part = 'large' AND usable THEN list_append(rl, {'d': d, 'r': r})[-6:] ELSE rl END,
+    CASE WHEN part = 'small' AND point THEN list_append(ps, value)[-90:] ELSE ps END, CASE WHEN part = 'large' AND point THEN list_append(pl, value)[-90:] ELSE pl END, value, gapped, cnt, z, ok
+  FROM (SELECT *, NOT err AND NOT early AND (value IS NULL OR ((k <> '1' OR value BETWEEN -100 AND 12) AND (k = '2' OR value <> 0))) AS usable,
+      NOT err AND NOT early AND value IS NOT NULL AND (k <> '1' OR value BETWEEN -100 AND 12) AND (k = '2' OR value <> 0) AND (ok IS NOT FALSE OR exc) AS point FROM (
+    SELECT *, CASE WHEN exc THEN true WHEN err THEN false WHEN late OR early THEN NULL WHEN value IS NULL THEN true WHEN k = '1' AND value NOT BETWEEN -100 AND 12 THEN false
+        WHEN avg <> 0 AND abs(std / avg) < 0.01 AND z BETWEEN -wide AND wide THEN true ELSE z BETWEEN -band AND band END AS ok FROM (
+      SELECT *, CASE WHEN value IS NULL THEN 0.0 ELSE (value - avg) / CASE WHEN std = 0 THEN 1 ELSE std END END AS z, CASE WHEN value IS NOT NULL THEN len(pts) END AS cnt FROM (
+        SELECT *, list_aggregate(pts, 'avg') AS avg, list_aggregate(pts, 'stddev_pop') AS std FROM (
+          SELECT *, list_append((CASE WHEN part = 'small' THEN ps ELSE pl END)[-dots:], value) AS pts FROM (
+            SELECT *, (r - base.r) // gapped AS value FROM (
+              SELECT *, date_diff('day', base.d, d) AS gapped FROM (
+                SELECT q.*, rs, rl, ps, pl, list_filter(CASE WHEN part = 'small' THEN rs ELSE rl END, lambda x: x.d <= q.d - gap)[-1] AS base
+                FROM s JOIN q ON q.object = s.object AND q.i = s.i + 1)))))))))
+"""
+
+
+def _replayed(t):
     m = I.growth_history(t).select("object", "key_date", "rows_count", "ts")
-    r = Q.ztest_replay(m)
-    return r.select("object", "key_date", "rows_count", "key_diff", "value", "cnt", F.round("zscore", 6).alias("zscore"), "ztest")
+    k = F.substring("object", 1, 1)
+    days = lambda n: F.expr(f"filter(sequence(date'1990-01-01', date'2003-01-01'), x -> day(x) = {n})")
+    none = F.lit(None)
+    config = m.select("object").distinct().filter(k != "5").select(
+        "object", F.lit(True).alias("active"), F.when(k == "2", 300).cast("bigint").alias("hist"), F.when(k == "1", -100).cast("bigint").alias("min"), F.when(k == "1", 12).cast("bigint").alias("max"),
+        F.when(k == "1", 3).alias("interval_days"), F.when(k == "2", False).alias("skip"), F.when(k == "3", F.lit("1999-01-01")).cast("date").alias("beg"), F.when(k == "3", F.lit("2001-01-01")).cast("date").alias("end"),
+        F.when(k == "4", 7).alias("dots"), F.when(k == "4", -1.5).cast("double").alias("zfr"), F.when(k == "4", 1.5).cast("double").alias("zto"), F.when(k == "1", days(5)).alias("z_except"), F.when(k == "1", days(9)).otherwise(none).alias("z_error"))
+    return m, config
+
+
+@query("ztest_replay", _REPLAY_SQL + """SELECT object, d::VARCHAR AS key_date, r AS rows_count, gapped AS key_diff, value, CASE WHEN ok THEN cnt END AS cnt, round(z, 6) AS zscore, ok AS ztest FROM s JOIN q USING (object, i)""")
+def _(t):
+    """In two runs: the second goes on from the state of the first."""
+    m, config = _replayed(t)
+    first, state = Q.ztest_replay_run(m.filter("key_date < '1998-06-01'"), config)
+    rest, _ = Q.ztest_replay_run(m.filter("key_date >= '1998-06-01'"), config, state)
+    return first.unionByName(rest).select("object", "key_date", "rows_count", "key_diff", "value", F.when(F.col("ztest"), F.col("cnt")).alias("cnt"), F.round("zscore", 6).alias("zscore"), "ztest")
 
 
 @query("ztest_config_set", """
@@ -246,7 +285,18 @@ UNION ALL SELECT 'lineitem', max(l_shipdate)::DATE, '>', DATE '2001-05-04', max(
 
 @query("business_date_check", f"SELECT tbl, bdate::VARCHAR AS bdate, operation, condition::VARCHAR AS condition, res FROM {_RULES_SQL}")
 def _(t):
-    return Q.business_date_check({"orders": t.orders, "lineitem": t.lineitem}, _RULES)
+    return Q.business_date_check({"orders": t.orders, "lineitem": t.lineitem}, _RULES).drop("problem")
+
+
+@query("business_date_problems", f"""SELECT tbl, bdate::VARCHAR AS bdate, operation, condition::VARCHAR AS condition, res, false AS problem FROM {_RULES_SQL}
+UNION ALL SELECT 'orders', NULL, '>=', '2001-01-01', NULL, false FROM region WHERE r_regionkey = 0
+UNION ALL SELECT tbl, bdate::VARCHAR, op, '2001-01-01', NULL, true FROM (SELECT unnest(['none', 'orders', 'orders', 'lineitem']) AS tbl, unnest(['>', '>', '>', '~']) AS op, unnest([NULL, NULL, NULL, (SELECT max(l_shipdate)::DATE FROM lineitem)]) AS bdate)""")
+def _(t):
+    """The same rules, one that no row meets, and rules with an unknown table, no aggregate, a statement and an unknown comparison."""
+    more = [dict(tbl="orders", whr="o_orderstatus = '?'", bdate="max(o_orderdate)", operation=">=", condition="date'2001-01-01'"), dict(tbl="none", bdate="max(x)", operation=">", condition="date'2001-01-01'"),
+            dict(tbl="orders", bdate="o_orderdate", operation=">", condition="date'2001-01-01'"), dict(tbl="orders", bdate="max(o_orderdate)", whr="true; drop table x", operation=">", condition="date'2001-01-01'"),
+            dict(tbl="lineitem", bdate="max(l_shipdate)", operation="~", condition="date'2001-01-01'")]
+    return Q.business_date_check({"orders": t.orders, "lineitem": t.lineitem}, _RULES + more).withColumn("problem", F.col("problem").isNotNull())
 
 
 @query("business_date_status", f"""SELECT CAST(CASE WHEN NOT res THEN -3 WHEN bdate = (SELECT min(o_orderdate)::DATE FROM orders) THEN 0 ELSE 1 END AS BIGINT) AS code,
