@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import json
+import os
 import random
 import zipfile
 
@@ -10,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
-from tidewatch.operators import common, control, delivery, exchange, export, journal, quality, reports
+from tidewatch.operators import blocks, common, control, delivery, exchange, export, journal, quality, reports, rules
 from tidewatch.sources import files, ingest, sinks
-from tidewatch.streaming import latest, streams
+from tidewatch.streaming import latest, messages, streams
 
 
 def rows(df):
@@ -744,6 +745,68 @@ def test_latest_table_equals_batch_and_forgets_old_keys(spark, tmp_path):
             table.read(6)
 
 
+def test_message_logs_resume_by_offset(spark, tmp_path):
+    """Lines written in two halves, restarts, unreadable and very long lines: nothing is lost and nothing comes twice."""
+    logs, out, mark = (str(tmp_path / n) for n in ("logs", "out", "mark"))
+    os.makedirs(logs)
+    line = lambda i: json.dumps({"ts": "2024-01-01T00:00:00+00:00", "value": f"m{i} é" + "x" * (5000 if i % 7 == 0 else 3)}, ensure_ascii=False) + "\n"
+    run = lambda: streams.drain(messages.message_stream(spark, logs, 700), "m", target=out, checkpoint=mark)
+
+    def append(name, text):
+        with open(f"{logs}/{name}.log", "a", encoding="utf-8") as f:
+            f.write(text)
+
+    append("a", "".join(line(i) for i in range(20)) + line(20)[:9])
+    append("b", "not json\n")
+    assert run().count() == 21
+    append("a", line(20)[9:] + line(21))
+    append("c", line(22))
+    first = run()
+    assert first.count() == 24 and run().count() == 24
+    got = sorted((r.partition, r.offset, r.raw_xml) for r in first.collect())
+    assert [x[2] for x in got if x[0] == "a"] == [json.loads(line(i))["value"] for i in range(22)]
+    assert [x for x in got if x[0] == "b"] == [("b", 0, "not json")] and len({x[:2] for x in got}) == 24
+
+
+def test_export_parts_stay_within_the_limit(spark, tmp_path):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i % 50, i, "é" * rng.choice([0, 5, 300])) for i in range(600)], "k int, n int, t string").repartition(5)
+    sinks.write_export(df, str(tmp_path / "e"), compression="none", max_size="2 KB", order=["k", "n"])
+    sizes = [p.stat().st_size for p in (tmp_path / "e").rglob("*.csv")]
+    assert max(sizes) <= 2048 and len(sizes) < 2.5 * sum(sizes) / 2048
+    parts = spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / "e")).select("_part", F.col("k").cast("int"), F.col("n").cast("int"), "t")
+    assert [r[1:] for r in sorted((r._part, r.k, r.n) for r in parts.collect())] == sorted((i % 50, i) for i in range(600))
+    with pytest.raises(Exception, match="longer than a part"):
+        sinks.write_export(df, str(tmp_path / "f"), max_size="100 B", order=["n"])
+    with pytest.raises(ValueError):
+        sinks.size_limit("5 parsecs")
+
+
+def test_block_diff_reads_differing_blocks_only(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.range(10_000).select("id", (F.col("id") % 7).cast("string").alias("v"), F.lit(None).cast("string").alias("w")).write.parquet(a)
+    left = spark.read.parquet(a)
+    left.filter("id <> 55").withColumns({"w": F.when(F.col("id") == 4321, F.col("v")), "v": F.when(F.col("id") != 4321, F.col("v"))}).unionByName(left.filter("id = 9000")).write.parquet(b)
+    right = spark.read.parquet(b)
+    known = {k: blocks.block_fingerprints(d, "id", ["v", "w"], 100) for k, d in (("known_a", left), ("known_b", right))}
+    for most in (100, 1):
+        out = blocks.block_diff(left, right, "id", ["v", "w"], 100, most_ranges=most, **known)
+        assert sorted(rows(out)) == [(55, "only_left"), (4321, "changed"), (9000, "changed")]
+    plan = blocks.block_diff(left, right, "id", ["v", "w"], 100, **known)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert plan.count("GreaterThanOrEqual(id,4300)") == 2 and plan.count("LessThan(id,9100)") == 2
+
+
+def test_rules_read_a_table_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a", ts("2024-01-01")), (2, "b", ts("2024-01-05")), (3, None, ts("2024-01-09"))], "n int, k string, at timestamp").write.parquet(path)
+    made = [rules.Rule("1", "t", "max(at)"), rules.Rule("2", "t", "max(at)", "k = 'a'"), rules.Rule("3", "t", "coalesce(max(at), date'1900-01-01')", "k = 'none'"), rules.Rule("4", "t", "min(at)", "k = 'a'"),
+            rules.Rule("5", "t", "at"), rules.Rule("6", "t", "max(none)"), rules.Rule("7", "u", "max(at)"), rules.Rule("8", "t", "max(at); drop"), rules.Rule("9", "t", "max(at", "k = 'a'"), rules.Rule("10", "t", "count_if(k is null) * interval 1 day + date'2024-01-01'")]
+    out = rules.rule_values(spark, {"t": spark.read.parquet(path)}, made, "timestamp")
+    got = {r.rule: (str(r.value)[:10] if r.value else None, bool(r.problem)) for r in out.collect()}
+    assert got == {"1": ("2024-01-09", False), "2": ("2024-01-01", False), "3": ("1900-01-01", False), "4": ("2024-01-01", False), "10": ("2024-01-02", False)} | {str(i): (None, True) for i in range(5, 10)}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+
+
 def test_part_tickets_are_numbered_by_several_tasks(spark):
     parts = spark.createDataFrame([(f"f{i * 7919 % 1000:04d}", i) for i in range(1000)], "file_name string, rows long")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")

@@ -469,7 +469,7 @@ def business_date_check(tables: dict[str, DataFrame], rules: list[dict]) -> Data
         try:
             spark.range(1).select(condition := safe_expr(r["condition"]).cast("date"))
         except (ValueError, ParseException, AnalysisException) as e:
-            bad, condition = bad or str(e).split("\n")[0], F.lit(None).cast("date")
+            bad, condition = bad or str(e).strip().split("\n")[0], F.lit(None).cast("date")
         conditions.append(F.struct(F.lit(str(i)).alias("rule"), F.lit(r["tbl"]).alias("tbl"), F.lit(r["operation"]).alias("operation"), condition.alias("condition"), F.lit(bad).cast("string").alias("bad")))
         if not bad:
             shown.append(F.when(F.col("rule") == str(i), F.expr(f"value {r['operation']} condition")))

@@ -29,7 +29,7 @@ def safe_expr(text: str) -> Column:
 
 def _reason(e: Exception) -> str:
     """First line of an error, without where in a plan it happened."""
-    return str(e).split("\n")[0].split(" SQLSTATE")[0].strip()
+    return str(e).strip().split("\n")[0].split(" SQLSTATE")[0].strip() or type(e).__name__
 
 
 def problem_of(rule: Rule, tables: dict[str, DataFrame], kind: str) -> str | None:

@@ -4,7 +4,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F, types as T
 
 from tidewatch.functions import scalars as S
 from tidewatch.plans.registry import query
@@ -216,6 +216,19 @@ def _(t):
     return r.select("doc_id", F.md5(F.trim(F.coalesce("text", F.lit("")))).alias("h"), "arr", "n_chars")
 
 
+@query("write_export_bytes", """SELECT doc_id, md5(text) AS h, n_chars, true AS fits, true AS ordered FROM documents""")
+def _(t):
+    """Files of at most 200 KB in the order of ids, every text kept."""
+    path = scratch_dir(t.spark, "export")
+    W.write_export(t.documents.select("doc_id", "text", "n_chars"), path, compression="none", fmt="json", max_size="200 KB", order=["doc_id"])
+    r = t.spark.read.schema("doc_id bigint, text string, n_chars bigint, _part bigint").json(path).withColumn("file", F.col("_metadata.file_path"))
+    sizes = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).groupBy().agg(F.max("length").alias("largest"))
+    span = r.groupBy("_part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.countDistinct("file").alias("files"))
+    after = span.withColumn("next", F.lead("low").over(Window.orderBy("_part")))
+    ordered = after.agg(F.bool_and((F.col("next").isNull() | (F.col("high") < F.col("next"))) & (F.col("files") == 1)).alias("ordered"))
+    return r.select("doc_id", F.md5("text").alias("h"), "n_chars").crossJoin(F.broadcast(sizes.select((F.col("largest") <= 200 * 1024).alias("fits")))).crossJoin(F.broadcast(ordered))
+
+
 @query("part_ticket", "SELECT count(*) AS rows, true AS small_parts, true AS named FROM documents")
 def _(t):
     parts = W.export_parts(t.spark, _export(t))

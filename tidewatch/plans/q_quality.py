@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
-from tidewatch.operators import quality as Q
+from tidewatch.operators import blocks as B, quality as Q
 from tidewatch.plans import inputs as I
 from tidewatch.plans.registry import query
 
@@ -251,6 +251,28 @@ def _(t):
     return Q.table_fingerprint(t.lineitem, _FP, {"r": "l_shipdate"})
 
 
+@query("block_diff", """SELECT o_orderkey, CASE WHEN o_orderkey % 3001 = 5 THEN 'only_left' WHEN o_orderkey % 3001 = 17 THEN 'changed' END AS state FROM orders WHERE o_orderkey % 3001 IN (5, 17)
+UNION ALL SELECT -1 - r_regionkey, 'only_right' FROM region UNION ALL SELECT NULL, 'changed'""")
+def _(t):
+    """Orders against a copy that lacks some, changes some and has new ones; only blocks with a difference are read again."""
+    columns = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+    o = t.orders.select("o_orderkey", *columns)
+    extra = lambda k, c: t.region.select(k.cast("bigint").alias("o_orderkey"), *[F.lit(c).alias(columns[0]), F.lit(None).cast("string").alias(columns[1]), F.lit(None).cast(o.schema["o_totalprice"].dataType).alias(columns[2]), F.lit(None).cast(o.schema["o_orderdate"].dataType).alias(columns[3])])
+    b = o.filter("o_orderkey % 3001 <> 5").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3001 == 17, None).otherwise(F.col("o_orderstatus")))
+    a = o.unionByName(extra(F.lit(None), 1))
+    b = b.unionByName(extra(F.lit(None), 2)).unionByName(extra(-1 - F.col("r_regionkey"), 1))
+    return B.block_diff(a, b, "o_orderkey", columns, 100)
+
+
+@query("block_fingerprints", """SELECT floor(l_orderkey / 500)::BIGINT AS block, count(*) AS cnt, true AS same FROM lineitem GROUP BY 1""")
+def _(t):
+    """Blocks of a table and of the same rows in another order and layout have equal fingerprints, at every level."""
+    columns = ["l_linenumber", "l_partkey", "l_shipdate", "l_comment"] if "l_comment" in t.lineitem.columns else ["l_linenumber", "l_partkey", "l_shipdate"]
+    one = B.block_fingerprints(t.lineitem, "l_orderkey", columns, 500)
+    two = B.coarser(B.block_fingerprints(t.lineitem.repartition(7, "l_partkey"), "l_orderkey", columns, 100), 5)
+    return one.join(two.withColumn("_o", F.struct(*B.MEASURES)).select("block", "_o"), "block", "left").select("block", "cnt", (F.struct(*B.MEASURES) == F.col("_o")).alias("same"))
+
+
 @query("change_status", """
 WITH cur AS (SELECT c_custkey AS k, count(o_orderkey) AS cnt, max(o_orderkey)::VARCHAR AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
 old AS (SELECT o_custkey AS k, max(o_orderkey)::VARCHAR AS lv, max(o_orderdate) AS lt FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1)

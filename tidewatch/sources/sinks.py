@@ -89,17 +89,62 @@ def export_columns(df: DataFrame, removals: list[tuple[str, str]] = (), clean_ar
     return df.select(out)
 
 
-def write_export(df: DataFrame, path: str, sep: str = ";", quote: str = '"', header: bool = True, compression: str = "gzip", max_rows: int = 0, fmt: str = "csv", **clean) -> None:
-    """Delimited (or JSON lines) export, split by rows per file and compressed."""
-    w = export_columns(df, **clean).write.mode("overwrite").option("compression", compression)
+# Units of a size limit.
+UNITS = {"B": 1, "KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}
+
+
+def size_limit(text: str) -> int:
+    """Bytes of a limit such as "100 MB"."""
+    m = re.fullmatch(r"\s*(\d+)\s*([KMG]?B)\s*", text, re.I)
+    if not m:
+        raise ValueError(f"not a size: {text!r}")
+    return int(m[1]) * UNITS[m[2].upper()]
+
+
+def dealt_by_size(df: DataFrame, order: list[str], size: Column, limit: int) -> DataFrame:
+    """Rows with the number ``_part`` of their part: parts follow ``order`` and hold at most ``limit`` bytes each.
+
+    Bytes are accumulated in two levels, totals of key ranges first, then rows inside a range, so no task sees all rows. A part
+    takes the rows that start within ``limit`` less the longest row, which is what keeps the last one inside.
+    """
+    rows = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).withColumn("_bytes", size).withColumn("_row", F.monotonically_increasing_id())
+    rows = truncate_lineage(rows, "export-rows")
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    ranges = rows.groupBy("_range").agg(F.sum("_bytes").alias("_sum"), F.max("_bytes").alias("_longest")).select(
+        "_range", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"), F.max("_longest").over(Window.partitionBy()).alias("_longest"))
+    inside = Window.partitionBy("_range").orderBy(*order, "_row")
+    at = F.col("_before") + F.sum("_bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bytes")
+    step = F.lit(limit + 1) - F.col("_longest")
+    checked = F.when(step <= 0, F.raise_error(F.concat(F.lit(f"a row is longer than a part of {limit} bytes: "), F.col("_longest").cast("string")))).otherwise(step)
+    return rows.join(F.broadcast(ranges), "_range").withColumn("_part", F.floor(at / checked).cast("bigint")).drop("_range", "_bytes", "_row", "_before", "_longest")
+
+
+def write_export(df: DataFrame, path: str, sep: str = ";", quote: str = '"', header: bool = True, compression: str = "gzip", max_rows: int = 0, fmt: str = "csv", max_size: str | None = None, order: list[str] = (), **clean) -> None:
+    """Delimited (or JSON lines) export, split by rows or by bytes per file and compressed.
+
+    With ``max_size`` ("100 MB", before compression) the rows go to files in ``order``, none larger than that.
+    """
+    options = {"sep": sep, "quote": quote, "escape": quote, "emptyValue": ""}
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"unknown format {fmt!r}")
+    out = export_columns(df, **clean)
+    if max_size:
+        if not order:
+            raise ValueError("a split by size needs an order")
+        head = len(sep.join(out.columns).encode()) + 2 * len(quote) * len(out.columns) + 1 if fmt == "csv" and header else 0
+        whole = F.struct(*out.columns)
+        text = F.to_csv(whole, options) if fmt == "csv" else F.to_json(whole)
+        out = dealt_by_size(out, list(order), F.octet_length(text).cast("bigint") + 1, size_limit(max_size) - head)
+        out = out.repartition("_part").sortWithinPartitions("_part", *order)
+    w = out.write.mode("overwrite").option("compression", compression)
+    if max_size:
+        w = w.partitionBy("_part")
     if max_rows:
         w = w.option("maxRecordsPerFile", max_rows)
     if fmt == "csv":
-        w.option("sep", sep).option("quote", quote).option("escape", quote).option("header", header).option("emptyValue", "").csv(path)
-    elif fmt == "json":
-        w.json(path)
+        w.options(header=header, **options).csv(path)
     else:
-        raise ValueError(f"unknown format {fmt!r}")
+        w.json(path)
 
 
 def export_parts(spark: SparkSession, path: str, sep: str = ";", quote: str = '"', header: bool = True) -> DataFrame:
@@ -170,10 +215,3 @@ def source_type_meta(columns: DataFrame) -> DataFrame:
     return columns.select(
         "column_name", mapped.otherwise("STRING").alias("source_type"), (~nullable).alias("notnull"),
         F.coalesce(number(r"^FixedString\((\d+)\)"), F.when(scale.isNotNull(), precision)).alias("length"), F.when(scale.isNotNull(), precision).alias("precision"), scale.alias("scale"))
-
-
-def valid_identifier(name: str) -> str:
-    """Names that go into paths or expressions."""
-    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?", name or ""):
-        raise ValueError(f"bad identifier: {name!r}")
-    return name
