@@ -172,11 +172,8 @@ SPARK_TYPES = {"Int64": "bigint", "Double": "double", "String": "string", "Bool"
 
 def json_kind(v: Column) -> Column:
     """Kind of a VARIANT value; NULL for a JSON null."""
-    head = F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1)
-    out = None
-    for k, name in VARIANT_KINDS.items():
-        out = F.when(head == k, name) if out is None else out.when(head == k, name)
-    return out
+    head = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in VARIANT_KINDS.items() for x in pair]), head)
 
 
 def infer_flow_schema(envelope: DataFrame) -> DataFrame:
@@ -282,7 +279,7 @@ def load_totals(target: DataFrame, run_ts) -> DataFrame:
 FIELD_NAME = r"^[A-Za-z_][A-Za-z0-9_]*$"
 
 
-def sample_unknown(envelope: DataFrame, flow: str, rows: int = 15) -> DataFrame:
+def sample_unknown(envelope: DataFrame, flow: str, rows: int) -> DataFrame:
     """First rows of a flow nobody processes, as typed fields; badly named fields are left out.
 
     A sampling operator: ``rows`` is its purpose.

@@ -604,7 +604,7 @@ def ztest_fail_summary(view: DataFrame, as_of) -> DataFrame:
     ).select(*keys, "fails", "first_ts", "ts", F.greatest(F.round(100 - F.abs("r.zscore"), 1), F.lit(0.0)).alias("hub_val"), "r.*")
 
 
-def ztest_details(view: DataFrame, as_of, objects: int = 10, points: int = 30) -> DataFrame:
+def ztest_details(view: DataFrame, as_of, objects: int, points: int) -> DataFrame:
     """The newest points of the last failing objects (a top-k report)."""
     bad = view.filter((F.col("ts") >= report_start(as_of)) & ~F.col("ztest_ok"))
     top = bad.groupBy("object").agg(F.max("ts").alias("last")).orderBy(F.desc("last"), "object").limit(objects)

@@ -64,19 +64,19 @@ def _last_samples(skew: DataFrame, as_of) -> DataFrame:
     return latest_by_key(recent, ["tbl"], [F.desc("ts"), F.desc("tbl_size")]).withColumn("size_ratio", F.round(ratio, 2)).withColumn("storage", storage_name("storage"))
 
 
-def skew_report(skew: DataFrame, as_of, top: int = 25) -> DataFrame:
+def skew_report(skew: DataFrame, as_of, top: int) -> DataFrame:
     """Tables with the largest size x skew^2 by their latest sample (top-k)."""
     weight = F.col("tbl_size") * F.coalesce(F.col("skew") * F.col("skew"), F.lit(1.0))
     return _last_samples(skew, as_of).withColumn("weight", weight).orderBy(F.desc("weight"), "tbl").limit(top)
 
 
-def ratio_report(skew: DataFrame, as_of, top: int = 25) -> DataFrame:
+def ratio_report(skew: DataFrame, as_of, top: int) -> DataFrame:
     """Tables that waste most space over their data (top-k)."""
     waste = F.col("tbl_size") - F.col("data_size")
     return _last_samples(skew, as_of).filter("data_size > 0").withColumn("waste", waste).orderBy(F.desc("waste"), "tbl").limit(top)
 
 
-def uncompressed_report(skew: DataFrame, as_of, top: int = 25) -> DataFrame:
+def uncompressed_report(skew: DataFrame, as_of, top: int) -> DataFrame:
     """Largest tables stored without compression (top-k)."""
     return _last_samples(skew, as_of).filter("storage = 'uncompress'").orderBy(F.desc("tbl_size"), "tbl").limit(top)
 

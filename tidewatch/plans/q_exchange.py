@@ -331,7 +331,7 @@ def _(t):
 @query("sample_unknown", """SELECT CAST(s % 9 AS BIGINT) AS _gp_id, b AS _gp_key, f AS field, CASE f WHEN 'p_name' THEN 'String' ELSE 'Int64' END AS type, CASE f WHEN 'p_name' THEN n ELSE k::VARCHAR END AS value
 FROM (SELECT p_size AS s, p_brand AS b, p_name AS n, p_partkey AS k FROM part ORDER BY p_size % 9, p_brand, '{"p_partkey":' || p_partkey || ',' LIMIT 15) CROSS JOIN (SELECT unnest(['p_partkey', 'p_name']) AS f)""")
 def _(t):
-    return X.sample_unknown(envelope(t), "parts")
+    return X.sample_unknown(envelope(t), "parts", 15)
 
 
 @query("drop_transferred", f"WITH {_ENV_SQL} SELECT _gp_name, _gp_id, count(*) AS n FROM env WHERE _gp_id NOT IN (SELECT p_size FROM part WHERE p_size % 2 = 0) GROUP BY ALL")

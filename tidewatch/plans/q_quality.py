@@ -437,7 +437,7 @@ def _(t):
 SELECT object, key_date::VARCHAR AS key_date, t2::VARCHAR AS ts, dense_rank() OVER (PARTITION BY object ORDER BY t2 DESC) AS nn, CAST(rc AS BIGINT) AS rows_count FROM v JOIN top USING (object)
 QUALIFY dense_rank() OVER (PARTITION BY object ORDER BY t2 DESC) <= 30""")
 def _(t):
-    return Q.ztest_details(_fail_view(t), _VIEW_AS_OF, objects=3).select("object", "key_date", "ts", "nn", "rows_count")
+    return Q.ztest_details(_fail_view(t), _VIEW_AS_OF, objects=3, points=30).select("object", "key_date", "ts", "nn", "rows_count")
 
 
 @query("outlier_3sigma", """SELECT event_id, value > m + 3 * s AS is_outlier, value > 200 AS near_limit, round(m + 3 * s, 4) AS threshold

@@ -42,17 +42,17 @@ _LCOLS = ["tbl", "tbl_size", "data_size", "size_ratio", "storage"]
 
 @query("skew_report", f"WITH {_LASTS} SELECT tbl, size AS tbl_size, data_size, size_ratio, storage FROM l ORDER BY size * coalesce(skew * skew, 1) DESC, tbl LIMIT 25")
 def _(t):
-    return R.skew_report(sizes(t)[1], "2001-07-25").select(*_LCOLS)
+    return R.skew_report(sizes(t)[1], "2001-07-25", 25).select(*_LCOLS)
 
 
 @query("ratio_report", f"WITH {_LASTS} SELECT tbl, size AS tbl_size, data_size, size_ratio, storage FROM l WHERE data_size > 0 ORDER BY size - data_size DESC, tbl LIMIT 25")
 def _(t):
-    return R.ratio_report(sizes(t)[1], "2001-07-25").select(*_LCOLS)
+    return R.ratio_report(sizes(t)[1], "2001-07-25", 25).select(*_LCOLS)
 
 
 @query("uncompressed_report", f"WITH {_LASTS} SELECT tbl, size AS tbl_size, data_size, size_ratio, storage FROM l WHERE storage = 'uncompress' ORDER BY size DESC, tbl LIMIT 25")
 def _(t):
-    return R.uncompressed_report(sizes(t)[1], "2001-07-25").select(*_LCOLS)
+    return R.uncompressed_report(sizes(t)[1], "2001-07-25", 25).select(*_LCOLS)
 
 
 # --- control log: the paired run journal with the start event type as category ----------------------
