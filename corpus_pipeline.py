@@ -1,7 +1,9 @@
 """Corpus pipeline: quality, language, repeated lines, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next one's input.
-All but the last return the columns of `documents`. Rows with a null id pass the filters by their text like all others.
+All but the last return the columns of `documents`: doc_id, text, lang, source, n_chars. Rows with a null id pass the filters by
+their text like all others. Columns of other names are left out, whatever they are called; an empty table gives an empty one. Texts
+of any length are read whole.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents less probable than their language's trusted text allows, and those without text."""
+    """Drop documents less probable than their language's trusted text allows, and those without text.
+
+    Rows that repeat an id are judged each by its own text. Null languages use the threshold over all. A level equal to the threshold stays.
+    """
     from tidewatch.llm.common import table
     from tidewatch.llm.quality_model import quality
 
@@ -21,7 +26,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language; the others get the language found."""
+    """Drop documents without a recognisable language; the others get the language found.
+
+    Null texts and texts without letters go, and so do texts as near to two languages. Rows that repeat an id are judged each.
+    Null languages are not learned from; without any known language nothing is recognised.
+    """
     from tidewatch.llm.language_id import fit, identify
 
     found = identify(docs, fit(docs.select("doc_id", "text", "lang")), carry=["text", "source", "n_chars"])
@@ -29,7 +38,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop repeated lines; documents left without any text go."""
+    """Drop repeated lines; documents left without any text go.
+
+    Rows that repeat an id count as documents of their own, and all keep the lines that the id keeps. Rows with a null id keep all lines.
+    """
     from tidewatch.llm.line_dedup import dedup_lines
 
     kept = dedup_lines(docs, carry=["lang", "source"])
