@@ -469,7 +469,8 @@ def test_pipeline_with_odd_rows(spark):
     rows = [(i, f"A plain text number {i} about the river and the old house near the sea.", "en", "s", 60) for i in range(60)]
     rows += [(100, None, None, None, None), (101, "", "en", "s", 0), (None, "A text without a number of its own, but with words.", "en", "s", 9), (5, rows[5][1], "en", "s", 60), (102, "word " * 40_000, "en", "s", 1), (103, "?! 12", "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for docs_ in (docs, docs.limit(0)):
+    clash = docs.withColumns({c: F.lit("x") for c in ("text_hash", "component_id", "lang_pred", "block", "version", "perplexity", "kept", "carry_0")})
+    for docs_ in (docs, docs.limit(0), clash):
         seen = docs_
         for _, step in corpus_pipeline.STAGES[:-1]:
             seen = step(spark, seen, FOLDER)

@@ -5,11 +5,12 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer as Library
 
-from tidewatch.llm import bpe, chat, html_text, language_id, line_dedup, ngram_join, packing
+from tidewatch.llm import bpe, chat, common, html_text, language_id, line_dedup, ngram_join, packing, quality_model
 
 
 def shingles(text):
@@ -183,3 +184,21 @@ def test_code_words_differ():
 
 def test_features_of_texts_without_letters():
     assert language_id.features([None, "", " 12 !?", "ab"]).sum(1).astype(bool).tolist() == [False, False, False, True]
+
+
+def test_pieces_are_cut_by_rows_and_bytes():
+    texts = ["x" * n for n in (10, 10, 300, 10, 10, 10, 0, 10)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(9))], names=["text", "n"])
+    assert [p.column("n").to_pylist() for p in common.pieces([batch], 3, 100)] == [[0, 1], [2], [3, 4, 5], [6, 7, 8]]
+    for rows, size in ((3, 100), (100, 60), (1, 10**9), (100, 10**9)):
+        parts = list(common.pieces([batch, batch.slice(2, 5)], rows, size))
+        assert [x for p in parts for x in p.column("n").to_pylist()] == [*range(9), *range(2, 7)]
+        assert all(p.num_rows <= rows and (p.num_rows == 1 or common.row_bytes(p).sum() <= size) for p in parts)
+    assert list(common.pieces([batch.slice(0, 0)], 3, 100)) == []
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    texts = ["abcdefghij" * 30, "", None, "é𝒳" * 40, "z"]
+    whole = np.concatenate([quality_model.gram_codes(t) for t in texts if t])
+    monkeypatch.setattr(quality_model, "STRETCH", 7)
+    assert np.concatenate(list(quality_model.gram_stretches(texts))).tolist() == whole.tolist()

@@ -135,11 +135,11 @@ def _nearest(queries: np.ndarray, names: np.ndarray, rows: np.ndarray, ids: np.n
     return out
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", parts: int = 16, sample_rows: int = 8192, recall: float = 0.96, rows_per_task: int = 8192, queries_per_task: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", parts: int = 16, part_rows: int = 100_000, sample_rows: int = 8192, recall: float = 0.96, rows_per_task: int = 8192, queries_per_task: int = 2048) -> DataFrame:
     """The k nearest other vectors of each query by Euclidean distance: (query_id, rank, vec_id, score), rank from 1.
 
-    A sample of about `sample_rows` vectors (documented bound, drawn by hash of the id) gives a neighbour graph, cut into `parts` balanced partitions; a
-    small network learns which partitions hold a vector's neighbours. Every vector is indexed in its most probable
+    A sample of about `sample_rows` vectors (documented bound, drawn by hash of the id) gives a neighbour graph, cut into `parts` balanced
+    partitions, or more of about `part_rows` vectors where the table is large (one for 64 sampled vectors at most); a small network learns which partitions hold a vector's neighbours. Every vector is indexed in its most probable
     partition; a query (rows where `is_query`, a condition on vec_id) searches its most probable ones, as many as find
     `recall` of the sample's own edges, or more until these hold k candidates. A partition larger than `rows_per_task` is
     dealt over several tasks, and so are many queries to one partition; each task returns k rows a query, reranked exactly.
@@ -155,10 +155,10 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     good = stage(good.where(F.size("v") == dim), "vectors")
     total = good.count()
-    drawn = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / total))) if total > sample_rows else good
+    drawn = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 60)) < (sample_rows << 60) // total) if total > sample_rows else good
     sample = drawn.toPandas().sort_values("vec_id")
     x = np.stack(sample["v"].to_list())
-    router, probes = fit_router(x, max(1, min(parts, len(x) // 64)), min(k, len(x) - 1), recall)
+    router, probes = fit_router(x, max(1, min(max(parts, total // part_rows), len(x) // 64)), min(k, len(x) - 1), recall)
     shared = spark.sparkContext.broadcast(router)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,24 +142,25 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
         yield key, rows
 
 
-def repair_roles(turns: DataFrame, costs: Costs = Costs(), rows_per_part: int = 20_000, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def repair_roles(turns: DataFrame, costs: Costs = Costs(), rows_per_part: int = 20_000, most_parts: int = 100_000, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row per turn: (conv_id, turn, role, new_role, action, inserted, rendered), repaired at the least total cost.
 
     A turn is kept, merged into the turn before it, or relabelled, and empty turns may be inserted before it; the roles then
     run through the legal-turn automaton. `rendered` is the turn's stretch of the conversation, so the stretches of a
     conversation in order of turn are its text. Empty turns missing at the end are rendered with the last row.
 
-    Turns are sorted over the cluster by conversation and turn and dealt in parts of about `rows_per_part`. A conversation
+    Turns are sorted over the cluster by conversation and turn and dealt in parts of about `rows_per_part`, or of more where that
+    would make more than `most_parts`, which bounds the tables of prices the driver holds: one or two a part. A conversation
     within one part is solved there; one that spans parts is summed up by one 4 x 4 table of prices a part, which
     give the states at the borders, and each part then solves its own stretch: so no conversation is collected.
 
     Roles are read without case and blanks; unknown and null roles are free to take any. Null text is empty. Rows
-    with a null conversation form one; null turns come first; equal turns follow by role and text. Extra columns are ignored.
+    with a null conversation form one; null turns come first; rows of one turn follow in the order of a hash of them, then by role and text. Extra columns are ignored.
     """
     types = {n: turns.schema[c].dataType.simpleString() for n, c in (("conv_id", conv_col), ("turn", turn_col))}
     turns = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     order = ["conv_id", "turn", "role", "text"]
-    parts = max(1, -(-turns.count() // rows_per_part))
+    parts = max(1, min(most_parts, -(-turns.count() // rows_per_part)))
     salt = F.pmod(F.xxhash64(*order), F.lit(1024))  # rows repeating a turn very often still spread over parts
     ordered = turns.withColumn("salt", salt).repartitionByRange(parts, "conv_id", "turn", "salt").sortWithinPartitions("conv_id", "turn", "salt", "role", "text")
 
@@ -177,7 +178,7 @@ def repair_roles(turns: DataFrame, costs: Costs = Costs(), rows_per_part: int =
         for (conv, part), rows in _runs(batches, ["conv_id", "part", "role"]):
             yield pa.RecordBatch.from_arrays([pa.array([conv], batch_type(types["conv_id"])), pa.array([part], pa.int64()), pa.array([solver.product([role_of(r[2]) for r in rows]).ravel().tolist()])], names=["conv_id", "part", "prices"])
 
-    # At most two conversations begin or end amid any part, so this frame has a few rows a part.
+    # At most two conversations begin or end amid any part, so this frame has one or two rows a part.
     wide = placed.join(F.broadcast(spans), F.col("conv_id").eqNullSafe(F.col("wide")), "left_semi").select("conv_id", "part", "role", "pos").repartition("part").sortWithinPartitions("part", "pos")
     tables = wide.mapInArrow(summed, f"conv_id {types['conv_id']}, part long, prices array<long>").collect()
     borders: dict[tuple, tuple[int, int, bool, bool]] = {}

@@ -233,9 +233,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         parts = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in index.collect()])
         return docs.mapInArrow(_probe_all(parts, shards, min_chars), schema).withColumnsRenamed(back)
     versions = docs.withColumn("version", F.xxhash64("text"))
-    salts = max(1, -(-docs.count() // docs_per_probe))
-    wanted = versions.select("doc_id", "text", "version").mapInArrow(_requests(shards, min_chars), "shard long, doc_id long, version long, keys binary, at binary").withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), F.lit(salts)))
-    spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    wanted = versions.select("doc_id", "text", "version").mapInArrow(_requests(shards, min_chars), "shard long, doc_id long, version long, keys binary, at binary")
+    wanted = stage(wanted, "line-requests")
+    salts = wanted.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(docs_per_probe)).alias("salts"))
+    wanted = wanted.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), F.col("salts"))).drop("salts")
+    spread = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     gone = wanted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(_probe_shard, "doc_id long, version long, gone array<long>")
     gone = gone.groupBy("doc_id", "version").agg(F.collect_list("gone").alias("gone"))
     joined = versions.join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "gone", *back)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.llm.common import stage
 from tidewatch.llm.graph import components
@@ -115,10 +115,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
 
     order = placed.repartitionByRange(parts, *grid, "rep").sortWithinPartitions(*grid, "rep").select("rep", "weight", "v", "p")
     ordered = stage(order.mapInArrow(number, "rep long, weight long, v array<double>, p array<double>, part long, pos long"), "grid-order")
-    sizes = sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect())
-    before = dict(zip([p for p, _ in sizes], np.cumsum([0, *(n for _, n in sizes)])[:-1].tolist(), strict=True))
-    offset = F.create_map(*(F.lit(x) for p in before for x in (p, before[p])))[F.col("part")]
-    numbered = ordered.withColumn("block", F.floor((offset + F.col("pos")) / block_rows))
+    # A row per part, so a running sum in one task; the vectors join it.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ordered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    numbered = ordered.join(offsets, "part").withColumn("block", F.floor((F.col("before") + F.col("pos")) / block_rows)).drop("before")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep")
