@@ -67,6 +67,11 @@ def pieces(batches: Iterator, rows: int, most_bytes: int = 4 << 20) -> Iterator:
             start = stop
 
 
+def compact(df: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
+    """A staged table read by as many tasks as its rows need, not one a file: few pairs of a large corpus lie in many small files."""
+    return df.coalesce(df.count() // rows_per_task + 1)
+
+
 def small(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
     """Mark a narrow side of a join for broadcast if it has at most `most_rows` rows; otherwise leave the join to the planner."""
     df = stage(df, "side")

@@ -10,7 +10,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import WORD_ODD, ascii_words, mix, pieces, small, stage
+from tidewatch.llm.common import WORD_ODD, ascii_words, compact, mix, pieces, small, stage
 from tidewatch.llm.graph import components
 
 SHINGLE = 5
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = digest.where("n > 0 and doc_id is not null")
     classes = stage(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "shingle-classes")
     member = known.join(classes.where("last <> rep"), ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep")
-    member = stage(member, "shingle-copies")
+    member = compact(stage(member, "shingle-copies"))
     known = known.drop("h1", "h2").join(member, "doc_id", "left_anti")
     sketches = known.drop("wide")
 
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left, right = sketches.alias("l"), sketches.alias("r")
     bounded = pairs.join(left, F.col("a") == F.col("l.doc_id")).join(right, F.col("b") == F.col("r.doc_id")).where(_close("l", "r"))
     distance = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    candidates = stage(bounded.select("a", "b", distance.alias("distance")), "shingle-candidates")
+    candidates = compact(stage(bounded.select("a", "b", distance.alias("distance")), "shingle-candidates"))
 
     wide = known.select("doc_id", "n", "wide")
 
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Pairs (a, b) that link: by wide sketch first, then by the whole texts, which travel compressed and only for documents still in a pair."""
         left, right = wide.toDF("a", "na", "wa"), wide.toDF("b", "nb", "wb")
         near = wanted.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_near, "a long, b long")
-        near = stage(near, "shingle-near")
+        near = compact(stage(near, "shingle-near"), 5_000)
         ids = small(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct())
         texts = stage(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_compressed, "doc_id long, packed binary"), "shingle-texts")
         both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
@@ -287,15 +287,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return between.union(copies.select("rep", "rep", F.expr("size * (size - 1) div 2")))
 
     closest = candidates.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a"))
-    links = stage(verified(closest.select("a", "b")), "shingle-links")
-    comp = stage(components(links, "shingle-components"), "shingle-labels")
+    links = compact(stage(verified(closest.select("a", "b")), "shingle-links"))
+    comp = compact(stage(components(links, "shingle-components"), "shingle-labels"))
 
     rest = candidates.join(closest, ["a", "b"], "left_anti").select("a", "b")
     rest = labelled(labelled(rest, "a", "ca", comp), "b", "cb", comp).where("ca <> cb").select("a", "b")
-    more = stage(verified(rest), "shingle-links")
+    more = compact(stage(verified(rest), "shingle-links"))
     if not more.isEmpty():
         links = links.union(more)
-        comp = stage(components(links, "shingle-components"), "shingle-labels")
+        comp = compact(stage(components(links, "shingle-components"), "shingle-labels"))
 
     # Runs of three and more that still hold several components: other members propose pairs, one member a run and
     # round (one of PROPOSERS orders, so that runs of one group take different ones), which merges what is left of dense groups ...
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def mixed_runs() -> DataFrame:
         own = labelled(inside, "b", "cb", comp)
         mixed = own.groupBy("sig").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("lo <> hi").select("sig")
-        return stage(own.join(mixed, "sig").join(sketches.withColumnRenamed("doc_id", "b"), "b"), "shingle-mixed")
+        return compact(stage(own.join(mixed, "sig").join(sketches.withColumnRenamed("doc_id", "b"), "b"), "shingle-mixed"))
 
     tested = candidates.select("a", "b")
     for turn in range(2):
@@ -313,12 +313,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p, q = inside.alias("p"), chosen.alias("q")
         meet = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.cb") != F.col("q.cb")) & _close("p", "q")
         late = p.join(q, meet).select(F.least("p.b", "q.b").alias("a"), F.greatest("p.b", "q.b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        late = stage(late, "shingle-late")
-        more = stage(verified(late), "shingle-links")
+        late = compact(stage(late, "shingle-late"))
+        more = compact(stage(verified(late), "shingle-links"))
         tested, inside = tested.union(late), inside.select("sig", "b")
         if not more.isEmpty():
             links = links.union(more)
-            comp = stage(components(links, "shingle-components"), "shingle-labels")
+            comp = compact(stage(components(links, "shingle-components"), "shingle-labels"))
 
     # ... and then all pairs of members of different components that the bounds allow are verified.
     inside = mixed_runs()
@@ -327,6 +327,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     late = p.join(q, meet).select(F.col("p.b").alias("a"), F.col("q.b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more = stage(verified(late), "shingle-links")
     if not more.isEmpty():
-        comp = stage(components(links.union(more), "shingle-components"), "shingle-labels")
+        comp = compact(stage(components(links.union(more), "shingle-components"), "shingle-labels"))
 
     return labelled(representative(digest.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("r")), "r"), "r", "component_id", comp).select("doc_id", "n_shingles", "component_id")
