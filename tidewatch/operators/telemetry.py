@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.scalars import seconds_between
 from tidewatch.operators.common import as_ts, bucketed_lag, exact_quantile, share
@@ -289,6 +289,42 @@ def wait_board(causes: DataFrame) -> DataFrame:
     return causes.groupBy("dag_id", "cause").agg(F.count("*").alias("stale"), F.max("wait_min").alias("oldest_min"))
 
 
+def _alive(waiting: DataFrame, active: DataFrame) -> DataFrame:
+    """Waiting tasks that the scheduler considers: not paused, in a run that runs; with the load of their definition."""
+    live = waiting.filter(~F.coalesce("is_paused", F.lit(False)) & F.coalesce(F.col("run_state") == "running", F.lit(False)))
+    live = live.join(active, "dag_id", "left").withColumn("active", F.coalesce("active", F.lit(0)))
+    return live.withColumn("_full", F.coalesce(F.col("active") >= F.col("max_active_tasks"), F.lit(False)))
+
+
+def _head(live: DataFrame, window: int) -> DataFrame:
+    """What the scheduler takes in one cycle: ``window`` rows by weight, then date."""
+    return live.orderBy(F.desc(F.coalesce("priority_weight", F.lit(0))), F.asc_nulls_first("logical_date"), *WAIT_KEY).limit(window)
+
+
+def queue_board(waiting: DataFrame, active: DataFrame, as_of, stale_min: int, window: int) -> DataFrame:
+    """Per definition: tasks waiting and waiting long, the longest wait, load and limit, the span of weights, and tasks of the scheduler's window that its limit blocks."""
+    live = _alive(waiting, active)
+    stale = F.col("updated_at") < as_ts(as_of) - F.make_dt_interval(mins=F.lit(stale_min))
+    minutes = F.floor(seconds_between(as_ts(as_of), "updated_at") / 60).cast("bigint")
+    board = live.groupBy("dag_id").agg(
+        F.count("*").alias("waiting"), F.count_if(stale).alias("stale"), F.coalesce(F.max(F.when(stale, minutes)), F.lit(0)).alias("oldest_min"), F.max("active").alias("active"),
+        F.max("max_active_tasks").alias("max_active_tasks"), F.min("priority_weight").alias("weight_low"), F.max("priority_weight").alias("weight_high"))
+    blocked = _head(live, window).filter("_full").groupBy("dag_id").agg(F.count("*").alias("blocked"))
+    return board.join(F.broadcast(blocked), "dag_id", "left").withColumn("blocked", F.coalesce("blocked", F.lit(0)))
+
+
+def queue_totals(waiting: DataFrame, active: DataFrame, dispatched: DataFrame, as_of, stale_min: int, window: int) -> DataFrame:
+    """One row: live, parked and long-waiting tasks, what was dispatched and its median weight, and the scheduler's window: blocked in it, behind it."""
+    live = _alive(waiting, active)
+    stale = F.col("updated_at") < as_ts(as_of) - F.make_dt_interval(mins=F.lit(stale_min))
+    n = live.agg(F.count("*").alias("live"), F.count_if(stale).alias("stale"))
+    total = waiting.agg(F.count("*").alias("_all"))
+    sent = dispatched.agg(F.count("*").alias("dispatched"), F.percentile("weight", F.lit(0.5)).alias("median_dispatched"))
+    head = _head(live, window).agg(F.count_if("_full").alias("blocked"))
+    one = n.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(sent)).crossJoin(F.broadcast(head))
+    return one.select("live", (F.col("_all") - F.col("live")).alias("parked"), "stale", "dispatched", "median_dispatched", F.lit(window).cast("bigint").alias("window"), "blocked", F.greatest(F.col("live") - window, F.lit(0)).alias("behind"))
+
+
 # --- retention, folders, health -----------------------------------------------------------------------
 
 
@@ -331,6 +367,18 @@ def health_rollup(checks: DataFrame, key: str) -> DataFrame:
     return worst.join(n, key).select(key, F.element_at(F.array(*[F.lit(s) for s in STATUS_RANK]), F.col("_r").cast("int")).alias("status"), "checks", "affected", "first_name")
 
 
+def failing_checks(checks: DataFrame, key: str) -> DataFrame:
+    """The checks in the worst state of their key, a row each: (key, status, name, nth), numbered by name; healthy keys have none.
+
+    Names have no bound, so they are rows; whoever shows some of them takes the first ones by ``nth``.
+    """
+    rank = F.array_position(F.array(*[F.lit(s) for s in STATUS_RANK]), F.col("status"))
+    c = checks.select(key, "status", "name", rank.alias("_r")).filter("_r > 1")
+    worst = c.groupBy(key).agg(F.max("_r").alias("_w")).withColumnRenamed(key, "_k")
+    j = c.join(worst, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_w")))
+    return j.select(key, "status", "name", F.row_number().over(Window.partitionBy(key).orderBy("name")).alias("nth"))
+
+
 def folder_sweep(listing: DataFrame, as_of, days: int) -> DataFrame:
     """Per top folder: objects, bytes, age bounds, objects per file type, and what is over the time limit.
 

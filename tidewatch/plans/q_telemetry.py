@@ -256,6 +256,22 @@ def _(t):
     return T.wait_board(T.wait_causes(*_waiting(t), AS_OF, 30, 60))
 
 
+@query("queue_board", f"""WITH {_WC}, b AS (SELECT dag_id, count(*) AS blocked FROM hd WHERE full1 GROUP BY 1)
+SELECT lv.dag_id, count(*) AS waiting, count(*) FILTER (WHERE at1 < TIMESTAMP '2001-08-02' - INTERVAL 30 MINUTE) AS stale, coalesce(max(CAST(epoch(TIMESTAMP '2001-08-02' - at1) // 60 AS BIGINT)) FILTER (WHERE at1 < TIMESTAMP '2001-08-02' - INTERVAL 30 MINUTE), 0) AS oldest_min,
+  max(coalesce(n_regionkey, 0))::BIGINT AS active, max(CASE WHEN lv.dag_id < 10 THEN 3 END)::BIGINT AS max_active_tasks, min(pw) AS weight_low, max(pw) AS weight_high, coalesce(max(blocked), 0) AS blocked
+FROM lv LEFT JOIN nation ON n_nationkey = lv.dag_id LEFT JOIN b USING (dag_id) GROUP BY lv.dag_id""")
+def _(t):
+    w, active, _, _ = _waiting(t)
+    return T.queue_board(w, active, AS_OF, 30, 60)
+
+
+@query("queue_totals", f"""WITH {_WC} SELECT count(*) AS live, (SELECT count(*) FROM w) - count(*) AS parked, count(*) FILTER (WHERE at1 < TIMESTAMP '2001-08-02' - INTERVAL 30 MINUTE) AS stale, (SELECT count(*) FROM part) AS dispatched,
+  (SELECT m FROM md) AS median_dispatched, 60::BIGINT AS window, (SELECT count(*) FROM hd WHERE full1) AS blocked, greatest(count(*) - 60, 0) AS behind FROM lv""")
+def _(t):
+    w, active, _, sent = _waiting(t)
+    return T.queue_totals(w, active, sent, AS_OF, 30, 60)
+
+
 @query("retention_select", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'")
 def _(t):
     return T.retention_select(t.orders, "o_orderdate", "1997-01-01").select("o_orderkey")
@@ -294,6 +310,14 @@ def _(t):
     return T.health_rollup(c, "node")
 
 
+@query("failing_checks", """WITH c AS (SELECT p_brand, p_partkey, CASE WHEN p_size % 17 = 0 THEN 4 WHEN p_size % 5 = 0 THEN 3 WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS r FROM part), w AS (SELECT p_brand, max(r) AS r FROM c GROUP BY 1)
+SELECT p_brand AS node, ['healthy', 'skip', 'warn', 'error'][r] AS status, p_partkey AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM w JOIN c USING (p_brand, r) WHERE r > 1""")
+def _(t):
+    s = F.col("p_size")
+    c = t.part.select(F.col("p_brand").alias("node"), F.col("p_partkey").alias("name"), F.when(s % 17 == 0, "error").when(s % 5 == 0, "warn").when(s % 3 == 0, "skip").otherwise("healthy").alias("status"))
+    return T.failing_checks(c, "node")
+
+
 @query("folder_sweep", """WITH l AS (SELECT source AS folder, lang AS type, n_chars AS size, TIMESTAMP '2024-01-01' - to_days(CAST(doc_id % 60 AS INT)) AS m FROM documents), g AS (SELECT folder, type, count(*) AS n FROM l GROUP BY ALL)
 SELECT folder, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, min(m)::VARCHAR AS oldest, max(m)::VARCHAR AS newest, (SELECT '{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}' FROM g WHERE g.folder = l.folder) AS types,
   count(*) FILTER (WHERE m < TIMESTAMP '2023-12-02') AS old_objects, CAST(coalesce(sum(size) FILTER (WHERE m < TIMESTAMP '2023-12-02'), 0) AS BIGINT) AS old_bytes FROM l GROUP BY folder""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,7 +98,12 @@ class MessageLog(DataSource):
         return MessageLogReader({k.lower(): v for k, v in self.options.items()})
 
 
+def mounted(path: str) -> str:
+    """A folder as the machine knows it: a file URL without its scheme."""
+    return re.sub(r"^file:/*", "/", path)
+
+
 def message_stream(spark: SparkSession, path: str, stretch_bytes: int = 64 << 20) -> DataFrame:
     """Messages (partition, offset, received_at, raw_xml) of a folder of logs as a stream."""
     spark.dataSource.register(MessageLog)
-    return spark.readStream.format("message_log").option("path", path).option("stretchBytes", stretch_bytes).load()
+    return spark.readStream.format("message_log").option("path", mounted(path)).option("stretchBytes", stretch_bytes).load()
