@@ -191,7 +191,8 @@ def _settle(codes: DataFrame, runs: dict[int, tuple[int, int, bool]]) -> DataFra
     last = {p: r[0] for p, r in runs.items()}
     parts = sorted(runs)
     following = dict(zip(parts, parts[1:], strict=False))
-    heads = F.create_map(*[F.lit(x) for p in parts for x in (p, runs[p][1])]) if parts else None
+    spark = codes.sparkSession
+    heads = spark.createDataFrame([(p, runs[p][1]) for p in parts], "part int, seq long")
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.repartition("part").sortWithinPartitions("part", F.desc("seq"))
@@ -202,14 +203,15 @@ def _settle(codes: DataFrame, runs: dict[int, tuple[int, int, bool]]) -> DataFra
     before = {}
     changed, number = found, 0
     while used:
-        before |= {r["part"]: r["before"] for r in changed.where(F.col("seq") == F.element_at(heads, F.col("part"))).select("part", "before").collect()}
+        before |= {r["part"]: r["before"] for r in changed.join(F.broadcast(heads), ["part", "seq"]).select("part", "before").collect()}
         wrong = {p: before[following[p]] for p in used if before[following[p]] != used[p]}
         if not wrong:
             break
         number += 1
         used |= wrong
         known = found.groupBy("part", "seq").agg(F.max_by("behind", "pass").alias("behind"))
-        again = codes.where(F.col("part").isin(list(wrong))).where(F.col("run") == F.element_at(F.create_map(*[F.lit(x) for p in wrong for x in (p, last[p])]), F.col("part")))
+        ends = spark.createDataFrame([(p, last[p]) for p in wrong], "part int, run long")
+        again = codes.join(F.broadcast(ends), ["part", "run"])
         changed = stage(ordered(again.join(known, ["part", "seq"])).mapInArrow(_backwards(wrong, last), shape).withColumn("pass", F.lit(number)), "costs")
         found = stage(found.unionByName(changed), "costs")
     return found.groupBy("part", "seq").agg(F.max_by("behind", "pass").alias("behind"))
