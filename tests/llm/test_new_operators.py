@@ -210,7 +210,8 @@ def test_cut_repeats(spark, size, limits):
 
 
 def test_cut_repeats_without_ids_and_with_repeated_ones(spark):
-    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(500))
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(500))
     got = repeat_spans.cut_repeats(docs(spark, [(5, text), (5, text), (None, text), (None, text), (1, text + "!")])).collect()
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_removed"]) for r in got) == [(False, 0, 0), (False, 0, 500), (True, 1, 500), (True, 5, 500), (True, 5, 500)]
     assert repeat_spans.cut_repeats(docs(spark, [])).collect() == []
