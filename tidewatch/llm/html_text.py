@@ -185,10 +185,12 @@ class Page:
         other article or main text; and if there is none at all, the page is taken.
         """
         for without in ((self.comments, self.beside, self.hidden), (self.comments, self.beside), (self.comments,)):
-            events = list(self.events)
-            for spans in without:
-                for a, b in self._top(spans):
-                    events[a:b] = [None] * (b - a)
+            events = self.events
+            if any(without):
+                events = list(events)
+                for spans in without:
+                    for a, b in self._top(spans):
+                        events[a:b] = [None] * (b - a)
             top = self._chosen(events)
             if top:
                 return self._lines(events, top)
@@ -196,13 +198,16 @@ class Page:
 
     def _chosen(self, events: list[str | None]) -> list[tuple[int, int]]:
         """The articles inside the main element if they make up half of it, else the main element; or all articles, where they have more text."""
-        size = lambda spans: sum(len("".join(x.split())) for a, b in spans for x in events[a:b] if x)
         articles, mains = self._top(self.spans["article"]), self._top(self.spans["main"])
+        if not mains:
+            return articles if any(x and not x.isspace() for a, b in articles for x in events[a:b]) else []
+        size = lambda spans: sum(len("".join(x.split())) for a, b in spans for x in events[a:b] if x)
         within = [s for s in articles if any(a <= s[0] and s[1] <= b for a, b in mains)] if len(mains) == 1 else articles
-        best = within if 2 * size(within) >= size(mains) else mains
-        if size(articles) > size(best):
-            best = articles
-        return best if size(best) else []
+        whole, inner = size(mains), size(within)
+        best, most = (within, inner) if 2 * inner >= whole else (mains, whole)
+        if len(within) < len(articles) and size(articles) > most:
+            return articles
+        return best if most else []
 
     @staticmethod
     def _lines(events: list[str | None], top: list[tuple[int, int]]) -> str:
