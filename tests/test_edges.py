@@ -819,3 +819,17 @@ def test_part_tickets_are_numbered_by_several_tasks(spark):
     assert all(r.archive == f"b__s__1__t__{r.part}_1000_{r.rows}.zip" and r.ticket == f"{r.file_name};{r.rows}" for r in got)
     assert len({r.task for r in got}) > 1
     assert sinks.part_tickets(parts.limit(0), "B", "s", "1", "t").count() == 0
+
+
+def test_journal_of_one_moment_takes_the_row_that_came_last(spark):
+    doc = '{{"alive": "{0}", "status": "{0}", "profile": "p1", "wf_id": "1"}}'
+    at = ts("2024-01-01 00:00:00")
+    j = spark.createDataFrame(
+        [(at, 7, 1, "loading", "/loading/1", doc.format("B")), (at, 8, 1, "loading", "/loading/1", doc.format("A"))],
+        "ts timestamp, seq long, id long, obj string, url string, msg string")
+    assert rows(journal.journal_latest(j).select("seq")) == [(8,)]
+    assert rows(journal.loading_state(j).select("alive")) == [("A",)]
+    new = j.filter("seq = 7").drop("seq")
+    assert rows(journal.append_changed(new, j).select("msg")) == [(doc.format("B"),)]
+    # Without the place in the journal the greatest text stands.
+    assert rows(journal.loading_state(j.drop("seq")).select("alive")) == [("B",)]

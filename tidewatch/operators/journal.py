@@ -23,9 +23,14 @@ WORKFLOW_DOC = (
 )
 
 
+def _newest(journal: DataFrame) -> list[Column]:
+    """Newest first; of one moment the row that came last (``seq``, where the journal has it), else the greatest text."""
+    return [F.desc("ts"), *([F.desc("seq")] if "seq" in journal.columns else []), F.desc("msg")]
+
+
 def journal_latest(journal: DataFrame) -> DataFrame:
     """Newest document per (id, obj, url)."""
-    return latest_by_key(journal, ["id", "obj", "url"], [F.desc("ts"), F.desc("msg")])
+    return latest_by_key(journal, ["id", "obj", "url"], _newest(journal))
 
 
 def replacing_latest(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
@@ -47,9 +52,7 @@ def append_changed(new: DataFrame, journal: DataFrame) -> DataFrame:
 
     Documents are compared by content, not by key order or spacing; ``info`` always passes.
     """
-    last = latest_by_key(
-        journal.select("id", "url", "ts", "msg"), ["url", "id"], [F.desc("ts"), F.desc("msg")]
-    ).select("id", "url", canonical_json("msg").alias("_doc"))
+    last = latest_by_key(journal, ["url", "id"], _newest(journal)).select("id", "url", canonical_json("msg").alias("_doc"))
     fresh = new.withColumn("_doc", canonical_json("msg"))
     changed = fresh.filter("obj <> 'info' and id is not null").join(last, ["id", "url", "_doc"], "left_anti")
     always = fresh.filter("obj = 'info'")
@@ -148,7 +151,7 @@ def check_log(journal: DataFrame) -> DataFrame:
 
 def loading_state(journal: DataFrame) -> DataFrame:
     """Newest state per load; the status time of a live load is its newest status entry."""
-    rows = latest_by_key(journal.filter("obj = 'loading'"), ["id"], [F.desc("ts"), F.desc("msg")])
+    rows = latest_by_key(journal.filter("obj = 'loading'"), ["id"], _newest(journal))
     d = F.col("d")
     aborted = F.coalesce(d["alive"] == "ABORTED", F.lit(False))
     newest = F.array_max(F.transform(d["loading_status"], lambda s: s["effective_from"]))
@@ -164,7 +167,7 @@ def loading_state(journal: DataFrame) -> DataFrame:
 
 
 def entity_state(journal: DataFrame) -> DataFrame:
-    rows = latest_by_key(journal.filter("obj = 'entity'"), ["id"], [F.desc("ts"), F.desc("msg")])
+    rows = latest_by_key(journal.filter("obj = 'entity'"), ["id"], _newest(journal))
     d = F.col("d")
     return rows.withColumn("d", F.from_json("msg", ENTITY_DOC)).select(
         "id", "ts", "url", d["name"].alias("name"), d["path"].alias("path"), d["storage"].alias("storage"),

@@ -52,7 +52,7 @@ LOADS_SQL = f"""(SELECT event_id // 4 AS id, ts, event_id, user_id, value, {ALIV
 
 
 def load_journal(t) -> DataFrame:
-    """Journal rows (ts, id, obj, url, msg) with the load documents as JSON."""
+    """Journal rows (ts, seq, id, obj, url, msg) with the load documents as JSON."""
     v = load_versions(t)
     hour = F.expr("interval 1 hour")
     minute = F.expr("interval 1 minute")
@@ -67,7 +67,7 @@ def load_journal(t) -> DataFrame:
         statuses.alias("loading_status"),
     )
     return v.select(
-        "ts", "id", F.lit("loading").alias("obj"), F.concat(F.lit("/loading/"), F.col("id").cast("string")).alias("url"),
+        "ts", F.col("event_id").alias("seq"), "id", F.lit("loading").alias("obj"), F.concat(F.lit("/loading/"), F.col("id").cast("string")).alias("url"),
         F.to_json(doc).alias("msg"),
     )
 
