@@ -839,3 +839,12 @@ def test_readable_up_to_a_unit(spark):
     x = spark.createDataFrame([(1 << 41,), (-3 << 40,), (5 << 20,), (1 << 60,)], "x long")
     assert rows(x.select(S.readable("x", largest="GB"))) == [("2048.0 GB",), ("-3072.0 GB",), ("5.0 MB",), ("1073741824.0 GB",)]
     assert rows(x.select(S.readable("x"))) == [("2.0 TB",), ("-3.0 TB",), ("5.0 MB",), ("1024.0 PB",)]
+
+
+def test_repeat_ratio_of_a_division_just_below_a_half(spark):
+    """3 days against runs of 20 / 3 days: 0.45, which doubles hold a little below."""
+    day = dt.date(2024, 1, 1)
+    values = [1] * 7 + [2] * 7 + [3] * 6 + [4] * 3
+    units = spark.createDataFrame(
+        [("o", day + dt.timedelta(i), v, dt.datetime(2024, 1, 23)) for i, v in enumerate(values)], "object string, unit date, value int, ts timestamp")
+    assert rows(quality.repeat_runs(units, "2024-01-15 12:00:00", False).select("days", "cnt", "cnt_uniq", "ratio", "avg_uniq")) == [(3, 23, 4, 0.5, 6.7)]
