@@ -848,3 +848,38 @@ def test_repeat_ratio_of_a_division_just_below_a_half(spark):
     units = spark.createDataFrame(
         [("o", day + dt.timedelta(i), v, dt.datetime(2024, 1, 23)) for i, v in enumerate(values)], "object string, unit date, value int, ts timestamp")
     assert rows(quality.repeat_runs(units, "2024-01-15 12:00:00", False).select("days", "cnt", "cnt_uniq", "ratio", "avg_uniq")) == [(3, 23, 4, 0.5, 6.7)]
+
+
+def test_repeat_row_count_query_shows_the_newest_ten_dates(spark, tmp_path):
+    """20 days of one count after 3 of another: the operator gives all dates, the query the newest ten, as its SQL."""
+    from check import compare, connect
+
+    days = [dt.datetime(2024, 1, 8) + dt.timedelta(i) for i in range(23)]
+    ev = spark.createDataFrame([(i, d, 1, "view", 90.0 if i < 3 else 10.0, '{"k": 1}') for i, d in enumerate(days)],
+                               "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    folder = _with_events(ev, tmp_path)
+    ok, note = compare(spark, connect(folder), folder, "repeat_row_count")
+    assert ok and note == "1 rows", note
+
+
+@pytest.mark.parametrize("first, found", [("view", 2), ("error", 1)])
+def test_workflow_log_where_event_0_has_an_end(spark, tmp_path, first, found):
+    from check import compare, connect
+
+    at = dt.datetime(2024, 1, 8)
+    ev = spark.createDataFrame([(0, at, 1, first, 9.0, '{"k": 1}'), (1, at, 2, "error", 10.0, '{"k": 1}'), (2, at, 3, "view", 8.0, '{"k": 1}')],
+                               "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    folder = _with_events(ev, tmp_path)
+    ok, note = compare(spark, connect(folder), folder, "workflow_log")
+    assert ok and note == f"{found} rows", note
+
+
+def _with_events(events, path):
+    """A data folder whose events are the given ones."""
+    small = "/root/testdata/sf0.001"
+    for name in os.listdir(small):
+        if name != "events.parquet":
+            os.symlink(f"{small}/{name}", path / name)
+    events.coalesce(1).write.parquet(str(path / "written"))
+    os.symlink(next((path / "written").glob("*.parquet")), path / "events.parquet")
+    return str(path)

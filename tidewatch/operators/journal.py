@@ -270,7 +270,7 @@ def workflow_log(
     start = journal.filter("parent is null or parent = 0").select(
         F.col("id").alias("start_id"), F.col("ts").alias("start_ts"),
         F.col("wf_action").alias("start_action"), F.col("wf_message").alias("workflow"))
-    end = journal.filter("parent is not null").select(
+    end = journal.filter("parent <> 0").select(
         F.col("parent").alias("start_id"), F.col("id").alias("end_id"), F.col("ts").alias("end_ts"),
         F.col("wf_action").alias("end_action"), F.col("wf_message").alias("message"))
     z = latest_by_key(ztests.filter("log_id is not null"), ["log_id"], [F.desc("ts"), F.desc("key_date")])

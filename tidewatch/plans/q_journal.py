@@ -234,8 +234,13 @@ def _(t):
     cfg = t.events.select(obj.alias("object")).distinct().select(
         "object", F.when(F.substring_index("object", "_", -1).cast("int") < 5, F.lit(-1.0)).alias("z_min"),
         F.lit(None).cast("double").alias("z_max"), F.array(F.lit("2024-01-05").cast("date")).alias("z_except"))
-    out = J.workflow_log(I.run_journal(t), stats, z.unionByName(older), cfg, ptable(t))
-    return out.select("start_id", "end_id", "duration", "rows_count", "zscore", "ztest_ok", "is_except", "confidence")
+    # Event 0 is a row like any other, but in this journal parent 0 means none: ids count from 2 inside, parents from 1.
+    up = lambda c: (F.col(c) + 2).alias(c)
+    runs = I.run_journal(t).select(up("id"), "ts", up("parent"), "wf_action", "wf_message")
+    stats, z, older = (d.withColumn("log_id", F.col("log_id") + 2) for d in (stats, z, older))
+    out = J.workflow_log(runs, stats, z.unionByName(older), cfg, ptable(t))
+    down = lambda c: (F.col(c) - 2).alias(c)
+    return out.select(down("start_id"), down("end_id"), "duration", "rows_count", "zscore", "ztest_ok", "is_except", "confidence")
 
 
 @query("error_call_chain", """
