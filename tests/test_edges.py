@@ -883,3 +883,23 @@ def _with_events(events, path):
     events.coalesce(1).write.parquet(str(path / "written"))
     os.symlink(next((path / "written").glob("*.parquet")), path / "events.parquet")
     return str(path)
+
+
+def test_stale_sent_joins_each_answered_file_once(spark):
+    """Unreadable receipts share one empty id: they meet the join as one row."""
+    at = ts("2024-01-01 00:00:00")
+    sent = spark.createDataFrame([("u1", "f1", at, at), ("u2", "f2", at, at)], "rq_uid string, file_name string, notified_at timestamp, updated_at timestamp")
+    receipts = spark.createDataFrame([("u1",)] + [("",)] * 50, "rq_uid string")
+    df = delivery.stale_sent(sent, receipts, "2024-01-01 03:00:00", 60)
+    assert rows(df.select("rq_uid", "waiting_min")) == [("u2", 180)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [rq_uid" in plan.split("Join LeftAnti")[1], plan
+
+
+def test_receipts_keep_columns_and_order_of_files(spark):
+    """Arrow columns of a batch: several files, none, missing text; the rows of a message stay its own."""
+    two = '<n:R xmlns:n="x"><RqUID>u</RqUID><File><Name>a</Name><File><Name>b</Name><Status><StatusCode>3</StatusCode></Status></File></File></n:R>'
+    df = spark.createDataFrame([(1, two), (2, None), (3, "<R><StatusCode>5</StatusCode></R>"), (4, two)], "n int, raw_xml string").coalesce(1)
+    got = rows(delivery.parse_receipt(df, "R").select("n", "rq_uid", "file_name", "status_code", "status_desc", "rq_tm"))
+    files = lambda n: [(n, "u", "a", 3, "", None), (n, "u", "b", 3, "", None)]
+    assert got == [*files(1), (2, "", "", -1, "", None), (3, "", "", 5, "", None), *files(4)]
