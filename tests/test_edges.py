@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import json
 import os
+import pathlib
 import random
 import zipfile
 
@@ -903,3 +904,18 @@ def test_receipts_keep_columns_and_order_of_files(spark):
     got = rows(delivery.parse_receipt(df, "R").select("n", "rq_uid", "file_name", "status_code", "status_desc", "rq_tm"))
     files = lambda n: [(n, "u", "a", 3, "", None), (n, "u", "b", 3, "", None)]
     assert got == [*files(1), (2, "", "", -1, "", None), (3, "", "", 5, "", None), *files(4)]
+
+
+def test_stream_files_are_dealt_over_the_cores(spark, tmp_path):
+    """Eight cores: a quarter of a frame is two files, and days of changed documents are no single task's."""
+    from tidewatch.plans import catalog, q_streams
+
+    cores = spark.sparkContext.defaultParallelism
+    path = spark.conf.get("spark.checkpoint.dir")
+    q_streams.as_stream(spark.range(1000), "dealt")
+    assert len(spark.read.parquet(f"{path}/dealt-*").inputFiles()) == -(-cores // 4) * 4
+    at = dt.datetime(2024, 1, 8)
+    ev = spark.createDataFrame([(i, at + dt.timedelta(hours=i), i % 5, "view", 1.0, '{"k": %d}' % (i % 3)) for i in range(400)],
+                               "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    assert catalog.run("stream_changed", spark, _with_events(ev, tmp_path)).count() == 400
+    assert max(len(spark.read.parquet(f.as_posix()).inputFiles()) for f in pathlib.Path(path).glob("docs-*") if "table" not in f.name) == 4 * cores
