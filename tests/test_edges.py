@@ -919,3 +919,18 @@ def test_stream_files_are_dealt_over_the_cores(spark, tmp_path):
                                "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
     assert catalog.run("stream_changed", spark, _with_events(ev, tmp_path)).count() == 400
     assert max(len(spark.read.parquet(f.as_posix()).inputFiles()) for f in pathlib.Path(path).glob("docs-*") if "table" not in f.name) == 4 * cores
+
+
+def test_numbered_lines_are_not_shuffled(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.txt").write_text("\n".join(f"{n} {i}" for i in range(500)))
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = files.numbered_lines(spark, str(tmp_path))
+        assert sorted(rows(df.select("value", "line_no"))) == sorted((f"{n} {i}", i + 1) for n in range(3) for i in range(500))
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

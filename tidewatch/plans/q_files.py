@@ -58,7 +58,7 @@ def _jsonl(t, bad: bool = False):
     line = F.to_json(F.struct(*DOC, "text"))
     if bad:
         line = F.when(F.col("doc_id") % 10 == 3, F.lit('{"doc_id": 1')).otherwise(line)
-    t.documents.repartition(4, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
+    t.documents.repartition("doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
     return path
 
 

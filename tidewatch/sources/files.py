@@ -74,7 +74,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their number inside the file.
 
     A file is read in blocks: numbers inside a block come from the scan itself, and the few block
-    sizes are accumulated, so large files keep their parallel read.
+    sizes (a row per block) are accumulated and go to every task, so large files keep their parallel read.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_b"), F.col("value")
@@ -82,7 +82,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = raw.groupBy("_p", "_b").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
     over = Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(over), F.lit(0))).drop("_n")
-    return raw.join(blocks, ["_p", "_b"]).select("file_name", (F.col("_before") + F.col("_i") - F.col("_first") + 1).alias("line_no"), no_bom("value").alias("value"))
+    return raw.join(F.broadcast(blocks), ["_p", "_b"]).select("file_name", (F.col("_before") + F.col("_i") - F.col("_first") + 1).alias("line_no"), no_bom("value").alias("value"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
