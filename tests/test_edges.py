@@ -934,3 +934,12 @@ def test_numbered_lines_are_not_shuffled(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", small)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_message_logs_are_written_by_all_cores(spark):
+    """A log per core: the messages of a large table are not written by four tasks."""
+    from tidewatch.plans import catalog
+
+    catalog.run("stream_message_log", spark, "/root/testdata/sf0.001").count()
+    newest = max((p for p in pathlib.Path(spark.conf.get("spark.checkpoint.dir")).glob("logs-*") if list(p.glob("*.log"))), key=lambda p: p.stat().st_mtime)
+    assert len(list(newest.glob("*.log"))) == max(4, spark.sparkContext.defaultParallelism)
