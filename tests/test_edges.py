@@ -943,3 +943,20 @@ def test_message_logs_are_written_by_all_cores(spark):
     catalog.run("stream_message_log", spark, "/root/testdata/sf0.001").count()
     newest = max((p for p in pathlib.Path(spark.conf.get("spark.checkpoint.dir")).glob("logs-*") if list(p.glob("*.log"))), key=lambda p: p.stat().st_mtime)
     assert len(list(newest.glob("*.log"))) == max(4, spark.sparkContext.defaultParallelism)
+
+
+def test_explode_documents_inside_the_row(spark):
+    msgs = [
+        ("/loading?a=1", '[{"id":1,"a":1,"b":null},{"id":2},{"id":1,"a":null,"c":{"d":[1,2]}},7,"x",{},{"q":1},{"r":2,"q":null},null]'),
+        ("/wf/extended", '{"wf":{"id":5},"params":[{"param":"wf_x","prior_value":"p"},{"param":"wf_id","value":"1"},{"param":"zz"}]}'),
+        ("/info", '[{"a":1},{"b":2}]'), ("/info", '[{"a":1},{"b":2}]'), ("/wf", '{"id":1} x'), ("/wf", "[]"), ("/wf", None), ("/tmpl", '{"id":1}'), ("/category", '{"id":"no"}'),
+        ("/long", json.dumps([{"id": i % 700, "n": i} for i in range(2000)]))]
+    out = journal.explode_documents(spark.createDataFrame([(u, "2024-01-01", m) for u, m in msgs], "url string, ts string, msg string"))
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+    got = [(r.id, r.obj, r.url, json.loads(r.msg)) for r in out.collect()]
+    long = {r[0]: r[3]["n"] for r in got if r[1] == "long"}
+    assert long == {i % 700: i for i in range(2000)} and len(got) == 7 + 700
+    assert sorted((r for r in got if r[1] != "long"), key=str) == sorted([
+        (0, "info", "/info", {"a": 1, "b": 2}), (0, "info", "/info", {"a": 1, "b": 2}), (1, "loading", "/loading", {"id": 1, "a": None, "b": None, "c": {"d": [1, 2]}}),
+        (2, "loading", "/loading", {"id": 2}), (None, "loading", "/loading", {"q": None, "r": 2}), (None, "category", "/category", {"id": "no"}),
+        (5, "wf", "/wf/extended", {"wf": {"id": 5}, "params": [{"wf_x": "p"}]})], key=str)

@@ -64,49 +64,69 @@ def append_result(appended: DataFrame) -> DataFrame:
     return appended.agg(F.when(n == 0, "No data").otherwise(F.concat(F.lit("Ok "), n.cast("string"))).alias("result"))
 
 
+def _merged(documents: DataFrame) -> DataFrame:
+    """``_members`` from the list ``_parts`` of the members of one id: the last value of a key stands.
+
+    Most ids come once in a message; only the others are merged, over the places of their keys in order.
+    """
+    places = F.transform("_entries", lambda e, i: F.struct(e["key"].alias("key"), i.alias("at")))
+    last = F.filter("_places", lambda p, i: ~p["key"].eqNullSafe(F.get("_places", i + 1)["key"]))
+    merged = F.map_from_entries(F.transform("_last", lambda p: F.get("_entries", p["at"])))
+    return (
+        documents.withColumn("_entries", F.when(F.size("_parts") > 1, F.flatten(F.transform("_parts", F.map_entries))))
+        .withColumn("_places", F.sort_array(places)).withColumn("_last", last)
+        .withColumn("_members", F.when(F.size("_parts") > 1, merged).otherwise(F.get("_parts", F.lit(0))))
+    )
+
+
 def explode_documents(messages: DataFrame) -> DataFrame:
     """One row per JSON object of a message ``(url, ts, msg)`` holding an object or an array.
 
     The id comes from a place that depends on the first two path segments of the url, and the
-    parameter list shrinks to the workflow parameters with their own or else prior value.
+    parameter list shrinks to the workflow parameters with their own or else prior value. A message
+    may repeat an id: its occurrences merge, the last value of a key stands. All of it happens
+    inside the row of the message, nothing is shuffled.
     """
-    path = F.split_part("url", F.lit("?"), F.lit(1))
     base = (
-        messages.withColumn("url", path)
+        messages.withColumn("url", F.split_part("url", F.lit("?"), F.lit(1)))
         .withColumn("obj", F.regexp_extract("url", "^/([a-z]+)/?", 1))
         .withColumn("sub", F.regexp_extract("url", "^/[a-z]+/([a-z]+)/?", 1))
         .filter("obj <> 'tmpl'")
-        .withColumn("_mid", F.md5(F.concat_ws("|", "url", F.col("ts").cast("string"), "msg")))
     )
+
+    def doc_id(item: Column) -> Column:
+        number = lambda p: F.try_variant_get(item, p, "bigint")
+        return (
+            F.when(F.col("obj") == "info", F.lit(0).cast("bigint"))
+            .when(F.col("obj") == "statval", number("$.loading_id"))
+            .when((F.col("obj") == "wf") & (F.col("sub") == "extended"), number("$.wf.id"))
+            .otherwise(number("$.id"))
+        )
+
     # Unreadable messages become one empty item, which the check for an object drops.
     listed = base.withColumn("_v", try_json("msg")).withColumn(
         "_list", F.coalesce(F.try_variant_get("_v", "$", "array<variant>"), F.array("_v")))
-    members = F.try_variant_get("_item", "$", "map<string,variant>")
-    items = (
-        listed.select("url", "ts", "obj", "sub", "_mid", F.posexplode("_list").alias("_pos", "_item"))
-        .withColumn("_members", members).filter("_members is not null")
-    )
-
-    def number(p: str) -> Column:
-        return F.try_variant_get("_item", p, "bigint")
-
-    doc_id = (
-        F.when(F.col("obj") == "info", F.lit(0).cast("bigint"))
-        .when(F.col("obj") == "statval", number("$.loading_id"))
-        .when((F.col("obj") == "wf") & (F.col("sub") == "extended"), number("$.wf.id"))
-        .otherwise(number("$.id"))
+    objects = F.filter(
+        F.transform("_list", lambda v: F.struct(doc_id(v).alias("id"), F.try_variant_get(v, "$", "map<string,variant>").alias("members"))),
+        lambda o: F.size(o["members"]) > 0)
+    # Objects of one id stand side by side in the order of (id, place), so each id is one slice of it.
+    places = F.sort_array(F.transform("_objects", lambda o, i: F.struct(o["id"].alias("id"), i.alias("at"))))
+    starts = F.filter(
+        F.transform("_places", lambda p, i: F.when((i == 0) | ~p["id"].eqNullSafe(F.get("_places", i - 1)["id"]), i)), lambda i: i.isNotNull())
+    slices = F.transform("_starts", lambda s, n: F.slice("_places", s + 1, F.coalesce(F.get("_starts", n + 1), F.size("_places")) - s))
+    documents = F.transform(slices, lambda ps: F.struct(
+        F.get(ps, F.lit(0))["id"].alias("id"), F.transform(ps, lambda p: F.get("_objects", p["at"])["members"]).alias("_parts")))
+    rows = (
+        listed.select("url", "ts", "obj", objects.alias("_objects")).withColumn("_places", places).withColumn("_starts", starts)
+        # An inner inline would put a check of the list's size before all this, and so parse every message twice.
+        .select("url", "ts", "obj", F.inline_outer(documents)).filter("_parts is not null")
     )
-    rows = items.withColumn("id", doc_id)
-    # One message may repeat an id: its occurrences merge, the last value of a key stands.
-    entries = F.transform(F.map_entries("_members"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    keyed = rows.withColumn("_e", F.explode(entries)).groupBy("_mid", "id", "url", "ts", "obj", "_e.key").agg(F.max_by("_e.value", "_pos").alias("value"))
-    rows = keyed.groupBy("_mid", "id", "url", "ts", "obj").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_members"))
     kept = F.filter(
         F.try_variant_get(F.try_element_at("_members", F.lit("params")), "$", "array<struct<param:string,value:string,prior_value:string>>"),
         lambda p: p["param"].startswith("wf") & (p["param"] != "wf_id"),
     )
     folded = F.transform(kept, lambda p: F.create_map(p["param"], F.coalesce(p["value"], p["prior_value"])))
-    rows = rows.withColumn("_params", F.to_variant_object(folded))
+    rows = _merged(rows).withColumn("_params", F.to_variant_object(folded))
     msg = F.to_json(F.transform_values("_members", lambda k, v: F.when(k == "params", F.col("_params")).otherwise(v)))
     return rows.select("id", "obj", "url", "ts", msg.alias("msg"))
 

@@ -97,10 +97,10 @@ def _(t):
     )
     bad = t.region.select(F.lit("/wf").alias("url"), F.lit(I.ORDERS_AS_OF).cast("timestamp").alias("ts"), F.col("r_name").alias("msg"))
     out = J.explode_documents(one.unionByName(parts).unionByName(pairs).unionByName(bad))
-    p = F.from_json(S.field("msg", "params"), "array<map<string,string>>")
-    return out.withColumn("p", p).select(
-        "id", "obj", S.field("msg", "custkey").cast("bigint").alias("custkey"), S.field("msg", "n").cast("bigint").alias("n_params"),
-        F.col("p")[0]["wf_a"].alias("wf_a"), F.col("p")[1]["wf_b"].alias("wf_b"),
+    doc = F.from_json("msg", "custkey bigint, n bigint, params array<map<string,string>>")
+    return out.withColumn("d", doc).select(
+        "id", "obj", F.col("d.custkey"), F.col("d.n").alias("n_params"),
+        F.col("d.params")[0]["wf_a"].alias("wf_a"), F.col("d.params")[1]["wf_b"].alias("wf_b"),
     )
 
 
