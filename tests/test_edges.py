@@ -960,3 +960,13 @@ def test_explode_documents_inside_the_row(spark):
         (0, "info", "/info", {"a": 1, "b": 2}), (0, "info", "/info", {"a": 1, "b": 2}), (1, "loading", "/loading", {"id": 1, "a": None, "b": None, "c": {"d": [1, 2]}}),
         (2, "loading", "/loading", {"id": 2}), (None, "loading", "/loading", {"q": None, "r": 2}), (None, "category", "/category", {"id": "no"}),
         (5, "wf", "/wf/extended", {"wf": {"id": 5}, "params": [{"wf_x": "p"}]})], key=str)
+
+
+def test_json_diff_is_dealt_and_parsed_once(spark):
+    texts = F.when(F.col("id") % 3 == 0, '{"a": [1, 2.50, -3]}').when(F.col("id") % 3 == 1, "{").otherwise('{"a": [1, 2.5, 4e0]}')
+    out = quality.json_diff(spark.range(300).coalesce(1).select("id", F.lit('{"a": [1, 2.50, -3]}').alias("before"), texts.alias("after")), "id")
+    assert "parse" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert len({os.path.basename(f) for f in out.inputFiles() if "level=0" in f}) >= spark.sparkContext.defaultParallelism
+    got = sorted(rows(out))
+    assert got == sorted([(i, ".", "unreadable", '{"a": [1, 2.50, -3]}', "{") for i in range(1, 300, 3)] + [
+        (i, ".a[2]", "type", "-3", '4.0') for i in range(2, 300, 3)])
