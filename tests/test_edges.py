@@ -970,3 +970,13 @@ def test_json_diff_is_dealt_and_parsed_once(spark):
     got = sorted(rows(out))
     assert got == sorted([(i, ".", "unreadable", '{"a": [1, 2.50, -3]}', "{") for i in range(1, 300, 3)] + [
         (i, ".a[2]", "type", "-3", '4.0') for i in range(2, 300, 3)])
+
+
+def test_export_by_bytes_is_read_back_by_one_reader(spark):
+    from tidewatch.plans import catalog
+
+    out = catalog.run("write_export_bytes", spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "modificationTime" not in plan and plan.count("Relation") == 2
+    got = out.collect()
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() and all(r.fits and r.ordered for r in got)

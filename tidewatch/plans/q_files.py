@@ -221,12 +221,12 @@ def _(t):
     """Files of at most 200 KB in the order of ids, every text kept."""
     path = scratch_dir(t.spark, "export")
     W.write_export(t.documents.select("doc_id", "text", "n_chars"), path, compression="none", fmt="json", max_size="200 KB", order=["doc_id"])
-    r = t.spark.read.schema("doc_id bigint, text string, n_chars bigint, _part bigint").json(path).withColumn("file", F.col("_metadata.file_path"))
-    sizes = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).groupBy().agg(F.max("length").alias("largest"))
-    span = r.groupBy("_part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.countDistinct("file").alias("files"))
+    # Sizes come with the rows: a second reader would list and open every file again.
+    r = t.spark.read.schema("doc_id bigint, text string, n_chars bigint, _part bigint").json(path).withColumns({"file": F.col("_metadata.file_path"), "size": F.col("_metadata.file_size")})
+    span = r.groupBy("_part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.countDistinct("file").alias("files"), F.max("size").alias("largest"))
     after = span.withColumn("next", F.lead("low").over(Window.orderBy("_part")))
-    ordered = after.agg(F.bool_and((F.col("next").isNull() | (F.col("high") < F.col("next"))) & (F.col("files") == 1)).alias("ordered"))
-    return r.select("doc_id", F.md5("text").alias("h"), "n_chars").crossJoin(F.broadcast(sizes.select((F.col("largest") <= 200 * 1024).alias("fits")))).crossJoin(F.broadcast(ordered))
+    checks = after.agg((F.max("largest") <= 200 * 1024).alias("fits"), F.bool_and((F.col("next").isNull() | (F.col("high") < F.col("next"))) & (F.col("files") == 1)).alias("ordered"))
+    return r.select("doc_id", F.md5("text").alias("h"), "n_chars").crossJoin(F.broadcast(checks))
 
 
 @query("part_ticket", "SELECT count(*) AS rows, true AS small_parts, true AS named FROM documents")
