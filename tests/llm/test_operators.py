@@ -4,6 +4,7 @@ import collections
 import functools
 import itertools
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -194,6 +195,30 @@ def test_vectors(spark):
     assert vector_join.near_vectors(frame_.limit(0)).count() == 0
 
 
+def test_vectors_take_turns_and_are_written_twice(spark):
+    """The tiles are sent in rounds of a bounded size; single precision stays so on disk; equal vectors are one class in either precision."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(220, 16)).astype(np.float32).astype(np.float64)
+    x = np.concatenate((base, base[:60] + rng.normal(scale=0.1, size=(60, 16)), base[:40], base[200:] * 2))
+    x[0, 3], x[280, 3] = 0.0, -0.0
+    rows = [(i * 3, [float(v) for v in r]) for i, r in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    want = groups([i for i, _ in rows], [(rows[a][0], rows[b][0]) for a, b in np.argwhere(linked) if a < b])
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    old = set(shared.iterdir())
+    out = vector_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=4, round_bytes=1)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == {i: (int(linked[k].sum()), want[i]) for k, (i, _) in enumerate(rows)}
+    links, = (p for p in shared.iterdir() if p not in old and p.name.startswith("vector-links-"))
+    assert len(list(links.glob("turn=*"))) > 3
+    old, n = set(shared.iterdir()), 4000
+    wide = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(n, 64)).astype(np.float32))]
+    assert vector_join.near_vectors(spark.createDataFrame(wide, "vec_id long, embedding array<float>")).where("n_links = 0").count() == n
+    written = sum(f.stat().st_size for p in shared.iterdir() if p not in old for f in p.rglob("*.parquet"))
+    assert written < 2.5 * n * 64 * 4
+
+
 def test_search(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(900, 8))
