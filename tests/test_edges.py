@@ -6,6 +6,7 @@ import json
 import os
 import pathlib
 import random
+import re
 import zipfile
 
 import pytest
@@ -945,6 +946,67 @@ def test_message_logs_are_written_by_all_cores(spark):
     assert len(list(newest.glob("*.log"))) == max(4, spark.sparkContext.defaultParallelism)
 
 
+def _newest(spark, name):
+    found = [p for p in pathlib.Path(spark.conf.get("spark.checkpoint.dir")).iterdir() if re.fullmatch(rf"{name}-[0-9a-f]{{12}}", p.name)]
+    return max(found, key=lambda p: p.stat().st_mtime)
+
+
+def _bytes(folder, pattern):
+    return sum(f.stat().st_size for f in folder.rglob(pattern))
+
+
+def test_message_logs_are_compressed(spark):
+    """Logs and stored receipts of a run lie on disk in a fraction of the bytes of their messages, which are all there."""
+    from tidewatch.plans import catalog
+
+    catalog.run("stream_message_log", spark, "/root/testdata/sf0.001").count()
+    logs, out = _newest(spark, "logs"), _newest(spark, "logs-out")
+    stored = spark.read.parquet(str(out))
+    texts = stored.select("partition", "offset", "raw_xml").distinct().agg(F.count("*").alias("n"), F.sum(F.length("raw_xml")).alias("size")).first()
+    assert texts.n == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    assert _bytes(logs, "*.log") < texts.size / 5 and _bytes(out, "*.parquet") < texts.size / 3
+
+
+def test_logs_of_blocks_resume_by_offset(spark, tmp_path, monkeypatch):
+    """Blocks and plain lines side by side, a half-written block, another writer: nothing is lost, nothing comes twice, offsets are those of plain lines."""
+    monkeypatch.setattr(messages, "BLOCK_BYTES", 900)
+    logs, out, mark = (str(tmp_path / n) for n in ("logs", "out", "mark"))
+    os.makedirs(logs)
+    line = lambda i: json.dumps({"ts": "2024-01-01T00:00:00+00:00", "value": f"m{i} é" + "x" * (5000 if i % 7 == 0 else 30)}, ensure_ascii=False)
+    run = lambda: streams.drain(messages.message_stream(spark, logs, 1500), "m", target=out, checkpoint=mark)
+    path = f"{logs}/a{messages.BLOCKS}"
+    messages.BlockWriter(path).append([line(i) for i in range(40)])
+    (tmp_path / "logs/b.log").write_text("not json\n")
+    whole = os.path.getsize(path)
+    messages.BlockWriter(path).append([line(40)])
+    with open(path, "r+b") as f:
+        f.truncate(os.path.getsize(path) - 3)  # its writer stopped
+    reader = messages.MessageLogReader({"path": logs, "stretchbytes": 1500})
+    assert reader.latestOffset() == {f"a{messages.BLOCKS}": whole, "b.log": 9} and len(reader.partitions({}, reader.latestOffset())) > 8
+    assert run().count() == 41
+    writer = messages.BlockWriter(path)
+    writer.append([line(40), "also not json"])
+    writer.append([line(41)])
+    assert run().count() == 44 and run().count() == 44
+    got = sorted((r.partition, r.offset, r.raw_xml) for r in run().collect())
+    want, at = [], 0
+    for text in [*map(line, range(41)), "also not json", line(41)]:
+        want.append(("a", at, json.loads(text)["value"] if text[0] == "{" else text))
+        at += len(text.encode()) + 1
+    assert got == [*want, ("b", 0, "not json")] and messages.text_bytes(logs) == at + 9
+
+
+def test_stored_receipts_in_slices(spark):
+    at = lambda m: ts("2024-01-01 00:00:00") + dt.timedelta(minutes=m)
+    data = [(f"u{i % 40}" if i % 9 else None, f"f{i % 3}" if i % 7 else None, at(i % 50), i % 4, i // 60) for i in range(300)]
+    written = spark.createDataFrame(data, "rq_uid string, file_name string, received_at timestamp, status_code int, batch long")
+    names = ["rq_uid", "file_name", "received_at", "status_code"]
+    whole = streams.stored_receipts(written, names)
+    sliced = streams.stored_receipts(written, names, slice_rows=70)
+    assert len({f for f in sliced.inputFiles() if "slice=" in f}) > 3 and not any("slice=" in f for f in whole.inputFiles())
+    assert sorted(rows(sliced), key=str) == sorted(rows(whole), key=str) and sliced.columns == names
+
+
 def test_explode_documents_inside_the_row(spark):
     msgs = [
         ("/loading?a=1", '[{"id":1,"a":1,"b":null},{"id":2},{"id":1,"a":null,"c":{"d":[1,2]}},7,"x",{},{"q":1},{"r":2,"q":null},null]'),
