@@ -967,6 +967,22 @@ def test_message_logs_are_compressed(spark):
     assert _bytes(logs, "*.log") < texts.size / 5 and _bytes(out, "*.parquet") < texts.size / 3
 
 
+def test_receipt_messages_are_written_once_and_streamed_twice(spark):
+    from tidewatch.plans import catalog
+
+    catalog.run("stream_receipts", spark, "/root/testdata/sf0.001").count()
+    files, out = _newest(spark, "receipts"), spark.read.parquet(str(_newest(spark, "receipts-out")))
+    given = spark.read.parquet(str(files))
+    assert given.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    size = given.agg(F.sum(F.length("raw_xml"))).first()[0]
+    assert _bytes(files, "*.parquet") < size / 5
+    once = delivery.parse_receipt(given, "Receipt")
+    same = [*once.columns]
+    assert out.select("batch").distinct().count() == 2
+    assert sorted(rows(out.groupBy(*same).count().filter("count % 2 = 0").select("msg_id", "part_no", "file_name", (F.col("count") / 2).alias("n"))), key=str) == sorted(
+        rows(once.groupBy(*same).count().select("msg_id", "part_no", "file_name", F.col("count").cast("double"))), key=str)
+
+
 def test_logs_of_blocks_resume_by_offset(spark, tmp_path, monkeypatch):
     """Blocks and plain lines side by side, a half-written block, another writer: nothing is lost, nothing comes twice, offsets are those of plain lines."""
     monkeypatch.setattr(messages, "BLOCK_BYTES", 900)
